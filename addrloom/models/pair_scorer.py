@@ -1,4 +1,4 @@
-"""Native pair scorer: four agreement features and a multinomial logit."""
+"""Native pair scorer: six agreement features and a multinomial logit."""
 
 from __future__ import annotations
 
@@ -9,55 +9,67 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from addrloom.functions import text as tx
 from addrloom.functions.scores import softmax3
 
-FEATURES = ("pair_share", "pair_cover", "number_share", "length_ratio")
+FEATURES = ("pair_share", "pair_cover", "number_share", "first_number", "letter_share", "length_ratio")
 
 # Fitted on generated pairs of all three classes (see plans/evaluation.py):
 # one row per class (none, partial, exact); intercept first, then FEATURES.
 DEFAULT_WEIGHTS = (
-    (4.0, -3.0, -4.0, -2.0, 0.0),
-    (1.0, 1.0, 1.5, -1.0, 0.0),
-    (-5.0, 2.0, 2.5, 3.0, 0.0),
+    (18.24, -11.64, -12.70, -0.54, -0.54, 0.05, -5.69),
+    (10.74, -2.55, 0.61, -1.17, -1.17, -2.57, -3.89),
+    (-28.98, 14.19, 12.10, 1.72, 1.72, 2.52, 9.58),
 )
 
 
-def _pairs_of(chars: Column) -> Column:
-    return F.array_distinct(F.zip_with(F.concat(F.array(F.lit("")), chars), F.concat(chars, F.array(F.lit(""))), F.concat))
+def _pairs_of(text: Column) -> Column:
+    """Distinct neighbouring characters; the ends pair up with nothing."""
+    chars, nothing = tx.characters(text), F.array(F.lit(""))
+    return F.array_distinct(
+        F.zip_with(F.concat(nothing, chars), F.concat(chars, nothing), lambda x, y: F.concat(x, y))
+    )
+
 
+def _runs_of(text: Column, kind: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"([{kind}]+)")))
 
-def _numbers_of(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("([0-9]+)")))
+
+def _share(common: Column, a: Column, b: Column) -> Column:
+    return F.when(a + b == 0, F.lit(1.0)).otherwise(common / F.greatest(a + b - common, F.lit(1)))
 
 
 def with_features(df: DataFrame, a: str, b: str) -> DataFrame:
     """Agreement of two texts: shared character pairs over all and over the fewer,
-    shared numbers over all (1 when neither has one), shorter over longer."""
-    df = df.withColumns(
-        {
-            "_pa": _pairs_of(F.split(a, "")), "_pb": _pairs_of(F.split(b, "")),
-            "_na": _numbers_of(F.col(a)), "_nb": _numbers_of(F.col(b)),
-        }
-    )
-    df = df.withColumns(
-        {"_pc": F.size(F.array_intersect("_pa", "_pb")), "_nc": F.size(F.array_intersect("_na", "_nb"))}
-    )
-    pa, pb, pc = F.size("_pa"), F.size("_pb"), F.col("_pc")
-    na, nb, nc = F.size("_na"), F.size("_nb"), F.col("_nc")
+    shared numbers over all, same first number, shared Latin words over all
+    (each 1 when neither text has one), shorter length over longer."""
+    sets = {
+        f"_{kind}{side}": made
+        for side, text in (("a", F.col(a)), ("b", F.col(b)))
+        for kind, made in (
+            ("p", _pairs_of(text)), ("n", _runs_of(text, "0-9")), ("l", _runs_of(text, "A-Za-z"))
+        )
+    }
+    df = df.withColumns(sets)
+    df = df.withColumns({f"_{k}c": F.size(F.array_intersect(f"_{k}a", f"_{k}b")) for k in "pnl"})
+    size = lambda name: F.size(f"_{name}")
     la, lb = F.char_length(a), F.char_length(b)
+    first = lambda name: F.coalesce(F.get(F.col(f"_{name}"), F.lit(0)), F.lit(""))
     return df.withColumns(
         {
-            "pair_share": pc / F.greatest(pa + pb - pc, F.lit(1)),
-            "pair_cover": pc / F.greatest(F.least(pa, pb), F.lit(1)),
-            "number_share": F.when(na + nb == 0, F.lit(1.0)).otherwise(nc / F.greatest(na + nb - nc, F.lit(1))),
+            "pair_share": _share(F.col("_pc"), size("pa"), size("pb")),
+            "pair_cover": F.col("_pc") / F.greatest(F.least(size("pa"), size("pb")), F.lit(1)),
+            "number_share": _share(F.col("_nc"), size("na"), size("nb")),
+            "first_number": (first("na") == first("nb")).cast("double"),
+            "letter_share": _share(F.col("_lc"), size("la"), size("lb")),
             "length_ratio": F.least(la, lb) / F.greatest(la, lb, F.lit(1)),
         }
-    ).drop("_pa", "_pb", "_pc", "_na", "_nb", "_nc")
+    ).drop(*sets, "_pc", "_nc", "_lc")
 
 
 class LogitPairScorer:
     """Adds ``exact_match``, ``partial_match``, ``not_match`` as column
-    expressions of the two texts; the weights are a 3 x 5 parameter."""
+    expressions of the two texts; the weights are a 3 x 7 parameter."""
 
     def __init__(
         self, weights: Sequence[Sequence[float]] = DEFAULT_WEIGHTS, a: str = "address_a", b: str = "address_b"
