@@ -11,13 +11,14 @@ expression inside a lambda.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from addrloom import vocab
 from addrloom.functions import text as tx
+from addrloom.functions.once import computed_once
 
 ENTITIES = "array<struct<tag:string,text:string>>"
 
@@ -114,7 +115,8 @@ def spans_to_entities(
             F.array_join(F.slice(F.col(tokens), s["at"], s["len"]), ""),
         ),
     )
-    return df.withColumn(out, built.cast(ENTITIES)).drop("_prev", "_role", "_cut", "_next", "_span")
+    df = df.withColumn(out, built.cast(ENTITIES)).drop("_prev", "_role", "_cut", "_next", "_span")
+    return computed_once(df, out)
 
 
 # ---------------------------------------------------------------------------
@@ -179,11 +181,15 @@ def merge_adjacent(df: DataFrame, tag: str = "houseno", column: str = "entities"
     ).drop("_before", "_start", "_stop")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _find_from(address: Column, text: Column, start: Column) -> Column:
-    """0-based place of ``text`` at or after ``start``, -1 if absent."""
-    return F.when(text == "", F.when(start <= F.char_length(address), start).otherwise(-1)).otherwise(
-        F.position(text, address, start + 1) - 1
-    )
+    """0-based place of ``text`` at or after ``start``, -1 if absent; an empty
+    text is found right there."""
+    return F.when(text == "", start).otherwise(F.position(text, address, start + 1) - 1)
 
 
 def _tail_room(tail: Column) -> Column:
@@ -195,8 +201,10 @@ def absorb_tail(df: DataFrame, address: str = "address", column: str = "entities
     """Give a room-like end of the address that no entity covers to ``houseno``."""
 
     def advance(at: Column, e: Column) -> Column:
-        place = _find_from(F.col(address), e["text"], at)
-        return F.when(place >= 0, F.greatest(at, place + F.char_length(e["text"]))).otherwise(at)
+        return _bound(
+            _find_from(F.col(address), e["text"], at),
+            lambda place: F.when(place >= 0, F.greatest(at, place + F.char_length(e["text"]))).otherwise(at),
+        )
 
     df = df.withColumn("_end", F.aggregate(column, F.lit(0), advance))
     uncovered = F.when(
@@ -229,16 +237,16 @@ def imply_floor(df: DataFrame, column: str = "entities") -> DataFrame:
         lambda e: F.when(e["tag"] == "houseno", F.regexp_extract(e["text"], LEADING_ROOM_NUMBER, 1)).otherwise(""),
     )
     df = df.withColumn("_number", numbers)
-    df = df.withColumn(
-        "_at", F.filter(F.transform("_number", lambda n, i: F.when(n != "", i).otherwise(-1)), lambda i: i >= 0)
+    found = F.filter(F.transform("_number", lambda n, i: F.when(n != "", i).otherwise(-1)), lambda i: i >= 0)
+    df = computed_once(
+        df.withColumn("_at", F.when(F.col("_floored"), -1).otherwise(F.coalesce(F.get(found, F.lit(0)), F.lit(-1)))), "_at"
     )
 
     def with_floor(e: Column, i: Column) -> Column:
         number = F.element_at(F.col("_number"), i + 1)
         floor = F.when(F.char_length(number) == 3, F.substring(number, 1, 1)).otherwise(F.substring(number, 1, 2))
-        here = ~F.col("_floored") & (F.get(F.col("_at"), F.lit(0)) == i)
         return F.when(
-            F.coalesce(here, F.lit(False)), F.array(entity(e["tag"], e["text"]), entity("floorno", floor))
+            F.col("_at") == i, F.array(entity(e["tag"], e["text"]), entity("floorno", floor))
         ).otherwise(F.array(entity(e["tag"], e["text"])))
 
     df = df.withColumn(column, F.flatten(F.transform(column, with_floor)).cast(ENTITIES))
@@ -258,11 +266,13 @@ def expand_boundaries(df: DataFrame, address: str = "address", column: str = "en
     end of the address."""
 
     def place(state: Column, e: Column) -> Column:
-        at = _find_from(F.col(address), e["text"], state["at"])
-        start = F.when(at >= 0, at).otherwise(state["at"])
-        end = F.when(at >= 0, at + F.char_length(e["text"])).otherwise(state["at"])
-        spot = F.struct(state["at"].alias("before"), start.alias("start"))
-        return F.struct(end.alias("at"), F.concat(state["spots"], F.array(spot)).alias("spots"))
+        def moved(at: Column) -> Column:
+            start = F.when(at >= 0, at).otherwise(state["at"])
+            end = F.when(at >= 0, at + F.char_length(e["text"])).otherwise(state["at"])
+            spot = F.struct(state["at"].alias("before"), start.alias("start"))
+            return F.struct(end.alias("at"), F.concat(state["spots"], F.array(spot)).alias("spots"))
+
+        return _bound(_find_from(F.col(address), e["text"], state["at"]), moved)
 
     zero = F.struct(
         F.lit(0).alias("at"), F.array().cast("array<struct<before:int,start:int>>").alias("spots")
@@ -314,7 +324,7 @@ def apply_rules(df: DataFrame, address: str = "address", column: str = "entities
     df = merge_adjacent(df, "houseno", column)
     df = absorb_tail(df, address, column)
     df = imply_floor(df, column)
-    return expand_boundaries(df, address, column)
+    return computed_once(expand_boundaries(df, address, column), column)
 
 
 # ---------------------------------------------------------------------------

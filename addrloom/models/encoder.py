@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from addrloom.functions import text as tx
+from addrloom.functions.once import computed_once
 from addrloom.vocab import VECTOR_DIM
 
 # fixed values: weights of the two code points in the slot number
@@ -39,6 +40,5 @@ class CharPairEncoder:
         df = count.transform(df)
         df = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(df)
         unit = vector_to_array("_unit", dtype="float32")
-        return df.withColumn(self.vector, F.when(tx.is_blank(F.col(self.text)), None).otherwise(unit)).drop(
-            "_slots", "_counts", "_unit"
-        )
+        df = df.withColumn(self.vector, F.when(tx.is_blank(F.col(self.text)), None).otherwise(unit))
+        return computed_once(df.drop("_slots", "_counts", "_unit"), self.vector)

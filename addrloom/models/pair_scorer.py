@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from addrloom.functions import text as tx
+from addrloom.functions.once import computed_once
 from addrloom.functions.scores import softmax3
 
 FEATURES = ("pair_share", "pair_cover", "number_share", "first_number", "letter_share", "length_ratio")
@@ -55,7 +56,7 @@ def with_features(df: DataFrame, a: str, b: str) -> DataFrame:
     size = lambda name: F.size(f"_{name}")
     la, lb = F.char_length(a), F.char_length(b)
     first = lambda name: F.coalesce(F.get(F.col(f"_{name}"), F.lit(0)), F.lit(""))
-    return df.withColumns(
+    df = df.withColumns(
         {
             "pair_share": _share(F.col("_pc"), size("pa"), size("pb")),
             "pair_cover": F.col("_pc") / F.greatest(F.least(size("pa"), size("pb")), F.lit(1)),
@@ -65,6 +66,7 @@ def with_features(df: DataFrame, a: str, b: str) -> DataFrame:
             "length_ratio": F.least(la, lb) / F.greatest(la, lb, F.lit(1)),
         }
     ).drop(*sets, "_pc", "_nc", "_lc")
+    return computed_once(df, *FEATURES)
 
 
 class LogitPairScorer:

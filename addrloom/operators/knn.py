@@ -46,6 +46,8 @@ MAX_CELLS = 4000
 MAX_CENTRE_NUMBERS = MAX_CELLS * 4096
 # Slack for rounding when a bound decides what may be skipped.
 SLACK = 1e-7
+# Similarities that agree to so many digits are ties, settled by id.
+TIE_DIGITS = 12
 
 _QUERY_COLUMNS = ("enterprise_id", "enterprise_name", "enterprise_address")
 _REFERENCE_COLUMNS = ("standard_id", "standard_address", "room_no")
@@ -220,23 +222,28 @@ def _best_of_chunk(top_n: int, threshold: float | None):
     """Co-group function: the ``top_n`` best references of each query here."""
     limit = math.inf if threshold is None else 2.0 * (1.0 - threshold) + SLACK
 
-    def keep_copies(vectors: np.ndarray, ids: list[str]) -> np.ndarray:
+    def keep_copies(vectors: np.ndarray, by_id: np.ndarray) -> np.ndarray:
         # Of equal vectors only the top_n smallest ids can be in a result.
-        order = np.array(sorted(range(len(ids)), key=ids.__getitem__), dtype=np.int64)
-        packed = np.ascontiguousarray(vectors[order])
-        _, group = np.unique(packed.view(np.dtype((np.void, packed.dtype.itemsize * packed.shape[1]))).ravel(), return_inverse=True)
-        if len(group) == 0 or np.bincount(group).max() <= top_n:
-            return np.arange(len(ids))
+        packed = np.ascontiguousarray(vectors[by_id])
+        rows = packed.view(np.dtype((np.void, packed.dtype.itemsize * packed.shape[1]))).ravel()
+        _, group = np.unique(rows, return_inverse=True)
+        if np.bincount(group).max() <= top_n:
+            return np.arange(len(by_id))
         by_group = np.argsort(group, kind="stable")
+        place = np.arange(len(group))
         first = np.concatenate([[True], np.diff(group[by_group]) != 0])
-        place = np.arange(len(group)) - np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))
-        return np.sort(order[by_group[place < top_n]])
+        place = place - np.maximum.accumulate(np.where(first, place, 0))
+        return np.sort(by_id[by_group[place < top_n]])
 
     def run(queries: pa.Table, references: pa.Table) -> pa.Table:
         out: list[pa.Table] = []
         if queries.num_rows and references.num_rows:
             vectors = _matrix(references.column("vector"))
-            kept = keep_copies(vectors, references.column("standard_id").to_pylist())
+            ids = references.column("standard_id").to_pylist()
+            by_id = np.array(sorted(range(len(ids)), key=ids.__getitem__), dtype=np.int64)
+            id_place = np.empty_like(by_id)
+            id_place[by_id] = np.arange(len(by_id))
+            kept = keep_copies(vectors, by_id)
             vectors = vectors[kept]
             points = _matrix(queries.column("vector"))
             for start in range(0, len(points), 1024):
@@ -255,6 +262,11 @@ def _best_of_chunk(top_n: int, threshold: float | None):
                 if threshold is not None:
                     passed = similarity >= threshold
                     row, column, similarity = row[passed], column[passed], similarity[passed]
+                order = np.lexsort((id_place[kept[column]], -np.round(similarity, TIE_DIGITS), row))
+                row, column, similarity = row[order], column[order], similarity[order]
+                begin = np.searchsorted(row, row, side="left")
+                first = np.arange(len(row)) - begin < top_n
+                row, column, similarity = row[first], column[first], similarity[first]
                 q = queries.select(_QUERY_COLUMNS).take(pa.array(row + start))
                 r = references.select(_REFERENCE_COLUMNS).take(pa.array(kept[column]))
                 out.append(
@@ -279,7 +291,8 @@ _PAIR_SCHEMA = T.StructType(
 def keep_top_n(candidates: DataFrame, top_n: int) -> DataFrame:
     """The ``top_n`` most similar candidates of each query, ties by id.  Spark
     cuts every input partition to ``top_n`` per query before the shuffle."""
-    order = Window.partitionBy("enterprise_id").orderBy(F.desc("similarity"), F.asc("standard_id"))
+    closeness = F.round("similarity", TIE_DIGITS)
+    order = Window.partitionBy("enterprise_id").orderBy(closeness.desc(), F.asc("standard_id"))
     return candidates.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top_n).drop("_rank")
 
 
@@ -429,6 +442,6 @@ def search(references: DataFrame, vector: Column | list[float], top_n: int = TOP
     point = vector if isinstance(vector, Column) else F.array(*[F.lit(float(x)) for x in vector])
     scored = references.where("vector IS NOT NULL").withColumn("_squared", squared_l2(F.col("vector"), point))
     return (
-        scored.orderBy("_squared", "source_id").limit(top_n)
+        scored.orderBy(F.round("_squared", TIE_DIGITS), "source_id").limit(top_n)
         .withColumn("similarity", 1.0 - F.col("_squared") / 2.0).drop("_squared", "vector")
     )

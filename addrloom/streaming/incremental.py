@@ -25,9 +25,14 @@ def checkpoint_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
-def arriving(spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files landing in ``path``."""
+def arriving(
+    spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int | None = None,
+    pattern: str | None = None,
+) -> DataFrame:
+    """Parquet files landing in ``path``, optionally of a name ``pattern`` only."""
     reader = spark.readStream.schema(schema)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
