@@ -13,7 +13,8 @@ of each query only; a window keeps the best ``top_n`` over all cells.
 * :func:`ivf_join` (approximate) sends a query to its ``probes`` nearest cells.
 
 A cell may be hot on either side.  Both sides of a cell are therefore cut into
-chunks of at most about ``chunk_rows`` rows by a hash of the id, and the unit
+chunks of about ``chunk_rows`` rows (by default as many vectors as fit in
+``CHUNK_BYTES``) by a hash of the id, and the unit
 of work is (cell, query chunk, reference chunk): memory per task is bounded
 whatever the skew.  What reaches the driver is one centre and a few numbers per
 cell, with the number of cells limited by ``MAX_CELLS``.
@@ -48,6 +49,9 @@ MAX_CENTRE_NUMBERS = MAX_CELLS * 4096
 SLACK = 1e-7
 # Similarities that agree to so many digits are ties, settled by id.
 TIE_DIGITS = 12
+# Bytes of vectors in one chunk of one side, and numbers in one distance tile.
+CHUNK_BYTES = 96 * 1024 * 1024
+TILE_NUMBERS = 8 * 1024 * 1024
 
 _QUERY_COLUMNS = ("enterprise_id", "enterprise_name", "enterprise_address")
 _REFERENCE_COLUMNS = ("standard_id", "standard_address", "room_no")
@@ -92,11 +96,11 @@ def _reference_side(references: DataFrame, *extra: str) -> DataFrame:
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of an ``array<float>`` Arrow column as a matrix of doubles."""
+    """Rows of an ``array<float>`` Arrow column as a matrix of floats."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
 
 
@@ -137,7 +141,7 @@ def assign_cells(references: DataFrame, centres: np.ndarray) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            squared = _squared_distances(_matrix(batch.column("vector")), centres)
+            squared = _squared_distances(_matrix(batch.column("vector")).astype(np.float64), centres)
             cell = squared.argmin(axis=1)
             distance = np.sqrt(squared[np.arange(len(cell)), cell])
             yield pa.RecordBatch.from_arrays(
@@ -202,7 +206,7 @@ def _send_to_cells(queries: DataFrame, choose) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                row, cell = np.nonzero(choose(_matrix(part.column("vector"))))
+                row, cell = np.nonzero(choose(_matrix(part.column("vector")).astype(np.float64)))
                 for at in range(0, len(row), 8192):
                     taken = part.take(pa.array(row[at : at + 8192]))
                     yield pa.RecordBatch.from_arrays(
@@ -218,22 +222,30 @@ def _send_to_cells(queries: DataFrame, choose) -> DataFrame:
 # meeting of the two sides
 # ---------------------------------------------------------------------------
 
+def _first_copies(vectors: np.ndarray, by_id: np.ndarray, top_n: int) -> np.ndarray:
+    """Rows worth comparing: of equal vectors only the ``top_n`` smallest ids can
+    be in a result."""
+    packed = np.ascontiguousarray(vectors[by_id])
+    rows = packed.view(np.dtype((np.void, packed.dtype.itemsize * packed.shape[1]))).ravel()
+    _, group = np.unique(rows, return_inverse=True)
+    if np.bincount(group).max() <= top_n:
+        return np.arange(len(by_id))
+    by_group = np.argsort(group, kind="stable")
+    place = np.arange(len(group))
+    first = np.concatenate([[True], np.diff(group[by_group]) != 0])
+    place = place - np.maximum.accumulate(np.where(first, place, 0))
+    return np.sort(by_id[by_group[place < top_n]])
+
+
 def _best_of_chunk(top_n: int, threshold: float | None):
-    """Co-group function: the ``top_n`` best references of each query here."""
-    limit = math.inf if threshold is None else 2.0 * (1.0 - threshold) + SLACK
-
-    def keep_copies(vectors: np.ndarray, by_id: np.ndarray) -> np.ndarray:
-        # Of equal vectors only the top_n smallest ids can be in a result.
-        packed = np.ascontiguousarray(vectors[by_id])
-        rows = packed.view(np.dtype((np.void, packed.dtype.itemsize * packed.shape[1]))).ravel()
-        _, group = np.unique(rows, return_inverse=True)
-        if np.bincount(group).max() <= top_n:
-            return np.arange(len(by_id))
-        by_group = np.argsort(group, kind="stable")
-        place = np.arange(len(group))
-        first = np.concatenate([[True], np.diff(group[by_group]) != 0])
-        place = place - np.maximum.accumulate(np.where(first, place, 0))
-        return np.sort(by_id[by_group[place < top_n]])
+    """Co-group function: the ``top_n`` best references of each query here.
+
+    Distances are first computed in single precision, to find the rows that can
+    be among the best within the rounding bound of that product; these are then
+    computed again in double precision, difference by difference.
+    """
+    limit = math.inf if threshold is None else 2.0 * (1.0 - threshold)
+    columns = [*_QUERY_COLUMNS, *_REFERENCE_COLUMNS]
 
     def run(queries: pa.Table, references: pa.Table) -> pa.Table:
         out: list[pa.Table] = []
@@ -243,20 +255,22 @@ def _best_of_chunk(top_n: int, threshold: float | None):
             by_id = np.array(sorted(range(len(ids)), key=ids.__getitem__), dtype=np.int64)
             id_place = np.empty_like(by_id)
             id_place[by_id] = np.arange(len(by_id))
-            kept = keep_copies(vectors, by_id)
+            kept = _first_copies(vectors, by_id, top_n)
             vectors = vectors[kept]
             points = _matrix(queries.column("vector"))
-            for start in range(0, len(points), 1024):
-                tile = points[start : start + 1024]
+            reach = float(np.sqrt((points.astype(np.float64) ** 2).sum(axis=1).max() * (vectors.astype(np.float64) ** 2).sum(axis=1).max()))
+            slack = SLACK + 8.0 * vectors.shape[1] * float(np.finfo(np.float32).eps) * max(reach, 1.0)
+            rows_at_once = max(16, TILE_NUMBERS // len(vectors))
+            for start in range(0, len(points), rows_at_once):
+                tile = points[start : start + rows_at_once]
                 squared = _squared_distances(tile, vectors)
+                bound = np.full(len(tile), limit, dtype=np.float64)
                 if squared.shape[1] > top_n:
-                    worst = np.partition(squared, top_n - 1, axis=1)[:, top_n - 1]
-                else:
-                    worst = np.full(len(tile), np.inf)
-                row, column = np.nonzero(squared <= np.minimum(worst + SLACK, limit)[:, None])
+                    bound = np.minimum(bound, np.partition(squared, top_n - 1, axis=1)[:, top_n - 1])
+                row, column = np.nonzero(squared <= (bound + slack)[:, None])
                 exact = np.empty(len(row))
                 for at in range(0, len(row), 4096):
-                    gap = tile[row[at : at + 4096]] - vectors[column[at : at + 4096]]
+                    gap = tile[row[at : at + 4096]].astype(np.float64) - vectors[column[at : at + 4096]]
                     exact[at : at + 4096] = (gap * gap).sum(axis=1)
                 similarity = 1.0 - exact / 2.0
                 if threshold is not None:
@@ -264,20 +278,14 @@ def _best_of_chunk(top_n: int, threshold: float | None):
                     row, column, similarity = row[passed], column[passed], similarity[passed]
                 order = np.lexsort((id_place[kept[column]], -np.round(similarity, TIE_DIGITS), row))
                 row, column, similarity = row[order], column[order], similarity[order]
-                begin = np.searchsorted(row, row, side="left")
-                first = np.arange(len(row)) - begin < top_n
-                row, column, similarity = row[first], column[first], similarity[first]
+                best = np.arange(len(row)) - np.searchsorted(row, row, side="left") < top_n
+                row, column, similarity = row[best], column[best], similarity[best]
                 q = queries.select(_QUERY_COLUMNS).take(pa.array(row + start))
                 r = references.select(_REFERENCE_COLUMNS).take(pa.array(kept[column]))
-                out.append(
-                    pa.table([*q.columns, *r.columns, pa.array(similarity)],
-                             names=[*_QUERY_COLUMNS, *_REFERENCE_COLUMNS, "similarity"])
-                )
+                out.append(pa.table([*q.columns, *r.columns, pa.array(similarity)], names=[*columns, "similarity"]))
         if out:
             return pa.concat_tables(out)
-        text, real = pa.string(), pa.float64()
-        names = [*_QUERY_COLUMNS, *_REFERENCE_COLUMNS]
-        return pa.table([pa.array([], text) for _ in names] + [pa.array([], real)], names=[*names, "similarity"])
+        return pa.table([pa.array([], pa.string()) for _ in columns] + [pa.array([], pa.float64())], names=[*columns, "similarity"])
 
     return run
 
@@ -329,6 +337,16 @@ def _meet(
     return keep_top_n(met, top_n)
 
 
+def _dimension(vectors: DataFrame) -> int:
+    row = vectors.select(F.size("vector").alias("n")).first()
+    return row["n"] if row else 1
+
+
+def _chunk_rows(references: DataFrame, chunk_rows: int | None) -> int:
+    """Rows of one chunk: as many vectors as fit in CHUNK_BYTES."""
+    return chunk_rows or max(1024, CHUNK_BYTES // (4 * max(_dimension(references), 1)))
+
+
 def _rows_per_cell(sent: DataFrame) -> dict[int, int]:
     return {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
 
@@ -343,7 +361,7 @@ def knn_join(
     top_n: int = TOP_N,
     threshold: float | None = None,
     cell_rows: int = 8192,
-    chunk_rows: int = 8192,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """For each query row its ``top_n`` nearest reference rows with
     ``similarity`` = 1 - d^2/2; rows below ``threshold`` are then dropped, and a
@@ -354,6 +372,7 @@ def knn_join(
     """
     q, r = _query_side(queries), _reference_side(references)
     reference_count, query_count = r.count(), q.count()
+    chunk_rows = _chunk_rows(r, chunk_rows)
     cells = max(1, min(MAX_CELLS, -(-reference_count // cell_rows)))
     if cells == 1:
         whole = {0: reference_count}
@@ -405,7 +424,7 @@ def ivf_join(
     top_n: int = TOP_N,
     threshold: float | None = None,
     probes: int | None = None,
-    chunk_rows: int = 8192,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """As :func:`knn_join`, but each query searches its ``probes`` nearest lists
     only.  ``listed`` carries ``list_id`` (see :func:`with_list_id`)."""
@@ -413,6 +432,7 @@ def ivf_join(
     q = _query_side(queries)
     r = _reference_side(listed, "list_id").withColumnRenamed("list_id", "cell")
     reference_rows = _rows_per_cell(r)
+    chunk_rows = _chunk_rows(r, chunk_rows)
     if not reference_rows:
         return q.sparkSession.createDataFrame([], _PAIR_SCHEMA)
     filled = np.zeros(len(centres), dtype=bool)

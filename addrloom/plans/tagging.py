@@ -33,7 +33,7 @@ def tag_addresses(
 ) -> DataFrame:
     """``original_address`` and the fields of the mode for every row; the 17 forms
     also carry ``_id_field`` and ``dom_json``.  Blank addresses come out with
-    empty fields.  No shuffle: each row is tagged where it is read."""
+    empty fields.  Rows are independent: nothing is grouped or joined."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}, expected one of {MODES}")
     schemas.require_columns(df, address_column, id_column)

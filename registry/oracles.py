@@ -452,7 +452,7 @@ SELECT vec_id::VARCHAR AS source_id, round(sqrt(list_sum(list_transform(u, lambd
        round(u[1], 5) AS first_number FROM unit"""
 ORACLES["vector_norm_check"] = """
 WITH moved AS (
-  SELECT vec_id, label, list_transform(embedding, lambda x: (x::DOUBLE * 1.05::DOUBLE + 0.01::DOUBLE)::FLOAT::DOUBLE) AS v FROM embeddings
+  SELECT vec_id, label, list_transform(embedding, lambda x: (x::DOUBLE * 1.05::DOUBLE + 0.03::DOUBLE)::FLOAT::DOUBLE) AS v FROM embeddings
 ), normed AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM moved)
 SELECT vec_id::VARCHAR AS source_id, 'label ' || label AS address, round(norm, 6) AS norm FROM normed WHERE abs(norm - 1) > 0.1"""
 ORACLES["vector_self_product"] = """

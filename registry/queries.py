@@ -446,9 +446,9 @@ def l2_normalize(spark, folder):
 
 @query
 def vector_norm_check(spark, folder):
-    """Unit vectors pass; the same vectors moved by 0.01 per number do not all."""
+    """Unit vectors pass; the same vectors moved by 0.03 per number do not all."""
     moved = v.reference_vectors(spark, folder).withColumn(
-        "vector", F.transform("vector", lambda x: (x * 1.05 + 0.01).cast("float"))
+        "vector", F.transform("vector", lambda x: (x * 1.05 + 0.03).cast("float"))
     )
     return checks.off_norm(moved).withColumns(_r6("norm"))
 

@@ -26,6 +26,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(spark: SparkSession, scan: DataFrame) -> DataFrame:
+    """A test table is one file with one row group, which one task would read and
+    work on; a small scan is dealt out to all cores.  A large one has its splits
+    and is left alone."""
+    cores = spark.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= 2 * cores else scan.repartition(cores)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder in the cluster's shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
@@ -91,20 +99,27 @@ def enterprise_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def standard_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.reference_addresses(table(spark, folder, "documents"), "doc_id", "text", "source")
+    return tables.reference_addresses(spread(spark, table(spark, folder, "documents")), "doc_id", "text", "source")
+
+
+def _stored(spark: SparkSession, vectors: DataFrame, kind: str) -> DataFrame:
+    """Written as a vector table and read back, as between vectorize and recall."""
+    path = work_folder(spark, f"{kind}-vectors")
+    tables.replace(tables.vector_rows(vectors, kind), path)
+    return spark.read.parquet(path)
 
 
 def enterprise_text_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return vectorize.encode(enterprise_texts(spark, folder), "enterprise", CharPairEncoder(TEXT_DIM))
+    return _stored(spark, vectorize.encode(enterprise_texts(spark, folder), "enterprise", CharPairEncoder(TEXT_DIM)), "enterprise")
 
 
 def standard_text_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return vectorize.encode(standard_texts(spark, folder), "standard", CharPairEncoder(TEXT_DIM))
+    return _stored(spark, vectorize.encode(standard_texts(spark, folder), "standard", CharPairEncoder(TEXT_DIM)), "standard")
 
 
 def turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Each turn and the turn after it; the last of a conversation has none."""
-    turns = table(spark, folder, "conversations").alias("a")
+    turns = spread(spark, table(spark, folder, "conversations")).alias("a")
     following = table(spark, folder, "conversations").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text")
     )
@@ -115,7 +130,8 @@ def turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def labelled_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """All words of every document, each with a label."""
-    words = table(spark, folder, "documents").select("doc_id", "text", F.split("text", " ").alias("tokens"))
+    documents = spread(spark, table(spark, folder, "documents").select("doc_id", "text"))
+    words = documents.withColumn("tokens", F.split("text", " "))
     labels = F.array(*[F.lit(x) for x in TOKEN_LABELS])
     return words.withColumn(
         "labels",
@@ -145,7 +161,7 @@ def customer_places(spark: SparkSession, folder: str) -> DataFrame:
     """Every customer as a house: nation = district, market segment = road."""
     name = F.col("n_name")
     several = lambda word: F.array(*[F.concat(name, F.lit(d + word)) for d in ("东", "西", "南")])
-    customers, nations = table(spark, folder, "customer"), table(spark, folder, "nation")
+    customers, nations = spread(spark, table(spark, folder, "customer")), table(spark, folder, "nation")
     return customers.join(nations, customers["c_nationkey"] == nations["n_nationkey"]).select(
         "c_custkey",
         name.alias("district"),
