@@ -2,43 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from addrloom.functions import text as tx
 from addrloom.functions.once import computed_once
+from addrloom.models.char_pairs import char_pairs
 from addrloom.vocab import VECTOR_DIM
 
 # fixed values: weights of the two code points in the slot number
 FIRST_WEIGHT, SECOND_WEIGHT = 8191, 131
+ROWS_AT_ONCE = 1024
+
+
+def _unit_vectors(texts: list[str], dim: int) -> np.ndarray:
+    """Rows x dim: every pair of neighbouring characters of a text (framed by code
+    point 0) counts in its slot; rows have length 1."""
+    row, first, second = char_pairs(texts)
+    slots = (first * FIRST_WEIGHT + second * SECOND_WEIGHT) % dim
+    counts = np.bincount(row * dim + slots, minlength=len(texts) * dim).reshape(len(texts), dim)
+    return (counts / np.sqrt((counts * counts).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
 class CharPairEncoder:
-    """Slot of a pair = (first * 8191 + second * 131) mod ``dim``, where the text
-    is framed by code point 0 on both sides.  Linear in the text, no shuffle, no
-    Python.  A blank text has no vector (NULL)."""
+    """Slot of a pair = (first * 8191 + second * 131) mod ``dim``.  Linear in the
+    text, Arrow batches in and out, no shuffle.  A blank text has no vector
+    (NULL)."""
 
     def __init__(self, dim: int = VECTOR_DIM, text: str = "address", vector: str = "vector"):
         self.dim, self.text, self.vector = dim, text, vector
 
-    def _slots(self, codes: Column) -> Column:
-        zero = F.array(F.lit(0))
-        return F.zip_with(
-            F.concat(zero, codes),
-            F.concat(codes, zero),
-            lambda a, b: F.pmod(a * FIRST_WEIGHT + b * SECOND_WEIGHT, F.lit(self.dim)).cast("string"),
-        )
-
     def transform(self, df: DataFrame) -> DataFrame:
-        codes = F.transform(tx.characters(tx.strip(F.coalesce(self.text, F.lit("")))), lambda c: F.ascii(c))
-        df = df.withColumn("_slots", self._slots(codes))
-        count = CountVectorizerModel.from_vocabulary(
-            [str(i) for i in range(self.dim)], inputCol="_slots", outputCol="_counts"
-        )
-        df = count.transform(df)
-        df = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(df)
-        unit = vector_to_array("_unit", dtype="float32")
-        df = df.withColumn(self.vector, F.when(tx.is_blank(F.col(self.text)), None).otherwise(unit))
-        return computed_once(df.drop("_slots", "_counts", "_unit"), self.vector)
+        dim = self.dim
+
+        @F.arrow_udf(T.ArrayType(T.FloatType()))
+        def encode(texts: pa.Array) -> pa.Array:
+            pieces = []
+            for start in range(0, len(texts), ROWS_AT_ONCE):
+                part = texts.slice(start, ROWS_AT_ONCE).to_pylist()
+                filled = [t for t in part if t]
+                flat = _unit_vectors(filled, dim).ravel() if filled else np.empty(0, dtype=np.float32)
+                sizes = np.array([0] + [dim if t else 0 for t in part])
+                blank = pa.array([not t for t in part] + [False])
+                offsets = pa.array(np.cumsum(sizes).astype(np.int32))
+                pieces.append(pa.ListArray.from_arrays(offsets, pa.array(flat), mask=blank[:-1]))
+            return pa.concat_arrays(pieces) if pieces else pa.array([], pa.list_(pa.float32()))
+
+        text = tx.strip(F.coalesce(self.text, F.lit("")))
+        return computed_once(df.withColumn(self.vector, encode(text)), self.vector)

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from addrloom.functions import text as tx
 from addrloom.functions.once import computed_once
 from addrloom.functions.scores import softmax3
+from addrloom.models.char_pairs import char_pairs
 
+ROWS_AT_ONCE = 1024
 FEATURES = ("pair_share", "pair_cover", "number_share", "first_number", "letter_share", "length_ratio")
 
 # Fitted on generated pairs of all three classes (see plans/evaluation.py):
@@ -24,12 +28,25 @@ DEFAULT_WEIGHTS = (
 )
 
 
-def _pairs_of(text: Column) -> Column:
-    """Distinct neighbouring characters; the ends pair up with nothing."""
-    chars, nothing = tx.characters(text), F.array(F.lit(""))
-    return F.array_distinct(
-        F.zip_with(F.concat(nothing, chars), F.concat(chars, nothing), lambda x, y: F.concat(x, y))
-    )
+@F.arrow_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("a", "b", "both")]))
+def _pair_counts(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Distinct neighbouring characters of each text, and how many both have."""
+
+    def distinct(texts: list[str]) -> np.ndarray:
+        row, first, second = char_pairs(texts)
+        return np.unique((row << 42) | (first << 21) | second)
+
+    def per_row(keys: np.ndarray, rows: int) -> np.ndarray:
+        return np.bincount(keys >> 42, minlength=rows).astype(np.int32)
+
+    counts: list[list[np.ndarray]] = [[], [], []]
+    for start in range(0, len(a), ROWS_AT_ONCE):
+        left, right = (x.slice(start, ROWS_AT_ONCE).fill_null("").to_pylist() for x in (a, b))
+        ka, kb = distinct(left), distinct(right)
+        for out, keys in zip(counts, (ka, kb, np.intersect1d(ka, kb, assume_unique=True))):
+            out.append(per_row(keys, len(left)))
+    arrays = [pa.array(np.concatenate(c) if c else np.empty(0, dtype=np.int32)) for c in counts]
+    return pa.StructArray.from_arrays(arrays, names=["a", "b", "both"])
 
 
 def _runs_of(text: Column, kind: str) -> Column:
@@ -44,34 +61,34 @@ def with_features(df: DataFrame, a: str, b: str) -> DataFrame:
     """Agreement of two texts: shared character pairs over all and over the fewer,
     shared numbers over all, same first number, shared Latin words over all
     (each 1 when neither text has one), shorter length over longer."""
+    df = computed_once(df.withColumn("_pairs", _pair_counts(F.col(a), F.col(b))), "_pairs")
     sets = {
-        f"_{kind}{side}": made
-        for side, text in (("a", F.col(a)), ("b", F.col(b)))
-        for kind, made in (
-            ("p", _pairs_of(text)), ("n", _runs_of(text, "0-9")), ("l", _runs_of(text, "A-Za-z"))
-        )
+        f"_{kind}{side}": _runs_of(F.col(text), letters)
+        for side, text in (("a", a), ("b", b))
+        for kind, letters in (("n", "0-9"), ("l", "A-Za-z"))
     }
     df = df.withColumns(sets)
-    df = df.withColumns({f"_{k}c": F.size(F.array_intersect(f"_{k}a", f"_{k}b")) for k in "pnl"})
+    df = df.withColumns({f"_{k}c": F.size(F.array_intersect(f"_{k}a", f"_{k}b")) for k in "nl"})
     size = lambda name: F.size(f"_{name}")
+    pa_, pb_, pc_ = (F.col(f"_pairs.{n}") for n in ("a", "b", "both"))
     la, lb = F.char_length(a), F.char_length(b)
     first = lambda name: F.coalesce(F.get(F.col(f"_{name}"), F.lit(0)), F.lit(""))
     df = df.withColumns(
         {
-            "pair_share": _share(F.col("_pc"), size("pa"), size("pb")),
-            "pair_cover": F.col("_pc") / F.greatest(F.least(size("pa"), size("pb")), F.lit(1)),
+            "pair_share": _share(pc_, pa_, pb_),
+            "pair_cover": pc_ / F.greatest(F.least(pa_, pb_), F.lit(1)),
             "number_share": _share(F.col("_nc"), size("na"), size("nb")),
             "first_number": (first("na") == first("nb")).cast("double"),
             "letter_share": _share(F.col("_lc"), size("la"), size("lb")),
             "length_ratio": F.least(la, lb) / F.greatest(la, lb, F.lit(1)),
         }
-    ).drop(*sets, "_pc", "_nc", "_lc")
+    ).drop(*sets, "_nc", "_lc", "_pairs")
     return computed_once(df, *FEATURES)
 
 
 class LogitPairScorer:
-    """Adds ``exact_match``, ``partial_match``, ``not_match`` as column
-    expressions of the two texts; the weights are a 3 x 7 parameter."""
+    """Adds ``exact_match``, ``partial_match``, ``not_match`` from the agreement of
+    the two texts; the weights are a 3 x 7 parameter."""
 
     def __init__(
         self, weights: Sequence[Sequence[float]] = DEFAULT_WEIGHTS, a: str = "address_a", b: str = "address_b"

@@ -49,8 +49,11 @@ MAX_CENTRE_NUMBERS = MAX_CELLS * 4096
 SLACK = 1e-7
 # Similarities that agree to so many digits are ties, settled by id.
 TIE_DIGITS = 12
+# Reference rows of a cell, where there are several.
+CELL_ROWS = 8192
 # Bytes of vectors in one chunk of one side, and numbers in one distance tile.
 CHUNK_BYTES = 96 * 1024 * 1024
+MIN_QUERY_CHUNK = 512
 TILE_NUMBERS = 8 * 1024 * 1024
 
 _QUERY_COLUMNS = ("enterprise_id", "enterprise_name", "enterprise_address")
@@ -317,8 +320,11 @@ def _meet(
     sent: DataFrame, assigned: DataFrame, reference_rows: dict[int, int], query_rows: dict[int, int],
     top_n: int, threshold: float | None, chunk_rows: int,
 ) -> DataFrame:
+    # enough query chunks to keep all cores busy, each worth a task of its own
+    cores = sent.sparkSession.sparkContext.defaultParallelism
+    query_chunk = min(chunk_rows, max(MIN_QUERY_CHUNK, -(-sum(query_rows.values()) // (2 * cores))))
     parts = {
-        cell: (-(-query_rows.get(cell, 0) // chunk_rows) or 1, -(-n // chunk_rows) or 1)
+        cell: (-(-query_rows.get(cell, 0) // query_chunk) or 1, -(-n // chunk_rows) or 1)
         for cell, n in reference_rows.items()
     }
     sizes = None
@@ -360,7 +366,7 @@ def knn_join(
     references: DataFrame,
     top_n: int = TOP_N,
     threshold: float | None = None,
-    cell_rows: int = 8192,
+    cell_rows: int | None = None,
     chunk_rows: int | None = None,
 ) -> DataFrame:
     """For each query row its ``top_n`` nearest reference rows with
@@ -369,10 +375,15 @@ def knn_join(
 
     Rows below the threshold never displace others, so the threshold also
     shrinks the search: cells out of its reach are skipped.
+
+    References that fit in one chunk are one cell; more are split into cells of
+    about ``cell_rows`` rows (CELL_ROWS).
     """
     q, r = _query_side(queries), _reference_side(references)
     reference_count, query_count = r.count(), q.count()
     chunk_rows = _chunk_rows(r, chunk_rows)
+    if cell_rows is None:
+        cell_rows = chunk_rows if reference_count <= chunk_rows else CELL_ROWS
     cells = max(1, min(MAX_CELLS, -(-reference_count // cell_rows)))
     if cells == 1:
         whole = {0: reference_count}

@@ -257,7 +257,7 @@ def pair_scores(source: str) -> str:
     """CTEs from ``source`` (id, a, b) to ``judged`` with scores, status."""
     share = lambda c, a, b: f"CASE WHEN {a} + {b} = 0 THEN 1.0 ELSE {c} / greatest({a} + {b} - {c}, 1) END"
     frame = lambda t: (
-        f"list_distinct(list_transform(range(0, len({t}) + 1), lambda i: coalesce({t}[i], '') || coalesce({t}[i + 1], '')))"
+        f"list_distinct(list_transform(range(0, len({t}) + 1), lambda i: coalesce({t}[i], 0) * 2097152 + coalesce({t}[i + 1], 0)))"
     )
     runs = lambda t, k: f"list_distinct(regexp_extract_all({t}, '[{k}]+'))"
     logit = lambda w: " + ".join(
@@ -265,7 +265,9 @@ def pair_scores(source: str) -> str:
     )
     zn, zp, ze = [logit(w) for w in DEFAULT_WEIGHTS]
     return f"""
-chars AS MATERIALIZED (SELECT *, string_split(a, '') AS ca, string_split(b, '') AS cb FROM {source}),
+chars AS MATERIALIZED (
+  SELECT *, list_transform(string_split(a, ''), lambda c: unicode(c)::BIGINT) AS ca,
+         list_transform(string_split(b, ''), lambda c: unicode(c)::BIGINT) AS cb FROM {source}),
 sets AS MATERIALIZED (
   SELECT *, {frame('ca')} AS pa, {frame('cb')} AS pb, {runs('a', '0-9')} AS na, {runs('b', '0-9')} AS nb,
          {runs('a', 'A-Za-z')} AS la, {runs('b', 'A-Za-z')} AS lb

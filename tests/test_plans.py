@@ -264,3 +264,17 @@ def test_listed_references_are_written_by_list(spark, tmp_path, gazetteer):
     assert listed.count() == 100
     queries = vectorize.encode(made.select(F.col("enterprise_id").alias("id"), F.col("enterprise_name").alias("name"), F.col("enterprise_address").alias("address")), "enterprise", CharPairEncoder(64))
     assert match.recall(queries, listed, 3, centres=centres, probes=5).count() == 300
+
+
+def test_task_functions_need_no_installed_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from addrloom.models.encoder import _unit_vectors
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps([_unit_vectors, knn._best_of_chunk(3, None)]))
+    code = "import pickle; f, g = pickle.load(open('f.pkl', 'rb')); print(f(['ab', 'b'], 16).shape)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert done.stdout.strip() == "(2, 16)", done.stderr
