@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from addrloom.functions.entities import clean_tokens
+
 Loader = Callable[[], Callable[..., Sequence[Any]]]
 
 
@@ -76,13 +78,15 @@ class PluggedPairScorer:
 
 class PluggedTagger:
     """``load()`` gives ``f(texts) -> [(tokens, labels)]``.  Failed rows get no
-    tokens, and with them empty fields."""
+    tokens, and with them empty fields.  Special tokens and sub-word marks of the
+    model's tokenizer are removed."""
 
     def __init__(self, load: Loader, text: str = "address"):
         self.load, self.text = load, text
 
     def transform(self, df: DataFrame) -> DataFrame:
         fields = [T.StructField(n, T.ArrayType(T.StringType())) for n in ("tokens", "labels")]
-        return _stage(
+        labelled = _stage(
             df, [self.text], fields, self.load, lambda r: ([], []) if r is None else (list(r[0]), list(r[1]))
         )
+        return clean_tokens(labelled)

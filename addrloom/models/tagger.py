@@ -1,4 +1,4 @@
-"""Native tagger: addresses cut at their level words, one label per character."""
+"""Native tagger: addresses cut at their level words, one token per piece."""
 
 from __future__ import annotations
 
@@ -40,27 +40,13 @@ class LevelWordTagger:
         for name, words in LEVEL_WORDS:
             test = piece.rlike(f".(?:{words})\\z")
             tag = F.when(test, name) if tag is None else tag.when(test, name)
-        return tag.when(piece.rlike(r"\A[a-zA-Z]?-?[0-9]{2,4}\z"), "houseno").otherwise("O")
+        return tag.when(piece.rlike(r"\A[a-zA-Z]?-?[0-9]{2,4}\z"), "houseno")
 
     def transform(self, df: DataFrame) -> DataFrame:
         address = tx.strip(tx.as_text(F.col(self.text)))
-        df = df.withColumn("_pieces", F.regexp_extract_all(address, F.lit("(?s)" + _PIECE), 1))
-        df = df.withColumn(
-            "_tagged", F.transform("_pieces", lambda p: F.struct(self._tag(p).alias("tag"), tx.characters(p).alias("chars")))
-        )
+        df = df.withColumn("tokens", F.regexp_extract_all(address, F.lit("(?s)" + _PIECE), 1))
 
-        def labels(piece: Column) -> Column:
-            last = F.size(piece["chars"]) - 1
+        def label(piece: Column) -> Column:
+            return F.concat(F.lit("S-"), self._tag(piece))
 
-            def label(_: Column, i: Column) -> Column:
-                mark = F.when(last == 0, "S-").when(i == 0, "B-").when(i == last, "E-").otherwise("I-")
-                return F.when(piece["tag"] == "O", "O").otherwise(F.concat(mark, piece["tag"]))
-
-            return F.transform(piece["chars"], label)
-
-        return df.withColumns(
-            {
-                "tokens": F.flatten(F.transform("_tagged", lambda p: p["chars"])),
-                "labels": F.flatten(F.transform("_tagged", labels)),
-            }
-        ).drop("_pieces", "_tagged")
+        return df.withColumn("labels", F.transform("tokens", lambda p: F.coalesce(label(p), F.lit("O"))))

@@ -1,4 +1,4 @@
-"""Source tables with result columns joined on (the ``_tagging`` and ``_mgeo`` copies).
+"""Source tables with the columns of their results joined on.
 
 The result side is reduced to one row per address first, so a repeated address
 neither multiplies rows nor makes the join quadratic; a hot address is then

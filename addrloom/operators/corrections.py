@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from addrloom import vocab
+from addrloom.operators.stats import side_by_side
 
 
 def _as_exact(matches: DataFrame, hit: Column, values: dict[str, Column], source: str) -> list[Column]:
@@ -76,5 +77,4 @@ def correction_report(matches: DataFrame, corrections: DataFrame) -> DataFrame:
     given = corrections.agg(F.count("*").alias("correction_count"))
     keys = corrections.select(F.col("enterprise_id").cast("string").alias("enterprise_id"))
     touched = matches.join(keys, "enterprise_id", "left_semi").agg(F.count("*").alias("updated_rows"))
-    # two one-row tables side by side
-    return given.withColumn("_one", F.lit(1)).join(touched.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return side_by_side(given, touched)

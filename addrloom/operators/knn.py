@@ -449,7 +449,11 @@ def ivf_join(
     filled = np.zeros(len(centres), dtype=bool)
     filled[list(reference_rows)] = True
     sent = _send_to_cells(q, lambda points: _cells_to_probe(points, centres, filled, probes))
-    query_rows = _rows_per_cell(sent) if q.count() > chunk_rows else {}
+    query_rows = _rows_per_cell(sent)
+    if len(query_rows) < len(reference_rows):
+        # of a table partitioned by list only the lists in use are read
+        r = r.where(F.col("cell").isin(sorted(query_rows)))
+        reference_rows = {c: n for c, n in reference_rows.items() if c in query_rows}
     return _meet(sent, r, reference_rows, query_rows, top_n, threshold, chunk_rows)
 
 

@@ -74,6 +74,14 @@ def vector_profile(vectors: DataFrame) -> DataFrame:
     ).withColumn("columns", F.lit(", ".join(f"{n} {t}" for n, t in vectors.dtypes)))
 
 
+def side_by_side(*one_row: DataFrame) -> DataFrame:
+    """One-row tables as one row: stacked, then folded (no join)."""
+    stacked = one_row[0]
+    for table in one_row[1:]:
+        stacked = stacked.unionByName(table, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def distribution(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("row_count"))
 

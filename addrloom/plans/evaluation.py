@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from addrloom.models.pair_scorer import fit_pair_scorer
-from addrloom.operators import checks, filters, stats
+from addrloom.operators import checks, stats
 
 # fixed values: ways to write one address twice, (query form, reference form).
 # {P} province {p} the same without its last character, {C} city {c} likewise,
@@ -68,6 +68,7 @@ PART_FORMS = (
 # fixed values: stored words of the evaluation tables
 EXPECTED = {"exact": "完全匹配", "partial": "部分匹配", "none": "不匹配"}
 SAME_TEXT, OTHER_TEXT, OTHER_MEANING = "完全一致", "部分一致", "语义差别"
+MAX_DISTRICTS = 10_000
 # shift of each picked name, so that one address does not use the same place of every list
 PICK_SHIFT = {"S": {5: 0, 6: 1}, "M": {6: 2, 19: 5}, "B": {17: 3, 18: 4}}
 
@@ -163,8 +164,10 @@ def evaluation_rows(variants: DataFrame, group_id: Column) -> DataFrame:
 
 
 def _road_slots(gazetteer: DataFrame) -> DataFrame:
-    """One row per road with its place in the whole list (a gazetteer is a short
-    parameter table)."""
+    """One row per road with its place in the whole list.  A gazetteer is a short
+    parameter table, and its size is checked."""
+    if gazetteer.count() > MAX_DISTRICTS:
+        raise ValueError(f"a gazetteer has at most {MAX_DISTRICTS} districts")
     roads = gazetteer.select("*", F.posexplode("roads").alias("road_no", "road"))
     return roads.withColumn("slot", F.row_number().over(Window.orderBy("district_no", "road_no")) - 1).drop("roads", "road_no")
 
@@ -260,13 +263,17 @@ def accuracy(scored: DataFrame, status: str = "match_status", expected: str = "e
 
 def verify(queries: DataFrame, references: DataFrame) -> DataFrame:
     """Row counts by id prefix and duplicate addresses of loaded evaluation rows;
-    both tables have ``source_id, address``.  One row, two passes."""
-    q = queries.where(F.col("source_id").like("EVAL_E%"))
-    r = references.where(F.col("source_id").like("EVAL_%"))
-    left = filters.count_like(queries, "source_id", {"e_count": "EVAL_E%"}).join(
-        stats.duplicate_counts(q, "address").select(F.col("duplicate_count").alias("e_dup")), how="inner", on=F.lit(True)
+    both tables have ``source_id, address``.  One row, one pass per table."""
+
+    def counts(df: DataFrame, patterns: dict[str, str], within: str, duplicates: str) -> DataFrame:
+        like = lambda p: F.col("source_id").like(p)
+        mine = F.when(like(within), F.col("address"))
+        return df.agg(
+            *[F.count_if(like(p)).alias(name) for name, p in patterns.items()],
+            (F.count(mine) - F.countDistinct(mine)).alias(duplicates),
+        )
+
+    return stats.side_by_side(
+        counts(queries, {"e_count": "EVAL_E%"}, "EVAL_E%", "e_dup"),
+        counts(references, {"a_count": "EVAL_A%", "d_count": "EVAL_D%", "s_total": "EVAL_%"}, "EVAL_%", "s_dup"),
     )
-    right = filters.count_like(
-        references, "source_id", {"a_count": "EVAL_A%", "d_count": "EVAL_D%", "s_total": "EVAL_%"}
-    ).join(stats.duplicate_counts(r, "address").select(F.col("duplicate_count").alias("s_dup")), on=F.lit(True))
-    return left.join(right, on=F.lit(True))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from addrloom.models.pair_scorer import LogitPairScorer
 from addrloom.operators import knn, rank
+from addrloom.operators.recall import summary
+from addrloom.operators.stats import match_stats
 from addrloom.plans.vectorize import encode
+from addrloom.sources import tables
 from addrloom.vocab import TOP_N
 
 
@@ -52,6 +55,42 @@ def two_stage(
     return rank_recall(recalled, scorer, policy, rank_threshold, everyone)
 
 
+def run_recall(
+    spark: SparkSession, query_table: str, reference_table: str, recall_table: str,
+    top_n: int = TOP_N, threshold: float | None = None, centres: np.ndarray | None = None, probes: int | None = None,
+) -> DataFrame:
+    """Recall between two stored vector tables into a stored recall table
+    (replaced); gives its summary."""
+    found = recall(tables.read(spark, query_table), tables.read(spark, reference_table), top_n, threshold, centres, probes)
+    tables.store(tables.recall_rows(found), recall_table)
+    return summary(tables.read(spark, recall_table))
+
+
+def run_ranking(
+    spark: SparkSession, recall_table: str, match_table: str, scorer=None, policy: str = "rounded",
+    threshold: float | None = None, query_table: str | None = None,
+) -> DataFrame:
+    """Rank a stored recall table into a stored match table (replaced); gives its
+    statistics.  With ``query_table`` every query gets a row."""
+    everyone = enterprises(tables.read(spark, query_table)) if query_table else None
+    ranked = rank_recall(tables.read(spark, recall_table), scorer, policy, threshold, everyone)
+    tables.store(tables.match_rows(ranked), match_table)
+    return match_stats(tables.read(spark, match_table))
+
+
+def run_two_stage(
+    spark: SparkSession, query_table: str, reference_table: str, recall_table: str, match_table: str,
+    top_n: int = TOP_N, threshold: float | None = None, scorer=None, policy: str = "rounded",
+    rank_threshold: float | None = 0.0, keep_unmatched: bool = False,
+) -> DataFrame:
+    """Both steps through stored tables.  The recall table in between is written
+    before the ranking starts, so a failure there repeats the ranking only."""
+    run_recall(spark, query_table, reference_table, recall_table, top_n, threshold)
+    return run_ranking(
+        spark, recall_table, match_table, scorer, policy, rank_threshold, query_table if keep_unmatched else None
+    )
+
+
 def single_stage(
     addresses: DataFrame, references: DataFrame, top_n: int = TOP_N, encoder=None, scorer=None,
     rank_threshold: float | None = None,

@@ -16,7 +16,7 @@ MODES = ("12", "17", "17_2")
 def to_entities(labelled: DataFrame, mode: str, address: str = "address") -> DataFrame:
     """Rows with ``tokens`` and ``labels`` to rows with ``entities``; the rule
     passes belong to the 12-level form only."""
-    df = en.spans_to_entities(en.clean_tokens(labelled))
+    df = en.spans_to_entities(labelled)
     return en.apply_rules(df, address) if mode == "12" else df
 
 

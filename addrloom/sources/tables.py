@@ -86,9 +86,14 @@ def tagged_rows(tagged: DataFrame, mode: str) -> DataFrame:
     return schemas.fill(schemas.align(tagged, schemas.TAGGED[mode], defaults), defaults)
 
 
-def vector_rows(vectors: DataFrame, kind: str) -> DataFrame:
-    """``kind`` 'enterprise' carries the name, 'standard' the room."""
+def vector_rows(vectors: DataFrame, kind: str, dim: int | None = None) -> DataFrame:
+    """``kind`` 'enterprise' carries the name, 'standard' the room.  With ``dim``
+    a vector of another dimension fails the write."""
     layout = {"enterprise": schemas.QUERY_VECTORS, "standard": schemas.REFERENCE_VECTORS}[kind]
+    if dim is not None:
+        wrong = F.raise_error(F.concat(F.lit(f"expected {dim} numbers, found "), F.size("vector"), F.lit(" in "), "source_id"))
+        checked = F.when(F.col("vector").isNull() | (F.size("vector") == dim), F.col("vector")).otherwise(wrong)
+        vectors = vectors.withColumn("vector", checked)
     return schemas.align(vectors, layout, {"enterprise_name": "", "room_no": ""})
 
 
@@ -113,6 +118,14 @@ def replace_partitions(df: DataFrame, path: str, partition_by: str) -> None:
     _writer(df, "overwrite", partition_by).option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def store(df: DataFrame, name_or_path: str) -> None:
+    """Replace-all write to a Parquet folder or a catalog table."""
+    if "/" in name_or_path:
+        replace(df, name_or_path)
+    else:
+        replace_table(df, name_or_path)
+
+
 def append_table(df: DataFrame, table: str) -> None:
     df.write.mode("append").saveAsTable(table)
 

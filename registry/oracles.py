@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from addrloom import vocab
 from addrloom.models.pair_scorer import DEFAULT_WEIGHTS
+from addrloom.models.tagger import LEVEL_WORDS
 from addrloom.plans.evaluation import SAME_PLACE_FORMS
 from registry.views import TEXT_DIM, TOKEN_LABELS
 
@@ -566,6 +567,38 @@ _SUB = f"""CASE WHEN regexp_matches(standard_address, '({ROOM})$') AND NOT regex
 ORACLES["retag_by_suffix"] = with_(VARIANTS) + f"""
 SELECT c_custkey, {_SUB} || ',' || CASE WHEN regexp_matches(enterprise_address, '({BLDG})$') THEN 'subpoi' ELSE 'houseno' END || ','
        || CASE WHEN regexp_matches(number::VARCHAR, '^[a-zA-Z]?[0-9]{{1,3}}$') THEN 'houseno' ELSE 'subpoi' END AS tags FROM variants"""
+
+
+def native_tags(source: str) -> str:
+    """CTE ``native`` (id, address, dom_json and 17 fields) by the level words, of
+    ``source`` (id, address: stripped)."""
+    endings = "|".join(words for _, words in LEVEL_WORDS)
+    cases = " ".join(f"WHEN regexp_matches(piece, '.(?:{words})\\z') THEN '{tag}'" for tag, words in LEVEL_WORDS)
+    columns = ",\n         ".join(
+        f"coalesce(string_agg(piece, '' ORDER BY pos) FILTER (WHERE tag = '{f}'), '') AS \"{f}\"" for f in vocab.FIELDS_17
+    )
+    return f"""
+pieces AS (
+  SELECT id, unnest(list_zip(p, range(0, len(p)))) AS z
+  FROM (SELECT id, regexp_extract_all(address, '(?s)(.+?(?:{endings}|\\z))', 1) AS p FROM {source})
+), named AS (
+  SELECT id, z[1] AS piece, z[2] AS pos FROM pieces
+), judged_pieces AS (
+  SELECT id, piece, pos, CASE {cases} WHEN regexp_matches(piece, '\\A[a-zA-Z]?-?[0-9]{{2,4}}\\z') THEN 'houseno' END AS tag FROM named
+), native AS (
+  SELECT s.id, s.address,
+         '[' || coalesce(string_agg('["' || tag || '", ' || to_json(piece)::VARCHAR || ']', ', ' ORDER BY pos) FILTER (WHERE tag IS NOT NULL), '') || ']' AS dom_json,
+         {columns}
+  FROM {source} s LEFT JOIN judged_pieces USING (id) GROUP BY s.id, s.address
+)"""
+
+
+ORACLES["tag_native_17"] = with_(
+    VARIANTS, "addresses AS (SELECT c_custkey::VARCHAR AS id, standard_address AS address FROM variants)", native_tags("addresses")
+) + "SELECT * EXCLUDE (id, address), id AS _id_field, address AS original_address FROM native"
+ORACLES["tag_stream"] = with_(
+    f"addresses AS (SELECT doc_id::VARCHAR AS id, {strip('text')} AS address FROM documents)", native_tags("addresses")
+) + "SELECT * EXCLUDE (id, address), id AS _id_field, address AS original_address FROM native"
 ORACLES["prefix_count"] = """
 SELECT count(*) FILTER (WHERE c_name LIKE 'Customer%') AS all_count, count(*) FILTER (WHERE c_name LIKE '%1') AS ones_count,
        count(*) FILTER (WHERE c_name LIKE '%#_%5_') AS fifties FROM customer"""

@@ -278,3 +278,21 @@ def test_task_functions_need_no_installed_package(tmp_path):
     code = "import pickle; f, g = pickle.load(open('f.pkl', 'rb')); print(f(['ab', 'b'], 16).shape)"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
     assert done.stdout.strip() == "(2, 16)", done.stderr
+
+
+def test_stored_pipeline(spark, tmp_path, gazetteer):
+    made = evaluation.match_pairs(gazetteer, 60)
+    at = lambda name: str(tmp_path / name)
+    side = lambda *c: made.select(*[F.col(a).alias(b) for a, b in c])
+    vectorize.vectorize(side(("enterprise_id", "id"), ("enterprise_name", "name"), ("enterprise_address", "address")), at("q"), "enterprise")
+    vectorize.vectorize(side(("standard_addr_code", "id"), ("house_code", "room_no"), ("standard_address", "address")), at("r"), "standard")
+    found = match.run_recall(spark, at("q"), at("r"), "stored_recall", 5, 0.2).first()
+    assert found["enterprise_count"] == 60 and found["recall_count"] == found["candidate_count"] <= 300
+    row = match.run_ranking(spark, "stored_recall", at("m"), policy="raw", threshold=0.0).first()
+    assert row["total_count"] == 60 and row["auto_match_count"] == 60
+    row = match.run_two_stage(spark, at("q"), at("r"), at("recall"), "stored_match", 3, 1.01, keep_unmatched=True).first()
+    assert (row["total_count"], row["not_match_rate"]) == (60, 100.0)
+    assert spark.table("stored_match").columns[:3] == ["enterprise_id", "enterprise_name", "enterprise_address"]
+    wrong = tables.vector_rows(spark.read.parquet(at("q")), "enterprise", 3)
+    with pytest.raises(Exception, match="expected 3 numbers"):
+        wrong.collect()
