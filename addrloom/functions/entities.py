@@ -1,8 +1,8 @@
 """From token labels to address entities and structured fields.
 
 One address is one row: its tokens, labels and entities are arrays of that
-row, so everything here is a narrow, row-local expression (no shuffle), and
-linear in the number of tokens.  Entities are ``array<struct<tag,text>>``.
+row, so everything here is row-local (no shuffle) and linear in the number of
+tokens.  Entities are ``array<struct<tag,text>>``.
 
 The helpers take and return DataFrames where an intermediate array is used
 several times: naming it as a column keeps Catalyst from repeating its
@@ -11,16 +11,25 @@ expression inside a lambda.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from addrloom import vocab
 from addrloom.functions import text as tx
 from addrloom.functions.once import computed_once
 
 ENTITIES = "array<struct<tag:string,text:string>>"
+PLACES = T.StructType(
+    [
+        T.StructField("before", T.ArrayType(T.IntegerType())),
+        T.StructField("start", T.ArrayType(T.IntegerType())),
+        T.StructField("last", T.IntegerType()),
+    ]
+)
 
 # fixed values: wording patterns of the entity rules.  (?dU): digits and blanks
 # of any script, and only \n ends a line.
@@ -181,15 +190,28 @@ def merge_adjacent(df: DataFrame, tag: str = "houseno", column: str = "entities"
     ).drop("_before", "_start", "_stop")
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, inside a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+@F.arrow_udf(PLACES)
+def _places(address: pa.Array, texts: pa.Array) -> pa.Array:
+    """Where the texts stand in the address, each searched from the end of the one
+    found before: that end, the start (or the end again, if absent), and the end
+    of the last one found.  Linear in the address, however long."""
+    rows = []
+    for whole, parts in zip(address.to_pylist(), texts.to_pylist()):
+        at, before, start = 0, [], []
+        for part in parts:
+            found = whole.find(part, at)
+            before.append(at)
+            start.append(max(found, at))
+            if found >= 0:
+                at = found + len(part)
+        rows.append({"before": before, "start": start, "last": at})
+    fields = [("before", pa.list_(pa.int32())), ("start", pa.list_(pa.int32())), ("last", pa.int32())]
+    return pa.array(rows, pa.struct(fields))
 
 
-def _find_from(address: Column, text: Column, start: Column) -> Column:
-    """0-based place of ``text`` at or after ``start``, -1 if absent; an empty
-    text is found right there."""
-    return F.when(text == "", start).otherwise(F.position(text, address, start + 1) - 1)
+def _placed(df: DataFrame, address: str, column: str) -> DataFrame:
+    texts = F.transform(column, lambda e: e["text"])
+    return computed_once(df.withColumn("_placed", _places(F.coalesce(address, F.lit("")), texts)), "_placed")
 
 
 def _tail_room(tail: Column) -> Column:
@@ -200,13 +222,7 @@ def _tail_room(tail: Column) -> Column:
 def absorb_tail(df: DataFrame, address: str = "address", column: str = "entities") -> DataFrame:
     """Give a room-like end of the address that no entity covers to ``houseno``."""
 
-    def advance(at: Column, e: Column) -> Column:
-        return _bound(
-            _find_from(F.col(address), e["text"], at),
-            lambda place: F.when(place >= 0, F.greatest(at, place + F.char_length(e["text"]))).otherwise(at),
-        )
-
-    df = df.withColumn("_end", F.aggregate(column, F.lit(0), advance))
+    df = _placed(df, address, column).withColumn("_end", F.col("_placed.last"))
     uncovered = F.when(
         F.col("_end") < F.char_length(address), _tail_room(tx.strip(F.substr(F.col(address), F.col("_end") + 1)))
     )
@@ -225,7 +241,7 @@ def absorb_tail(df: DataFrame, address: str = "address", column: str = "entities
         F.when(F.col("_room").isNull(), F.col(column))
         .when(F.col("_first") == 0, appended)
         .otherwise(extended.cast(ENTITIES)),
-    ).drop("_end", "_room", "_first")
+    ).drop("_placed", "_end", "_room", "_first")
 
 
 def imply_floor(df: DataFrame, column: str = "entities") -> DataFrame:
@@ -265,43 +281,28 @@ def expand_boundaries(df: DataFrame, address: str = "address", column: str = "en
     digits right before them, and the last room (or a new one) the unlabelled
     end of the address."""
 
-    def place(state: Column, e: Column) -> Column:
-        def moved(at: Column) -> Column:
-            start = F.when(at >= 0, at).otherwise(state["at"])
-            end = F.when(at >= 0, at + F.char_length(e["text"])).otherwise(state["at"])
-            spot = F.struct(state["at"].alias("before"), start.alias("start"))
-            return F.struct(end.alias("at"), F.concat(state["spots"], F.array(spot)).alias("spots"))
-
-        return _bound(_find_from(F.col(address), e["text"], state["at"]), moved)
-
-    zero = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<before:int,start:int>>").alias("spots")
-    )
-    df = df.withColumn("_placed", F.aggregate(column, zero, place))
+    df = _placed(df, address, column)
 
     def grown(pair: Column, i: Column) -> Column:
-        e, spot = pair["e"], pair["s"]
-        # the end of the entity before is where the search for this one began
-        gap = tx.strip(F.substr(F.col(address), spot["before"] + 1, F.greatest(spot["start"] - spot["before"], F.lit(0))))
+        e, before, start = pair["e"], pair["before"], pair["start"]
+        gap = tx.strip(F.substr(F.col(address), before + 1, start - before))
         takes = (
             (i > 0)
-            & (spot["start"] > spot["before"])
+            & (start > before)
             & ((e["tag"] == "houseno") | ((e["tag"] == "roadno") & (e["text"] == "号")))
             & gap.rlike(LATIN_OR_DIGITS)
         )
         return entity(e["tag"], F.when(takes, F.concat(gap, e["text"])).otherwise(e["text"]))
 
-    df = df.withColumn(
-        "_grown",
-        F.transform(
-            F.arrays_zip(F.col(column).alias("e"), F.col("_placed.spots").alias("s")), grown
-        ).cast(ENTITIES),
+    zipped = F.arrays_zip(
+        F.col(column).alias("e"), F.col("_placed.before").alias("before"), F.col("_placed.start").alias("start")
     )
+    df = df.withColumn("_grown", F.transform(zipped, grown).cast(ENTITIES))
     df = df.withColumn(
         "_tail",
         F.when(
-            F.col("_placed.at") < F.char_length(address),
-            tx.strip(F.substr(F.col(address), F.col("_placed.at") + 1)),
+            F.col("_placed.last") < F.char_length(address),
+            tx.strip(F.substr(F.col(address), F.col("_placed.last") + 1)),
         ).otherwise(""),
     )
     df = df.withColumn("_last", F.when(F.size("_grown") > 0, F.element_at("_grown", -1)))

@@ -243,6 +243,7 @@ manual AS (
   FROM picked
 )
 SELECT *, round(manual_correction_count / total_count * 100, 6) AS manual_correction_rate FROM rates, manual"""
+ORACLES["csv_statistics"] = CORRECTED + "," + class_stats("picked") + "SELECT total_count, match_rate FROM rates"
 ORACLES["match_sink_rows"] = ORACLES["rank_rounded"]
 
 # -- pairs ----------------------------------------------------------------------------------
@@ -448,7 +449,7 @@ SELECT id AS source_id, room_no,
        round(list_max(v)::DOUBLE, 6) AS largest, len(list_filter(v, lambda x: x > 0)) AS filled
 FROM sv JOIN s_src USING (id)"""
 ORACLES["l2_normalize"] = """
-WITH moved AS (SELECT vec_id, list_transform(embedding, lambda x: (x * 2 + 1)::DOUBLE) AS v FROM embeddings),
+WITH moved AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 2 + 1) AS v FROM embeddings),
      normed AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM moved),
      unit AS (SELECT vec_id, list_transform(v, lambda x: (x / norm)::FLOAT::DOUBLE) AS u FROM normed)
 SELECT vec_id::VARCHAR AS source_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 5) AS norm,

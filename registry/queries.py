@@ -436,7 +436,7 @@ def encode_documents(spark, folder):
 
 @query
 def l2_normalize(spark, folder):
-    doubled = F.transform("vector", lambda x: x * 2 + 1)
+    doubled = F.transform("vector", lambda x: x.cast("double") * 2 + 1)
     unit = vectors.l2_normalize(doubled)
     return v.reference_vectors(spark, folder).select(
         "source_id", F.round(vectors.l2_norm(unit), 5).alias("norm"),
@@ -712,4 +712,5 @@ def csv_round_trip(spark, folder):
 def csv_statistics(spark, folder):
     target = v.work_folder(spark, "statistics")
     csv.write_statistics(match_stats(spark, folder), target)
-    return spark.read.option("header", True).csv(target).select("total_count", "match_rate")
+    read = spark.read.option("header", True).csv(target)
+    return read.select(F.col("total_count").cast("long"), F.round(F.col("match_rate").cast("double"), 6).alias("match_rate"))
