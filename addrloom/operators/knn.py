@@ -44,7 +44,7 @@ from addrloom.vocab import TOP_N
 
 # Centres are held by the driver and by every task of the probing stage.
 MAX_CELLS = 4000
-MAX_CENTRE_NUMBERS = MAX_CELLS * 4096
+MAX_CENTRE_NUMBERS = MAX_CELLS * 1024
 # Slack for rounding when a bound decides what may be skipped.
 SLACK = 1e-7
 # Similarities that agree to so many digits are ties, settled by id.
@@ -54,6 +54,7 @@ CELL_ROWS = 8192
 # Bytes of vectors in one chunk of one side, and numbers in one distance tile.
 CHUNK_BYTES = 96 * 1024 * 1024
 MIN_QUERY_CHUNK = 512
+GROUPS_PER_CORE = 8
 TILE_NUMBERS = 8 * 1024 * 1024
 
 _QUERY_COLUMNS = ("enterprise_id", "enterprise_name", "enterprise_address")
@@ -159,10 +160,16 @@ def assign_cells(references: DataFrame, centres: np.ndarray) -> DataFrame:
     return references.mapInArrow(run, schema)
 
 
-def _pick_centres(references: DataFrame, cells: int) -> np.ndarray:
-    """``cells`` reference vectors in hash order: a repeatable choice of pivots."""
-    picked = references.select("standard_id", "vector").orderBy(F.xxhash64("standard_id"), "standard_id").limit(cells)
-    return np.array([row["vector"] for row in picked.collect()], dtype=np.float64)
+def _pick_centres(references: DataFrame, cells: int, reference_count: int) -> np.ndarray:
+    """About ``cells`` reference vectors in hash order: a repeatable choice of
+    pivots, taken from few more rows than are wanted.  Any choice gives the exact
+    result."""
+    spot = F.pmod(F.xxhash64("standard_id"), F.lit(1_000_000_000))
+    share = min(1.0, 4.0 * cells / max(reference_count, 1))
+    few = references.select("standard_id", "vector").where(spot < int(share * 1_000_000_000))
+    picked = few.orderBy(spot, "standard_id").limit(cells).collect()
+    rows = picked or references.select("vector").limit(1).collect()
+    return np.array([row["vector"] for row in rows], dtype=np.float64)
 
 
 def _describe_cells(assigned: DataFrame, centres: np.ndarray, top_n: int) -> Cells:
@@ -334,10 +341,13 @@ def _meet(
         )
     keys = ["cell", "q_chunk", "r_chunk"]
     left = _chunked(sent, "enterprise_id", "q_chunk", "r_chunk", sizes)
-    right = _chunked(assigned, "standard_id", "r_chunk", "q_chunk", sizes)
+    right = _chunked(assigned, "standard_id", "r_chunk", "q_chunk", sizes).select(*_REFERENCE_COLUMNS, "vector", *keys)
+    # a group is much arithmetic on few bytes, so the number of partitions goes by
+    # groups and cores, not by size
+    groups = min(GROUPS_PER_CORE * cores, sum(q * r for q, r in parts.values()))
     met = (
-        left.groupBy(*keys)
-        .cogroup(right.select(*_REFERENCE_COLUMNS, "vector", *keys).groupBy(*keys))
+        left.repartition(groups, *keys).groupBy(*keys)
+        .cogroup(right.repartition(groups, *keys).groupBy(*keys))
         .applyInArrow(_best_of_chunk(top_n, threshold), _PAIR_SCHEMA)
     )
     return keep_top_n(met, top_n)
@@ -391,7 +401,7 @@ def knn_join(
             q.withColumn("cell", F.lit(0)), r.withColumn("cell", F.lit(0)),
             whole, {0: query_count}, top_n, threshold, chunk_rows,
         )
-    centres = _check_centres(_pick_centres(r, cells))
+    centres = _check_centres(_pick_centres(r, cells, reference_count))
     assigned = assign_cells(r, centres)
     known = _describe_cells(assigned, centres, top_n)
     reach = math.inf if threshold is None else math.sqrt(max(0.0, 2.0 * (1.0 - threshold)))

@@ -53,9 +53,12 @@ def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
     return checked.select("file", first.alias("encoding"))
 
 
-def read_csv(spark: SparkSession, path: str, *required: str | None, infer_schema: bool = False) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, *required: str | None, infer_schema: bool = False, multi_line: bool = False
+) -> DataFrame:
     """CSV files with a header, each decoded by its detected encoding.  One read
-    per encoding found (at most six), united by column name."""
+    per encoding found (at most six), united by column name.  ``multi_line`` is
+    for quoted fields with line breaks; such a file is not split."""
     files: dict[str, list[str]] = {}
     for row in detect_encodings(spark, path).collect():  # one short row per file
         files.setdefault(_JAVA_CHARSET[row["encoding"]], []).append(row["file"])
@@ -65,7 +68,8 @@ def read_csv(spark: SparkSession, path: str, *required: str | None, infer_schema
         # Spark 4 reads the Chinese code pages only with this switch
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     parts = [
-        spark.read.option("header", True).option("encoding", charset).option("inferSchema", infer_schema).csv(sorted(paths))
+        spark.read.option("header", True).option("encoding", charset).option("inferSchema", infer_schema)
+        .option("multiLine", multi_line).option("escape", '"').csv(sorted(paths))
         for charset, paths in sorted(files.items())
     ]
     return require_columns(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), *required)
@@ -77,7 +81,7 @@ def write_csv(df: DataFrame, path: str, rows_per_file: int | None = None, byte_o
     if byte_order_mark and df.columns:
         # a mark in front of the first column name is the first thing in each file
         df = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0])
-    writer = df.write.mode("overwrite").option("header", True)
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.csv(path)

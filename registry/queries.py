@@ -51,7 +51,7 @@ def knn_threshold(spark, folder):
 def knn_cells(spark, folder):
     """The same join cut into many small cells and chunks."""
     found = knn.knn_join(
-        v.query_vectors(spark, folder), v.reference_vectors(spark, folder), 5, 0.3, cell_rows=128, chunk_rows=128
+        v.query_vectors(spark, folder), v.reference_vectors(spark, folder), 5, 0.3, cell_rows=128, chunk_rows=256
     )
     return found.withColumns(_r6("similarity"))
 

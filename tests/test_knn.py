@@ -127,4 +127,4 @@ def test_search(spark):
 
 def test_too_many_centres_are_refused():
     with pytest.raises(ValueError):
-        knn._check_centres(np.zeros((knn.MAX_CELLS + 1, 4097), dtype=np.int8))
+        knn._check_centres(np.zeros((knn.MAX_CELLS + 1, 1025), dtype=np.int8))

@@ -185,6 +185,10 @@ def test_csv_export(spark, tmp_path):
     assert len(files) == 3
     assert all(f.read_bytes().startswith("﻿id,地址".encode()) for f in files)
     assert csv.read_csv(spark, str(tmp_path / "out" / "*.csv"), "id").count() == 12
+    odd = spark.createDataFrame([('say "hi",\nthere', "深"), (" x\\", "圳")], "a string, b string")
+    csv.write_csv(odd, str(tmp_path / "odd"))
+    back = csv.read_csv(spark, str(tmp_path / "odd" / "*.csv"), multi_line=True)
+    assert {tuple(r) for r in back.collect()} >= {('say "hi",\nthere', "深")}
 
 
 def test_logs(spark, tmp_path):
