@@ -187,30 +187,40 @@ def match_pairs(gazetteer: DataFrame, count: int = 1000, **place: str) -> DataFr
     return evaluation_rows(write_variants(rows, F.pmod("id", F.lit(len(SAME_PLACE_FORMS))), **place), F.col("id") + 1)
 
 
-def distractors(
-    gazetteer: DataFrame, pairs: DataFrame, count: int = 9000, province: str = "广东省", city: str = "深圳市"
-) -> DataFrame:
-    """``count`` reference addresses by six forms, without those already used."""
-    districts = gazetteer.count()
-    at = F.col("id")
-    rows = gazetteer.sparkSession.range(count).withColumn("district_no", F.pmod("id", F.lit(districts))).join(
-        gazetteer.withColumn("district_no", F.col("district_no").cast("long")), "district_no"
-    )
-    rows = rows.withColumn("road", _pick(F.col("roads"), at)).withColumn("number", at * 7 + 501)
+def write_distractors(df: DataFrame, at: Column, province: str = "广东省", city: str = "深圳市") -> DataFrame:
+    """``standard_address`` of every row by the six forms, chosen by ``at``.
+    ``df`` has ``district, road, number, streets, buildings``."""
     count_to = lambda n: (F.pmod(at, F.lit(n)) + 1).cast("string")
     parts = _parts(F.lit(province), F.lit(city), F.col("number")) | {
         "S": _pick(F.col("streets"), at), "B": _pick(F.col("buildings"), at),
         "o": _pick(F.array(*[F.lit(c) for c in "一二三四五"]), at),
         **{f"i{n}": count_to(n) for n in (3, 5, 8, 20, 30)},
     }
-    address = _by_type(F.pmod(at, F.lit(len(DISTRACTOR_FORMS))), [render(f, parts) for f in DISTRACTOR_FORMS])
-    made = rows.select(
+    kind = F.pmod(at, F.lit(len(DISTRACTOR_FORMS)))
+    return df.withColumn("standard_address", _by_type(kind, [render(f, parts) for f in DISTRACTOR_FORMS]))
+
+
+def distractor_rows(df: DataFrame, at: Column, used: DataFrame) -> DataFrame:
+    """Distractors in the evaluation layout, without the addresses of the pairs
+    ``used`` (enterprise_address, standard_address)."""
+    taken = used.select(F.col("enterprise_address").alias("standard_address")).union(used.select("standard_address"))
+    made = df.select(
         F.format_string("EVAL_D%04d", at + 1).alias("addr_code"),
-        address.alias("standard_address"),
+        "standard_address",
         F.format_string("HD%08d", at + 1).alias("house_code"),
     )
-    used = pairs.select(F.col("enterprise_address").alias("standard_address")).union(pairs.select("standard_address"))
-    return checks.unused(made, used, "standard_address")
+    return checks.unused(made, taken, "standard_address")
+
+
+def distractors(gazetteer: DataFrame, pairs: DataFrame, count: int = 9000, **place: str) -> DataFrame:
+    """``count`` reference addresses by six forms, without those already used;
+    number k has house number 7 k + 501."""
+    districts, at = gazetteer.count(), F.col("id")
+    rows = gazetteer.sparkSession.range(count).withColumn("district_no", F.pmod("id", F.lit(districts))).join(
+        gazetteer.withColumn("district_no", F.col("district_no").cast("long")), "district_no"
+    )
+    rows = rows.withColumn("road", _pick(F.col("roads"), at)).withColumn("number", at * 7 + 501)
+    return distractor_rows(write_distractors(rows, at, **place), at, pairs)
 
 
 def labelled_pairs(gazetteer: DataFrame, count: int = 1000, province: str = "广东省", city: str = "深圳市") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from addrloom import vocab
 from addrloom.models.pair_scorer import DEFAULT_WEIGHTS
 from addrloom.models.tagger import LEVEL_WORDS
-from addrloom.plans.evaluation import SAME_PLACE_FORMS
+from addrloom.plans.evaluation import DISTRACTOR_FORMS, SAME_PLACE_FORMS
 from registry.views import TEXT_DIM, TOKEN_LABELS
 
 ORACLES: dict[str, str] = {}
@@ -303,6 +305,7 @@ TURN_PAIRS = with_(TURNS, "texts AS (SELECT id, coalesce(text, '') AS a, coalesc
 PAIR_COLUMNS = """SELECT nullif(id, '') AS identifier, a AS address_a, b AS address_b, round(exact_match, 6) AS exact_match,
        round(partial_match, 6) AS partial_match, round(not_match, 6) AS not_match, match_status"""
 ORACLES["pair_scores"] = TURN_PAIRS + PAIR_COLUMNS + " FROM judged"
+ORACLES["pair_sink_rows"] = ORACLES["pair_scores"]
 ORACLES["pair_blank_rows"] = with_(TURNS) + f"""
 SELECT id, text FROM turns WHERE {strip("coalesce(text, '')")} = '' OR {strip("coalesce(next_text, '')")} = ''"""
 ORACLES["pair_stats"] = TURN_PAIRS + "," + class_stats("judged") + "SELECT * FROM rates"
@@ -537,6 +540,18 @@ def _form(form: str, i: int) -> str:
     return " || ".join(p if p.startswith("(") and p.endswith(")") else f"'{p}'" for p in out.split("\x00") if p)
 
 
+def _distractor(form: str) -> str:
+    at = "c_custkey"
+    name = lambda word: f"district || ['东', '西', '南'][({at} % 3) + 1] || '{word}'"
+    parts = {
+        "P": "'广东省'", "C": "'深圳市'", "D": "district", "R": "road", "N": "number::VARCHAR", "S": name("街道"),
+        "B": name("商务大厦"), "o": f"['一', '二', '三', '四', '五'][({at} % 5) + 1]",
+        **{f"i{n}": f"({at} % {n} + 1)::VARCHAR" for n in (3, 5, 8, 20, 30)},
+    }
+    pieces = [x for literal, key, _, _ in Formatter().parse(form) for x in ([f"'{literal}'"] if literal else []) + ([f"({parts[key]})"] if key else [])]
+    return " || ".join(pieces)
+
+
 def _case(side: int) -> str:
     return "CASE c_custkey % 20 " + " ".join(f"WHEN {i} THEN {_form(f[side], i)}" for i, f in enumerate(SAME_PLACE_FORMS)) + " END"
 
@@ -552,6 +567,15 @@ SELECT c_custkey + 1 AS group_id, format('EVAL_E{:04d}', c_custkey + 1) AS enter
        format('HC{:08d}', c_custkey + 1) AS house_code,
        CASE WHEN enterprise_address <> standard_address THEN '部分一致' ELSE '完全一致' END AS consistency_type,
        '完全匹配' AS expected_match, transform_type FROM variants"""
+ORACLES["eval_distractors"] = with_(
+    VARIANTS,
+    "far AS (SELECT * REPLACE (c_custkey * 7 + 501 AS number) FROM places)",
+    "made AS (SELECT c_custkey, CASE c_custkey % 6 "
+    + " ".join(f"WHEN {i} THEN {_distractor(f)}" for i, f in enumerate(DISTRACTOR_FORMS))
+    + " END AS standard_address FROM far)",
+) + """
+SELECT format('EVAL_D{:04d}', c_custkey + 1) AS addr_code, standard_address, format('HD{:08d}', c_custkey + 1) AS house_code
+FROM made WHERE standard_address NOT IN (SELECT enterprise_address FROM variants UNION SELECT standard_address FROM variants)"""
 ORACLES["eval_transform_counts"] = with_(VARIANTS) + "SELECT transform_type, count(*) AS row_count FROM variants GROUP BY 1"
 ORACLES["eval_pair_status"] = with_(
     VARIANTS, "texts AS (SELECT c_custkey AS id, enterprise_address AS a, standard_address AS b FROM variants)", pair_scores("texts")

@@ -265,6 +265,11 @@ def pair_scores(spark, folder):
     return _rounded(_pairs(spark, folder))
 
 
+@query
+def pair_sink_rows(spark, folder):
+    return _rounded(tables.pair_rows(_pairs(spark, folder)).drop("created_at"))
+
+
 @query
 def pair_blank_rows(spark, folder):
     turns = v.turn_pairs(spark, folder)
@@ -610,6 +615,14 @@ def eval_pairs(spark, folder):
     return evaluation.evaluation_rows(_variants(spark, folder), F.col("c_custkey") + 1).drop("semantic_diff")
 
 
+@query
+def eval_distractors(spark, folder):
+    """A distractor per customer that is no address of the pairs."""
+    places = v.customer_places(spark, folder).withColumn("number", F.col("c_custkey") * 7 + 501)
+    made = evaluation.write_distractors(places, F.col("c_custkey"))
+    return evaluation.distractor_rows(made, F.col("c_custkey"), _variants(spark, folder))
+
+
 @query
 def eval_transform_counts(spark, folder):
     return stats.distribution(_variants(spark, folder), "transform_type")
