@@ -60,12 +60,19 @@ def test_two_stage_finds_the_right_address(spark, gazetteer, tmp_path):
 
 
 def test_scorer_accuracy_on_unseen_pairs(spark, gazetteer):
-    held_out = evaluation.labelled_pairs(gazetteer, 1300, province="浙江省", city="杭州市")
+    # districts, roads and buildings that the weights were not fitted on
+    rows = [
+        (0, "西湖区", ["文三路", "学院路", "天目山路"], ["翠苑街道", "北山街道"], ["翠苑社区"], ["求是大厦", "黄龙世纪广场"]),
+        (1, "滨江区", ["网商路", "江南大道"], ["长河街道"], ["网商社区", "江虹社区"], ["海创基地", "星光大道中心"]),
+        (2, "余杭区", ["文一西路", "荆长大道", "良睦路"], ["仓前街道", "五常街道"], ["永福社区"], ["梦想小镇", "未来科技城大厦"]),
+    ]
+    other_city = spark.createDataFrame(rows, gazetteer.schema)
+    held_out = evaluation.labelled_pairs(other_city, 1500, province="浙江省", city="杭州市")
     judged = LogitPairScorer().transform(held_out).withColumn(
         "match_status", match_status(F.col("exact_match"), F.col("partial_match"), F.col("not_match"))
     )
     shares = {r["expected_match"]: r["right_rate"] for r in evaluation.accuracy(judged).collect()}
-    assert shares["完全匹配"] > 85 and shares["部分匹配"] > 85 and shares["不匹配"] > 85
+    assert shares["完全匹配"] > 85 and shares["部分匹配"] > 75 and shares["不匹配"] > 95
     fitted = evaluation.fit_on(gazetteer, 400)
     assert len(fitted.weights) == 3 and all(len(w) == 7 for w in fitted.weights)
 
