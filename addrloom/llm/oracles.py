@@ -64,3 +64,28 @@ ruled as (
   from measured)
 select *, failed & 3 <> 0 as base_failed, failed = 0 as kept, 'v2' as policy from ruled
 """
+
+ORACLES["op7_decontamination"] = r"""
+with doc_words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from documents),
+item_words as (
+  select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from benchmark),
+item_sized as (select item_id, w, least(10, len(w)) as size from item_words where len(w) > 0),
+item_windows as (
+  select distinct item_id, size, array_to_string(w[i : i + size - 1], ' ') as said
+  from (select *, unnest(range(1, len(w) - size + 2)) as i from item_sized)),
+sizes as (select distinct size from item_sized),
+doc_windows as (
+  select doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') as said
+  from (select doc_id, w, size, unnest(range(1, greatest(len(w) - size + 2, 1))) as i from doc_words, sizes)),
+hits as (select doc_id, item_id, d.size, i from doc_windows d join item_windows using (size, said)),
+words_hit as (select doc_id, count(distinct i + k) as n_hit from hits, range(10) r(k) where k < size group by doc_id),
+items_hit as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, item_id::varchar as item from hits) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc_words left join words_hit using (doc_id) left join items_hit using (doc_id)
+"""

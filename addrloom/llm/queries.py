@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrloom.llm import quality, sharding
+from addrloom.llm import decontamination, quality, sharding
 from addrloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +38,13 @@ def op10_quality(spark, folder):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), "kept", "n_lines", "n_alpha_words", "failed", "policy",
     )
+
+
+@query
+def op7_decontamination(spark, folder):
+    rows = decontamination.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    n_hit = decontamination.hit_words(F.col("spans"))
+    return rows.select(
+        "document.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
