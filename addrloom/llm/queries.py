@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrloom.llm import decontamination, quality, sharding
+from addrloom.llm import decontamination, quality, sharding, simhash
 from addrloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,8 @@ def op7_decontamination(spark, folder):
         "document.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+@query
+def op8_simhash(spark, folder):
+    return simhash.near_duplicates(table(spark, folder, "documents"))
