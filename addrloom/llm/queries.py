@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrloom.llm import decontamination, quality, sharding, simhash
+from addrloom.llm import decontamination, pii, quality, sharding, simhash
 from addrloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,13 @@ def op7_decontamination(spark, folder):
 @query
 def op8_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op3_pii(spark, folder):
+    rows = pii.find(table(spark, folder, "documents"))
+    return rows.select(
+        "document.doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.joined(*pii.KINDS), 256).alias("base_sha256"), pii.joined(*pii.KINDS, pii.TERM).alias("spans"),
+        F.size(pii.TERM).cast("long").alias("n_term"),
+    )
