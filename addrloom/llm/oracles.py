@@ -89,3 +89,19 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc_words left join words_hit using (doc_id) left join items_hit using (doc_id)
 """
+
+ORACLES["op5_chat"] = r"""
+with convs as (
+  select conv_id, list(coalesce(role, chr(3)) || chr(1) || coalesce(text, chr(3)) order by turn) as said,
+    list('<|im_start|>' || case when trim(coalesce(role, '')) = '' then 'unknown' else replace(role, '<|', '< |') end || chr(10)
+      || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' order by turn) as turns
+  from conversations where conv_id is not null group by conv_id),
+inside as (select distinct k, array_to_string(said[1 : k], chr(2)) as p from (select said, unnest(range(1, len(said))) as k from convs)),
+whole as (
+  select min(conv_id) as conv_id, count(*) as copies, len(any_value(said)) as n_turns, array_to_string(said, chr(2)) as p
+  from convs group by said),
+kept as (select * from whole where not exists (select 1 from inside where k = n_turns and inside.p = whole.p))
+select conv_id, part::int as part, copies, n_turns::bigint as n_turns,
+  array_to_string(turns[part * 512 + 1 : part * 512 + 512], chr(10)) as rendered
+from kept join convs using (conv_id), lateral (select unnest(range(0, (n_turns + 511) // 512)) as part)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrloom.llm import decontamination, pii, quality, sharding, simhash
+from addrloom.llm import chat, decontamination, pii, quality, sharding, simhash
 from addrloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,8 @@ def op3_pii(spark, folder):
         F.sha2(pii.joined(*pii.KINDS), 256).alias("base_sha256"), pii.joined(*pii.KINDS, pii.TERM).alias("spans"),
         F.size(pii.TERM).cast("long").alias("n_term"),
     )
+
+
+@query
+def op5_chat(spark, folder):
+    return chat.collapse(table(spark, folder, "conversations"))
