@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrloom.llm import chat, decontamination, pii, quality, sharding, simhash
+from addrloom.llm import chat, decontamination, langid, pii, quality, sharding, simhash
 from addrloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,11 @@ def op3_pii(spark, folder):
 @query
 def op5_chat(spark, folder):
     return chat.collapse(table(spark, folder, "conversations"))
+
+
+@query
+def op6_langid(spark, folder):
+    documents = table(spark, folder, "documents")
+    model = langid.fit(documents.where(~langid.held_out(F.col("doc_id"))))
+    rows = langid.predict(documents, model)
+    return rows.select("document.doc_id", langid.held_out(F.col("document.doc_id")).alias("held_out"), "lang_pred", "score")
