@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrloom.llm import chat, decontamination, langid, pii, quality, sharding, simhash
+from addrloom.llm import chat, decontamination, langid, pii, quality, sharding, simhash, toxicity
 from addrloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,15 @@ def op6_langid(spark, folder):
     model = langid.fit(documents.where(~langid.held_out(F.col("doc_id"))))
     rows = langid.predict(documents, model)
     return rows.select("document.doc_id", langid.held_out(F.col("document.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_toxicity(spark, folder):
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    out = lambda c: langid.held_out(F.col(c), 3, 1)
+    rows = toxicity.score(documents, toxicity.fit(documents.where(~out("doc_id")), labels.where(~out("doc_id"))))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return rows.select(
+        "document.doc_id", out("document.doc_id").alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_toxic", spans.alias("spans"),
+    )
