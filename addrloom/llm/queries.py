@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrloom.llm import chat, decontamination, langid, pii, quality, sharding, simhash, toxicity
+from addrloom.llm import chat, decontamination, langid, pii, quality, sentencepieces, sharding, simhash, toxicity
 from addrloom.llm.shared import table
 
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -88,3 +90,10 @@ def op2_toxicity(spark, folder):
         "document.doc_id", out("document.doc_id").alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_toxic", spans.alias("spans"),
     )
+
+
+@query
+def op9_sentencepiece(spark, folder):
+    """Ids of every document, and whether they decode to its text again."""
+    rows = sentencepieces.encode(table(spark, folder, "documents"), sentencepieces.load(VOCABULARY), check=True)
+    return rows.select("document.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.col("exact").alias("round_trip"), "ids")
