@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrloom.llm import chat, decontamination, langid, pii, quality, sentencepieces, sharding, simhash, toxicity
+from addrloom.llm import chat, decontamination, html, langid, pii, quality, sentencepieces, sharding, simhash, toxicity
 from addrloom.llm.shared import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -97,3 +97,9 @@ def op9_sentencepiece(spark, folder):
     """Ids of every document, and whether they decode to its text again."""
     rows = sentencepieces.encode(table(spark, folder, "documents"), sentencepieces.load(VOCABULARY), check=True)
     return rows.select("document.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.col("exact").alias("round_trip"), "ids")
+
+
+@query
+def op4_html(spark, folder):
+    rows = html.extract(table(spark, folder, "pages"))
+    return rows.select("document.page_id", "document.url", "text", F.char_length("text").cast("long").alias("n_chars"))
