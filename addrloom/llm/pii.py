@@ -124,31 +124,40 @@ def _beside(rows: DataFrame) -> DataFrame:
     return each.distinct()
 
 
+def _spoken(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0)))
+
+
 def disclosing_terms(
-    documents: DataFrame, beside: DataFrame, text_column: str = "text", min_texts: int = MIN_TEXTS, discloses: float = DISCLOSES,
+    documents: DataFrame, private: DataFrame, beside: DataFrame, text_column: str = "text", min_texts: int = MIN_TEXTS,
+    discloses: float = DISCLOSES,
 ) -> DataFrame:
     """``value``, ``term`` and ``share``, the part of the value's information that the term carries.
 
     Counts are of documents; a pair is judged from ``min_texts`` different texts on, so copies of one text
-    prove nothing.
+    prove nothing.  A term can only disclose if it is rarer than a limit that follows from the pair's count;
+    those already too frequent in the ``private`` documents alone are left out before the whole corpus is counted.
     """
-    values = beside.groupBy("value").agg(F.countDistinct("key").alias("n_value"), F.countDistinct("said").alias("texts"))
+    values = beside.groupBy("value").agg(F.countDistinct("key").alias("n_value"))
     pairs = beside.where("term is not null").groupBy("value", "term").agg(
         F.countDistinct("key").alias("n_both"), F.countDistinct("said").alias("texts")
     ).where(F.col("texts") >= min_texts)
+    total = documents.agg(F.count(F.lit(1)).alias("n"))  # one row
+    limit = F.col("n_both") * F.pow(F.col("n") / F.col("n_value"), F.lit(1 - discloses))
+    pairs = pairs.join(values, "value").join(F.broadcast(total)).where("n > n_value").withColumn("limit", limit)
     pairs = stored(pairs.drop("texts"), "pii-pairs")
-    wanted = stored(pairs.select("term").distinct(), "pii-terms")
-    text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
-    spoken = documents.select(F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0))
-    )).alias("term"))
-    counts = spoken.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = documents.agg(F.count(F.lit(1)).alias("n"))
+
+    def counted(rows: DataFrame, text: Column, wanted: DataFrame, name: str) -> DataFrame:
+        spoken = rows.select(F.explode(_spoken(text)).alias("term"))
+        return spoken.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias(name))
+
+    least = counted(private, F.col("text"), pairs, "n_least")
+    # a hair more than the limit, so that rounding leaves nothing out
+    pairs = stored(pairs.join(least, "term").where(F.col("n_least") <= F.col("limit") * 1.000001), "pii-rare-pairs")
+    counts = counted(documents, F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")), pairs, "n_term")
     share = F.log(F.col("n_both") * F.col("n") / (F.col("n_value") * F.col("n_term"))) / F.log(F.col("n") / F.col("n_value"))
-    return (
-        pairs.join(counts, "term").join(values.drop("texts"), "value").join(F.broadcast(total))
-        .where("n > n_value").withColumn("share", share).where(F.col("share") >= discloses).select("value", "term", "share")
-    )
+    return pairs.join(counts, "term").withColumn("share", share).where(F.col("share") >= discloses).select("value", "term", "share")
 
 
 def find(
@@ -167,7 +176,7 @@ def find(
     key = F.struct(F.xxhash64("document").alias("a"), F.xxhash64("text").alias("b"), F.crc32(F.col("text").cast("binary")).alias("c"))
     private = stored(rows.where(_has_base()).withColumns({"key": key, "said": F.struct(F.xxhash64("text"), F.crc32(F.col("text").cast("binary")))}), "pii-private")
     beside = stored(_beside(private), "pii-beside")
-    told = disclosing_terms(documents, beside, text_column, min_texts, discloses)
+    told = disclosing_terms(documents, private, beside, text_column, min_texts, discloses)
     # at most the terms beside a document's own values
     flagged = beside.join(told, ["value", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
     flagged = flagged.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
