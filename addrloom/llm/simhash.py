@@ -177,7 +177,8 @@ def shard_links(tree_values: np.ndarray, query_values: np.ndarray, radius: int)
 
 def _blocks(value: Column, radius: int) -> list[Column]:
     width = 64 // (radius + 1)
-    return [F.shiftrightunsigned(value, i * width).bitwiseAND((1 << width) - 1) for i in range(radius + 1)]
+    mask = (1 << width) - 1 if width < 64 else -1  # all bits of a signed number
+    return [F.shiftrightunsigned(value, i * width).bitwiseAND(mask) for i in range(radius + 1)]
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:
