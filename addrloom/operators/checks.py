@@ -19,17 +19,19 @@ def off_norm(vectors: DataFrame, tolerance: float = NORM_TOLERANCE) -> DataFrame
 def same_address_similarity(
     queries: DataFrame, references: DataFrame, least: float = SAME_ADDRESS_SIMILARITY
 ) -> DataFrame:
-    """Equal addresses should have (nearly) equal vectors.  Every query row is
-    compared with one reference row of its address, the one with the smallest
-    id: the reference side is reduced to one row per address before the join, so
-    a hot address costs as many rows as it has queries, not all its pairs."""
-    one = references.groupBy("address").agg(
-        F.min(F.struct(F.col("source_id").alias("standard_id"), F.col("vector").alias("standard_vector"))).alias("r")
+    """Equal addresses should have (nearly) equal vectors.  Every row of both tables
+    (``side``) is compared with one reference row of its address, the one with the
+    smallest id, so nothing is left out and the cost is linear: a hot address costs as
+    many rows as it has, not all its pairs."""
+    smallest = references.groupBy("address").agg(F.min("source_id").alias("standard_id"))
+    one = (
+        references.join(smallest, "address").where(F.col("source_id") == F.col("standard_id")).dropDuplicates(["address"])
+        .select("address", "standard_id", F.col("vector").alias("standard_vector"))
     )
-    similarity = cosine_from_l2(F.col("vector"), F.col("r.standard_vector"))
-    return queries.join(one, "address").select(
-        "source_id", "address", F.col("r.standard_id").alias("standard_id"), similarity.alias("similarity"),
-        (similarity > least).alias("ok"),
+    row = lambda df, side: df.select("source_id", "address", "vector", F.lit(side).alias("side"))
+    similarity = cosine_from_l2(F.col("vector"), F.col("standard_vector"))
+    return row(queries, "query").unionByName(row(references, "reference")).join(one, "address").select(
+        "source_id", "side", "address", "standard_id", similarity.alias("similarity"), (similarity > least).alias("ok")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
@@ -24,8 +25,10 @@ def _all_of(conditions: Sequence[Column]) -> Column:
 
 
 def keyword(columns: Sequence[str], word: str) -> Column:
-    """Any column LIKE %word%; % and _ in the word stay wildcards."""
-    return reduce(lambda a, b: a | b, [F.col(c).like(f"%{word}%") for c in columns])
+    """Any column LIKE %word%; % and _ in the word stay wildcards, a backslash takes the
+    next character as it is."""
+    pattern = re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], f"%{word}%", flags=re.DOTALL)
+    return reduce(lambda a, b: a | b, [F.col(c).like(pattern) for c in columns])
 
 
 def filled(column: str) -> Column:

@@ -20,8 +20,8 @@ whatever the skew.  What reaches the driver is one centre and a few numbers per
 cell, with the number of cells limited by ``MAX_CELLS``.
 
 Vector tables have the columns of ``schemas.QUERY_VECTORS`` and
-``schemas.REFERENCE_VECTORS`` (``created_at`` is not needed); ``source_id``
-is unique in each, which the vectorize plan guarantees.  Rows without a vector
+``schemas.REFERENCE_VECTORS`` (``created_at`` is not needed).  Every row counts for
+itself, also where a ``source_id`` occurs more than once.  Rows without a vector
 take no part.
 """
 
@@ -35,11 +35,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from addrloom.functions.vectors import squared_l2
+from addrloom.sources.tables import written
 from addrloom.vocab import TOP_N
 
 # Centres are held by the driver and by every task of the probing stage.
@@ -57,7 +58,7 @@ MIN_QUERY_CHUNK = 512
 GROUPS_PER_CORE = 8
 TILE_NUMBERS = 8 * 1024 * 1024
 
-_QUERY_COLUMNS = ("enterprise_id", "enterprise_name", "enterprise_address")
+_QUERY_COLUMNS = ("query_row", "enterprise_id", "enterprise_name", "enterprise_address")
 _REFERENCE_COLUMNS = ("standard_id", "standard_address", "room_no")
 
 
@@ -72,6 +73,11 @@ def auto_lists(rows: int) -> int:
     return max(100, min(MAX_CELLS, wanted))
 
 
+def most_cells(dimension: int) -> int:
+    """Cells whose centres the driver and every task can hold."""
+    return max(1, min(MAX_CELLS, MAX_CENTRE_NUMBERS // max(dimension, 1)))
+
+
 def auto_probes(lists: int) -> int:
     return max(1, math.isqrt(lists))
 
@@ -86,6 +92,8 @@ def _query_side(queries: DataFrame) -> DataFrame:
         F.col("enterprise_name").cast("string").alias("enterprise_name"),
         F.col("address").cast("string").alias("enterprise_address"),
         F.col("vector").cast("array<float>").alias("vector"),
+        # tells rows of one id apart
+        F.monotonically_increasing_id().alias("query_row"),
     )
 
 
@@ -173,16 +181,33 @@ def _pick_centres(references: DataFrame, cells: int, reference_count: int) -> np
 
 
 def _describe_cells(assigned: DataFrame, centres: np.ndarray, top_n: int) -> Cells:
+    """One pass: each batch gives rows, radius and smallest distances of its cells, and these
+    are merged per cell."""
+    schema = "cell int, n long, r double, nearest array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, distance = batch.column("cell").to_numpy(), batch.column("centre_distance").to_numpy()
+            order = np.lexsort((distance, cell))
+            cell, distance = cell[order], distance[order]
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            last = np.append(first[1:], len(cell))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(cell[first], pa.int32()), pa.array(last - first, pa.int64()), pa.array(distance[last - 1] if len(cell) else distance),
+                pa.array([distance[a : min(a + top_n, b)].tolist() for a, b in zip(first, last)], pa.list_(pa.float64())),
+            ], names=["cell", "n", "r", "nearest"])
+
     count = len(centres)
     rows, radius = np.zeros(count, dtype=np.int64), np.zeros(count)
     nearest = np.full((count, top_n), np.inf)
-    slim = assigned.select("cell", "centre_distance")
-    for row in slim.groupBy("cell").agg(F.count("*").alias("n"), F.max("centre_distance").alias("r")).collect():
-        rows[row["cell"]], radius[row["cell"]] = row["n"], row["r"]
-    order = Window.partitionBy("cell").orderBy("centre_distance")
-    closest = slim.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
-    for row in closest.collect():
-        nearest[row["cell"], row["rank"] - 1] = row["centre_distance"]
+    some = assigned.select("cell", "centre_distance").mapInArrow(run, schema)
+    merged = some.groupBy("cell").agg(
+        F.sum("n").alias("n"), F.max("r").alias("r"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("nearest"))), 1, top_n).alias("nearest"),
+    )
+    for row in merged.collect():  # a row per cell
+        c, near = row["cell"], row["nearest"]
+        rows[c], radius[c], nearest[c, : len(near)] = row["n"], row["r"], near
     return Cells(centres, rows, radius, nearest)
 
 
@@ -295,13 +320,15 @@ def _best_of_chunk(top_n: int, threshold: float | None):
                 out.append(pa.table([*q.columns, *r.columns, pa.array(similarity)], names=[*columns, "similarity"]))
         if out:
             return pa.concat_tables(out)
-        return pa.table([pa.array([], pa.string()) for _ in columns] + [pa.array([], pa.float64())], names=[*columns, "similarity"])
+        kinds = [pa.int64(), *[pa.string()] * (len(columns) - 1), pa.float64()]
+        return pa.table([pa.array([], k) for k in kinds], names=[*columns, "similarity"])
 
     return run
 
 
 _PAIR_SCHEMA = T.StructType(
-    [T.StructField(n, T.StringType()) for n in (*_QUERY_COLUMNS, *_REFERENCE_COLUMNS)]
+    [T.StructField(_QUERY_COLUMNS[0], T.LongType())]
+    + [T.StructField(n, T.StringType()) for n in (*_QUERY_COLUMNS[1:], *_REFERENCE_COLUMNS)]
     + [T.StructField("similarity", T.DoubleType())]
 )
 
@@ -310,8 +337,9 @@ def keep_top_n(candidates: DataFrame, top_n: int) -> DataFrame:
     """The ``top_n`` most similar candidates of each query, ties by id.  Spark
     cuts every input partition to ``top_n`` per query before the shuffle."""
     closeness = F.round("similarity", TIE_DIGITS)
-    order = Window.partitionBy("enterprise_id").orderBy(closeness.desc(), F.asc("standard_id"))
-    return candidates.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top_n).drop("_rank")
+    order = Window.partitionBy("enterprise_id", "query_row").orderBy(closeness.desc(), F.asc("standard_id"))
+    ranked = candidates.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top_n)
+    return ranked.drop("_rank", "query_row")
 
 
 def _chunked(df: DataFrame, id_column: str, own: str, other: str, sizes: DataFrame | None) -> DataFrame:
@@ -327,6 +355,7 @@ def _meet(
     sent: DataFrame, assigned: DataFrame, reference_rows: dict[int, int], query_rows: dict[int, int],
     top_n: int, threshold: float | None, chunk_rows: int,
 ) -> DataFrame:
+    dimension = _dimension(assigned)
     # enough query chunks to keep all cores busy, each worth a task of its own
     cores = sent.sparkSession.sparkContext.defaultParallelism
     query_chunk = min(chunk_rows, max(MIN_QUERY_CHUNK, -(-sum(query_rows.values()) // (2 * cores))))
@@ -342,9 +371,11 @@ def _meet(
     keys = ["cell", "q_chunk", "r_chunk"]
     left = _chunked(sent, "enterprise_id", "q_chunk", "r_chunk", sizes)
     right = _chunked(assigned, "standard_id", "r_chunk", "q_chunk", sizes).select(*_REFERENCE_COLUMNS, "vector", *keys)
-    # a group is much arithmetic on few bytes, so the number of partitions goes by
-    # groups and cores, not by size
-    groups = min(GROUPS_PER_CORE * cores, sum(q * r for q, r in parts.values()))
+    # a group is much arithmetic on few bytes: a few per core, and more where the vectors
+    # that meet need it, whatever number of cores is visible at the start
+    sent_bytes = 4 * dimension * sum(query_rows.get(c, 0) * parts[c][1] + n * parts[c][0] for c, n in reference_rows.items())
+    wanted = max(GROUPS_PER_CORE * cores, -(-sent_bytes // CHUNK_BYTES))
+    groups = min(wanted, sum(q * r for q, r in parts.values()))
     met = (
         left.repartition(groups, *keys).groupBy(*keys)
         .cogroup(right.repartition(groups, *keys).groupBy(*keys))
@@ -394,7 +425,7 @@ def knn_join(
     chunk_rows = _chunk_rows(r, chunk_rows)
     if cell_rows is None:
         cell_rows = chunk_rows if reference_count <= chunk_rows else CELL_ROWS
-    cells = max(1, min(MAX_CELLS, -(-reference_count // cell_rows)))
+    cells = max(1, min(most_cells(_dimension(r)), -(-reference_count // cell_rows)))
     if cells == 1:
         whole = {0: reference_count}
         return _meet(
@@ -402,7 +433,7 @@ def knn_join(
             whole, {0: query_count}, top_n, threshold, chunk_rows,
         )
     centres = _check_centres(_pick_centres(r, cells, reference_count))
-    assigned = assign_cells(r, centres)
+    assigned = written(assign_cells(r, centres), "assigned")
     known = _describe_cells(assigned, centres, top_n)
     reach = math.inf if threshold is None else math.sqrt(max(0.0, 2.0 * (1.0 - threshold)))
     sent = _send_to_cells(q, lambda points: _cells_to_search(points, known, top_n, reach))
@@ -415,18 +446,13 @@ def knn_join(
 # approximate join over clustered references
 # ---------------------------------------------------------------------------
 
-def fit_centres(references: DataFrame, lists: int | None = None, seed: int = 42, rows_per_list: int = 256) -> np.ndarray:
-    """K-means centres of the reference vectors.  Only the *training* uses a
-    subset (``rows_per_list`` per centre, by a hash of the id); the assignment
-    that follows covers every row."""
+def fit_centres(references: DataFrame, lists: int | None = None, seed: int = 42) -> np.ndarray:
+    """K-means centres of all reference vectors."""
     r = _reference_side(references)
-    rows = r.count()
-    lists = auto_lists(rows) if lists is None else lists
-    if lists > MAX_CELLS:
-        raise ValueError(f"at most {MAX_CELLS} lists")
-    share = lists * rows_per_list / max(rows, 1)
-    if share < 1.0:
-        r = r.where(F.pmod(F.xxhash64("standard_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    most = most_cells(_dimension(r))
+    lists = min(auto_lists(r.count()), most) if lists is None else lists
+    if lists > most:
+        raise ValueError(f"at most {most} lists of this dimension")
     features = r.select(array_to_vector("vector").alias("features"))
     model = KMeans(k=lists, seed=seed, maxIter=10, initMode="random").fit(features)
     return _check_centres(np.array(model.clusterCenters(), dtype=np.float64))
@@ -455,7 +481,7 @@ def ivf_join(
     reference_rows = _rows_per_cell(r)
     chunk_rows = _chunk_rows(r, chunk_rows)
     if not reference_rows:
-        return q.sparkSession.createDataFrame([], _PAIR_SCHEMA)
+        return q.sparkSession.createDataFrame([], _PAIR_SCHEMA).drop("query_row")
     filled = np.zeros(len(centres), dtype=bool)
     filled[list(reference_rows)] = True
     sent = _send_to_cells(q, lambda points: _cells_to_probe(points, centres, filled, probes))
@@ -467,6 +493,18 @@ def ivf_join(
     return _meet(sent, r, reference_rows, query_rows, top_n, threshold, chunk_rows)
 
 
+def save_centres(spark: SparkSession, centres: np.ndarray, path: str) -> None:
+    """The centres as a table beside the list-partitioned vectors."""
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+    spark.createDataFrame(rows, "list_id int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_centres(spark: SparkSession, path: str) -> np.ndarray:
+    """The stored centres, at most ``MAX_CELLS`` rows."""
+    rows = spark.read.parquet(path).orderBy("list_id").collect()
+    return _check_centres(np.array([r["centre"] for r in rows], dtype=np.float64))
+
+
 def recall_share(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: how many of the true neighbour pairs were found."""
     keys = ["enterprise_id", "standard_id"]

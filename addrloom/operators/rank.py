@@ -83,4 +83,6 @@ def pick_best(
         F.when(kept, F.col("not_match")).otherwise(1.0).alias("not_match"),
         F.when(kept, status).otherwise(NOT_MATCHED).alias("match_status"),
         F.lit(SOURCE_AUTO).alias("correction_source"),
+        # why a plugged-in model could not score the chosen candidate
+        *[F.when(kept, F.col(c)).alias(c) for c in scored.columns if c == "error"],
     )

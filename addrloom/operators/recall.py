@@ -8,20 +8,9 @@ from pyspark.sql import functions as F
 ENTERPRISE = ("enterprise_id", "enterprise_name", "enterprise_address")
 
 
-def regroup(recall: DataFrame, part_rows: int = 1000) -> DataFrame:
-    """One row per query with its candidates, most similar first; rows without a
-    candidate id give none.
-
-    A join with ``top_n`` up to ``part_rows`` gives exactly one row (``part`` 0)
-    per query.  A query with more rows in the table, however many, is spread
-    over several parts by a hash of the candidate id, so that no array and no
-    task has to hold it whole.
-    """
-    hot = (
-        recall.groupBy("enterprise_id").agg(F.count("*").alias("_n")).where(F.col("_n") > part_rows)
-        .select("enterprise_id", F.ceil(F.col("_n") / part_rows).alias("_parts"))
-    )
-    part = F.pmod(F.xxhash64("standard_id"), F.coalesce("_parts", F.lit(1)))
+def regroup(recall: DataFrame) -> DataFrame:
+    """One row per query (id, name and address) with all its candidates, most similar
+    first, ties by id; rows without a candidate id give none.  One aggregation."""
     candidate = F.struct(
         (-F.col("similarity")).alias("_order"),
         F.col("standard_id").alias("source_id"),
@@ -30,18 +19,8 @@ def regroup(recall: DataFrame, part_rows: int = 1000) -> DataFrame:
         "similarity",
     )
     usable = F.coalesce(F.col("standard_id") != "", F.lit(False))
-    grouped = (
-        recall.join(hot, "enterprise_id", "left")
-        .withColumn("part", part)
-        .groupBy("enterprise_id", "part")
-        .agg(
-            F.min("enterprise_name").alias("enterprise_name"),
-            F.min("enterprise_address").alias("enterprise_address"),
-            F.array_sort(F.collect_list(F.when(usable, candidate))).alias("candidates"),
-        )
-    )
-    plain = F.transform("candidates", lambda c: c.dropFields("_order"))
-    return grouped.select(*ENTERPRISE, "part", plain.alias("candidates"))
+    grouped = recall.groupBy(*ENTERPRISE).agg(F.array_sort(F.collect_list(F.when(usable, candidate))).alias("candidates"))
+    return grouped.select(*ENTERPRISE, F.transform("candidates", lambda c: c.dropFields("_order")).alias("candidates"))
 
 
 def flatten(nested: DataFrame) -> DataFrame:

@@ -41,11 +41,28 @@ SAME_PLACE_FORMS = (
     ("{C}{D}{R}{N}号{b}", "{P}{C}{D}{R}{N}号{B}"),
     ("{C}{D}{M}{R}{N}号", "{P}{C}{D}{R}{N}号"),
 )
-# what the two forms of a type differ in
+# fixed values: what the two forms of a type differ in, as stored; {S} {M} {B} {b} {N} as above
 DIFFERENCES = (
-    "相同", "少'省'字", "少省份", "少'省''市'二字", "只有区名", "多街道", "多街道和社区",
-    "栋与幢、楼与层、室与房", "座与栋、层与楼", "号楼与幢、层与楼", "F与楼", "/F与层", "B与负层",
-    "短横与栋室", "房与室", "短横与栋室", "短横号与附号", "括号建筑名", "建筑简称", "多社区",
+    "地址文本完全相同",
+    "企业地址省略'省'字",
+    "企业地址省略省份",
+    "企业地址省略'省'和'市'字",
+    "企业地址省略省份和'市'",
+    "标准地址补充了'{S}'",
+    "标准地址补充了'{S}{M}'",
+    "'栋'与'幢'、'楼'与'层'、'室'与'房'同义替换",
+    "'座'与'栋'、'层'与'楼'同义，企业地址省略'室'",
+    "'号楼'与'幢'、'层'与'楼'同义替换",
+    "'8F'与'8楼'为同一楼层的不同表达",
+    "'22/F'与'22层'为同一楼层的不同表达",
+    "'B1'与'负1层'为同一地下楼层的不同表达",
+    "'A-601'与'A栋601室'为同一房间的不同表达",
+    "'房'与'室'同义替换",
+    "'3-1502'与'3栋1502室'为同一房间的不同表达",
+    "'{N}-1号'与'{N}号附1号'为同一地址的不同格式",
+    "企业地址用括号标注'{B}'，标准地址无括号",
+    "'{b}'与'{B}'为同一建筑的不同简称",
+    "企业地址多了社区名'{M}'，标准地址省略",
 )
 # fixed values: forms of reference addresses that match no query.  {i5} {i20}
 # {i8} {i30} {i3} count from 1 to that number, {o} is one of 一二三四五.
@@ -68,7 +85,6 @@ PART_FORMS = (
 # fixed values: stored words of the evaluation tables
 EXPECTED = {"exact": "完全匹配", "partial": "部分匹配", "none": "不匹配"}
 SAME_TEXT, OTHER_TEXT, OTHER_MEANING = "完全一致", "部分一致", "语义差别"
-MAX_DISTRICTS = 10_000
 # shift of each picked name, so that one address does not use the same place of every list
 PICK_SHIFT = {"S": {5: 0, 6: 1}, "M": {6: 2, 19: 5}, "B": {17: 3, 18: 4}}
 
@@ -134,9 +150,7 @@ def write_variants(df: DataFrame, kind: Column, province: str = "广东省", cit
             "standard_address": _by_type(
                 F.col("transform_type"), [filled(i, f[1]) for i, f in enumerate(SAME_PLACE_FORMS)]
             ),
-            "semantic_diff": F.element_at(
-                F.array(*[F.lit(d) for d in DIFFERENCES]), F.col("transform_type") + 1
-            ),
+            "semantic_diff": _by_type(F.col("transform_type"), [filled(i, d) for i, d in enumerate(DIFFERENCES)]),
         }
     )
 
@@ -164,19 +178,21 @@ def evaluation_rows(variants: DataFrame, group_id: Column) -> DataFrame:
 
 
 def _road_slots(gazetteer: DataFrame) -> DataFrame:
-    """One row per road with its place in the whole list.  A gazetteer is a short
-    parameter table, and its size is checked."""
-    if gazetteer.count() > MAX_DISTRICTS:
-        raise ValueError(f"a gazetteer has at most {MAX_DISTRICTS} districts")
-    roads = gazetteer.select("*", F.posexplode("roads").alias("road_no", "road"))
-    return roads.withColumn("slot", F.row_number().over(Window.orderBy("district_no", "road_no")) - 1).drop("roads", "road_no")
+    """One row per road with its ``slot``, its place in the whole list: the roads of earlier
+    districts, from a running sum over one number per district, and the place in its own."""
+    before = Window.orderBy("district_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = gazetteer.select("district_no", F.size("roads").alias("n")).select(
+        "district_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    )
+    roads = gazetteer.join(starts, "district_no").select("*", F.posexplode("roads").alias("road_no", "road"))
+    return roads.withColumn("slot", F.col("start") + F.col("road_no")).drop("roads", "road_no", "start")
 
 
 def _numbered(gazetteer: DataFrame, count: int, shift: int = 0) -> DataFrame:
     """``count`` rows k = 0.. that go round the roads in order."""
     slots = _road_slots(gazetteer)
     size = slots.count()
-    numbers = gazetteer.sparkSession.range(count).withColumn("slot", F.pmod(F.col("id") + shift, F.lit(size)).cast("int"))
+    numbers = gazetteer.sparkSession.range(count).withColumn("slot", F.pmod(F.col("id") + shift, F.lit(size)))
     return numbers.join(slots, "slot").drop("slot")
 
 
@@ -213,14 +229,18 @@ def distractor_rows(df: DataFrame, at: Column, used: DataFrame) -> DataFrame:
 
 
 def distractors(gazetteer: DataFrame, pairs: DataFrame, count: int = 9000, **place: str) -> DataFrame:
-    """``count`` reference addresses by six forms, without those already used;
-    number k has house number 7 k + 501."""
+    """``count`` reference addresses by six forms; number k has house number 7 k + 501.
+    Those already used are left out and replaced by further numbers, which are tried until
+    there are ``count``: no more of them are used than the pairs have addresses."""
     districts, at = gazetteer.count(), F.col("id")
-    rows = gazetteer.sparkSession.range(count).withColumn("district_no", F.pmod("id", F.lit(districts))).join(
+    tried = count + 2 * pairs.count()
+    rows = gazetteer.sparkSession.range(tried).withColumn("district_no", F.pmod("id", F.lit(districts))).join(
         gazetteer.withColumn("district_no", F.col("district_no").cast("long")), "district_no"
     )
     rows = rows.withColumn("road", _pick(F.col("roads"), at)).withColumn("number", at * 7 + 501)
-    return distractor_rows(write_distractors(rows, at, **place), at, pairs)
+    made = distractor_rows(write_distractors(rows, at, **place), at, pairs)
+    # the house code, a number at a fixed width, gives the order they were tried in
+    return made.orderBy(F.length("house_code"), "house_code").limit(count)
 
 
 def labelled_pairs(gazetteer: DataFrame, count: int = 1000, province: str = "广东省", city: str = "深圳市") -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from addrloom.models.pair_scorer import LogitPairScorer
 from addrloom.operators import knn, rank
-from addrloom.operators.recall import summary
+from addrloom.operators.recall import ENTERPRISE, summary
 from addrloom.operators.stats import match_stats
-from addrloom.plans.vectorize import encode
+from addrloom.plans.vectorize import centres_path, encode
 from addrloom.sources import tables
-from addrloom.vocab import TOP_N
+from addrloom.vocab import RANK_THRESHOLD, TOP_N
 
 
 def recall(
@@ -30,8 +30,18 @@ def rank_recall(
     recalled: DataFrame, scorer=None, policy: str = "rounded", threshold: float | None = None,
     queries: DataFrame | None = None,
 ) -> DataFrame:
-    """Match rows from stored recall rows."""
-    return rank.pick_best(rank.score(recalled, scorer or LogitPairScorer()), policy, threshold, queries)
+    """Match rows from stored recall rows.  Only candidates that pass the threshold are
+    shown to the scorer; the queries left without one are then put back."""
+    threshold = RANK_THRESHOLD if threshold is None else threshold
+    scorer = scorer or LogitPairScorer()
+    if threshold <= 0:
+        return rank.pick_best(rank.score(recalled, scorer), policy, threshold, queries)
+    usable = F.coalesce(F.col("standard_id") != "", F.lit(False))
+    scored = rank.score(recalled.where(rank.passes(threshold) & usable), scorer)
+    if queries is None:
+        rest = F.min(F.struct(*ENTERPRISE[1:])).alias("r")
+        queries = recalled.groupBy("enterprise_id").agg(rest).select("enterprise_id", "r.*")
+    return rank.pick_best(scored, policy, threshold, queries)
 
 
 def enterprises(queries: DataFrame) -> DataFrame:
@@ -57,11 +67,15 @@ def two_stage(
 
 def run_recall(
     spark: SparkSession, query_table: str, reference_table: str, recall_table: str,
-    top_n: int = TOP_N, threshold: float | None = None, centres: np.ndarray | None = None, probes: int | None = None,
+    top_n: int = TOP_N, threshold: float | None = None, probes: int | None = None,
 ) -> DataFrame:
     """Recall between two stored vector tables into a stored recall table
-    (replaced); gives its summary."""
-    found = recall(tables.read(spark, query_table), tables.read(spark, reference_table), top_n, threshold, centres, probes)
+    (replaced); gives its summary.  Exact, or, with ``probes`` (0: by the number of lists), over
+    that many lists of a reference table that ``vectorize`` stored as an index."""
+    centres = None if probes is None else knn.load_centres(spark, centres_path(reference_table))
+    found = recall(
+        tables.read(spark, query_table), tables.read(spark, reference_table), top_n, threshold, centres, probes or None
+    )
     tables.store(tables.recall_rows(found), recall_table)
     return summary(tables.read(spark, recall_table))
 
@@ -81,11 +95,11 @@ def run_ranking(
 def run_two_stage(
     spark: SparkSession, query_table: str, reference_table: str, recall_table: str, match_table: str,
     top_n: int = TOP_N, threshold: float | None = None, scorer=None, policy: str = "rounded",
-    rank_threshold: float | None = 0.0, keep_unmatched: bool = False,
+    rank_threshold: float | None = 0.0, keep_unmatched: bool = False, probes: int | None = None,
 ) -> DataFrame:
     """Both steps through stored tables.  The recall table in between is written
     before the ranking starts, so a failure there repeats the ranking only."""
-    run_recall(spark, query_table, reference_table, recall_table, top_n, threshold)
+    run_recall(spark, query_table, reference_table, recall_table, top_n, threshold, probes)
     return run_ranking(
         spark, recall_table, match_table, scorer, policy, rank_threshold, query_table if keep_unmatched else None
     )

@@ -14,7 +14,8 @@ from addrloom.sources.tables import address_pairs
 def match_pairs(
     df: DataFrame, address_a: str, address_b: str, id_column: str | None = None, scorer=None
 ) -> DataFrame:
-    """identifier, both addresses, three scores and status for every row.
+    """identifier, both addresses, three scores and status for every row; with a
+    plugged-in model also its ``error``.
 
     Rows with a blank address get 0 / 0 / 1 without being scored.  With a native
     scorer they simply pass through; a plugged-in model is shown the other rows
@@ -39,4 +40,5 @@ def match_pairs(
     return scored.select(
         "identifier", "address_a", "address_b", "exact_match", "partial_match", "not_match",
         match_status(F.col("exact_match"), F.col("partial_match"), F.col("not_match")).alias("match_status"),
+        *[c for c in scored.columns if c == "error"],
     )

@@ -32,7 +32,7 @@ def tag_addresses(
     df: DataFrame, address_column: str, mode: str = "17", id_column: str | None = None, tagger=None
 ) -> DataFrame:
     """``original_address`` and the fields of the mode for every row; the 17 forms
-    also carry ``_id_field`` and ``dom_json``.  Blank addresses come out with
+    also carry ``_id_field`` and ``dom_json``, and a plugged-in tagger its ``error``.  Blank addresses come out with
     empty fields.  Rows are independent: nothing is grouped or joined."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}, expected one of {MODES}")
@@ -47,4 +47,5 @@ def tag_addresses(
     )
     labelled = (tagger or LevelWordTagger()).transform(named)
     carry = ["original_address"] if mode == "12" else ["_id_field", "original_address"]
+    carry += [c for c in labelled.columns if c == "error"]
     return to_fields(to_entities(labelled, mode), mode, carry)

@@ -6,30 +6,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from addrloom.models.encoder import CharPairEncoder
+from addrloom.operators import knn
 from addrloom.operators.pending import unvectorized
 from addrloom.sources import tables
 
 
 def encode(addresses: DataFrame, kind: str, encoder=None) -> DataFrame:
-    """Addresses (id, name or room, address) as rows of a vector table.  An id
-    given twice is stored once; rows the encoder fails on are left out (they stay
-    pending)."""
+    """Addresses (id, name or room, address) as rows of a vector table, one per row:
+    an id given twice keeps both.  Rows the encoder fails on are left out (they stay
+    pending); :func:`failed` lists them.  No shuffle."""
     extra = {"enterprise": F.col("name").alias("enterprise_name"), "standard": F.col("room_no")}[kind]
     rest = "enterprise_name" if kind == "enterprise" else "room_no"
     named = addresses.select(F.col("id").cast("string").alias("source_id"), extra, "address")
-    single = named.groupBy("source_id").agg(F.min(F.struct("address", rest)).alias("_r"))
-    encoded = (encoder or CharPairEncoder()).transform(single.select("source_id", "_r.address", f"_r.{rest}"))
+    encoded = (encoder or CharPairEncoder()).transform(named)
     return encoded.where("vector IS NOT NULL").select("source_id", rest, "address", "vector")
 
 
-def vectorize(addresses: DataFrame, path: str, kind: str, encoder=None) -> None:
-    """Full run: the vector table is replaced."""
-    tables.replace(tables.vector_rows(encode(addresses, kind, encoder), kind), path)
+def failed(addresses: DataFrame, encoder) -> DataFrame:
+    """``source_id``, ``address`` and ``error`` of the addresses a plugged encoder fails on."""
+    named = addresses.select(F.col("id").cast("string").alias("source_id"), "address")
+    return encoder.transform(named).where("vector IS NULL").select("source_id", "address", "error")
+
+
+def centres_path(path: str) -> str:
+    return f"{path.rstrip('/')}_centres"
+
+
+def vectorize(addresses: DataFrame, path: str, kind: str, encoder=None, lists: int | None = None) -> None:
+    """Full run: the vector table is replaced.
+
+    With ``lists`` (0: by the number of rows) the table is also an index: its vectors are
+    clustered, written under the ``list_id`` of their nearest centre, and the centres are
+    stored beside it.
+    """
+    rows = tables.vector_rows(encode(addresses, kind, encoder), kind)
+    if lists is None:
+        tables.replace(rows, path)
+    else:
+        index(tables.written(rows, "vectors"), path, lists)
+
+
+def index(vectors: DataFrame, path: str, lists: int = 0, centres=None) -> None:
+    """A vector table as a list-partitioned one with its centres (fitted unless given)."""
+    centres = knn.fit_centres(vectors, lists or None) if centres is None else centres
+    tables.replace(knn.with_list_id(vectors, centres), path, "list_id")
+    knn.save_centres(vectors.sparkSession, centres, centres_path(path))
 
 
 def vectorize_new(addresses: DataFrame, path: str, kind: str, encoder=None) -> None:
     """Incremental run: only ids that are not in the table are encoded and
     appended, so a stopped run is simply run again."""
-    stored = addresses.sparkSession.read.parquet(path)
-    fresh = unvectorized(addresses, stored)
-    tables.append(tables.vector_rows(encode(fresh, kind, encoder), kind), path)
+    spark = addresses.sparkSession
+    stored = spark.read.parquet(path)
+    fresh = tables.vector_rows(encode(unvectorized(addresses, stored), kind, encoder), kind)
+    if "list_id" in stored.columns:  # an index: new rows join the lists there are
+        fresh = knn.with_list_id(fresh, knn.load_centres(spark, centres_path(path)))
+    tables.append(fresh, path, "list_id" if "list_id" in stored.columns else None)

@@ -24,6 +24,7 @@ QUERY_VECTORS = _layout(
 REFERENCE_VECTORS = _layout(
     ("source_id", _text), ("address", _text), ("room_no", _text), ("vector", _vector), ("created_at", _when)
 )
+VECTORS = {"enterprise": QUERY_VECTORS, "standard": REFERENCE_VECTORS}
 RECALL = _layout(
     ("enterprise_id", _text), ("enterprise_name", _text), ("enterprise_address", _text),
     ("standard_id", _text), ("standard_address", _text), ("room_no", _text),

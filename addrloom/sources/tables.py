@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +62,9 @@ def address_pairs(df: DataFrame, address_a: str, address_b: str, id_column: str
     )
 
 
-def preview(df: DataFrame, rows: int = 5) -> DataFrame:
-    return df.limit(rows)
+def preview(df: DataFrame, rows: int = 5, *order: str) -> DataFrame:
+    """A few rows: any, or the first by the given columns."""
+    return (df.orderBy(*order) if order else df).limit(rows)
 
 
 # -- result rows in table layout --------------------------------------------------
@@ -89,7 +92,7 @@ def tagged_rows(tagged: DataFrame, mode: str) -> DataFrame:
 def vector_rows(vectors: DataFrame, kind: str, dim: int | None = None) -> DataFrame:
     """``kind`` 'enterprise' carries the name, 'standard' the room.  With ``dim``
     a vector of another dimension fails the write."""
-    layout = {"enterprise": schemas.QUERY_VECTORS, "standard": schemas.REFERENCE_VECTORS}[kind]
+    layout = schemas.VECTORS[kind]
     if dim is not None:
         wrong = F.raise_error(F.concat(F.lit(f"expected {dim} numbers, found "), F.size("vector"), F.lit(" in "), "source_id"))
         checked = F.when(F.col("vector").isNull() | (F.size("vector") == dim), F.col("vector")).otherwise(wrong)
@@ -126,6 +129,20 @@ def store(df: DataFrame, name_or_path: str) -> None:
         replace_table(df, name_or_path)
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors share: below ``spark.checkpoint.dir``, or below the
+    warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows stored in a work folder and read back, so that they are computed once."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_table(df: DataFrame, table: str) -> None:
     df.write.mode("append").saveAsTable(table)
 

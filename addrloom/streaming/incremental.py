@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from addrloom import schemas
 from addrloom.plans.tagging import tag_addresses
 from addrloom.plans.vectorize import encode
 from addrloom.operators.pending import unvectorized
@@ -60,15 +61,13 @@ def vectorize_stream(
     """Encode the ids not stored yet and append them.  A batch that is repeated
     after a failure finds its ids stored and adds nothing."""
 
+    spark = addresses.sparkSession
+    layout = schemas.VECTORS[kind]
+    # an empty table first, so that every batch finds one
+    spark.createDataFrame([], layout).write.mode("append").parquet(target)
+
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        empty = spark.createDataFrame([], "source_id string")
-        try:
-            stored = spark.read.parquet(target)
-        except Exception as missing:  # first batch: no table yet
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-            stored = empty
+        stored = batch.sparkSession.read.schema(layout).parquet(target)
         tables.append(tables.vector_rows(encode(unvectorized(batch, stored), kind, encoder), kind), target)
 
     return (

@@ -7,7 +7,7 @@ from string import Formatter
 from addrloom import vocab
 from addrloom.models.pair_scorer import DEFAULT_WEIGHTS
 from addrloom.models.tagger import LEVEL_WORDS
-from addrloom.plans.evaluation import DISTRACTOR_FORMS, SAME_PLACE_FORMS
+from addrloom.plans.evaluation import DIFFERENCES, DISTRACTOR_FORMS, SAME_PLACE_FORMS
 from registry.views import TEXT_DIM, TOKEN_LABELS
 
 ORACLES: dict[str, str] = {}
@@ -62,6 +62,30 @@ SELECT standard_id AS source_id, standard_address AS address, room_no,
        round(1 - pow(array_distance(v, (SELECT v FROM q ORDER BY enterprise_id::BIGINT LIMIT 1)), 2) / 2.0, 6) AS similarity
 FROM r ORDER BY round(pow(array_distance(v, (SELECT v FROM q ORDER BY enterprise_id::BIGINT LIMIT 1)), 2), 12), standard_id LIMIT 10"""
 
+# centres: the 16 vectors with the smallest ids; a row is in the list of its nearest centre, a
+# query probes the 4 nearest lists that have rows
+IVF = """
+centres AS (SELECT row_number() OVER (ORDER BY standard_id::BIGINT) - 1 AS list_id, v FROM r ORDER BY standard_id::BIGINT LIMIT 16),
+listed AS (
+  SELECT r.*, arg_min(c.list_id, (pow(array_distance(r.v, c.v), 2), c.list_id)) AS list_id
+  FROM r, centres c GROUP BY ALL),
+probed AS (
+  SELECT enterprise_id, list_id FROM (
+    SELECT enterprise_id, c.list_id, row_number() OVER (PARTITION BY enterprise_id ORDER BY array_distance(q.v, c.v), c.list_id) AS rn
+    FROM q, centres c WHERE c.list_id IN (SELECT list_id FROM listed)) WHERE rn <= 4),
+near AS (
+  SELECT q.enterprise_id, q.enterprise_name, q.enterprise_address, l.standard_id, l.standard_address, l.room_no,
+         1 - pow(array_distance(q.v, l.v), 2) / 2.0 AS similarity
+  FROM q JOIN probed USING (enterprise_id) JOIN listed l USING (list_id)),
+ivf AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY enterprise_id ORDER BY round(similarity, 12) DESC, standard_id) AS rn FROM near)
+  WHERE rn <= 5)"""
+ORACLES["knn_ivf"] = with_(EMBED_SIDES, IVF) + "SELECT * REPLACE (round(similarity, 6) AS similarity) FROM ivf"
+ORACLES["knn_ivf_recall"] = with_(EMBED_SIDES, IVF, knn("q", "r", 5)) + """
+SELECT count(*) AS true_pairs, count(i.standard_id) AS found_pairs, round(count(i.standard_id) / count(*), 6) AS recall
+FROM found f LEFT JOIN ivf i USING (enterprise_id, standard_id)"""
+
 # -- recall rows ----------------------------------------------------------------------
 
 RECALL = """
@@ -75,8 +99,9 @@ recall AS (
 )"""
 ORACLES["recall_regroup"] = with_(RECALL) + """
 SELECT enterprise_id, min(enterprise_name) AS enterprise_name, min(enterprise_address) AS enterprise_address,
-       0::BIGINT AS part, count(*) AS candidate_count,
-       string_agg(standard_id, ',' ORDER BY similarity DESC, standard_id) AS candidate_ids
+       count(*) AS candidate_count,
+       string_agg(standard_id || '|' || standard_address || '|' || room_no || '|' || round(similarity * 50)::INT, ','
+                  ORDER BY similarity DESC, standard_id) AS candidates
 FROM recall GROUP BY enterprise_id"""
 ORACLES["recall_flatten"] = with_(RECALL) + "SELECT * FROM recall"
 ORACLES["recall_summary"] = with_(RECALL) + """
@@ -468,9 +493,12 @@ FROM embeddings"""
 ORACLES["vector_profile"] = "SELECT count(*) AS row_count, min(len(embedding))::INT AS min_dim, max(len(embedding))::INT AS max_dim FROM embeddings"
 ORACLES["same_address_check"] = with_(EMBED_SIDES) + """
 , one AS (SELECT standard_address AS address, min(standard_id) AS standard_id, arg_min(v, standard_id) AS v FROM r GROUP BY 1)
-SELECT q.enterprise_id AS source_id, o.address, o.standard_id, round(1 - pow(array_distance(q.v, o.v), 2) / 2.0, 6) AS similarity,
-       1 - pow(array_distance(q.v, o.v), 2) / 2.0 > 0.99 AS ok
-FROM q JOIN one o ON q.enterprise_address = o.address"""
+, both_sides AS (
+  SELECT enterprise_id AS source_id, 'query' AS side, enterprise_address AS address, v FROM q
+  UNION ALL SELECT standard_id, 'reference', standard_address, v FROM r)
+SELECT b.source_id, b.side, o.address, o.standard_id, round(1 - pow(array_distance(b.v, o.v), 2) / 2.0, 6) AS similarity,
+       1 - pow(array_distance(b.v, o.v), 2) / 2.0 > 0.99 AS ok
+FROM both_sides b JOIN one o USING (address)"""
 
 PENDING = "FROM documents WHERE text IS NOT NULL AND text <> '' AND doc_id::VARCHAR NOT IN (SELECT vec_id::VARCHAR FROM embeddings)"
 ORACLES["unvectorized_anti"] = f"SELECT doc_id::VARCHAR AS id, text AS address, coalesce(source, '') AS room_no {PENDING}"
@@ -537,7 +565,8 @@ def _form(form: str, i: int) -> str:
     out = form
     for k, sql in parts.items():
         out = out.replace("{" + k + "}", "\x00" + f"({sql})" + "\x00")
-    return " || ".join(p if p.startswith("(") and p.endswith(")") else f"'{p}'" for p in out.split("\x00") if p)
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    return " || ".join(p if p.startswith("(") and p.endswith(")") else quoted(p) for p in out.split("\x00") if p)
 
 
 def _distractor(form: str) -> str:
@@ -556,17 +585,22 @@ def _case(side: int) -> str:
     return "CASE c_custkey % 20 " + " ".join(f"WHEN {i} THEN {_form(f[side], i)}" for i, f in enumerate(SAME_PLACE_FORMS)) + " END"
 
 
+def _differences() -> str:
+    return "CASE c_custkey % 20 " + " ".join(f"WHEN {i} THEN {_form(f, i)}" for i, f in enumerate(DIFFERENCES)) + " END"
+
+
 VARIANTS = f"""
 places AS (SELECT c_custkey, n_name AS district, c_mktsegment || '路' AS road, c_custkey AS number
            FROM customer JOIN nation ON c_nationkey = n_nationkey),
-variants AS (SELECT *, (c_custkey % 20)::INT AS transform_type, {_case(0)} AS enterprise_address, {_case(1)} AS standard_address FROM places)"""
+variants AS (SELECT *, (c_custkey % 20)::INT AS transform_type, {_case(0)} AS enterprise_address, {_case(1)} AS standard_address,
+             {_differences()} AS semantic_diff FROM places)"""
 ORACLES["eval_pairs"] = with_(VARIANTS) + """
 SELECT c_custkey + 1 AS group_id, format('EVAL_E{:04d}', c_custkey + 1) AS enterprise_id,
        format('深圳测评企业{:04d}', c_custkey + 1) AS enterprise_name, enterprise_address,
        format('EVAL_A{:04d}', c_custkey + 1) AS standard_addr_code, standard_address,
        format('HC{:08d}', c_custkey + 1) AS house_code,
        CASE WHEN enterprise_address <> standard_address THEN '部分一致' ELSE '完全一致' END AS consistency_type,
-       '完全匹配' AS expected_match, transform_type FROM variants"""
+       '完全匹配' AS expected_match, semantic_diff, transform_type FROM variants"""
 ORACLES["eval_distractors"] = with_(
     VARIANTS,
     "far AS (SELECT * REPLACE (c_custkey * 7 + 501 AS number) FROM places)",
@@ -576,6 +610,11 @@ ORACLES["eval_distractors"] = with_(
 ) + """
 SELECT format('EVAL_D{:04d}', c_custkey + 1) AS addr_code, standard_address, format('HD{:08d}', c_custkey + 1) AS house_code
 FROM made WHERE standard_address NOT IN (SELECT enterprise_address FROM variants UNION SELECT standard_address FROM variants)"""
+ORACLES["vectorize_repeated_ids"] = f"""
+SELECT c_nationkey::VARCHAR AS source_id, c_name AS address, {TEXT_DIM}::BIGINT AS dim FROM customer"""
+ORACLES["two_stage_lists"] = with_(
+    EMBED_SIDES, IVF, similarity_scores("ivf"), best(ROUNDED_ORDER, 0.5, True),
+).replace("centres AS", "everyone AS (SELECT enterprise_id, enterprise_name, enterprise_address FROM q),\ncentres AS", 1) + rounded()
 ORACLES["eval_transform_counts"] = with_(VARIANTS) + "SELECT transform_type, count(*) AS row_count FROM variants GROUP BY 1"
 ORACLES["eval_pair_status"] = with_(
     VARIANTS, "texts AS (SELECT c_custkey AS id, enterprise_address AS a, standard_address AS b FROM variants)", pair_scores("texts")

@@ -65,8 +65,9 @@ def knn_single(spark, folder):
 @query
 def knn_ivf(spark, folder):
     references = v.reference_vectors(spark, folder)
-    centres = knn.fit_centres(references, lists=16)
-    return knn.ivf_join(v.query_vectors(spark, folder), knn.with_list_id(references, centres), centres, 5)
+    centres = v.given_centres(references, 16)
+    found = knn.ivf_join(v.query_vectors(spark, folder), knn.with_list_id(references, centres), centres, 5)
+    return found.withColumns(_r6("similarity"))
 
 
 @query
@@ -83,7 +84,7 @@ def knn_ivf_all_lists(spark, folder):
 @query
 def knn_ivf_recall(spark, folder):
     truth = knn_topn(spark, folder)
-    return knn.recall_share(knn_ivf(spark, folder), truth)
+    return knn.recall_share(knn_ivf(spark, folder), truth).withColumns(_r6("recall"))
 
 
 # -- recall rows ----------------------------------------------------------------------
@@ -92,9 +93,11 @@ def knn_ivf_recall(spark, folder):
 def recall_regroup(spark, folder):
     nested = recall.regroup(v.recall_rows(spark, folder))
     return nested.select(
-        *recall.ENTERPRISE, "part",
+        *recall.ENTERPRISE,
         F.size("candidates").cast("long").alias("candidate_count"),
-        F.array_join(F.transform("candidates", lambda c: c["source_id"]), ",").alias("candidate_ids"),
+        F.array_join(F.transform("candidates", lambda c: F.concat_ws(
+            "|", c["source_id"], c["address"], c["room_no"], F.round(c["similarity"] * 50).cast("int")
+        )), ",").alias("candidates"),
     )
 
 
@@ -108,7 +111,8 @@ def recall_summary(spark, folder):
     return recall.summary(v.recall_rows(spark, folder))
 
 
-RECALL_FILTERS = {"keyword": "part 1_ ", "min_similarity": 0.2, "max_similarity": 0.9}
+# a backslash takes the next character as it is: here a plain p
+RECALL_FILTERS = {"keyword": r"\part 1_ ", "min_similarity": 0.2, "max_similarity": 0.9}
 
 
 @query
@@ -506,7 +510,7 @@ def vectorize_stream(spark, folder):
     """Conversation turns as an arriving file, encoded and appended."""
     target, state = v.work_folder(spark, "vectors"), v.work_folder(spark, "state")
     schema = v.table(spark, folder, "conversations").schema
-    turns = incremental.arriving(spark, folder, schema, pattern="conversations.parquet")
+    turns = incremental.arriving(spark, f"{folder}/conversations.parquet*", schema)
     addresses = tables.query_addresses(turns.withColumn("id", F.concat_ws("-", "conv_id", "turn")), "id", "role", "text")
     incremental.vectorize_stream(addresses, target, "enterprise", CharPairEncoder(v.TEXT_DIM), state).awaitTermination()
     stored = spark.read.parquet(target)
@@ -518,7 +522,7 @@ def tag_stream(spark, folder):
     """Document texts as an arriving file, tagged by the native tagger."""
     target, state = v.work_folder(spark, "tagged"), v.work_folder(spark, "state")
     schema = v.table(spark, folder, "documents").schema
-    rows = incremental.arriving(spark, folder, schema, pattern="documents.parquet")
+    rows = incremental.arriving(spark, f"{folder}/documents.parquet*", schema)
     incremental.tag_stream(rows, "text", target, "17", "doc_id", None, state).awaitTermination()
     return spark.read.parquet(target).drop("created_at")
 
@@ -537,6 +541,17 @@ def vectorize_incremental(spark, folder):
     return spark.read.parquet(target).select("source_id", "address", F.size("vector").cast("long").alias("dim"))
 
 
+@query
+def vectorize_repeated_ids(spark, folder):
+    """Customers by nation: an id occurs many times, and every row is stored."""
+    target = v.work_folder(spark, "vectors")
+    rows = v.table(spark, folder, "customer").select(
+        F.col("c_nationkey").cast("string").alias("id"), F.col("c_name").alias("address"), F.lit("").alias("room_no")
+    )
+    vectorize.vectorize(rows, target, "standard", CharPairEncoder(v.TEXT_DIM))
+    return spark.read.parquet(target).select("source_id", "address", F.size("vector").cast("long").alias("dim"))
+
+
 # -- whole pipelines ----------------------------------------------------------------------------
 
 @query
@@ -549,6 +564,20 @@ def two_stage_match(spark, folder):
     return _rounded(found)
 
 
+@query
+def two_stage_lists(spark, folder):
+    """The stored pipeline over an index: vectors by list, recall over some lists, ranking."""
+    at = {n: v.work_folder(spark, n) for n in ("queries", "index", "recall", "match")}
+    tables.replace(tables.vector_rows(v.query_vectors(spark, folder), "enterprise"), at["queries"])
+    references = v.reference_vectors(spark, folder)
+    vectorize.index(tables.vector_rows(references, "standard"), at["index"], centres=v.given_centres(references, 16))
+    match.run_two_stage(
+        spark, at["queries"], at["index"], at["recall"], at["match"], top_n=5, scorer=SimilarityScorer(), probes=4,
+        rank_threshold=0.5, keep_unmatched=True,
+    )
+    return _rounded(tables.read(spark, at["match"]).drop("created_at"))
+
+
 @query
 def text_recall(spark, folder):
     found = match.recall(
@@ -612,7 +641,7 @@ def _variants(spark, folder) -> DataFrame:
 @query
 def eval_pairs(spark, folder):
     """Two spellings of every customer's place, by twenty kinds of difference."""
-    return evaluation.evaluation_rows(_variants(spark, folder), F.col("c_custkey") + 1).drop("semantic_diff")
+    return evaluation.evaluation_rows(_variants(spark, folder), F.col("c_custkey") + 1)
 
 
 @query

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +32,7 @@ def spread(spark: SparkSession, scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= 2 * cores else scan.repartition(cores)
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the cluster's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+work_folder = tables.work_folder
 
 
 def query_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +53,12 @@ def reference_vectors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def given_centres(references: DataFrame, count: int) -> np.ndarray:
+    """The vectors of the smallest ids as centres, so that SQL can use the same."""
+    rows = references.orderBy(F.col("source_id").cast("long")).limit(count).select("vector").collect()
+    return np.array([r["vector"] for r in rows], dtype=np.float64)
+
+
 def recall_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as the recalled candidates of their order."""
     return table(spark, folder, "lineitem").select(

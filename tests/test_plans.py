@@ -258,10 +258,10 @@ def test_incremental_vectorize(spark, tmp_path):
     path = str(tmp_path / "v")
     make = lambda *ids: spark.createDataFrame([(i, "1", f"福华路{i}号") for i in ids], "id string, room_no string, address string")
     vectorize.vectorize(make("1", "1", "2"), path, "standard")
-    assert spark.read.parquet(path).count() == 2  # an id given twice is stored once
+    assert spark.read.parquet(path).count() == 3  # an id given twice keeps both rows
     vectorize.vectorize_new(make("2", "3"), path, "standard")
     vectorize.vectorize_new(make("2", "3"), path, "standard")
-    assert sorted(r["source_id"] for r in spark.read.parquet(path).collect()) == ["1", "2", "3"]
+    assert sorted(r["source_id"] for r in spark.read.parquet(path).collect()) == ["1", "1", "2", "3"]
     vectorize.vectorize(make("9"), path, "standard")
     assert spark.read.parquet(path).count() == 1
 

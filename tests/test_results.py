@@ -155,8 +155,8 @@ def test_checks(spark):
     )
     assert {r["source_id"] for r in checks.off_norm(vectors).collect()} == {"2", "3"}
     good = vectors.where("source_id in ('1', '4')")
-    found = {r["source_id"]: (r["standard_id"], r["ok"]) for r in checks.same_address_similarity(good, good).collect()}
-    assert found == {"1": ("1", True), "4": ("1", False)}
+    found = sorted((r["side"], r["source_id"], r["standard_id"], r["ok"]) for r in checks.same_address_similarity(good, good).collect())
+    assert found == [(side, i, "1", i == "1") for side in ("query", "reference") for i in ("1", "4")]
     assert {r["source_id"] for r in checks.repeated(vectors, "address").collect()} == {"1", "2", "4"}
     dup = {r["column_name"]: r["duplicate_count"] for r in stats.duplicate_counts(vectors, "address", "source_id").collect()}
     assert dup == {"address": 2, "source_id": 0}
