@@ -73,6 +73,12 @@ def auto_lists(rows: int) -> int:
     return max(100, min(MAX_CELLS, wanted))
 
 
+def list_count(rows: Column) -> Column:
+    """:func:`auto_lists` of a column of row counts."""
+    wanted = F.when(rows <= 1_000_000, F.floor(rows / 1000)).otherwise(F.floor(F.sqrt(rows)))
+    return F.greatest(F.lit(100), F.least(F.lit(MAX_CELLS), wanted)).cast("long")
+
+
 def most_cells(dimension: int) -> int:
     """Cells whose centres the driver and every task can hold."""
     return max(1, min(MAX_CELLS, MAX_CENTRE_NUMBERS // max(dimension, 1)))

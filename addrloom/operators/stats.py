@@ -87,14 +87,9 @@ def distribution(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def duplicate_counts(df: DataFrame, *columns: str) -> DataFrame:
-    """Per column: rows with a value minus distinct values."""
-    parts = [
-        df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-        .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_count"))
-        .select(F.lit(c).alias("column_name"), "duplicate_count")
-        for c in columns
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Per column: rows with a value minus distinct values.  One scan: every row gives a row per
+    column, of which the value's hash travels, so long texts do not."""
+    values = F.array(*[F.struct(F.lit(c).alias("column_name"), F.when(F.col(c).isNotNull(), F.sha2(F.col(c).cast("string"), 256)).alias("v")) for c in columns])
+    each = df.select(F.inline(values)).groupBy("column_name", "v").agg(F.count("*").alias("n"))
+    spare = F.sum(F.when(F.col("v").isNotNull(), F.col("n") - 1).otherwise(0))
+    return each.groupBy("column_name").agg(spare.cast("long").alias("duplicate_count"))

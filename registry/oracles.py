@@ -404,6 +404,11 @@ ORACLES["tag_fill_stats"] = with_(SPANS, fields("12")) + "SELECT count(*) AS tot
     f"count(*) FILTER (WHERE \"{f}\" <> '') AS {f}_count, round(count(*) FILTER (WHERE \"{f}\" <> '') / count(*) * 100, 6) AS {f}_rate"
     for f in vocab.FIELDS_12
 ) + " FROM tagged"
+for _mode, _fields in (("17", vocab.FIELDS_17), ("17_2", vocab.FIELDS_34)):
+    ORACLES[f"tag_fill_stats_{_mode}"] = with_(SPANS, fields(_mode)) + "SELECT count(*) AS total_count, " + ", ".join(
+        f"count(*) FILTER (WHERE {f} <> '') AS {f}_count, round(count(*) FILTER (WHERE {f} <> '') / count(*) * 100, 6) AS {f}_rate"
+        for f in _fields
+    ) + " FROM tagged"
 ORACLES["tag_filter_page"] = with_(SPANS, fields("12")) + f"SELECT * FROM ({TAGGED}) " + """
 WHERE (original_address LIKE '%an%' OR province LIKE '%an%' OR city LIKE '%an%' OR district LIKE '%an%' OR road LIKE '%an%' OR area LIKE '%an%')
   AND province <> '' AND city <> '' AND district <> ''
@@ -440,6 +445,24 @@ ORACLES["tag_copy_blank"] = with_(SPANS, fields("17"), ALL_TEXTS, LOOKUP) + (
     + ", ".join(f"coalesce(l.f.{f}, '') AS {f}" for f in vocab.FIELDS_17)
     + f" FROM texts x LEFT JOIN lookup l ON {strip('x.text')} = l.key"
 )
+ORACLES["copy_page"] = ORACLES["tag_copy_blank"] + " ORDER BY x.text_id LIMIT 15 OFFSET 90"
+
+
+def _copied(mode: str, names: tuple[str, ...], first: str = "") -> str:
+    """Texts with the fields of the equal document that sorts first; '' where there is none."""
+    key = first or "f"
+    lookup = f"""
+lookup AS (
+  SELECT key, arg_min(f, o) AS f FROM (
+    SELECT {strip('d.text')} AS key, {{{', '.join(f"'{f}': t.{f}" for f in names)}}} AS f, {key} AS o
+    FROM tagged t JOIN documents d USING (doc_id)) GROUP BY key)"""
+    return with_(SPANS, fields(mode), ALL_TEXTS, lookup) + "SELECT x.text_id, x.text, " + ", ".join(
+        f"coalesce(l.f.{f}, '') AS {f}" for f in names
+    ) + f" FROM texts x LEFT JOIN lookup l ON {strip('x.text')} = l.key"
+
+
+ORACLES["tag_copy_12"] = _copied("12", vocab.FIELDS_12)
+ORACLES["tag_copy_17_2"] = _copied("17_2", vocab.FIELDS_34)
 ORACLES["tag_sink_rows"] = with_(SPANS, fields("17_2")) + """
 SELECT doc_id::VARCHAR AS _id_field, prov, poi, '' AS poi_2, city_2 FROM tagged"""
 
@@ -615,6 +638,63 @@ SELECT c_nationkey::VARCHAR AS source_id, c_name AS address, {TEXT_DIM}::BIGINT
 ORACLES["two_stage_lists"] = with_(
     EMBED_SIDES, IVF, similarity_scores("ivf"), best(ROUNDED_ORDER, 0.5, True),
 ).replace("centres AS", "everyone AS (SELECT enterprise_id, enterprise_name, enterprise_address FROM q),\ncentres AS", 1) + rounded()
+GAZETTEER_PLACES = """
+slots AS (SELECT n_name AS district, n_name || r AS road, row_number() OVER (ORDER BY n_nationkey, i) - 1 AS slot
+          FROM nation, (VALUES (0, '一路'), (1, '二路'), (2, '三路')) w(i, r)),
+rounds AS (SELECT unnest(range((SELECT count(*) FROM customer))) AS k),
+places AS (SELECT k AS c_custkey, district, road, (k + 1) * 37 + 100 AS number FROM rounds JOIN slots ON k % (SELECT count(*) FROM slots) = slot)"""
+GAZETTEER_VARIANTS = GAZETTEER_PLACES + f""",
+variants AS (SELECT *, (c_custkey % 20)::INT AS transform_type, {_case(0)} AS enterprise_address, {_case(1)} AS standard_address,
+             {_differences()} AS semantic_diff FROM places)"""
+ORACLES["eval_match_pairs"] = ORACLES["eval_pairs"].replace(VARIANTS.strip(), GAZETTEER_VARIANTS.strip())
+ORACLES["eval_distractor_rows"] = with_(
+    GAZETTEER_VARIANTS,
+    """far AS (SELECT k AS c_custkey, n_name AS district, n_name || ['一路', '二路', '三路'][k % 3 + 1] AS road, k * 7 + 501 AS number
+            FROM (SELECT unnest(range((SELECT 3 * count(*) FROM customer))) AS k) JOIN nation ON k % 25 = n_nationkey)""",
+    "made AS (SELECT c_custkey, CASE c_custkey % 6 "
+    + " ".join(f"WHEN {i} THEN {_distractor(f)}" for i, f in enumerate(DISTRACTOR_FORMS))
+    + " END AS standard_address FROM far)",
+) + """
+SELECT format('EVAL_D{:04d}', c_custkey + 1) AS addr_code, standard_address, format('HD{:08d}', c_custkey + 1) AS house_code
+FROM made WHERE standard_address NOT IN (SELECT enterprise_address FROM variants UNION SELECT standard_address FROM variants)
+ORDER BY c_custkey LIMIT (SELECT count(*) FROM customer)"""
+ORACLES["eval_accuracy"] = with_(
+    GAZETTEER_VARIANTS,
+    f"""parts AS (SELECT k, district, road, (k + 1) * 41 + 60 AS number, (k + 1) * 41 + 62 + k % 90 AS number2,
+       district || ['东', '西', '南'][k % 3 + 1] || '商务大厦' AS building, '深圳市' || district || road AS c, '广东省深圳市' || district || road AS p
+     FROM rounds JOIN slots ON k % 75 = slot),
+halves AS (SELECT k, district AS district2, road AS road2 FROM rounds JOIN slots ON (k + 37) % 75 = slot),
+labelled AS (
+  SELECT enterprise_address AS a, standard_address AS b, '完全匹配' AS expected_match FROM variants
+  UNION ALL SELECT CASE k % 4 WHEN 0 THEN c || number || '号' WHEN 1 THEN c || number || '号A栋' WHEN 2 THEN c || number || '号'
+                              ELSE c || '东段' || number || '号' END,
+                   CASE k % 4 WHEN 0 THEN p || number2 || '号' WHEN 1 THEN p || number || '号B栋' WHEN 2 THEN p || number || '号' || building
+                              ELSE p || '西段' || number2 || '号' END, '部分匹配' FROM parts
+  UNION ALL SELECT c || number || '号', '广东省深圳市' || district2 || road2 || (number * 3 + 7) || '号', '不匹配'
+            FROM parts JOIN halves USING (k) WHERE district <> district2),
+pairs AS (SELECT a || '|' || b AS id, a, b, expected_match FROM labelled)""",
+    pair_scores("pairs"),
+) + f"""
+SELECT expected_match, count(*) AS row_count, count(*) FILTER (WHERE right_one) AS right_count,
+       round(count(*) FILTER (WHERE right_one) / count(*) * 100, 6) AS right_rate
+FROM (SELECT *, match_status = CASE expected_match WHEN '完全匹配' THEN '{E}' WHEN '部分匹配' THEN '{P}' ELSE '{N}' END AS right_one FROM judged)
+GROUP BY expected_match"""
+ORACLES["eval_samples"] = ORACLES["eval_pairs"] + " ORDER BY group_id LIMIT 10 OFFSET 20"
+ORACLES["preview_rows"] = "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 5"
+ORACLES["list_rule"] = """
+SELECT c_custkey * 20011 AS n, greatest(100, least(4000, CASE WHEN c_custkey * 20011 <= 1000000 THEN c_custkey * 20011 // 1000
+  ELSE floor(sqrt(c_custkey * 20011))::BIGINT END)) AS lists FROM customer"""
+ORACLES["stream_progress"] = "SELECT count(*) AS processed, count(*) AS total, 1.0::DOUBLE AS progress, true AS has_rate FROM documents"
+ORACLES["plugged_failures"] = with_(TURNS, f"""
+judged AS (SELECT nullif(id, '') AS identifier, {strip("coalesce(text, '')")} = '' OR {strip("coalesce(next_text, '')")} = '' AS blank,
+                  coalesce(text, '') LIKE 'T%' AS bad FROM turns)""") + f"""
+SELECT identifier, CASE WHEN blank OR bad THEN 0.0 ELSE 0.5 END AS exact_match, CASE WHEN blank OR bad THEN 0.0 ELSE 0.25 END AS partial_match,
+       CASE WHEN blank OR bad THEN 1.0 ELSE 0.25 END AS not_match, CASE WHEN blank OR bad THEN '{N}' ELSE '{E}' END AS match_status,
+       CASE WHEN bad AND NOT blank THEN 'ValueError: starts with T' END AS error FROM judged"""
+ORACLES["tags_lifecycle"] = """
+SELECT trim(r_name) AS tag_name, lower(replace(r_name, ' ', '_')) AS prefix, lower(replace(r_name, ' ', '_')) || '_recall_results' AS recall_table,
+       lower(replace(r_name, ' ', '_')) || '_match_results' AS match_table FROM region WHERE r_regionkey % 2 = 1"""
+ORACLES["match_export"] = ORACLES["match_filter"]
 ORACLES["eval_transform_counts"] = with_(VARIANTS) + "SELECT transform_type, count(*) AS row_count FROM variants GROUP BY 1"
 ORACLES["eval_pair_status"] = with_(
     VARIANTS, "texts AS (SELECT c_custkey AS id, enterprise_address AS a, standard_address AS b FROM variants)", pair_scores("texts")
@@ -633,14 +713,21 @@ SELECT c_custkey, {_SUB} || ',' || CASE WHEN regexp_matches(enterprise_address,
        || CASE WHEN regexp_matches(number::VARCHAR, '^[a-zA-Z]?[0-9]{{1,3}}$') THEN 'houseno' ELSE 'subpoi' END AS tags FROM variants"""
 
 
-def native_tags(source: str) -> str:
-    """CTE ``native`` (id, address, dom_json and 17 fields) by the level words, of
-    ``source`` (id, address: stripped)."""
+def native_tags(source: str, mode: str = "17") -> str:
+    """CTE ``native`` (id, address, dom_json and 17 fields, or without it 34) by the level words,
+    of ``source`` (id, address: stripped)."""
     endings = "|".join(words for _, words in LEVEL_WORDS)
     cases = " ".join(f"WHEN regexp_matches(piece, '.(?:{words})\\z') THEN '{tag}'" for tag, words in LEVEL_WORDS)
-    columns = ",\n         ".join(
-        f"coalesce(string_agg(piece, '' ORDER BY pos) FILTER (WHERE tag = '{f}'), '') AS \"{f}\"" for f in vocab.FIELDS_17
-    )
+    texts = lambda f: f"list(piece ORDER BY pos) FILTER (WHERE tag = '{f}')"
+    if mode == "17":
+        columns = [f"coalesce(array_to_string({texts(f)}, ''), '') AS \"{f}\"" for f in vocab.FIELDS_17]
+        columns.insert(0, """'[' || coalesce(string_agg('["' || tag || '", ' || to_json(piece)::VARCHAR || ']', ', ' ORDER BY pos)
+           FILTER (WHERE tag IS NOT NULL), '') || ']' AS dom_json""")
+    else:
+        columns = [c for f in vocab.FIELDS_17 for c in (
+            f"coalesce(({texts(f)})[1], '') AS \"{f}\"", f"coalesce(array_to_string(({texts(f)})[2:], ''), '') AS \"{f}_2\""
+        )]
+    columns = ",\n         ".join(columns)
     return f"""
 pieces AS (
   SELECT id, unnest(list_zip(p, range(0, len(p)))) AS z
@@ -651,15 +738,39 @@ pieces AS (
   SELECT id, piece, pos, CASE {cases} WHEN regexp_matches(piece, '\\A[a-zA-Z]?-?[0-9]{{2,4}}\\z') THEN 'houseno' END AS tag FROM named
 ), native AS (
   SELECT s.id, s.address,
-         '[' || coalesce(string_agg('["' || tag || '", ' || to_json(piece)::VARCHAR || ']', ', ' ORDER BY pos) FILTER (WHERE tag IS NOT NULL), '') || ']' AS dom_json,
          {columns}
   FROM {source} s LEFT JOIN judged_pieces USING (id) GROUP BY s.id, s.address
 )"""
 
 
+_ROOM = r"([a-zA-Z]?\s*\d{2,4}\s*(室|房|号)?)\s*$"
+_UNIT = r"(\d{1,4}\s*(室|房|号|铺))\s*$"
+_NUMBER = r"(\d{2,4})\s*$"
+NUMBERS = "numbers AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS n FROM customer)"
+ORACLES["rule_merge"] = with_(NUMBERS) + """
+SELECT k, CASE k % 4 WHEN 0 THEN 'roadno:' || n || '|houseno:A' || n WHEN 1 THEN 'houseno:' || n || '|road:路|houseno:B'
+                     WHEN 2 THEN 'houseno:' || n || '-C' ELSE '' END AS entities FROM numbers"""
+ORACLES["rule_tail"] = with_(NUMBERS, "tails AS (SELECT *, trim(['', '601室', ' a 12', 'xyz', '三栋8铺', '大厦1203', 'B座 7号 ', '12345'][k % 8 + 1]) AS tail FROM numbers)", f"""
+rooms AS (SELECT *, CASE WHEN tail = '' THEN '' ELSE trim(coalesce(nullif(regexp_extract(tail, '{_ROOM}'), ''),
+  nullif(regexp_extract(tail, '{_UNIT}'), ''), nullif(regexp_extract(tail, '{_NUMBER}'), ''), '')) END AS room FROM tails)""") + """
+SELECT k, CASE WHEN k % 16 >= 8 THEN 'road:路|houseno:' || n || '号' || room
+               ELSE 'road:路|roadno:' || n || '号' || CASE WHEN room = '' THEN '' ELSE '|houseno:' || room END END AS entities FROM rooms"""
+ORACLES["rule_floor"] = with_(NUMBERS, "rooms AS (SELECT k, ((k * 7) % 1900 + 50)::VARCHAR AS room FROM numbers)", """
+floors AS (SELECT *, CASE length(room) WHEN 3 THEN room[1:1] WHEN 4 THEN room[1:2] ELSE '' END AS floor FROM rooms),
+added AS (SELECT *, CASE WHEN floor = '' THEN '' ELSE '|floorno:' || floor END AS more FROM floors)""") + """
+SELECT k, CASE k % 3 WHEN 0 THEN 'houseno:' || room || more WHEN 1 THEN 'houseno:A|houseno:' || room || '室' || more
+                     ELSE 'floorno:首层|houseno:' || room END AS entities FROM added"""
+ORACLES["rule_boundary"] = with_(NUMBERS) + """
+SELECT k, CASE k % 5 WHEN 0 THEN 'road:科技路|houseno:' || n || '室' WHEN 1 THEN 'road:科技路|roadno:' || n || '号'
+                     WHEN 2 THEN 'road:科技路|roadno:8号|houseno:601' WHEN 3 THEN 'roadno:8号|houseno:A座601室'
+                     ELSE 'road:科技路|houseno:室' END AS entities FROM numbers"""
+
 ORACLES["tag_native_17"] = with_(
     VARIANTS, "addresses AS (SELECT c_custkey::VARCHAR AS id, standard_address AS address FROM variants)", native_tags("addresses")
 ) + "SELECT * EXCLUDE (id, address), id AS _id_field, address AS original_address FROM native"
+ORACLES["tag_native_17_2"] = with_(
+    VARIANTS, "addresses AS (SELECT c_custkey::VARCHAR AS id, standard_address AS address FROM variants)", native_tags("addresses", "17_2")
+) + "SELECT * EXCLUDE (id, address), id AS _id_field, address AS original_address FROM native"
 ORACLES["tag_stream"] = with_(
     f"addresses AS (SELECT doc_id::VARCHAR AS id, {strip('text')} AS address FROM documents)", native_tags("addresses")
 ) + "SELECT * EXCLUDE (id, address), id AS _id_field, address AS original_address FROM native"

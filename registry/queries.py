@@ -13,10 +13,11 @@ from addrloom.functions import prefixes, scores, vectors
 from addrloom.functions import text as tx
 from addrloom.models.encoder import CharPairEncoder
 from addrloom.models.pair_scorer import LogitPairScorer, SimilarityScorer
+from addrloom.models.plugged import PluggedPairScorer
 from addrloom.models.tagger import LevelWordTagger
 from addrloom.operators import checks, copies, corrections, filters, knn, pages, pending, rank, recall, stats
 from addrloom.plans import evaluation, match, pairs, tagging, vectorize
-from addrloom.sources import csv, logs, tables
+from addrloom.sources import csv, logs, tables, tags
 from addrloom.streaming import incremental
 from registry import views as v
 
@@ -370,11 +371,106 @@ def tag_native_12(spark, folder):
 
 
 @query
-def tag_fill_stats(spark, folder):
-    rows = stats.fill_stats(v.tagged_documents(spark, folder, "12"), vocab.FIELDS_12)
+def tag_native_17_2(spark, folder):
+    tagged = tagging.tag_addresses(_variants(spark, folder), "standard_address", "17_2", "c_custkey", LevelWordTagger())
+    return tagged.drop("dom_json")
+
+
+def _entities(*pairs: tuple[str, Column]) -> Column:
+    return F.array(*[en.entity(tag, text) for tag, text in pairs])
+
+
+def _told(entities: Column | str) -> Column:
+    return F.array_join(F.transform(entities, lambda e: F.concat_ws(":", e["tag"], e["text"])), "|")
+
+
+def _numbers(spark, folder) -> DataFrame:
+    """Every customer's number ``k`` and the same as text."""
+    keys = v.table(spark, folder, "customer").select(F.col("c_custkey").alias("k"))
+    return v.spread(spark, keys).withColumn("n", F.col("k").cast("string"))
+
+
+@query
+def rule_merge(spark, folder):
+    """Neighbouring rooms become one; others stay."""
+    k, n = F.col("k") % 4, F.col("n")
+    made = (
+        F.when(k == 0, _entities(("roadno", n), ("houseno", F.lit("A")), ("houseno", n)))
+        .when(k == 1, _entities(("houseno", n), ("road", F.lit("路")), ("houseno", F.lit("B"))))
+        .when(k == 2, _entities(("houseno", n), ("houseno", F.lit("-")), ("houseno", F.lit("C"))))
+        .otherwise(en.no_entities())
+    )
+    df = en.merge_adjacent(_numbers(spark, folder).withColumn("entities", made.cast(en.ENTITIES)))
+    return df.select("k", _told("entities").alias("entities"))
+
+
+@query
+def rule_tail(spark, folder):
+    """What no entity covers at the end of the address goes to the room."""
+    k, n = F.col("k"), F.col("n")
+    tails = F.array(*[F.lit(x) for x in ("", "601室", " a 12", "xyz", "三栋8铺", "大厦1203", "B座 7号 ", "12345")])
+    road = F.concat(F.lit("路"), n, F.lit("号"))
+    room = _entities(("road", F.lit("路")), ("houseno", F.concat(n, F.lit("号"))))
+    plain = _entities(("road", F.lit("路")), ("roadno", F.concat(n, F.lit("号"))))
+    df = _numbers(spark, folder).withColumns({
+        "address": F.concat(road, F.element_at(tails, (k % 8 + 1).cast("int"))),
+        "entities": F.when(k % 16 < 8, plain).otherwise(room).cast(en.ENTITIES),
+    })
+    return en.absorb_tail(df).select("k", _told("entities").alias("entities"))
+
+
+@query
+def rule_floor(spark, folder):
+    """The floor of a room number, and the bare ground floor."""
+    room, k = ((F.col("k") * 7) % 1900 + 50).cast("string"), F.col("k") % 3
+    made = (
+        F.when(k == 0, _entities(("houseno", room)))
+        .when(k == 1, _entities(("houseno", F.lit("A")), ("houseno", F.concat(room, F.lit("室")))))
+        .otherwise(_entities(("floorno", F.lit(" 首")), ("houseno", room)))
+    )
+    df = en.imply_floor(_numbers(spark, folder).withColumn("entities", made.cast(en.ENTITIES)))
+    return df.select("k", _told("entities").alias("entities"))
+
+
+@query
+def rule_boundary(spark, folder):
+    """Letters and digits before a room or a bare number word, and the end of the address."""
+    k, n, road = F.col("k") % 5, F.col("n"), F.lit("科技路")
+    address = (
+        F.when(k == 0, F.concat(road, n, F.lit("室"))).when(k == 1, F.concat(road, n, F.lit("号")))
+        .when(k == 2, F.concat(road, F.lit("8号601"))).when(k == 3, F.concat(road, F.lit("8号A座 601室")))
+        .otherwise(F.concat(road, F.lit("（"), n, F.lit("）室")))
+    )
+    made = (
+        F.when(k.isin(0, 4), _entities(("road", road), ("houseno", F.lit("室"))))
+        .when(k == 1, _entities(("road", road), ("roadno", F.lit("号"))))
+        .when(k == 2, _entities(("road", road), ("roadno", F.lit("8号"))))
+        .otherwise(_entities(("roadno", F.lit("8号")), ("houseno", F.lit("A座"))))
+    )
+    df = _numbers(spark, folder).withColumns({"address": address, "entities": made.cast(en.ENTITIES)})
+    return en.expand_boundaries(df).select("k", _told("entities").alias("entities"))
+
+
+def _fill_stats(spark, folder, mode: str, fields: tuple[str, ...]) -> DataFrame:
+    rows = stats.fill_stats(v.tagged_documents(spark, folder, mode), fields)
     return rows.withColumns(_r6(*[c for c in rows.columns if c.endswith("_rate")]))
 
 
+@query
+def tag_fill_stats(spark, folder):
+    return _fill_stats(spark, folder, "12", vocab.FIELDS_12)
+
+
+@query
+def tag_fill_stats_17(spark, folder):
+    return _fill_stats(spark, folder, "17", vocab.FIELDS_17)
+
+
+@query
+def tag_fill_stats_17_2(spark, folder):
+    return _fill_stats(spark, folder, "17_2", vocab.FIELDS_34)
+
+
 @query
 def tag_filter_page(spark, folder):
     tagged = v.tagged_documents(spark, folder, "12").select("_id_field", *vocab.FIELDS_12, "original_address")
@@ -398,6 +494,23 @@ def tag_copy_left(spark, folder):
     return copies.with_tags(_all_texts(spark, folder), "text", _tagged_by_text(spark, folder), "17").drop("dom_json")
 
 
+@query
+def tag_copy_12(spark, folder):
+    tagged = v.tagged_documents(spark, folder, "12").withColumn("_id_field", F.lit(""))
+    return copies.with_tags(_all_texts(spark, folder), "text", tagged, "12", blank_unmatched=True)
+
+
+@query
+def tag_copy_17_2(spark, folder):
+    tagged = v.tagged_documents(spark, folder, "17_2").withColumn("_id_field", F.lit(""))
+    return copies.with_tags(_all_texts(spark, folder), "text", tagged, "17_2", blank_unmatched=True)
+
+
+@query
+def copy_page(spark, folder):
+    return pages.page(tag_copy_blank(spark, folder), ["text_id"], 7, 15)
+
+
 @query
 def tag_copy_blank(spark, folder):
     return copies.with_tags(
@@ -527,6 +640,35 @@ def tag_stream(spark, folder):
     return spark.read.parquet(target).drop("created_at")
 
 
+@query
+def stream_progress(spark, folder):
+    """What a stream over all documents reports when it is done."""
+    target, state = v.work_folder(spark, "tagged"), v.work_folder(spark, "state")
+    documents = v.table(spark, folder, "documents")
+    rows = incremental.arriving(spark, f"{folder}/documents.parquet*", documents.schema)
+    query = incremental.tag_stream(rows, "text", target, "17", "doc_id", None, state)
+    query.awaitTermination()
+    told = incremental.progress(query, documents.count())
+    row = [(told["processed"], told["total"], float(told["progress"]), told["rate"] > 0)]
+    return spark.createDataFrame(row, "processed long, total long, progress double, has_rate boolean")
+
+
+@query
+def plugged_failures(spark, folder):
+    """A model that fails on some turns: their reasons beside the other rows' scores."""
+
+    def load():
+        def run(a: list[str], b: list[str]) -> list[tuple[float, float, float]]:
+            if any(x.startswith("T") for x in a):
+                raise ValueError("starts with T")
+            return [(0.25, 0.25, 0.5)] * len(a)
+
+        return run
+
+    scored = pairs.match_pairs(v.turn_pairs(spark, folder), "text", "next_text", "id", PluggedPairScorer(load))
+    return scored.select("identifier", "exact_match", "partial_match", "not_match", "match_status", "error")
+
+
 @query
 def vectorize_incremental(spark, folder):
     """A full run over the suppliers' names, then an incremental one over the
@@ -652,6 +794,47 @@ def eval_distractors(spark, folder):
     return evaluation.distractor_rows(made, F.col("c_custkey"), _variants(spark, folder))
 
 
+def _gazetteer_pairs(spark, folder) -> tuple[DataFrame, int]:
+    """A gazetteer of the nations, and as many pairs as there are customers."""
+    return v.gazetteer(spark, folder), v.table(spark, folder, "customer").count()
+
+
+@query
+def eval_match_pairs(spark, folder):
+    return evaluation.match_pairs(*_gazetteer_pairs(spark, folder))
+
+
+@query
+def eval_distractor_rows(spark, folder):
+    """As many distractors as pairs, whatever addresses the pairs use up."""
+    places, count = _gazetteer_pairs(spark, folder)
+    return evaluation.distractors(places, evaluation.match_pairs(places, count), count)
+
+
+@query
+def eval_accuracy(spark, folder):
+    """The native scorer on pairs of all three classes."""
+    made = evaluation.labelled_pairs(*_gazetteer_pairs(spark, folder))
+    judged = pairs.match_pairs(made, "address_a", "address_b", "expected_match")
+    return evaluation.accuracy(judged.withColumnRenamed("identifier", "expected_match")).withColumns(_r6("right_rate"))
+
+
+@query
+def eval_samples(spark, folder):
+    return pages.page(eval_pairs(spark, folder), ["group_id"], 3, 10)
+
+
+@query
+def preview_rows(spark, folder):
+    return tables.preview(v.table(spark, folder, "customer").select("c_custkey", "c_name"), 5, "c_custkey")
+
+
+@query
+def list_rule(spark, folder):
+    rows = v.table(spark, folder, "customer").select((F.col("c_custkey") * 20011).alias("n"))
+    return rows.select("n", knn.list_count(F.col("n")).alias("lists"))
+
+
 @query
 def eval_transform_counts(spark, folder):
     return stats.distribution(_variants(spark, folder), "transform_type")
@@ -750,6 +933,34 @@ def csv_round_trip(spark, folder):
     return csv.read_csv(spark, f"{target}/*.csv", "c_custkey", "c_name")
 
 
+@query
+def match_export(spark, folder):
+    """Filtered match rows as CSV, read again."""
+    target = v.work_folder(spark, "match-export")
+    csv.write_csv(pages.match_rows(_corrected(spark, folder), MATCH_FILTERS), target, vocab.EXPORT_ROWS)
+    read = spark.read.option("header", True).option("escape", '"').csv(target)
+    scores = {c: F.round(F.col(c).cast("double"), 6) for c in ("exact_match", "partial_match", "not_match")}
+    return read.withColumns(scores).withColumn("room_no", F.coalesce("room_no", F.lit("")))
+
+
+@query
+def tags_lifecycle(spark, folder):
+    """A tag per region in a database of its own; those of an even key are deleted again."""
+    regions = v.table(spark, folder, "region").orderBy("r_regionkey").collect()
+    before, place = spark.catalog.currentDatabase(), v.work_folder(spark, "tags")
+    database = f"tags_{place.rpartition('-')[2]}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{place}'")
+    spark.catalog.setCurrentDatabase(database)
+    try:
+        for r in regions:
+            tags.create_tag(spark, f" {r['r_name']} ")
+        for r in regions[::2]:
+            tags.delete_tag(spark, tags.find_tag(spark, r["r_name"].lower().replace(" ", "_"))["prefix"])
+        return tags.all_tags(spark).select("tag_name", "prefix", "recall_table", "match_table")
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+
+
 @query
 def csv_statistics(spark, folder):
     target = v.work_folder(spark, "statistics")

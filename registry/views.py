@@ -172,6 +172,17 @@ def customer_places(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def gazetteer(spark: SparkSession, folder: str) -> DataFrame:
+    """Every nation as a district of three roads, streets, communities and buildings."""
+    name = F.col("n_name")
+    several = lambda words: F.array(*[F.concat(name, F.lit(w)) for w in words])
+    places = lambda word: several([d + word for d in ("东", "西", "南")])
+    return table(spark, folder, "nation").select(
+        F.col("n_nationkey").cast("int").alias("district_no"), name.alias("district"), several(("一路", "二路", "三路")).alias("roads"),
+        places("街道").alias("streets"), places("社区").alias("communities"), places("商务大厦").alias("buildings"),
+    )
+
+
 def place_names(spark: SparkSession, folder: str, source: str) -> DataFrame:
     """One-column address table of customers or suppliers."""
     prefix = {"customer": "c", "supplier": "s"}[source]
