@@ -2,7 +2,7 @@
 
 Labels exist for documents, tags are needed for words: in a sample of labelled documents a word counts as
 toxic where its document does and one of its features (the word itself or a beginning of it) occurs
-in toxic documents far beyond chance.  The field learns these tags sentence by sentence from hashed features of
+in toxic documents, after different words, far beyond chance.  The field learns these tags sentence by sentence from hashed features of
 beginnings and endings, so it tags words it never saw.  Forward and backward passes give every word its
 probability; a logistic function of a document's greatest and summed probabilities, fitted on other sample
 documents and brought to the share of toxic labels, is its score.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from addrloom.llm.arrowtext import pieces
 from addrloom.llm.letters import PartHashes, letter_runs
+from addrloom.llm.shared import crc32, first_share
 
 # bounds of the training sample, per label
 SAMPLE_DOCUMENTS, SAMPLE_TEXT_BYTES = 1500, 1 << 15
@@ -40,7 +41,8 @@ _BREAK[[ord(c) for c in "\n.!?"]] = True
 # -- words, features, sentences ----------------------------------------------------------------
 
 class Words:
-    """The words of some rows: bytes, rows, hashed features (0 where a word is too short) and sentences."""
+    """The words of some rows: bytes, rows, hashed features (0 where a word is too short) with the ``marks`` that
+    tell features of one bucket apart, and sentences."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, hasher: PartHashes) -> None:
         small, self.starts, self.ends, self.row = letter_runs(data, at)
@@ -49,11 +51,12 @@ class Words:
         columns = [(hasher.of(sums, self.starts, self.ends), np.ones(n, bool), 1)]
         columns += [(hasher.of(sums, self.starts, np.minimum(self.starts + k, self.ends)), length >= k, 10 + k) for k in PREFIXES]
         columns += [(hasher.of(sums, np.maximum(self.ends - k, self.starts), self.ends), length >= k, 20 + k) for k in SUFFIXES]
-        self.features = np.zeros((n, len(columns)), np.int32)
+        self.features, self.marks = np.zeros((n, len(columns)), np.int32), np.zeros((n, len(columns)), np.uint16)
         for i, (h, valid, salt) in enumerate(columns):
             mixed = (h + np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93)
             bucket = (mixed >> np.uint64(64 - BUCKETS_BITS)).astype(np.int32)
             self.features[:, i] = np.where(valid, np.maximum(bucket, 1), 0)
+            self.marks[:, i] = (mixed >> np.uint64(20)).astype(np.uint16)
         # a sentence ends at a line, at . ! ? and with its row
         breaks = np.concatenate(([0], np.cumsum(_BREAK[data])))
         new = np.ones(n, bool)
@@ -61,6 +64,17 @@ class Words:
         self.first = np.flatnonzero(new)
         self.size = np.diff(np.append(self.first, n))
 
+    def known(self, owner: np.ndarray) -> np.ndarray:
+        """The features that own their bucket; the others, which training never saw there, become 0."""
+        return np.where(owner[self.features] == self.marks, self.features, 0)
+
+    def owners(self, tags: np.ndarray) -> np.ndarray:
+        """Per bucket the mark of one feature, one of a tagged word where there is one."""
+        owner = np.zeros(1 << BUCKETS_BITS, np.uint16)
+        for some in (tags == 0, tags == 1):
+            owner[self.features[some].ravel()] = self.marks[some].ravel()
+        return owner
+
 
 # -- the field ---------------------------------------------------------------------------------
 
@@ -98,40 +112,50 @@ def marginals(score: np.ndarray, first: np.ndarray, size: np.ndarray, trans: np.
 
 @dataclass(frozen=True)
 class Model:
-    """``weights`` of the features, the chain's ``trans`` and ``begin``, and the ``document`` weights (constant,
+    """``weights`` of the features and the ``owner`` of each, the chain's ``trans`` and ``begin``, and the ``document`` weights (constant,
     greatest marginal, logarithm of the sum)."""
 
     weights: np.ndarray
+    owner: np.ndarray
     trans: np.ndarray
     begin: np.ndarray
     document: np.ndarray
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        return self.weights, self.trans, self.begin, self.document
+        return self.weights, self.owner, self.trans, self.begin, self.document
 
 
 def weak_tags(words: Words, toxic: np.ndarray) -> np.ndarray:
-    """1 for the words of toxic rows with a feature that marks toxic rows."""
-    buckets, n_toxic, n_clean = 1 << BUCKETS_BITS, int(toxic.sum()), int((~toxic).sum())
+    """1 for the words of toxic rows with a feature that marks toxic rows.
+
+    A feature counts once per different word before it, so what copies and near-copies of a text
+    repeat counts once.
+    """
+    in_toxic = toxic[words.row]
+    n_toxic, n_clean = int(in_toxic.sum()), int((~in_toxic).sum())
+    share = min(max(n_toxic / max(n_toxic + n_clean, 1), 1e-9), 1 - 1e-9)
     told = np.zeros(len(words.row), bool)
+    exact = (words.features.astype(np.int64) << 16) | words.marks
+    before = np.zeros(len(words.row), np.int64)
+    same = words.row[1:] == words.row[:-1]
+    before[1:][same] = words.features[:-1, 0][same]
     for i in [0, *range(1 + PREFIXES.index(4), 1 + len(PREFIXES))]:
-        pair = np.unique(words.row.astype(np.int64) * buckets + words.features[:, i])
-        in_row, bucket = pair // buckets, pair % buckets
-        t = np.bincount(bucket[toxic[in_row]], minlength=buckets).astype(float)
-        c = np.bincount(bucket[~toxic[in_row]], minlength=buckets).astype(float)
+        _, which = np.unique(exact[:, i], return_inverse=True)
+        n = int(which.max()) + 1 if len(which) else 0
+        pair = (which.astype(np.int64) << BUCKETS_BITS) | before
+        t = np.bincount(np.unique(pair[in_toxic]) >> BUCKETS_BITS, minlength=n).astype(float)
+        c = np.bincount(np.unique(pair[~in_toxic]) >> BUCKETS_BITS, minlength=n).astype(float)
         odds = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
-        share, total = n_toxic / max(n_toxic + n_clean, 1), np.maximum(t + c, 1)
+        total = np.maximum(t + c, 1)
         part = lambda k, q: np.where(k > 0, k * np.log(np.maximum(k, 1) / (total * q)), 0)
-        ratio = 2 * (part(t, max(share, 1e-9)) + part(c, max(1 - share, 1e-9)))
-        sign = (odds >= LOG_ODDS) & (ratio >= RATIO)
-        sign[0] = False
-        told |= sign[words.features[:, i]]
-    return (told & toxic[words.row]).astype(np.int8)
+        sign = (odds >= LOG_ODDS) & (2 * (part(t, share) + part(c, 1 - share)) >= RATIO)
+        told |= sign[which] & (words.features[:, i] > 0)
+    return (told & in_toxic).astype(np.int8)
 
 
-def train_field(words: Words, tags: np.ndarray, toxic: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train_field(words: Words, tags: np.ndarray, owner: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights that make the tags likely: gradient steps with per-weight rates over batches of sentences."""
-    rng = np.random.default_rng(seed)
+    rng, known = np.random.default_rng(seed), words.known(owner)
     tagged = np.add.reduceat(tags, words.first) > 0 if len(words.first) else np.zeros(0, bool)
     positive, negative = np.flatnonzero(tagged), np.flatnonzero(~tagged)
     negative = rng.permutation(negative)[: 4 * len(positive) + 2000]
@@ -145,7 +169,7 @@ def train_field(words: Words, tags: np.ndarray, toxic: np.ndarray, seed: int = 0
             size = words.size[some]
             first = np.cumsum(size) - size
             at = np.repeat(words.first[some] - first, size) + np.arange(int(size.sum()))
-            features, said = words.features[at], tags[at].astype(np.int64)
+            features, said = known[at], tags[at].astype(np.int64)
             p, steps, starts = marginals(weights[features].sum(axis=1), first, size, trans, begin, expect=True)
             inner = np.ones(len(at), bool)
             inner[first] = False
@@ -204,9 +228,12 @@ def fit(
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if len(shares) < 2:
         return None
-    turn = Window.partitionBy("toxic").orderBy(F.crc32(F.col("id").cast("string").cast("binary")), "id")
+    known = known.withColumn("sum", crc32(F.col("id")))
+    share = first_share(SAMPLE_DOCUMENTS, F.when(F.col("toxic") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0])))
+    turn = Window.partitionBy("toxic").orderBy("sum", "id")
     # a bounded number of rows, so it may be broadcast
-    chosen = known.withColumn("nth", F.row_number().over(turn)).where(F.col("nth") <= SAMPLE_DOCUMENTS).drop("nth")
+    chosen = known.where(F.col("sum") < share * float(1 << 32)).withColumn("nth", F.row_number().over(turn))
+    chosen = chosen.where(F.col("nth") <= SAMPLE_DOCUMENTS).select("id", "toxic")
     texts = documents.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     texts = texts.where("text is not null").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
     rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).collect()
@@ -224,13 +251,15 @@ def fit(
 
     half = len(rows) // 2
     taught, judged = words(rows[:half]), words(rows[half:])
-    weights, trans, begin = train_field(taught, weak_tags(taught, toxic[:half]), toxic[:half])
-    p = marginals(weights[judged.features].sum(axis=1), judged.first, judged.size, trans, begin)
+    tags = weak_tags(taught, toxic[:half])
+    owner = taught.owners(tags)
+    weights, trans, begin = train_field(taught, tags, owner)
+    p = marginals(weights[judged.known(owner)].sum(axis=1), judged.first, judged.size, trans, begin)
     x, seen = document_features(p, judged.row, len(rows) - half), toxic[half:]
     sample = np.bincount(seen.astype(int), minlength=2)
     real = np.array([shares[0], shares[1]]) / (shares[0] + shares[1])
     weight = (real * len(seen) / np.maximum(sample, 1))[seen.astype(int)]
-    return Model(weights, trans, begin, train_document(x, seen.astype(float), weight))
+    return Model(weights, owner, trans, begin, train_document(x, seen.astype(float), weight))
 
 
 def score(documents: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
@@ -256,9 +285,9 @@ def score(documents: DataFrame, model: Model | None, carry: tuple[str, ...] = ("
                 n = piece.num_rows
                 scores, tagged, spans = np.zeros(n), np.zeros(n, np.int64), [[] for _ in range(n)]
                 if fitted is not None:
-                    weights, trans, begin, document = fitted
+                    weights, owner, trans, begin, document = fitted
                     words = Words(data, at, hasher)
-                    p = marginals(weights[words.features].sum(axis=1), words.first, words.size, trans, begin)
+                    p = marginals(weights[words.known(owner)].sum(axis=1), words.first, words.size, trans, begin)
                     scores = _logistic(document_features(p, words.row, n) @ document)
                     hits = np.flatnonzero(p >= TAGGED)
                     tagged = np.bincount(words.row[hits], minlength=n)
