@@ -20,6 +20,7 @@ from pyspark.sql import Window
 
 from addrloom.llm.arrowtext import pieces
 from addrloom.llm.letters import IS_LETTER, PartHashes, has_letter, letter_runs
+from addrloom.llm.shared import first_share
 
 UNKNOWN = "und"
 HIDDEN = 12
@@ -154,7 +155,13 @@ def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang
         nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(*by), *by))
         return df.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
 
-    spoken = some(rows, SAMPLE_DOCUMENTS, "text").select("lang", F.explode(F.split(F.lower("text"), r"[\x00-\x60\x7B-\x7F]+")).alias("word"))
+    # chosen among hashes; only the chosen texts travel, a bounded number, so their hashes may be broadcast
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    texts = hashed.groupBy("lang").agg(F.approx_count_distinct("hash").alias("texts"))  # one row per language
+    spread = F.pmod("hash", F.lit(1 << 30)) / (1 << 30)
+    few = hashed.select("lang", "hash").join(F.broadcast(texts), "lang").where(spread < first_share(2 * SAMPLE_DOCUMENTS, F.col("texts")))
+    chosen = some(few.select("lang", "hash").distinct(), SAMPLE_DOCUMENTS, "hash")
+    spoken = hashed.join(F.broadcast(chosen), ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"]).select("lang", F.explode(F.split(F.lower("text"), r"[\x00-\x60\x7B-\x7F]+")).alias("word"))
     counts = spoken.where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     sample = some(counts, SAMPLE_WORDS, "word").collect()  # at most SAMPLE_WORDS per language
     sample = sorted((r["lang"], r["word"], r["n"]) for r in sample)

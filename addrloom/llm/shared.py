@@ -30,6 +30,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def first_share(wanted: int, of: Column) -> Column:
+    """A share of evenly spread hashes, from the lowest on, that holds the ``wanted`` lowest of ``of`` rows, all but
+    surely: six standard deviations more are expected below it.  Cuts a sample's candidates where they are."""
+    return (F.lit(wanted + 6 * wanted**0.5 + 50)) / F.greatest(of, F.lit(1))
+
+
 def words(text: Column) -> Column:
     """The words of a text; none of a null text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
