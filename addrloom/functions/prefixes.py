@@ -74,6 +74,12 @@ def with_tag_prefix(df: DataFrame, tag: str, readings: DataFrame, out: str = "pr
     return df.join(spelled, df[tag].eqNullSafe(spelled["_tag"]), "left").drop("_tag")
 
 
+def read_tag(tag: str, readings: DataFrame) -> str:
+    """The prefix of one tag by a reading table of any size: only the readings of its characters are read."""
+    rows = readings.sparkSession.createDataFrame([(tag,)], "tag string")
+    return with_tag_prefix(rows, "tag", readings).first()["prefix"]
+
+
 def tag_tables(prefix: Column) -> dict[str, Column]:
     return {
         "recall_table": F.concat(prefix, F.lit(RECALL_SUFFIX)),

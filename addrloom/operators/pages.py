@@ -15,6 +15,18 @@ def page(df: DataFrame, order: Sequence[Column | str], number: int = 1, size: in
     return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, keys: Sequence[str], last: Sequence | None = None, size: int = 20) -> DataFrame:
+    """The page that follows the key values ``last`` (None: the first page), in ascending order of
+    the keys: any depth costs one page per partition, as the rows before are filtered out."""
+    if last is not None:
+        later = F.lit(False)
+        for i in reversed(range(len(keys))):
+            key, value = F.col(keys[i]), F.lit(last[i])
+            later = (key > value) | ((key == value) & later)
+        df = df.where(later)
+    return df.orderBy(*keys).limit(size)
+
+
 def _recall_order() -> list[Column]:
     return [F.asc("enterprise_id"), F.desc("similarity"), F.asc("standard_id")]
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from addrloom import schemas
-from addrloom.functions.prefixes import tag_prefix, tag_tables
+from addrloom.functions.prefixes import read_tag, tag_prefix, tag_tables
 from addrloom.functions.text import strip
 from addrloom.vocab import RECALL_SUFFIX
 
@@ -29,11 +29,16 @@ def _ensure_empty(spark: SparkSession, table: str, layout) -> None:
 
 def create_tag(spark: SparkSession, name: str, readings=None) -> Row | None:
     """Create a tag and its empty tables; an existing prefix is returned as is,
-    and a blank name creates nothing."""
+    and a blank name creates nothing.  ``readings`` is a map column or a table
+    (``char``, ``reading``) of any size."""
     _ensure(spark)
+    if isinstance(readings, DataFrame):
+        prefix = F.lit(read_tag(name, readings))
+    else:
+        prefix = tag_prefix(F.col("tag_name"), readings)
     row = (
         spark.range(1).select(strip(F.lit(name)).alias("tag_name"), F.current_timestamp().alias("created_at"))
-        .withColumn("prefix", tag_prefix(F.col("tag_name"), readings))
+        .withColumn("prefix", prefix)
         .withColumns(tag_tables(F.col("prefix")))
         .select("tag_name", "recall_table", "match_table", "created_at", "prefix")
     )
