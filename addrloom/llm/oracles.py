@@ -105,3 +105,83 @@ select conv_id, part::int as part, copies, n_turns::bigint as n_turns,
   array_to_string(turns[part * 512 + 1 : part * 512 + 512], chr(10)) as rendered
 from kept join convs using (conv_id), lateral (select unnest(range(0, (n_turns + 511) // 512)) as part)
 """
+
+# where the spans of a kind begin and end: lengths of the pieces between the matches and of the matches
+_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_VALID = {
+    "email": "true",
+    "ip": "list_max(list_transform(string_split(value, '.'), lambda x: coalesce(try_cast(x as int), 999))) <= 255",
+    "card": """length(digits) between 16 and 19 and list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+      case when i % 2 = 1 then substr(reverse(digits), i, 1)::int
+        when substr(reverse(digits), i, 1)::int < 5 then 2 * substr(reverse(digits), i, 1)::int
+        else 2 * substr(reverse(digits), i, 1)::int - 9 end)) % 10 = 0""",
+    "phone": "length(digits) between 8 and 15",
+}
+
+
+def _spans(kind: str, number: int) -> str:
+    return f"""
+{kind}_found as (
+  select doc_id, said, unnest(list_zip(range(1, len(found) + 1), pieces[1 : len(found)], found)) as z
+  from (select doc_id, said, regexp_extract_all(said, '{_KINDS[kind]}') as found, string_split_regex(said, '{_KINDS[kind]}') as pieces from texts)),
+{kind}_placed as (
+  select doc_id, said, z[1] as nth, z[3] as value, regexp_replace(z[3], '[^0-9]', '', 'g') as digits,
+    sum(length(z[2]) + length(z[3])) over (partition by doc_id order by z[1]) as stop
+  from {kind}_found),
+{kind}_spans as (
+  select doc_id, said, {number} as kind_no, '{kind}' as kind, (stop - length(value))::int as start, stop::int as stop,
+    '{kind}:' || {"lower(value)" if number < 3 else "digits"} as value
+  from {kind}_placed where {_VALID[kind]})"""
+
+
+ORACLES["op3_pii"] = (
+    "with texts as (select doc_id, coalesce(text, '') as said from documents),"
+    + ",".join(_spans(k, i) for i, k in enumerate(_KINDS, 1)) + """,
+base as (""" + " union all ".join(f"select * from {k}_spans" for k in _KINDS) + r"""),
+sides as (
+  select *, string_split(substr(said, greatest(start - 120, 0) + 1, least(start, 120)), chr(10))[-1] as before,
+    string_split(substr(said, stop + 1, 120), chr(10))[1] as after from base),
+whole as (
+  select doc_id, said, value,
+    regexp_extract_all(lower(case when length(before) < 120 then before else regexp_replace(before, '^[\p{L}\p{N}]+', '') end), '[\p{L}\p{N}]{3,}') as b,
+    regexp_extract_all(lower(case when length(after) < 120 then after else regexp_replace(after, '[\p{L}\p{N}]+$', '') end), '[\p{L}\p{N}]{3,}') as a
+  from sides),
+beside as (select distinct doc_id, said, value, unnest(list_concat(b[-8:], a[:8])) as term from whole),
+value_counts as (select value, count(distinct doc_id) as n_value from base group by value),
+pairs as (
+  select value, term, count(distinct doc_id) as n_both from beside group by value, term having count(distinct said) >= 3),
+term_counts as (
+  select term, count(*) as n_term
+  from (select doc_id, unnest(list_distinct(regexp_extract_all(lower(said), '[\p{L}\p{N}]{3,}'))) as term from texts)
+  where term in (select term from pairs) group by term),
+told as (
+  select value, term from pairs join value_counts using (value) join term_counts using (term), (select count(*) as n from texts)
+  where n > n_value and ln(n_both * n / (n_value * n_term)) / ln(n / n_value) >= 0.8),
+flagged as (
+  select doc_id, any_value(said) as said, string_agg(distinct term, '|') as terms
+  from beside join told using (value, term) group by doc_id),
+-- a word is disclosing if it is one of the terms; words are found where letters and digits begin
+term_found as (
+  select doc_id, unnest(list_zip(range(1, len(found) + 1), pieces[1 : len(found)], found)) as z, terms
+  from (select doc_id, terms, regexp_extract_all(said, '[\p{L}\p{N}]+') as found, string_split_regex(said, '[\p{L}\p{N}]+') as pieces from flagged)),
+term_spans as (
+  select doc_id, 5 as kind_no, 'term' as kind, (stop - length(value))::int as start, stop::int as stop
+  from (select doc_id, terms, z[3] as value, sum(length(z[2]) + length(z[3])) over (partition by doc_id order by z[1]) as stop from term_found)
+  where lower(value) in (select unnest(string_split(terms, '|')))),
+every as (select doc_id, kind_no, kind, start, stop from base union all select * from term_spans),
+joined as (
+  select doc_id, string_agg(kind || ':' || start || ':' || stop, ',' order by kind_no, start) as spans,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by kind_no, start) filter (where kind_no < 5) as base_spans,
+    count(*) filter (where kind_no = 1) as n_email, count(*) filter (where kind_no = 2) as n_ip, count(*) filter (where kind_no = 3) as n_card,
+    count(*) filter (where kind_no = 4) as n_phone, count(*) filter (where kind_no = 5) as n_term
+  from every group by doc_id)
+select doc_id, coalesce(n_email, 0)::bigint as n_email, coalesce(n_ip, 0)::bigint as n_ip, coalesce(n_card, 0)::bigint as n_card,
+  coalesce(n_phone, 0)::bigint as n_phone, sha256(coalesce(base_spans, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(n_term, 0)::bigint as n_term
+from texts left join joined using (doc_id)
+""")
