@@ -803,4 +803,5 @@ SELECT o_orderkey::VARCHAR AS enterprise_id, o_orderpriority AS enterprise_name,
 ORACLES["null_and_blank"] = with_(TURNS) + f"""
 SELECT id, {strip("coalesce(next_text, '')")} AS stripped, nullif(next_text, '') AS nulled FROM turns"""
 ORACLES["csv_round_trip"] = """
-SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment FROM customer"""
+SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_acctbal::DECIMAL(15, 2)::VARCHAR AS c_acctbal,
+       c_mktsegment FROM customer"""
