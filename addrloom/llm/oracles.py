@@ -59,7 +59,7 @@ ruled as (
     + case when word_chars < 2 * n_words then 8 else 0 end
     + case when word_chars > 15 * n_words then 16 else 0 end
     + case when 10 * n_symbols > n_words then 32 else 0 end
-    + case when 10 * n_dup_lines > 3 * n_lines then 64 else 0 end
+    + case when n_dup_lines > 1 and 10 * n_dup_lines > 3 * n_lines then 64 else 0 end
     + case when 10 * n_alpha_words < 6 * n_words then 128 else 0 end)::bigint as failed
   from measured)
 select *, failed & 3 <> 0 as base_failed, failed = 0 as kept, 'v2' as policy from ruled
