@@ -30,16 +30,22 @@ def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def decodes(line: bytes, codec: str) -> bool:
+        excluded: set[tuple[str, str]] = set()
+
+        def decodes(file: str, text: bytes, codec: str) -> bool:
+            if (file, codec) in excluded:
+                return False
             try:
-                line.decode(codec)
+                text.decode(codec)
                 return True
             except UnicodeDecodeError:
+                excluded.add((file, codec))
                 return False
 
         for batch in batches:
-            verdicts = {c: [decodes(bytes(b), c) for b in batch["line"]] for c in CSV_ENCODINGS}
-            yield pd.DataFrame({"file": batch["file"], **verdicts}).groupby("file", as_index=False).all()
+            # all lines of a file in a batch at once: one that fails excludes the codec anyway
+            texts = {f: b"\n".join(map(bytes, lines)) for f, lines in batch.groupby("file")["line"]}
+            yield pd.DataFrame([{"file": f, **{c: decodes(f, t, c) for c in CSV_ENCODINGS}} for f, t in texts.items()])
 
     lines = (
         spark.read.option("lineSep", "\n").text(path)
@@ -53,6 +59,12 @@ def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
     return checked.select("file", first.alias("encoding"))
 
 
+def _allow_charsets(spark: SparkSession, charsets) -> None:
+    """Spark 4 knows the Chinese code pages only with this switch.  It stays on, as reading is lazy."""
+    if any(c not in _JVM_DEFAULT_CHARSETS for c in charsets):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def read_csv(
     spark: SparkSession, path: str, *required: str | None, infer_schema: bool = False, multi_line: bool = False
 ) -> DataFrame:
@@ -64,9 +76,7 @@ def read_csv(
         files.setdefault(_JAVA_CHARSET[row["encoding"]], []).append(row["file"])
     if not files:
         raise ValueError(f"no CSV rows under {path}")
-    if any(c not in _JVM_DEFAULT_CHARSETS for c in files):
-        # Spark 4 reads the Chinese code pages only with this switch
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    _allow_charsets(spark, files)
     parts = [
         spark.read.option("header", True).option("encoding", charset).option("inferSchema", infer_schema)
         .option("multiLine", multi_line).option("escape", '"').csv(sorted(paths))
@@ -75,13 +85,18 @@ def read_csv(
     return require_columns(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), *required)
 
 
-def write_csv(df: DataFrame, path: str, rows_per_file: int | None = None, byte_order_mark: bool = False) -> None:
+def write_csv(
+    df: DataFrame, path: str, rows_per_file: int | None = None, byte_order_mark: bool = False, encoding: str = "utf-8",
+) -> None:
     """Export with a header in every piece.  ``rows_per_file`` limits a piece (a
-    spreadsheet-sized 5000, say); left out, pieces follow the partitions."""
+    spreadsheet-sized 5000, say); left out, pieces follow the partitions.  ``encoding`` is
+    one of the known ones."""
+    charset = _JAVA_CHARSET[encoding]
+    _allow_charsets(df.sparkSession, [charset])
     if byte_order_mark and df.columns:
         # a mark in front of the first column name is the first thing in each file
         df = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0])
-    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", charset)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.csv(path)

@@ -694,6 +694,8 @@ SELECT identifier, CASE WHEN blank OR bad THEN 0.0 ELSE 0.5 END AS exact_match,
 ORACLES["tags_lifecycle"] = """
 SELECT trim(r_name) AS tag_name, lower(replace(r_name, ' ', '_')) AS prefix, lower(replace(r_name, ' ', '_')) || '_recall_results' AS recall_table,
        lower(replace(r_name, ' ', '_')) || '_match_results' AS match_table FROM region WHERE r_regionkey % 2 = 1"""
+ORACLES["csv_encodings"] = """
+SELECT c_custkey::VARCHAR AS c_custkey, '科苑' || CASE c_custkey % 3 WHEN 2 THEN '㐀' ELSE '路' END || c_custkey || '号' AS address FROM customer"""
 ORACLES["match_export"] = ORACLES["match_filter"]
 ORACLES["eval_transform_counts"] = with_(VARIANTS) + "SELECT transform_type, count(*) AS row_count FROM variants GROUP BY 1"
 ORACLES["eval_pair_status"] = with_(

@@ -934,6 +934,18 @@ def csv_round_trip(spark, folder):
     return csv.read_csv(spark, f"{target}/*.csv", "c_custkey", "c_name")
 
 
+@query
+def csv_encodings(spark, folder):
+    """Customers by thirds in three encodings, recognized and read as one table."""
+    target = v.work_folder(spark, "encodings")
+    third = F.col("c_custkey") % 3
+    rare = F.when(third == 2, "㐀").otherwise("路")  # not in the smaller code pages
+    rows = v.table(spark, folder, "customer").select("c_custkey", F.concat(F.lit("科苑"), rare, "c_custkey", F.lit("号")).alias("address"))
+    for i, encoding in enumerate(("utf-8", "gbk", "gb18030")):
+        csv.write_csv(rows.where(third == i), f"{target}/{encoding}", encoding=encoding)
+    return csv.read_csv(spark, f"{target}/*/*.csv", "c_custkey", "address")
+
+
 @query
 def match_export(spark, folder):
     """Filtered match rows as CSV, read again."""
