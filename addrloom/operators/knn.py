@@ -5,8 +5,8 @@ nearest centre; a query is sent to the cells it has to search; query and
 reference rows meet in a co-group on the cell, which emits the best ``top_n``
 of each query only; a window keeps the best ``top_n`` over all cells.
 
-* :func:`knn_join` (exact) sends a query to every cell that can hold one of its
-  ``top_n`` nearest vectors.  With the centre distances of a cell's members
+* :func:`knn_join` (exact) sends a query to the regions (neighbouring cells, as many as
+  fit in a chunk) of every cell that can hold one of its ``top_n`` nearest vectors.  With the centre distances of a cell's members
   known, the triangle inequality bounds both the distance of the ``top_n``-th
   neighbour (from above) and that of a whole cell (from below); cells beyond
   the bound are skipped without changing the result.
@@ -230,6 +230,22 @@ def _cells_to_search(points: np.ndarray, cells: Cells, top_n: int, reach: float)
     return (lower <= bound[:, None] + SLACK) & (cells.rows > 0)[None, :]
 
 
+def _regions(cells: Cells, most_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells in an order that keeps near ones together (along the direction in which the centres
+    spread most), and the first place of each region: neighbours of ``most_rows`` rows at most, or
+    one larger cell.  A query is sent once to a region, whichever of its cells it searches."""
+    spread = cells.centres - cells.centres.mean(axis=0)
+    axis = np.linalg.svd(spread, full_matrices=False)[2][0]
+    order = np.argsort(spread @ axis, kind="stable")
+    first, filled = [0], 0
+    for place, n in enumerate(cells.rows[order].tolist()):
+        if filled and filled + n > most_rows:
+            first.append(place)
+            filled = 0
+        filled += n
+    return order, np.array(first)
+
+
 def _cells_to_probe(points: np.ndarray, centres: np.ndarray, filled: np.ndarray, probes: int) -> np.ndarray:
     """Rows x cells: the ``probes`` nearest cells that have members."""
     squared = _squared_distances(points, centres)
@@ -442,9 +458,16 @@ def knn_join(
     assigned = written(assign_cells(r, centres), "assigned")
     known = _describe_cells(assigned, centres, top_n)
     reach = math.inf if threshold is None else math.sqrt(max(0.0, 2.0 * (1.0 - threshold)))
-    sent = _send_to_cells(q, lambda points: _cells_to_search(points, known, top_n, reach))
+    order, first = _regions(known, chunk_rows)
+    region = np.empty(len(order), dtype=np.int64)
+    region[order] = np.searchsorted(first, np.arange(len(order)), side="right") - 1
+    sent = _send_to_cells(
+        q, lambda points: np.logical_or.reduceat(_cells_to_search(points, known, top_n, reach)[:, order], first, axis=1)
+    )
+    assigned = assigned.withColumn("cell", F.element_at(F.lit(region.tolist()), F.col("cell") + 1).cast("int"))
     query_rows = _rows_per_cell(sent) if query_count > chunk_rows else {}
-    reference_rows = {c: int(n) for c, n in enumerate(known.rows) if n}
+    rows = np.bincount(region, known.rows, len(first))
+    reference_rows = {c: int(n) for c, n in enumerate(rows) if n}
     return _meet(sent, assigned, reference_rows, query_rows, top_n, threshold, chunk_rows)
 
 
