@@ -541,13 +541,13 @@ def tag_sink_rows(spark, folder):
 
 @query
 def encode_text(spark, folder):
-    encoded = v.enterprise_text_vectors(spark, folder)
+    encoded = v.encoded_enterprise_texts(spark, folder)
     return encoded.select("source_id", "enterprise_name", "address", vectors.vector_text(F.col("vector")).alias("vector_text"))
 
 
 @query
 def encode_documents(spark, folder):
-    encoded = v.standard_text_vectors(spark, folder)
+    encoded = v.encoded_standard_texts(spark, folder)
     return encoded.select(
         "source_id", "room_no",
         F.round(vectors.l2_norm(F.col("vector")), 6).alias("norm"),

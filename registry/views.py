@@ -110,12 +110,20 @@ def _stored(spark: SparkSession, vectors: DataFrame, kind: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def encoded_enterprise_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return vectorize.encode(enterprise_texts(spark, folder), "enterprise", CharPairEncoder(TEXT_DIM))
+
+
 def enterprise_text_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return _stored(spark, vectorize.encode(enterprise_texts(spark, folder), "enterprise", CharPairEncoder(TEXT_DIM)), "enterprise")
+    return _stored(spark, encoded_enterprise_texts(spark, folder), "enterprise")
+
+
+def encoded_standard_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return vectorize.encode(standard_texts(spark, folder), "standard", CharPairEncoder(TEXT_DIM))
 
 
 def standard_text_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return _stored(spark, vectorize.encode(standard_texts(spark, folder), "standard", CharPairEncoder(TEXT_DIM)), "standard")
+    return _stored(spark, encoded_standard_texts(spark, folder), "standard")
 
 
 def turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
