@@ -226,9 +226,11 @@ class _Labeller:
         return sums, np.bincount(row, ends - starts, rows)
 
 
-def predict(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
+def predict(
+    documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text", with_text: bool = False,
+) -> DataFrame:
     """``document`` (a struct of the carried columns), ``lang_pred`` and ``score``, the mean probability of that
-    language over the text's letters.
+    language over the text's letters; ``text`` if asked for.
 
     ``und`` with score 0 for a null text, one without letters, or a model without languages.  Equal
     probabilities go to the first language in alphabetical order.  The whole text counts, however long.
@@ -237,7 +239,7 @@ def predict(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_i
         F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("document"),
         F.col(f"`{text_column}`").cast("string").alias("text"),
     )
-    schema = rows.select("document", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = rows.select("document", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), *["text"][: with_text]).schema
     languages = list(model.languages)
     params = documents.sparkSession.sparkContext.broadcast(model.params)
 
@@ -256,7 +258,8 @@ def predict(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_i
                         if sure[r] or has_letter(piece.column("text")[r].as_py()):
                             names[r], scores[r] = languages[best[r]], min(1.0, float(sums[r, best[r]] / n[r]))
                 columns = [piece.column("document"), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["document", "lang_pred", "score"])
+                columns += [piece.column("text")][: with_text]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
