@@ -1,13 +1,12 @@
 """Main text of web pages, with site templates removed by counting subtrees.
 
 Every element's subtree is hashed: tag, name of its class and role, text and children.  Spark counts on how many
-pages of a host each hash occurs; a subtree on a large share of a host's pages is the site's template
-and is deleted before the text is taken, beside what its tag or class says is no article.  The text of an
+different pages of a host each hash occurs (copies, pages of one text, count once); a subtree on many of them is the
+site's template and is deleted before the text is taken, beside what its tag or class says is no article.  The text of an
 ``article`` or ``main`` is the author's: inside it only containers can be template, never its blocks of prose.
 
-A page is parsed where it lies; only (host, hash) pairs are shuffled, once per page and partially counted first.
-As a template holds a share of its host's pages, a host has no more templates than an average page
-has elements, divided by the share.
+A page is parsed where it lies; only hashes are shuffled: (host, content, page) once a page to find the copies, then
+(host, hash) pairs, partially counted first.
 """
 
 from __future__ import annotations
@@ -179,10 +178,13 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def candidates(source: str) -> set[int]:
-    """Hashes of the subtrees of a page that could be template: those with text, above single blocks of an article."""
+def candidates(source: str) -> tuple[int, set[int]]:
+    """Hash of what the page says (of the whole page if it says nothing), and hashes of its subtrees that could be
+    template: those with text, above single blocks of an article."""
     root = parse(source)
     hash_subtrees(root)
+    said = _blocks_of(root, frozenset())
+    content = signed(xxhash.xxh64_intdigest(said.encode("utf-8", "surrogatepass")) if said else root.hash)
     out, stack = set(), [(root, False)]
     while stack:
         node, inside = stack.pop()
@@ -190,7 +192,7 @@ def candidates(source: str) -> set[int]:
         if node.tag not in ("#root", "html", "body", "head") and not (inside and (node.tag in PROSE or node.tag not in BLOCKS or is_article(node))):
             out.add(signed(node.hash))
         stack.extend((c, inside) for c in node.children if isinstance(c, Node))
-    return out
+    return content, out
 
 
 def is_article(node: Node) -> bool:
@@ -202,7 +204,10 @@ def main_text(source: str, templates: frozenset[int] = frozenset()) -> str:
     root = parse(source)
     if templates:
         hash_subtrees(root)
+    return _blocks_of(root, templates)
 
+
+def _blocks_of(root: Node, templates: frozenset[int]) -> str:
     def removed(node: Node, inside: bool) -> bool:
         if is_boilerplate(node, inside):
             return True
@@ -257,23 +262,27 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, url_column: str = "url", html_column: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """``host`` and ``hashes``: the subtrees on at least ``min_pages`` pages and a ``share`` of the pages of the host.
-    Pages without a host have no common template."""
+    """``host`` and ``hashes``: the subtrees on at least ``min_pages`` different pages and a ``share`` of the different
+    pages of the host.  Pages of a host that say the same are one page.  Pages without a host have no common template."""
     rows = pages.select(host(F.col(f"`{url_column}`")).alias("host"), F.col(f"`{html_column}`").cast("string").alias("html"))
     rows = rows.where("host <> ''")
-    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("hash", T.LongType()), T.StructField("n", T.LongType())])
+    schema = T.StructType([
+        T.StructField("host", T.StringType()), T.StructField("content", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType())),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # counts of a batch; 0 stands for the page itself
+        # subtrees of the different pages of a batch; 0 stands for the page itself
         for batch in batches:
-            counts: dict[tuple[str, int], int] = {}
+            found: dict[tuple[str, int], set[int]] = {}
             for name, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                for h in candidates(source or "") | {0}:
-                    counts[name, h] = counts.get((name, h), 0) + 1
-            columns = [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())]
+                content, hashes = candidates(source or "")
+                found.setdefault((name, content), {0}).update(hashes)
+            columns = [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64())]
+            columns.append(pa.array([list(h) for h in found.values()], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    counts = stored(rows.mapInArrow(run, schema).groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages), "html-subtrees")
+    different = rows.mapInArrow(run, schema).select("host", "content", F.explode("hashes").alias("hash")).distinct()
+    counts = stored(different.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages), "html-subtrees")
     whole = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
     common = counts.where("hash <> 0").join(whole, "host").where(F.col("n") >= share * F.col("pages"))
     return common.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
@@ -285,8 +294,8 @@ def extract(
 ) -> DataFrame:
     """``document`` (a struct of the carried columns) and ``text``: the main text, blocks joined by line feeds.
 
-    Null and empty pages have an empty text, and so have pages of nothing but template.  Repeated pages are
-    pages of their own when subtrees are counted.  Whole pages of any length are parsed; an empty table
+    Null and empty pages have an empty text, and so have pages of nothing but template.  Repeated pages each
+    give a row, but count as one page when subtrees are counted.  Whole pages of any length are parsed; an empty table
     gives no rows; carried names cannot clash with results, as they stay inside the struct.
     """
     found = templates(pages, url_column, html_column, min_pages, share)

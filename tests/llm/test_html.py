@@ -56,3 +56,14 @@ def test_templates_are_counted_per_host(spark):
     assert got[22] == "same line\ntext 2"
     assert got[31] == "" and got[32] == ""
     assert html.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<body><div><p>The whole story</p><p>and its end</p></div></body>", "<article><h1>T</h1><section><p>The whole story</p></section><div>and its end</div></article>"])
+def test_copies_prove_no_template(spark, page):
+    menu = "<div><p>Our shops</p></div>"
+    rows = [(i, f"http://a.example/{i}", page + menu) for i in range(5)] + [(10 + i, f"http://a.example/{i}", f"<p>page {i}</p>{menu}") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).select("document.page_id", "text").collect()}
+    for i in range(5):
+        assert "The whole story" in got[i] and "and its end" in got[i] and "shops" not in got[i]
+    assert got[10] == "page 0"
