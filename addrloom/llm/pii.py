@@ -1,15 +1,15 @@
 """Personal data and the terms that give it away.
 
-Addresses, numbers and the like are found by patterns.  Then the corpus itself says which words
-around them are as good as the value: with n counting documents,
+Addresses, numbers and the like are found by patterns.  Then the corpus itself says which words of
+the same documents are as good as the value: with n counting documents,
 
     PMI(value; term) = log(n(value, term) * N / (n(value) * n(term)))
     IC(value)        = log(N / n(value))
 
 and a term that carries a share PMI / IC of the value's information above a threshold discloses it.
-Such terms are replaced by their class in the documents where they stand beside the value, and removed
-above a second threshold.  Everything is column expressions; only documents with personal data
-leave their partition, as narrow rows.
+Such terms are replaced by their class wherever they stand, in every document that holds them, and removed
+above a second threshold.  Everything is column expressions; of the others than documents with personal data
+only counts of terms and the keys of documents with a disclosing term leave their partition.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ KINDS = tuple(PATTERNS)
 TERM = "term"
 
 TERM_PATTERN = r"[\p{L}\p{N}]{3,}"
-CONTEXT_CHARS, CONTEXT_TERMS = 120, 8
 MIN_TEXTS, DISCLOSES, REMOVES = 3, 0.8, 0.95
+# bits of the table that tells which documents may hold a disclosing term, as a power of two
+MOST_BITS = 25
 
 SPAN = "struct<start: int, end: int, value: string>"
 
@@ -84,13 +85,18 @@ def _base(text: Column, kind: str) -> Column:
     return F.when(text.rlike(_HINT[kind]), found).otherwise(none)
 
 
-def base_spans(documents: DataFrame, text_column: str, carry: tuple[str, ...]) -> DataFrame:
-    """``document`` (a struct of the carried columns), ``text`` and one array of spans per kind."""
-    rows = documents.select(
+def _texts(documents: DataFrame, text_column: str, carry: tuple[str, ...]) -> DataFrame:
+    """``document`` (a struct of the carried columns), ``text`` and ``missing``."""
+    return documents.select(
         F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("document"),
         F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"),
         F.col(f"`{text_column}`").isNull().alias("missing"),
     )
+
+
+def base_spans(documents: DataFrame, text_column: str, carry: tuple[str, ...]) -> DataFrame:
+    """``document`` (a struct of the carried columns), ``text`` and one array of spans per kind."""
+    rows = _texts(documents, text_column, carry)
     rows = rows.withColumns({k: _base(F.col("text"), k) for k in KINDS})
     return computed_once(rows, *KINDS)
 
@@ -99,29 +105,27 @@ def _has_base() -> Column:
     return F.greatest(*[F.size(k) for k in KINDS]) > 0
 
 
-def _context(text: Column, span: Column) -> Column:
-    """Distinct terms, small letters, beside a span: the nearest few on its line, on both sides."""
-    line_before = F.substring_index(F.substring(text, F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT_CHARS))), "\n", -1)
-    line_after = F.substring_index(F.substring(text, span["end"] + 1, F.lit(CONTEXT_CHARS)), "\n", 1)
-    # a word that the cut may have shortened is left out
-    whole_before = F.when(F.char_length(line_before) < CONTEXT_CHARS, line_before).otherwise(F.regexp_replace(line_before, r"^[\p{L}\p{N}]+", ""))
-    whole_after = F.when(F.char_length(line_after) < CONTEXT_CHARS, line_after).otherwise(F.regexp_replace(line_after, r"[\p{L}\p{N}]+$", ""))
-    terms = lambda t: F.regexp_extract_all(F.lower(t), F.lit(TERM_PATTERN), F.lit(0))
-    before, after = terms(whole_before), terms(whole_after)
-    near = F.slice(before, F.greatest(F.size(before) - CONTEXT_TERMS, F.lit(0)) + 1, F.lit(CONTEXT_TERMS))
-    return F.array_distinct(F.concat(near, F.slice(after, 1, CONTEXT_TERMS)))
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with every span (start, end, said) replaced; spans that overlap as one, by what the first becomes."""
+    begin = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
+    return F.aggregate(F.array_sort(spans), begin, lambda a, s: F.struct(
+        F.when(s["start"] >= a["at"], F.concat(a["kept"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["said"]))
+        .otherwise(a["kept"]).alias("kept"),
+        F.greatest(a["at"], s["end"]).alias("at"),
+    ), lambda a: F.concat(a["kept"], F.substring(text, a["at"] + 1, F.char_length(text))))
+
+
+def _said(kind: str, said: str) -> Column:
+    return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(said).alias("said")))
 
 
-def _beside(rows: DataFrame) -> DataFrame:
-    """``key``, ``said`` (the text's hash), ``value`` and ``term``: one row per document, value and term beside it."""
-    def judged(kind: str) -> Column:
-        plain = F.lower if kind in ("email", "ip") else _digits
-        return F.transform(kind, lambda s: F.struct(
-            F.concat(F.lit(f"{kind}:"), plain(s["value"])).alias("value"), _context(F.col("text"), s).alias("terms")
-        ))
+def _values() -> Column:
+    """The different values of a text, in plain form."""
+    def plain(kind: str) -> Column:
+        form = F.lower if kind in ("email", "ip") else _digits
+        return F.transform(kind, lambda s: F.concat(F.lit(f"{kind}:"), form(s["value"])))
 
-    each = rows.select("key", "said", F.inline(F.concat(*map(judged, KINDS)))).select("key", "said", "value", F.explode_outer("terms").alias("term"))
-    return each.distinct()
+    return F.array_distinct(F.concat(*map(plain, KINDS)))
 
 
 def _spoken(text: Column) -> Column:
@@ -130,27 +134,38 @@ def _spoken(text: Column) -> Column:
 
 
 def disclosing_terms(
-    documents: DataFrame, private: DataFrame, beside: DataFrame, text_column: str = "text", min_texts: int = MIN_TEXTS,
-    discloses: float = DISCLOSES,
+    documents: DataFrame, private: DataFrame, text_column: str = "text", min_texts: int = MIN_TEXTS, discloses: float = DISCLOSES,
 ) -> DataFrame:
     """``value``, ``term`` and ``share``, the part of the value's information that the term carries.
 
-    Counts are of documents; a pair is judged from ``min_texts`` different texts on, so copies of one text
-    prove nothing.  A term can only disclose if it is rarer than a limit that follows from the pair's count;
-    those already too frequent in the ``private`` documents alone are left out before the whole corpus is counted.
+    Counts are of whole documents; a pair is judged from ``min_texts`` different texts on, so copies of one text
+    prove nothing.  A value's own letters are no term.  A term can only disclose if it is rarer than a limit that
+    follows from the pair's count; those already too frequent in the ``private`` documents alone are left out before
+    the whole corpus is counted.
     """
-    values = beside.groupBy("value").agg(F.countDistinct("key").alias("n_value"))
-    pairs = beside.where("term is not null").groupBy("value", "term").agg(
-        F.countDistinct("key").alias("n_both"), F.countDistinct("said").alias("texts")
-    ).where(F.col("texts") >= min_texts)
+    # a text says the same in all its documents, so each different text is read once and weighs as many
+    copies = private.select("said", "key").distinct().groupBy("said").agg(F.count(F.lit(1)).alias("copies"))
+    texts = stored(private.select("said", "text", *KINDS).dropDuplicates(["said"]).join(copies, "said"), "pii-texts")
+    weighed = F.sum("copies").alias("n_value"), F.count(F.lit(1)).alias("texts")
+    held = texts.select("said", "copies", F.explode(_values()).alias("value"))
+    values = held.groupBy("value").agg(*weighed).where(F.col("texts") >= min_texts).drop("texts")
     total = documents.agg(F.count(F.lit(1)).alias("n"))  # one row
+    values = stored(values.join(F.broadcast(total)).where("n > n_value"), "pii-values")
+    # texts with a value that can be judged; the pairs are summed up where they are made
+    wanted = held.join(values, "value", "left_semi").groupBy("said").agg(F.collect_list("value").alias("wanted"))
+    outside = _replaced(F.col("text"), F.concat(*[_said(k, " ") for k in KINDS]))
+    each = texts.join(wanted, "said").select("copies", "wanted", F.explode(F.array_intersect(_spoken(outside), _spoken(F.col("text")))).alias("term"))
+    pairs = each.select("copies", "term", F.explode("wanted").alias("value")).groupBy("value", "term").agg(
+        F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts")
+    ).where(F.col("texts") >= min_texts)
     limit = F.col("n_both") * F.pow(F.col("n") / F.col("n_value"), F.lit(1 - discloses))
-    pairs = pairs.join(values, "value").join(F.broadcast(total)).where("n > n_value").withColumn("limit", limit)
+    pairs = pairs.join(values, "value").withColumn("limit", limit)
     pairs = stored(pairs.drop("texts"), "pii-pairs")
 
     def counted(rows: DataFrame, text: Column, wanted: DataFrame, name: str) -> DataFrame:
-        spoken = rows.select(F.explode(_spoken(text)).alias("term"))
-        return spoken.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias(name))
+        # summed up where the texts lie: one row per term and partition goes on, however frequent it is
+        spoken = rows.select(F.explode(_spoken(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias(name))
+        return spoken.join(wanted.select("term").distinct(), "term", "left_semi")
 
     least = counted(private, F.col("text"), pairs, "n_least")
     # a hair more than the limit, so that rounding leaves nothing out
@@ -168,18 +183,18 @@ def find(
     (start, end, value; code points) per kind of ``KINDS``, and ``term``: the disclosing terms' spans with their
     share.
 
-    A null text is empty; texts without personal data keep all words.  Repeated rows are judged alike, and
-    copies do not make a term disclosing.  Ties do not matter, as spans are positions.  An empty table gives
-    no rows; carried names cannot clash with results, as they stay inside the struct.
+    A null text is empty.  A disclosing term is found wherever it stands, also in documents without the value.
+    Repeated rows are judged alike, and copies do not make a term disclosing.  Ties do not matter, as spans are
+    positions.  An empty table gives no rows; carried names cannot clash with results, as they stay inside the struct.
     """
-    rows = base_spans(documents, text_column, carry)
     key = F.struct(F.xxhash64("document").alias("a"), F.xxhash64("text").alias("b"), F.crc32(F.col("text").cast("binary")).alias("c"))
-    private = stored(rows.where(_has_base()).withColumns({"key": key, "said": F.struct(F.xxhash64("text"), F.crc32(F.col("text").cast("binary")))}), "pii-private")
-    beside = stored(_beside(private), "pii-beside")
-    told = disclosing_terms(documents, private, beside, text_column, min_texts, discloses)
-    # at most the terms beside a document's own values
-    flagged = beside.join(told, ["value", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
-    flagged = flagged.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
+    rows = base_spans(documents, text_column, carry).withColumn("key", key)
+    private = stored(rows.where(_has_base()).withColumn("said", F.struct(F.xxhash64("text"), F.crc32(F.col("text").cast("binary")))), "pii-private")
+    told = disclosing_terms(documents, private, text_column, min_texts, discloses)
+    told = stored(told.groupBy("term").agg(F.max("share").alias("share")), "pii-told")
+    spoken = _texts(documents, text_column, carry).select(key.alias("key"), F.explode(_spoken(F.col("text"))).alias("term"))
+    flagged = spoken.join(told, "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("told"))
+    flagged = stored(flagged, "pii-flagged")
     none = F.expr("cast(array() as array<struct<start: int, end: int, value: string, share: double>>)")
     pattern = F.concat(
         F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.array_join(F.map_keys("told"), "|"), F.lit(r")(?![\p{L}\p{N}])")
@@ -188,9 +203,22 @@ def find(
         s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
         F.coalesce(F.col("told")[F.lower(s["value"])], F.lit(0.0)).alias("share"),
     ))
-    private = private.join(flagged, "key", "left").withColumn(TERM, F.when(F.col("told").isNull(), none).otherwise(spans))
     names = ["document", "text", "missing", *KINDS, TERM]
-    return rows.where(~_has_base()).withColumn(TERM, none).select(*names).unionByName(private.select(*names))
+
+    def located(some: DataFrame) -> DataFrame:
+        return some.join(flagged, "key", "left").withColumn(TERM, F.when(F.col("told").isNull(), none).otherwise(spans)).select(*names)
+
+    # the other texts meet the flagged keys only where a bit of their key's hash is set, so those without a term stay
+    # where they lie; a full table of bits lets more of them meet, never fewer
+    bits = 1 << max(6, min(MOST_BITS, (16 * flagged.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("key"), F.lit(bits))
+    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    cell = F.expr("slot div 64").alias("cell")
+    marks = flagged.select(slot.alias("slot")).groupBy(cell).agg(F.bit_or(bit).alias("marks"))  # at most 2**MOST_BITS / 64 rows
+    others = rows.where(~_has_base()).withColumn("slot", slot).withColumn("cell", cell).join(F.broadcast(marks), "cell", "left")
+    met = F.coalesce(F.col("marks").bitwiseAND(bit) != 0, F.lit(False))
+    quiet = others.where(~met).withColumn(TERM, none).select(*names)
+    return quiet.unionByName(located(others.where(met).drop("slot", "cell", "marks"))).unionByName(located(private))
 
 
 def joined(*kinds: str) -> Column:
@@ -210,21 +238,11 @@ def sanitise(documents: DataFrame, text_column: str = "text", removes: float = R
     others = tuple(c for c in documents.columns if c != text_column)
     rows = find(documents, others, text_column, **options)
 
-    def replaced(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("said")
-        ))
-
     term = F.transform(TERM, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"),
         F.when(s["share"] >= removes, "").when(s["value"].rlike("[0-9]"), "[NUMBER]").otherwise("[TERM]").alias("said"),
     ))
     text = F.col("text")
-    begin = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
-    cut = F.aggregate(F.array_sort(F.concat(*map(replaced, KINDS), term)), begin, lambda a, s: F.struct(
-        F.when(s["start"] >= a["at"], F.concat(a["kept"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["said"]))
-        .otherwise(a["kept"]).alias("kept"),
-        F.greatest(a["at"], s["end"]).alias("at"),
-    ), lambda a: F.concat(a["kept"], F.substring(text, a["at"] + 1, F.char_length(text))))
-    clean = F.when(F.col("missing"), F.lit(None).cast("string")).when(~_has_base(), text).otherwise(cut)
+    cut = _replaced(text, F.concat(*[_said(k, f"[{k.upper()}]") for k in KINDS], term))
+    clean = F.when(F.col("missing"), F.lit(None).cast("string")).when(~_has_base() & (F.size(TERM) == 0), text).otherwise(cut)
     return rows.select(*[clean.alias(c) if c == text_column else F.col(f"document.`{c}`").alias(c) for c in documents.columns])

@@ -129,3 +129,34 @@ def test_hash_is_of_the_joined_spans(spark, value):
     df = spark.createDataFrame([(1, value)], "doc_id long, text string")
     got = pii.find(df).select(F.sha2(pii.joined(*pii.KINDS), 256).alias("h")).first()["h"]
     assert got == hashlib.sha256(("email:0:6" if value else "").encode()).hexdigest()
+
+
+def test_terms_of_whole_documents(spark):
+    words = ["tax", "law", "art", "sea"]
+    far = " ".join(f"filler{k}" for k in range(40))
+    rows = [(i, f"Quentin Vexley\n+41 44 668 18 00\nabout {w}") for i, w in enumerate(words)]  # a record, the name on its own line
+    rows += [(10, f"+41 44 668 18 00 {far}\n\nsigned, vexley"), (11, "a note on Vexley alone"), (12, "a note on nobody")]
+    rows += [(20 + i, f"{w} about nothing, {w}") for i, w in enumerate(words * 5)]
+    got = {r["doc_id"]: r["spans"] for r in found(spark, rows)}
+    for doc, text in rows[:4]:
+        assert {"term:0:7", "term:8:14"} <= set(got[doc].split(",")), text
+    at = rows[4][1].index("vexley")
+    assert f"term:{at}:{at + 6}" in got[10]
+    # a document with the term alone; one with neither
+    assert got[11] == "term:10:16" and got[12] == ""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"].lower() for r in pii.sanitise(df).collect()}
+    assert not any("vexley" in t for t in clean.values()) and clean[12] == "a note on nobody"
+
+
+def test_own_letters_are_no_term(spark):
+    rows = [(i, f"write to zedzed@corpcorp.com on {w} {i}") for i, w in enumerate(["tax", "law", "art", "sea"])] + [(9 + i, f"other {i}") for i in range(9)]
+    assert all("zedzed" not in t and "corpcorp" not in t for t in terms_of(spark, rows))
+
+
+def terms_of(spark, rows):
+    said = dict(rows)
+    for r in found(spark, rows):
+        for kind, a, b in (x.split(":") for x in r["spans"].split(",") if x):
+            if kind == "term":
+                yield said[r["doc_id"]][int(a):int(b)]
