@@ -54,6 +54,8 @@ LAYOUT_WORDS = DROPPED_WORDS - frozenset(
     "comment comments commentlist disqus reply replies respond discussion related recommended recommendations".split()
 )
 HEAD_WORDS = frozenset("header masthead".split())
+# inside an article these name its own sections as well, so there only counting tells
+SECTION_WORDS = HEAD_WORDS | frozenset("notice notices discussion search form menu banner cookie cookies consent".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?"
@@ -67,6 +69,7 @@ _WORD = re.compile(r"[a-z0-9]+")
 class Node:
     tag: str
     marks: str = ""
+    classes: str = ""
     role: str = ""
     hidden: bool = False
     around: bool = False  # an article is inside
@@ -126,6 +129,7 @@ def parse(source: str) -> Node:
                 name, value = m[1].lower(), next((g for g in m.groups()[1:] if g is not None), "")
                 if name in ("class", "id"):
                     node.marks += " " + value.lower()
+                    node.classes += " " + value.lower() if name == "class" else ""
                 elif name == "role":
                     node.role = value.lower().strip()
                 elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -149,14 +153,18 @@ def parse(source: str) -> Node:
 
 
 def is_boilerplate(node: Node, inside_article: bool) -> bool:
-    if node.tag in DROPPED or node.hidden or node.role in DROPPED_ROLES:
+    """By tag, role and words.  A form around an article is layout; inside an article blocks of prose and ids, which
+    are named by what they say, are not judged by words."""
+    around_form = node.around and (node.tag == "form" or node.role == "form")
+    if node.hidden or (node.tag in DROPPED or node.role in DROPPED_ROLES) and not around_form:
         return True
     if node.tag == "header" and not inside_article:
         return True
-    if not node.marks or node.tag in ("html", "body"):
+    if node.tag in ("html", "body") or inside_article and node.tag in PROSE:
         return False
-    words = DROPPED_WORDS.intersection(_WORD.findall(node.marks))
-    return bool(words - (LAYOUT_WORDS if node.around else HEAD_WORDS if inside_article else frozenset()))
+    marks = node.classes if inside_article or is_article(node) else node.marks
+    words = DROPPED_WORDS.intersection(_WORD.findall(marks)) if marks else frozenset()
+    return bool(words - (LAYOUT_WORDS if node.around else SECTION_WORDS if inside_article else frozenset()))
 
 
 def hash_subtrees(root: Node) -> list[Node]:

@@ -67,3 +67,14 @@ def test_copies_prove_no_template(spark, page):
     for i in range(5):
         assert "The whole story" in got[i] and "and its end" in got[i] and "shops" not in got[i]
     assert got[10] == "page 0"
+
+
+@pytest.mark.parametrize("source, want", [
+    ("<article><section id='discussion'><h2 id='related-work'>Related</h2><p>a</p></section></article>", "Related\na"),
+    ("<article><h2 id='search' class='share'>Search</h2><div class='notice'>b</div><ul id='comments'><li>c</ul></article>", "Search\nb\nc"),
+    ("<article>a<div class='share'>s</div><div class='comments'>c</div></article>", "a"),
+    ("<body><form id='aspnetForm'><input name=v><div>x</div><main><p>m</p><button>b</button><select><option>o</select></main></form></body>", "m"),
+    ("<form role='form' class='search-form'><article>a</article></form><form>f</form>", "a"), ("<form>f</form>", ""),
+])
+def test_article_sections_and_forms_around(source, want):
+    assert html.main_text(source) == want
