@@ -28,6 +28,8 @@ SEGMENT = 64
 # bounds of the training sample, per language
 SAMPLE_DOCUMENTS, SAMPLE_WORDS, SAMPLE_TEXT_BYTES = 400, 5000, 1 << 16
 EPOCHS, BATCH, RATE = 12, 256, 0.01
+# a text is foreign where it has less than this part of the learned byte triples that held-out words have
+FOREIGN = 0.6
 # labelled runs a task remembers before it starts over
 MEMORY = 1 << 19
 
@@ -142,6 +144,38 @@ def train(words: list[bytes], labels: np.ndarray, weights: np.ndarray, languages
 class Model:
     languages: tuple[str, ...]
     params: Params
+    triples: np.ndarray | None = None  # codes of the byte triples of the learned words
+    least: float = 0.0  # share of learned triples below which a text is in none of the languages
+
+
+def _triples(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Codes of every byte of the runs with its neighbours, 0 beyond a run, in the runs' order."""
+    lengths = ends - starts
+    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+    here = data[at].astype(np.int64)
+    before, after = np.roll(here, 1), np.roll(here, -1)
+    before[np.cumsum(lengths) - lengths] = 0
+    after[np.cumsum(lengths) - 1] = 0
+    return before << 16 | here << 8 | after
+
+
+def _word_triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Their codes, and the number of the word of each."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(lengths)
+    return _triples(np.frombuffer(b"".join(words), np.uint8), ends - lengths, ends), np.repeat(np.arange(len(words)), lengths)
+
+
+def _least(words: list[bytes], labels: np.ndarray, weights: np.ndarray) -> float:
+    """``FOREIGN`` times the share of triples that words held out have in common with the others, in the
+    language where it is least; each half is held out once."""
+    codes, word = _word_triples(words)
+    half, shares = word % 2 == 0, []
+    known = np.where(half, np.isin(codes, codes[~half]), np.isin(codes, codes[half]))
+    for k in np.unique(labels):
+        own = labels[word] == k
+        shares.append(np.average(known[own], weights=weights[word[own]]))
+    return FOREIGN * float(min(shares))
 
 
 def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", hidden: int = HIDDEN) -> Model:
@@ -172,7 +206,9 @@ def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang
     weights = np.sqrt(np.array([s[2] for s in sample], np.float64))
     # every language weighs the same, however its words are spread
     weights /= np.bincount(labels, weights)[labels]
-    return Model(languages, train([s[1].encode() for s in sample], labels, weights * len(weights), len(languages), hidden))
+    words = [s[1].encode() for s in sample]
+    params = train(words, labels, weights * len(weights), len(languages), hidden)
+    return Model(languages, params, np.unique(_word_triples(words)[0]), _least(words, labels, weights))
 
 
 class _Labeller:
@@ -226,14 +262,26 @@ class _Labeller:
         return sums, np.bincount(row, ends - starts, rows)
 
 
+def _familiar(table: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Per row the share of its letters' triples that are learned; 0 without letters."""
+    small, starts, ends, row = letter_runs(data, at)
+    rows = len(at) - 1
+    if not len(starts):
+        return np.zeros(rows)
+    hits = np.bincount(np.repeat(row, ends - starts), table[_triples(small, starts, ends)], rows)
+    return hits / np.maximum(np.bincount(row, ends - starts, rows), 1)
+
+
 def predict(
     documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text", with_text: bool = False,
+    reject: bool = False,
 ) -> DataFrame:
     """``document`` (a struct of the carried columns), ``lang_pred`` and ``score``, the mean probability of that
     language over the text's letters; ``text`` if asked for.
 
     ``und`` with score 0 for a null text, one without letters, or a model without languages.  Equal
-    probabilities go to the first language in alphabetical order.  The whole text counts, however long.
+    probabilities go to the first language in alphabetical order.  The whole text counts, however long.  With
+    ``reject`` also a text with too few learned byte triples is ``und`` with score 0, however many languages there are.
     """
     rows = documents.select(
         F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("document"),
@@ -242,9 +290,13 @@ def predict(
     schema = rows.select("document", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), *["text"][: with_text]).schema
     languages = list(model.languages)
     params = documents.sparkSession.sparkContext.broadcast(model.params)
+    triples, least = model.triples if reject else None, model.least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _Labeller(params.value, max(len(languages), 1)) if languages else None
+        if triples is not None:
+            table = np.zeros(1 << 24, bool)
+            table[triples] = True
         for batch in batches:
             for piece, data, at in pieces(batch, "text"):
                 names, scores = [UNKNOWN] * piece.num_rows, np.zeros(piece.num_rows)
@@ -253,6 +305,8 @@ def predict(
                     plain = np.concatenate(([0], np.cumsum(IS_LETTER[data] & (data < 0x80))))
                     sure = plain[at[1:]] > plain[at[:-1]]
                     best = sums.argmax(axis=1)
+                    if triples is not None:
+                        n[_familiar(table, data, at) < least] = 0
                     for r in np.flatnonzero(n > 0).tolist():
                         # characters beyond ASCII may be no letters
                         if sure[r] or has_letter(piece.column("text")[r].as_py()):

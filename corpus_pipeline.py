@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from the labelled ones; texts without a letter, and
     texts in none of them, go."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    found = langid.predict(docs, model, tuple(c for c in docs.columns if c != "text"), with_text=True)
+    found = langid.predict(docs, model, tuple(c for c in docs.columns if c != "text"), with_text=True, reject=True)
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
     return kept.select(*[F.col("text" if c == "text" else f"document.`{c}`").alias(c) for c in docs.columns])
 

@@ -105,3 +105,17 @@ def test_nothing_to_learn_from(spark):
     assert model.languages == ()
     assert {r["lang_pred"] for r in langid.predict(df, model).collect()} == {"und"}
     assert df.where(langid.held_out(F.col("doc_id")).isNull()).count() == 0
+
+
+def test_none_of_the_languages(spark):
+    docs = spark.read.parquet(SMALL)
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~out & F.col("lang").isin("en", "de")))
+    rng = np.random.default_rng(1)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(60)]
+    planted = [(1, "Это предложение на другом языке, и ещё одно"), (2, "これは日本語の文章です"), (3, " ".join(noise))]
+    rows = spark.createDataFrame(planted, "doc_id long, text string")
+    assert {r["lang_pred"] for r in langid.predict(rows, model, reject=True).collect()} == {langid.UNKNOWN}
+    clean = docs.where(out & F.col("lang").isin("en", "de") & (F.col("n_chars") > 100))
+    lost = langid.predict(clean, model, reject=True).where(F.col("lang_pred") == langid.UNKNOWN).count()
+    assert len(model.languages) == 2 and lost <= 0.01 * clean.count()
