@@ -185,3 +185,60 @@ select doc_id, coalesce(n_email, 0)::bigint as n_email, coalesce(n_ip, 0)::bigin
   coalesce(n_term, 0)::bigint as n_term
 from texts left join joined using (doc_id)
 """)
+
+ORACLES["op11_minhash"] = r"""
+with recursive texts as (
+  select translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as said, min(doc_id) as class_id
+  from documents group by said),
+split as (
+  select class_id, list_filter(string_split_regex(said, '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from texts),
+shingles as (
+  select distinct class_id, array_to_string(words[i : i + 4], ' ') as shingle
+  from (select class_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as i from split where len(words) > 0)),
+sizes as (select class_id, count(*) as n from shingles group by class_id),
+shared as (select a.class_id as u, b.class_id as v, count(*) as n_both
+  from shingles a join shingles b on a.shingle = b.shingle and a.class_id < b.class_id
+  join sizes x on x.class_id = a.class_id join sizes y on y.class_id = b.class_id
+  where 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) group by u, v),
+links as (
+  select u, v from shared join sizes a on a.class_id = u join sizes b on b.class_id = v
+  where 100 * n_both >= 85 * (a.n + b.n - n_both)),
+both_ways as (select u, v from links union all select v, u from links),
+reached(node, other) as (
+  select u, v from both_ways union select reached.node, both_ways.v from reached join both_ways on both_ways.u = reached.other),
+roots as (select node, least(node, min(other)) as root from reached group by node)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, case when n is null then doc_id else coalesce(root, sizes.class_id) end as component_id,
+  n is null or doc_id = coalesce(root, sizes.class_id) as kept
+from documents
+join texts on said = translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+left join sizes using (class_id) left join roots on roots.node = class_id
+"""
+
+# nearest centroid of every vector, and the floors of the means, a round at a time
+_NEAREST = """
+{out} as (
+  select nth, arg_min(number, (distance, number)) as number, min(distance) as distance
+  from (select v.nth, c.number, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as distance
+    from kept v, {centroids} c) group by nth)"""
+_MEANS = """
+means_{r} as (
+  select number, list(((total - ((total % held) + held) % held) // held)::bigint order by place) as x
+  from (select a.number, place, sum(v.x[place]) as total, count(*) as held
+    from near_{r} a join kept v using (nth), range(1, 65) d(place) group by a.number, place) group by number),
+centroids_{n} as (select c.number, coalesce(m.x, c.x) as x from centroids_{r} c left join means_{r} m using (number))"""
+
+ORACLES["op13_centroids"] = (
+    """
+with kept as (
+  select row_number() over () as nth, vec_id, list_transform(embedding, lambda c: floor(64 * c::double)::bigint) as x
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+centroids_0 as (
+  select (row_number() over (order by sha256('1:' || vec_id), x) - 1)::int as number, x
+  from kept where vec_id is not null qualify number < 16),"""
+    + ",".join(_NEAREST.format(out=f"near_{r}", centroids=f"centroids_{r}") + "," + _MEANS.format(r=r, n=r + 1) for r in range(3))
+    + "," + _NEAREST.format(out="near_3", centroids="centroids_3") + """
+select vec_id, number as cluster, distance, (sum(distance) over (partition by number))::bigint as cluster_inertia,
+  (sum(distance) over ())::bigint as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256
+from near_3 join kept using (nth) join centroids_3 c using (number)
+"""
+)

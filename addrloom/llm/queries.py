@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrloom.llm import chat, decontamination, html, langid, pii, quality, sentencepieces, sharding, simhash, toxicity
+from addrloom.llm import (
+    centroids, chat, decontamination, html, langid, minhash, pii, quality, sentencepieces, sharding, simhash, toxicity, whitening,
+)
 from addrloom.llm.shared import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -103,3 +105,24 @@ def op9_sentencepiece(spark, folder):
 def op4_html(spark, folder):
     rows = html.extract(table(spark, folder, "pages"))
     return rows.select("document.page_id", "document.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_minhash(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op12_whitening(spark, folder):
+    """A row per vector and component."""
+    rows = whitening.whiten(table(spark, folder, "embeddings"))
+    each = rows.select("row", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "value"))
+    return each.select(
+        "row.vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "value.whitened", "value.explained", "identity_error",
+    )
+
+
+@query
+def op13_centroids(spark, folder):
+    rows = centroids.cluster(table(spark, folder, "embeddings"))
+    return rows.select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

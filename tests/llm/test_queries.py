@@ -25,8 +25,16 @@ COLUMNS = {
         "doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint",
         "base_failed": "boolean", "kept": "boolean",
     },
+    "op11_minhash": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op12_whitening": {
+        "vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double",
+    },
+    "op13_centroids": {
+        "vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string",
+    },
 }
-TABLES = {"op4_html": "pages", "op5_chat": "conversations"}
+TABLES = {"op4_html": "pages", "op5_chat": "conversations", "op12_whitening": "embeddings", "op13_centroids": "embeddings"}
+ROWS_EACH = {"op12_whitening": 16}
 
 
 def plain(value):
@@ -36,7 +44,7 @@ def plain(value):
 @pytest.fixture(scope="module")
 def con():
     out = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for name in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         out.execute(f"create view {name} as select * from '{FOLDER}/{name}.parquet'")
     return out
 
@@ -52,7 +60,7 @@ def test_query(spark, con, name):
     assert {c: kinds.get(c) for c in COLUMNS[name]} == COLUMNS[name]
     rows = df.collect()
     if name != "op5_chat":
-        assert len(rows) == spark.read.parquet(f"{FOLDER}/{TABLES.get(name, 'documents')}.parquet").count()
+        assert len(rows) == ROWS_EACH.get(name, 1) * spark.read.parquet(f"{FOLDER}/{TABLES.get(name, 'documents')}.parquet").count()
     if name in ORACLES:
         want = con.execute(ORACLES[name])
         names = sorted(c[0] for c in want.description)
