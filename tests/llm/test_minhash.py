@@ -73,7 +73,7 @@ def test_at_the_threshold(spark):
 
 def test_names_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([("b", "one two", 1), ("a", "ONE two", 2), (None, None, 3)], "id string, said string, n int")
-    out = minhash.near_duplicates(df.withColumnsRenamed({"n": "buckets"}).withColumn("c1", df["n"]), "id", "said")
+    out = minhash.near_duplicates(df.withColumn("c1", df["n"]).withColumnRenamed("n", "buckets"), "id", "said")
     assert sorted(map(tuple, out.collect()), key=str) == sorted([("b", 1, "a", False), ("a", 1, "a", True), (None, 0, None, True)], key=str)
     assert minhash.near_duplicates(df.limit(0), "id", "said").collect() == []
 
