@@ -14,16 +14,23 @@ def _bit():
     return F.expr(f"shiftleft(1L, cast({_SLOT} % 64 as int))")
 
 
-def within(rows: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
-    """The rows, all of them whose ``columns`` are among those of ``wanted`` and few others.
+def with_bit(rows: DataFrame, wanted: DataFrame, name: str, *columns: str) -> DataFrame:
+    """The rows with a boolean ``name``: true for all whose ``columns`` are among those of ``wanted``, and for few others.
 
     A broadcast table of bits, at most ``2**MOST_BITS`` and 16 a wanted key where they are fewer, marks the wanted keys' hashes; a
-    full table lets more rows pass, never fewer.  So rows without a partner stay out of the shuffle of the join that follows.
+    full table marks more rows, never fewer.
     """
     keys = wanted.select(*columns)
     bits = 1 << max(6, min(MOST_BITS, (16 * keys.count()).bit_length()))
     slot = F.pmod(F.xxhash64(*columns), F.lit(bits))
     cell = F.expr(f"{_SLOT} div 64").alias(_CELL)
     marks = keys.select(slot.alias(_SLOT)).groupBy(cell).agg(F.bit_or(_bit()).alias(_MARKS))
-    met = rows.withColumn(_SLOT, slot).withColumn(_CELL, cell).join(F.broadcast(marks), _CELL).where(F.col(_MARKS).bitwiseAND(_bit()) != 0)
-    return met.select(*[F.col(f"`{c}`") for c in rows.columns])
+    met = rows.withColumn(_SLOT, slot).withColumn(_CELL, cell).join(F.broadcast(marks), _CELL, "left")
+    is_met = F.coalesce(F.col(_MARKS).bitwiseAND(_bit()) != 0, F.lit(False))
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], is_met.alias(name))
+
+
+def within(rows: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """The rows, all of them whose ``columns`` are among those of ``wanted`` and few others: rows without a partner
+    then stay out of the shuffle of the join that follows."""
+    return with_bit(rows, wanted, "_met", *columns).where("_met").drop("_met")

@@ -143,36 +143,52 @@ ORACLES["op3_pii"] = (
     "with texts as (select doc_id, coalesce(text, '') as said from documents),"
     + ",".join(_spans(k, i) for i, k in enumerate(_KINDS, 1)) + """,
 base as (""" + " union all ".join(f"select * from {k}_spans" for k in _KINDS) + r"""),
-sides as (
-  select *, string_split(substr(said, greatest(start - 120, 0) + 1, least(start, 120)), chr(10))[-1] as before,
-    string_split(substr(said, stop + 1, 120), chr(10))[1] as after from base),
-whole as (
-  select doc_id, said, value,
-    regexp_extract_all(lower(case when length(before) < 120 then before else regexp_replace(before, '^[\p{L}\p{N}]+', '') end), '[\p{L}\p{N}]{3,}') as b,
-    regexp_extract_all(lower(case when length(after) < 120 then after else regexp_replace(after, '[\p{L}\p{N}]+$', '') end), '[\p{L}\p{N}]{3,}') as a
-  from sides),
-beside as (select distinct doc_id, said, value, unnest(list_concat(b[-8:], a[:8])) as term from whole),
-value_counts as (select value, count(distinct doc_id) as n_value from base group by value),
+-- different texts, their terms, and eight numbers that near copies share
+each_text as (select min(doc_id) as text_id, said, list_distinct(regexp_extract_all(lower(said), '[\p{L}\p{N}]{3,}')) as spoken from texts group by said),
+term_counts as (select term, count(*) as n_term from (select unnest(spoken) as term from each_text) group by term),
+held as (select distinct text_id, e.said, spoken, value from each_text e join base b on b.doc_id = e.text_id),
+value_counts as (select value, count(*) as n_value from held group by value having count(*) >= 3),
+judged as (select text_id, any_value(said) as said, any_value(spoken) as spoken, list(value) as wanted
+  from held semi join value_counts using (value) group by text_id),
+-- the text without its values: the pieces between spans, which may overlap
+covered as (
+  select doc_id, start, stop, max(stop) over (partition by doc_id order by start, stop desc rows between unbounded preceding and 1 preceding) as before
+  from base where doc_id in (select text_id from judged)),
+outside as (
+  select text_id, string_agg(piece, ' ' order by place) as said
+  from (select j.text_id, c.start as place, substr(j.said, coalesce(before, 0) + 1, greatest(c.start - coalesce(before, 0), 0)) as piece
+    from judged j join covered c on c.doc_id = j.text_id where start >= coalesce(before, 0)
+    union all select j.text_id, 2147483647, substr(j.said, (select max(stop) from covered c where c.doc_id = j.text_id) + 1) from judged j)
+  group by text_id),
+marked as (
+  select j.text_id, wanted, list_transform(range(8), lambda k: list_min(list_transform(spoken_pairs, lambda w: md5(k || ':' || w)))) as marks,
+    list_intersect(list_distinct(regexp_extract_all(lower(o.said), '[\p{L}\p{N}]{3,}')), spoken) as terms
+  from (select *, list_transform(range(1, greatest(len(w), 2)), lambda i: concat_ws(' ', w[i], w[i + 1])) as spoken_pairs
+    from (select *, regexp_extract_all(lower(said), '[\p{L}\p{N}]{3,}') as w from judged)) j
+  join outside o using (text_id)),
 pairs as (
-  select value, term, count(distinct doc_id) as n_both from beside group by value, term having count(distinct said) >= 3),
-term_counts as (
-  select term, count(*) as n_term
-  from (select doc_id, unnest(list_distinct(regexp_extract_all(lower(said), '[\p{L}\p{N}]{3,}'))) as term from texts)
-  where term in (select term from pairs) group by term),
+  select value, term, count(*) as n_both, list_min(list_transform(range(1, 9), lambda k: len(list_distinct(list_transform(list(marks), lambda m: m[k]))))) as support
+  from (select text_id, marks, value, unnest(terms) as term from (select text_id, marks, terms, unnest(wanted) as value from marked))
+  group by value, term having count(*) >= 3),
+posterior as (
+  select value, term, n_value, n_both / n_term as q, support / (n_both / n_term) as m
+  from pairs join value_counts using (value) join term_counts using (term) where support >= 3),
+limits as (
+  select *, (q + 1.645 * 1.645 / (2 * m) - 1.645 * sqrt(greatest(q * (1 - q) / m + 1.645 * 1.645 / (4 * m * m), 0))) / (1 + 1.645 * 1.645 / m) as p
+  from posterior),
 told as (
-  select value, term from pairs join value_counts using (value) join term_counts using (term), (select count(*) as n from texts)
-  where n > n_value and ln(n_both * n / (n_value * n_term)) / ln(n / n_value) >= 0.8),
-flagged as (
-  select doc_id, any_value(said) as said, string_agg(distinct term, '|') as terms
-  from beside join told using (value, term) group by doc_id),
+  select distinct term from limits, (select count(*) as n from texts)
+  where n > n_value and p >= 0.5 and 1 + ln(p) / ln(n / n_value) >= 0.8),
 -- a word is disclosing if it is one of the terms; words are found where letters and digits begin
+flagged as (
+  select distinct t.doc_id, t.said from texts t join (select distinct e.said from (select said, unnest(spoken) as term from each_text) e join told using (term)) using (said)),
 term_found as (
-  select doc_id, unnest(list_zip(range(1, len(found) + 1), pieces[1 : len(found)], found)) as z, terms
-  from (select doc_id, terms, regexp_extract_all(said, '[\p{L}\p{N}]+') as found, string_split_regex(said, '[\p{L}\p{N}]+') as pieces from flagged)),
+  select doc_id, unnest(list_zip(range(1, len(found) + 1), pieces[1 : len(found)], found)) as z
+  from (select doc_id, regexp_extract_all(said, '[\p{L}\p{N}]+') as found, string_split_regex(said, '[\p{L}\p{N}]+') as pieces from flagged)),
 term_spans as (
   select doc_id, 5 as kind_no, 'term' as kind, (stop - length(value))::int as start, stop::int as stop
-  from (select doc_id, terms, z[3] as value, sum(length(z[2]) + length(z[3])) over (partition by doc_id order by z[1]) as stop from term_found)
-  where lower(value) in (select unnest(string_split(terms, '|')))),
+  from (select doc_id, z[3] as value, sum(length(z[2]) + length(z[3])) over (partition by doc_id order by z[1]) as stop from term_found)
+  where lower(value) in (select term from told)),
 every as (select doc_id, kind_no, kind, start, stop from base union all select * from term_spans),
 joined as (
   select doc_id, string_agg(kind || ':' || start || ':' || stop, ',' order by kind_no, start) as spans,

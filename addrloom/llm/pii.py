@@ -1,15 +1,17 @@
 """Personal data and the terms that give it away.
 
-Addresses, numbers and the like are found by patterns.  Then the corpus itself says which words of
-the same documents are as good as the value: with n counting documents,
-
-    PMI(value; term) = log(n(value, term) * N / (n(value) * n(term)))
-    IC(value)        = log(N / n(value))
-
-and a term that carries a share PMI / IC of the value's information above a threshold discloses it.
-Such terms are replaced by their class wherever they stand, in every document that holds them, and removed
-above a second threshold.  Everything is column expressions; of the others than documents with personal data
-only counts of terms and the keys of documents with a disclosing term leave their partition.
+Addresses, numbers and the like are found by patterns.  Then the corpus itself says which words of the same texts are as good
+as the value.  With ``both`` different texts that hold the term and the value, of ``texts`` that hold the term, the value's
+posterior is both / texts; its lower confidence limit ``p`` is what a reader learns at least, and
+
+    IC(value)   = log(N / n(value))       N documents, n(value) texts with the value
+    share       = 1 + log(p) / IC(value)  the part of the value's information that the term carries
+
+A term discloses a value if the share reaches a threshold and at most one bit is left (p is a half or more).  Near copies of one text
+prove nothing: the sample behind the limit is the number of texts that differ in every one of eight min-hashes.  Such terms are
+replaced by their class wherever they stand, in every document that holds them, and removed above a second threshold.
+Everything is column expressions; of the others than documents with personal data only counts of the terms in question and the
+keys of documents with a disclosing term leave their partition.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from addrloom.functions.once import computed_once
+from addrloom.llm.keys import with_bit, within
 from addrloom.llm.shared import stored
 
 # Runs may begin only where a run begins, or where the last match ended: this finds the same leftmost
@@ -36,8 +39,11 @@ TERM = "term"
 
 TERM_PATTERN = r"[\p{L}\p{N}]{3,}"
 MIN_TEXTS, DISCLOSES, REMOVES = 3, 0.8, 0.95
-# bits of the table that tells which documents may hold a disclosing term, as a power of two
-MOST_BITS = 25
+# of a one-sided confidence of 95 %, and the least posterior of a disclosed value: one bit is left
+Z, POSTERIOR = 1.645, 0.5
+MIN_HASHES = 8
+# spans of a text that are worked on together, so that many spans do not cost their square
+BLOCK = 128
 
 SPAN = "struct<start: int, end: int, value: string>"
 
@@ -64,19 +70,48 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where lambdas mention it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _in_blocks(items: Column, body) -> Column:
+    """``body`` of the items in arrays of at most ``BLOCK``; of one empty array if there are none."""
+    def cut(whole: Column) -> Column:
+        last = F.greatest(F.size(whole) - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int")), lambda b: F.slice(whole, b * BLOCK + 1, BLOCK))
+
+    return _let(_let(items, cut), body)
+
+
+def _running(numbers: Column, join) -> Column:
+    """Before each number, and after the last, what ``join`` has made of 0 and those before it."""
+    return F.aggregate(numbers, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(join(F.element_at(a, -1), x))))
+
+
 def _matches(text: Column, pattern: Column) -> Column:
-    """All matches with the text before each of them, in order: (start, end, value)."""
+    """All matches, in order: (start, end, value)."""
     found = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("spans"))
+    sized = F.transform(F.filter(found, lambda x: x["value"].isNotNull()), lambda x: F.struct(
+        F.char_length(x["before"]).alias("before"), F.char_length(x["value"]).alias("long"), x["value"].alias("value")
+    ))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
 
     def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.char_length(x["before"])
-        end = begin + F.coalesce(F.char_length(x["value"]), F.lit(0))
+        begin = a["at"] + x["before"]
+        end = begin + x["long"]
         return F.struct(end.alias("at"), F.concat(a["spans"], F.array(
             F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))
         )).alias("spans"))
 
-    return F.aggregate(F.filter(found, lambda x: x["value"].isNotNull()), start, step, lambda a: a["spans"])
+    def placed(blocks: Column) -> Column:
+        length = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["before"] + x["long"]))
+        return F.transform(F.arrays_zip(blocks.alias("block"), _running(length, lambda a, x: a + x).alias("at")), lambda z: F.aggregate(
+            F.coalesce(z["block"], F.expr("cast(array() as array<struct<before: int, long: int, value: string>>)")),
+            F.struct(z["at"].alias("at"), none.alias("spans")), step, lambda a: a["spans"],
+        ))
+
+    return F.flatten(_in_blocks(sized, placed))
 
 
 def _base(text: Column, kind: str) -> Column:
@@ -107,12 +142,28 @@ def _has_base() -> Column:
 
 def _replaced(text: Column, spans: Column) -> Column:
     """The text with every span (start, end, said) replaced; spans that overlap as one, by what the first becomes."""
-    begin = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
-    return F.aggregate(F.array_sort(spans), begin, lambda a, s: F.struct(
-        F.when(s["start"] >= a["at"], F.concat(a["kept"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["said"]))
-        .otherwise(a["kept"]).alias("kept"),
-        F.greatest(a["at"], s["end"]).alias("at"),
-    ), lambda a: F.concat(a["kept"], F.substring(text, a["at"] + 1, F.char_length(text))))
+
+    def ends_of(blocks: Column) -> Column:
+        return _running(F.transform(blocks, lambda b: F.coalesce(F.array_max(F.transform(b, lambda s: s["end"])), F.lit(0))), F.greatest)
+
+    def cut(blocks: Column, ends: Column) -> Column:
+        # a block's spans lie in the text between what was covered before it and after it
+        each = F.transform(blocks, lambda b, i: F.struct(
+            b.alias("spans"), F.get(ends, i).alias("at"), F.substring(text, F.get(ends, i) + 1, F.get(ends, i + 1) - F.get(ends, i)).alias("text")
+        ))
+        pieces = F.transform(each, lambda e: F.aggregate(
+            e["spans"], F.struct(e["at"].alias("at"), F.expr("cast(array() as array<string>)").alias("pieces")),
+            lambda a, s: F.struct(
+                F.greatest(a["at"], s["end"]).alias("at"),
+                F.when(s["start"] >= a["at"], F.concat(a["pieces"], F.array(
+                    F.substring(e["text"], a["at"] - e["at"] + 1, s["start"] - a["at"]), s["said"]
+                ))).otherwise(a["pieces"]).alias("pieces"),
+            ),
+            lambda a: F.array_join(a["pieces"], ""),
+        ))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(ends, -1) + 1, F.char_length(text)))
+
+    return _in_blocks(F.array_sort(spans), lambda blocks: _let(ends_of(blocks), lambda ends: cut(blocks, ends)))
 
 
 def _said(kind: str, said: str) -> Column:
@@ -133,46 +184,77 @@ def _spoken(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0)))
 
 
+def _min_hashes(text: Column) -> Column:
+    """Eight numbers that near copies of a text share for the most part, and other texts do not: of its pairs of terms."""
+    terms = F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0))
+
+    def pairs(words: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0)))
+        return F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))))
+
+    def least(told: Column, k: int) -> Column:
+        return F.array_min(F.transform(told, lambda w: F.md5(F.concat(F.lit(f"{k}:"), w).cast("binary"))))
+
+    return _let(_let(terms, pairs), lambda told: F.array(*[least(told, k) for k in range(MIN_HASHES)]))
+
+
+def _lower_limit(share: Column, sample: Column) -> Column:
+    """The lower confidence limit (Wilson) of a share seen in a sample."""
+    z2 = Z * Z
+    spread = F.sqrt(F.greatest(share * (1 - share) / sample + z2 / (4 * sample * sample), F.lit(0.0)))
+    return (share + z2 / (2 * sample) - Z * spread) / (1 + z2 / sample)
+
+
+def counted_terms(rows: DataFrame, text: Column, wanted: DataFrame, name: str) -> DataFrame:
+    """``term`` and, named ``name``, in how many different texts each wanted term stands.
+
+    Terms that nobody wants are dropped where the texts lie, by a table of bits; what is left is summed up there.  The join
+    is an inner one on purpose: a semi join would be moved below the sum, and ship every (text, term).
+    """
+    terms = wanted.select("term").distinct()
+    said = F.struct(F.xxhash64(text), F.crc32(text.cast("binary")))
+    spoken = within(rows.select(said.alias("said"), F.explode(_spoken(text)).alias("term")), terms, "term")
+    return spoken.distinct().groupBy("term").agg(F.count(F.lit(1)).alias(name)).join(terms, "term")
+
+
 def disclosing_terms(
     documents: DataFrame, private: DataFrame, text_column: str = "text", min_texts: int = MIN_TEXTS, discloses: float = DISCLOSES,
 ) -> DataFrame:
     """``value``, ``term`` and ``share``, the part of the value's information that the term carries.
 
-    Counts are of whole documents; a pair is judged from ``min_texts`` different texts on, so copies of one text
-    prove nothing.  A value's own letters are no term.  A term can only disclose if it is rarer than a limit that
-    follows from the pair's count; those already too frequent in the ``private`` documents alone are left out before
-    the whole corpus is counted.
+    Counts are of different whole texts.  A pair is judged from ``min_texts`` texts on that are no near copies of each other.  A
+    value's own letters are no term.  A term in more than twice the texts of the pair cannot disclose; those that are already too
+    frequent in the ``private`` documents alone are left out before the whole corpus is counted.
     """
-    # a text says the same in all its documents, so each different text is read once and weighs as many
-    copies = private.select("said", "key").distinct().groupBy("said").agg(F.count(F.lit(1)).alias("copies"))
-    texts = stored(private.select("said", "text", *KINDS).dropDuplicates(["said"]).join(copies, "said"), "pii-texts")
-    weighed = F.sum("copies").alias("n_value"), F.count(F.lit(1)).alias("texts")
-    held = texts.select("said", "copies", F.explode(_values()).alias("value"))
-    values = held.groupBy("value").agg(*weighed).where(F.col("texts") >= min_texts).drop("texts")
+    texts = stored(private.select("said", "text", *KINDS).dropDuplicates(["said"]), "pii-texts")
+    held = texts.select("said", F.explode(_values()).alias("value"))
+    values = held.groupBy("value").agg(F.count(F.lit(1)).alias("n_value")).where(F.col("n_value") >= min_texts)
     total = documents.agg(F.count(F.lit(1)).alias("n"))  # one row
     values = stored(values.join(F.broadcast(total)).where("n > n_value"), "pii-values")
-    # texts with a value that can be judged; the pairs are summed up where they are made
-    wanted = held.join(values, "value", "left_semi").groupBy("said").agg(F.collect_list("value").alias("wanted"))
+    # texts with a value that can be judged
+    judged = within(held, values, "value").join(values.select("value"), "value").groupBy("said").agg(F.collect_list("value").alias("wanted"))
     outside = _replaced(F.col("text"), F.concat(*[_said(k, " ") for k in KINDS]))
-    each = texts.join(wanted, "said").select("copies", "wanted", F.explode(F.array_intersect(_spoken(outside), _spoken(F.col("text")))).alias("term"))
-    pairs = each.select("copies", "term", F.explode("wanted").alias("value")).groupBy("value", "term").agg(
-        F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts")
-    ).where(F.col("texts") >= min_texts)
-    limit = F.col("n_both") * F.pow(F.col("n") / F.col("n_value"), F.lit(1 - discloses))
-    pairs = pairs.join(values, "value").withColumn("limit", limit)
-    pairs = stored(pairs.drop("texts"), "pii-pairs")
-
-    def counted(rows: DataFrame, text: Column, wanted: DataFrame, name: str) -> DataFrame:
-        # summed up where the texts lie: one row per term and partition goes on, however frequent it is
-        spoken = rows.select(F.explode(_spoken(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias(name))
-        return spoken.join(wanted.select("term").distinct(), "term", "left_semi")
-
-    least = counted(private, F.col("text"), pairs, "n_least")
-    # a hair more than the limit, so that rounding leaves nothing out
-    pairs = stored(pairs.join(least, "term").where(F.col("n_least") <= F.col("limit") * 1.000001), "pii-rare-pairs")
-    counts = counted(documents, F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")), pairs, "n_term")
-    share = F.log(F.col("n_both") * F.col("n") / (F.col("n_value") * F.col("n_term"))) / F.log(F.col("n") / F.col("n_value"))
-    return pairs.join(counts, "term").withColumn("share", share).where(F.col("share") >= discloses).select("value", "term", "share")
+    each = within(texts, judged, "said").join(judged, "said").select(
+        "wanted", _min_hashes(F.col("text")).alias("marks"),
+        F.explode(F.array_intersect(_spoken(outside), _spoken(F.col("text")))).alias("term"),
+    )
+    differ = [F.size(F.collect_set(F.get("marks", F.lit(k)))).cast("long") for k in range(MIN_HASHES)]
+    # pre-counted: most pairs stand in too few texts for the sets to be worth making
+    rows = each.select("marks", "term", F.explode("wanted").alias("value"))
+    often = rows.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_texts)
+    often = stored(often, "pii-often")
+    pairs = within(rows, often, "value", "term").groupBy("value", "term").agg(F.least(*differ).alias("support"))
+    pairs = pairs.where(F.col("support") >= min_texts).join(often, ["value", "term"]).join(values, "value")
+    pairs = stored(pairs, "pii-pairs")
+    rare = 2 * F.col("n_both")
+    least = counted_terms(private, F.col("text"), pairs, "n_least")
+    pairs = stored(pairs.join(least, "term").where(F.col("n_least") <= rare), "pii-rare-pairs")
+    counts = counted_terms(documents, F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")), pairs, "n_term")
+    posterior = F.col("n_both") / F.col("n_term")
+    pairs = pairs.join(counts, "term").withColumn("p", _lower_limit(posterior, F.col("support") / posterior))
+    share = 1 + F.log("p") / F.log(F.col("n") / F.col("n_value"))
+    pairs = pairs.withColumn("share", share).where((F.col("p") >= POSTERIOR) & (F.col("share") >= discloses))
+    return pairs.select("value", "term", "share")
 
 
 def find(
@@ -193,7 +275,7 @@ def find(
     told = disclosing_terms(documents, private, text_column, min_texts, discloses)
     told = stored(told.groupBy("term").agg(F.max("share").alias("share")), "pii-told")
     spoken = _texts(documents, text_column, carry).select(key.alias("key"), F.explode(_spoken(F.col("text"))).alias("term"))
-    flagged = spoken.join(told, "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("told"))
+    flagged = within(spoken, told, "term").join(told, "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("told"))
     flagged = stored(flagged, "pii-flagged")
     none = F.expr("cast(array() as array<struct<start: int, end: int, value: string, share: double>>)")
     pattern = F.concat(
@@ -209,16 +291,10 @@ def find(
         return some.join(flagged, "key", "left").withColumn(TERM, F.when(F.col("told").isNull(), none).otherwise(spans)).select(*names)
 
     # the other texts meet the flagged keys only where a bit of their key's hash is set, so those without a term stay
-    # where they lie; a full table of bits lets more of them meet, never fewer
-    bits = 1 << max(6, min(MOST_BITS, (16 * flagged.count()).bit_length()))
-    slot = F.pmod(F.xxhash64("key"), F.lit(bits))
-    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
-    cell = F.expr("slot div 64").alias("cell")
-    marks = flagged.select(slot.alias("slot")).groupBy(cell).agg(F.bit_or(bit).alias("marks"))  # at most 2**MOST_BITS / 64 rows
-    others = rows.where(~_has_base()).withColumn("slot", slot).withColumn("cell", cell).join(F.broadcast(marks), "cell", "left")
-    met = F.coalesce(F.col("marks").bitwiseAND(bit) != 0, F.lit(False))
-    quiet = others.where(~met).withColumn(TERM, none).select(*names)
-    return quiet.unionByName(located(others.where(met).drop("slot", "cell", "marks"))).unionByName(located(private))
+    # where they lie
+    others = with_bit(rows.where(~_has_base()), flagged, "met", "key")
+    quiet = others.where(~F.col("met")).withColumn(TERM, none).select(*names)
+    return quiet.unionByName(located(others.where("met").drop("met"))).unionByName(located(private))
 
 
 def joined(*kinds: str) -> Column:
