@@ -43,9 +43,10 @@ def with_tags(
     columns = [c for c in TAG_COLUMNS[mode] if not blank_unmatched or c not in ("_id_field", "dom_json")]
     key = (lambda c: c) if exact_key else tx.strip
     lookup = _one_per_key(tagged, {"_key": key(F.col("original_address"))}, columns)
-    joined = source.withColumn("_key", key(F.col(address).cast("string"))).join(lookup, "_key", "left")
+    # the source stays inside one column, so none of its names can clash with the join's
+    rows = source.select(F.struct(*[F.col(f"`{c}`") for c in source.columns]).alias("_s"), key(F.col(f"`{address}`").cast("string")).alias("_key"))
     value = lambda c: F.coalesce(F.col(f"_r.{c}"), F.lit("")) if blank_unmatched else F.col(f"_r.{c}")
-    return joined.select(*[F.col(f"`{c}`") for c in source.columns], *[value(c).alias(c) for c in columns])
+    return rows.join(lookup, "_key", "left").select("_s.*", *[value(c).alias(c) for c in columns])
 
 
 def with_pair_scores(source: DataFrame, address_a: str, address_b: str, results: DataFrame) -> DataFrame:
@@ -53,11 +54,12 @@ def with_pair_scores(source: DataFrame, address_a: str, address_b: str, results:
     result (NULL addresses among them) get 0 / 0 / 0 and no match."""
     columns = [*vocab.SCORE_COLUMNS, "match_status"]
     lookup = _one_per_key(results, {"_a": F.col("address_a"), "_b": F.col("address_b")}, columns)
-    joined = source.withColumns(
-        {"_a": F.col(address_a).cast("string"), "_b": F.col(address_b).cast("string")}
-    ).join(lookup, ["_a", "_b"], "left")
-    return joined.select(
-        *[F.col(f"`{c}`") for c in source.columns],
+    rows = source.select(
+        F.struct(*[F.col(f"`{c}`") for c in source.columns]).alias("_s"),
+        F.col(f"`{address_a}`").cast("string").alias("_a"), F.col(f"`{address_b}`").cast("string").alias("_b"),
+    )
+    return rows.join(lookup, ["_a", "_b"], "left").select(
+        "_s.*",
         *[F.coalesce(F.col(f"_r.{c}"), F.lit(0.0)).alias(c) for c in vocab.SCORE_COLUMNS],
         F.coalesce(F.col("_r.match_status"), F.lit(vocab.NOT_MATCHED)).alias("match_status"),
     )

@@ -476,8 +476,8 @@ def knn_join(
 # ---------------------------------------------------------------------------
 
 def fit_centres(references: DataFrame, lists: int | None = None, seed: int = 42) -> np.ndarray:
-    """K-means centres of all reference vectors."""
-    r = _reference_side(references)
+    """K-means centres of all vectors, of either kind of table."""
+    r = references.where("vector IS NOT NULL").select(F.col("vector").cast("array<float>").alias("vector"))
     most = most_cells(_dimension(r))
     lists = min(auto_lists(r.count()), most) if lists is None else lists
     if lists > most:

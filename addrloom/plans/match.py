@@ -110,8 +110,8 @@ def single_stage(
     rank_threshold: float | None = None,
 ) -> DataFrame:
     """Query addresses (id, name, address) to match rows: encode, search, rank.
-    Every address gets a row."""
-    queries = encode(addresses, "enterprise", encoder)
+    Every address gets a row.  The encoded queries are stored first, as the join reads its sides more than once."""
+    queries = tables.written(encode(addresses, "enterprise", encoder), "encoded")
     everyone = addresses.select(
         F.col("id").alias("enterprise_id"), F.col("name").alias("enterprise_name"),
         F.col("address").alias("enterprise_address"),

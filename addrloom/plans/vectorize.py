@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from addrloom.models.encoder import CharPairEncoder
 from addrloom.operators import knn
 from addrloom.operators.pending import unvectorized
-from addrloom.sources import tables
+from addrloom.sources import snapshots, tables
 
 
 def encode(addresses: DataFrame, kind: str, encoder=None) -> DataFrame:
@@ -62,3 +62,50 @@ def vectorize_new(addresses: DataFrame, path: str, kind: str, encoder=None) -> N
     if "list_id" in stored.columns:  # an index: new rows join the lists there are
         fresh = knn.with_list_id(fresh, knn.load_centres(spark, centres_path(path)))
     tables.append(fresh, path, "list_id" if "list_id" in stored.columns else None)
+
+
+# -- published versions --------------------------------------------------------------------------
+
+def ids_path(path: str) -> str:
+    return f"{path.rstrip('/')}_ids"
+
+
+def publish(vectors: DataFrame, path: str, lists: int | None = None, centres=None, cells: int = snapshots.CELLS) -> None:
+    """Vector rows, of either kind, as a table of published versions that can be extended.
+
+    Plain, its cells are those of the ids.  With ``lists`` (0: by the number of rows) or ``centres`` it is an index: cells of lists,
+    the centres beside it, and the ids alone in a table of their own, in cells of the ids.
+    """
+    if lists is None and centres is None:
+        snapshots.publish(vectors, path, "source_id", cells)
+        return
+    vectors = tables.written(vectors, "vectors")
+    centres = knn.fit_centres(vectors, lists or None) if centres is None else centres
+    spark = vectors.sparkSession
+    knn.save_centres(spark, centres, centres_path(path))
+    listed = knn.with_list_id(vectors, centres)
+    at = snapshots.publish(listed, path, "list_id", min(len(centres), snapshots.MOST_CELLS))
+    snapshots.publish(snapshots.read(spark, path, at.number).select("source_id"), ids_path(path), "source_id", cells)
+
+
+def extend(addresses: DataFrame, path: str, kind: str, encoder=None, token: str | None = None) -> DataFrame:
+    """Encode the ids that a published vector table does not hold and append them; the rows that were added.
+
+    Only the cells that the ids of ``addresses`` fall in are read to tell which are new.  In an index each new row joins the list of
+    its nearest centre.  A ``token`` names the step; repeated after a failure anywhere in it, it counts once.
+    """
+    spark = addresses.sparkSession
+    indexed = snapshots.is_snapshots(spark, ids_path(path))
+    token = token or snapshots.new_token()
+    if not snapshots.has(spark, path, token):
+        # read more than once below
+        addresses = tables.written(addresses, "arrived")
+        known = snapshots.read(spark, ids_path(path) if indexed else path, keys=addresses.select(F.col("id").cast("string")))
+        fresh = tables.vector_rows(encode(unvectorized(addresses, known), kind, encoder), kind)
+        if indexed:
+            fresh = knn.with_list_id(fresh, knn.load_centres(spark, centres_path(path)))
+        snapshots.append(fresh, path, token)
+    added = snapshots.read(spark, path, part=token)
+    if indexed:
+        snapshots.append(added.select("source_id"), ids_path(path), token)
+    return added

@@ -10,16 +10,28 @@ from pyspark.sql import functions as F
 from addrloom import schemas
 from addrloom.operators import recall as rc
 from addrloom.operators.filters import valid_address
+from addrloom.sources import snapshots
 
 
 # -- sources --------------------------------------------------------------------
 
 def read(spark: SparkSession, name_or_path: str, *required: str | None) -> DataFrame:
-    """A catalog table or a Parquet folder, with a check of the columns asked for."""
-    df = spark.read.parquet(name_or_path) if "/" in name_or_path else spark.table(name_or_path)
+    """A catalog table, a Parquet folder or the newest version of a table of published versions, with a check of the
+    columns asked for."""
+    if "/" not in name_or_path:
+        df = spark.table(name_or_path)
+    elif snapshots.is_snapshots(spark, name_or_path):
+        df = snapshots.read(spark, name_or_path)
+    else:
+        df = spark.read.parquet(name_or_path)
     return schemas.require_columns(df, *required)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_jdbc(
     spark: SparkSession, url: str, table: str, split_column: str, lower: int, upper: int, pieces: int,
     properties: dict[str, str] | None = None,
@@ -112,7 +124,8 @@ def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
 
 
 def replace(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Replace-all write.  ``df`` must not read from ``path``."""
+    """Replace-all write.  ``df`` must not read from ``path``, and a write that dies leaves a torn table;
+    ``snapshots.publish`` has neither limit."""
     _writer(df, "overwrite", partition_by).parquet(path)
 
 

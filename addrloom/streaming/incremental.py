@@ -5,6 +5,7 @@ Checkpoints live under ``spark.checkpoint.dir`` unless a folder is given.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from typing import Any
 
@@ -14,9 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from addrloom import schemas
 from addrloom.plans.tagging import tag_addresses
-from addrloom.plans.vectorize import encode
+from addrloom.plans.vectorize import centres_path, encode, extend, vectorize_new
 from addrloom.operators.pending import unvectorized
-from addrloom.sources import tables
+from addrloom.sources import snapshots, tables
 
 
 def checkpoint_folder(spark: SparkSession, name: str) -> str:
@@ -58,24 +59,32 @@ def tag_stream(
 def vectorize_stream(
     addresses: DataFrame, target: str, kind: str, encoder=None, checkpoint: str | None = None
 ) -> StreamingQuery:
-    """Encode the ids not stored yet and append them.  A batch that is repeated
-    after a failure finds its ids stored and adds nothing."""
+    """Encode the ids not stored yet and append them.  A batch that is repeated after a failure adds nothing twice.
 
+    ``target`` is a table that ``vectorize.publish`` made, plain or as an index, of which a batch reads only the cells its ids fall
+    in; or a Parquet folder, also one stored as an index (new rows then go to the folder of their list), of which every
+    batch reads all ids.  A folder that is not there yet is made.
+    """
     spark = addresses.sparkSession
     layout = schemas.VECTORS[kind]
-    # an empty table first, so that every batch finds one
-    spark.createDataFrame([], layout).write.mode("append").parquet(target)
-
-    def write(batch: DataFrame, _: int) -> None:
-        stored = batch.sparkSession.read.schema(layout).parquet(target)
-        tables.append(tables.vector_rows(encode(unvectorized(batch, stored), kind, encoder), kind), target)
-
-    return (
-        addresses.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint or checkpoint_folder(addresses.sparkSession, "vectorize_stream"))
-        .trigger(availableNow=True)
-        .start()
-    )
+    state = checkpoint or checkpoint_folder(spark, "vectorize_stream")
+    published = snapshots.is_snapshots(spark, target)
+    indexed = not published and tables.exists(spark, centres_path(target))
+    if not published and not indexed:
+        # an empty table first, so that every batch finds one
+        spark.createDataFrame([], layout).write.mode("append").parquet(target)
+    name = hashlib.sha256(state.encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, number: int) -> None:
+        if published:
+            extend(batch, target, kind, encoder, f"stream-{name}-{number}")
+        elif indexed:
+            vectorize_new(batch, target, kind, encoder)
+        else:
+            stored = batch.sparkSession.read.schema(layout).parquet(target)
+            tables.append(tables.vector_rows(encode(unvectorized(batch, stored), kind, encoder), kind), target)
+
+    return addresses.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
 def progress(query: StreamingQuery, total: int | None = None) -> dict[str, Any]:

@@ -116,6 +116,9 @@ ORACLES["recall_page"] = with_(RECALL) + """
 SELECT * FROM recall WHERE similarity >= 0.5 ORDER BY enterprise_id, similarity DESC, standard_id LIMIT 20 OFFSET 40"""
 ORACLES["recall_by_ids"] = with_(RECALL) + """
 SELECT * FROM recall WHERE enterprise_id IN (SELECT c_custkey::VARCHAR FROM customer)"""
+ORACLES["replace_versions"] = with_(RECALL) + """
+SELECT * REPLACE (CASE WHEN room_no = 'R' THEN 1.0 ELSE similarity END AS similarity), 1 AS versions
+FROM recall WHERE room_no <> 'R' OR similarity >= 0.5"""
 ORACLES["recall_sink_rows"] = with_(RECALL) + """
 SELECT * REPLACE (coalesce(nullif(room_no, 'N'), '') AS room_no) FROM recall"""
 
@@ -228,6 +231,8 @@ settled AS (
 CORRECTED = with_(*KEPT, CORRECTIONS, PICKED)
 ORACLES["correct_pick"] = CORRECTED + rounded("picked")
 ORACLES["correct_edit"] = with_(*KEPT, CORRECTIONS, EDITED) + rounded("edited")
+ORACLES["merge_corrections"] = ORACLES["correct_pick"]
+ORACLES["merge_edits"] = ORACLES["correct_edit"]
 ORACLES["correction_report"] = """
 SELECT (SELECT count(*) FROM events) AS correction_count,
        (SELECT count(*) FROM orders WHERE o_orderkey IN (SELECT user_id FROM events)) AS updated_rows"""
@@ -494,6 +499,9 @@ VECTOR_TEXT = "'[' || array_to_string(list_transform(v, lambda x: format('{:.8f}
 ORACLES["encode_text"] = with_(TURN_TEXTS, encoded("e_src", "ev")) + f"""
 SELECT id AS source_id, name AS enterprise_name, text AS address, {VECTOR_TEXT} AS vector_text FROM ev JOIN e_src USING (id)"""
 ORACLES["vectorize_stream"] = ORACLES["encode_text"]
+ORACLES["vectorize_stream_lists"] = f"""
+SELECT kind, conv_id || '-' || turn AS source_id, role AS said_by, text AS address, {TEXT_DIM}::BIGINT AS dim, true AS listed
+FROM conversations, (VALUES ('enterprise'), ('standard')) k(kind) WHERE text IS NOT NULL AND text <> ''"""
 ORACLES["encode_documents"] = with_(DOC_TEXTS, encoded("s_src", "sv")) + """
 SELECT id AS source_id, room_no,
        round(sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm,

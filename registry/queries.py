@@ -16,8 +16,9 @@ from addrloom.models.pair_scorer import LogitPairScorer, SimilarityScorer
 from addrloom.models.plugged import PluggedPairScorer
 from addrloom.models.tagger import LevelWordTagger
 from addrloom.operators import checks, copies, corrections, filters, knn, pages, pending, rank, recall, stats
+from addrloom.plans import corrections as stored_corrections
 from addrloom.plans import evaluation, match, pairs, tagging, vectorize
-from addrloom.sources import csv, logs, tables, tags
+from addrloom.sources import csv, logs, snapshots, tables, tags
 from addrloom.streaming import incremental
 from registry import views as v
 
@@ -220,6 +221,37 @@ def correct_edit(spark, folder):
     return _rounded(corrections.apply_edits(base, edits, "event_id"))
 
 
+@query
+def merge_corrections(spark, folder):
+    """Matches stored in cells of their ids, picked corrections merged into the cells they fall in."""
+    target = v.work_folder(spark, "matches")
+    stored_corrections.store_matches(_matches(spark, folder, threshold=0.5, everyone=True), target)
+    stored_corrections.merge_picks(spark, target, v.event_corrections(spark, folder).drop("address_id"), "event_id")
+    return _rounded(tables.read(spark, target).drop("created_at"))
+
+
+@query
+def merge_edits(spark, folder):
+    """The same with direct edits, the merge repeated as after a failure."""
+    target = v.work_folder(spark, "matches")
+    stored_corrections.store_matches(_matches(spark, folder, threshold=0.5, everyone=True), target)
+    for _ in range(2):
+        stored_corrections.merge_edits(spark, target, v.event_corrections(spark, folder).drop("standard_id"), "event_id", "edits")
+    return _rounded(tables.read(spark, target).drop("created_at"))
+
+
+@query
+def replace_versions(spark, folder):
+    """Recall rows replaced by a selection of themselves, then extended; the old versions removed."""
+    target = v.work_folder(spark, "recall")
+    rows = v.recall_rows(spark, folder)
+    snapshots.publish(rows, target, "enterprise_id")
+    snapshots.publish(tables.read(spark, target).where("room_no <> 'R'"), target, "enterprise_id")
+    snapshots.append(rows.where("room_no = 'R' and similarity >= 0.5").withColumn("similarity", F.lit(1.0)), target)
+    snapshots.vacuum(spark, target)
+    return tables.read(spark, target).withColumn("versions", F.lit(snapshots.versions(spark, target).count()))
+
+
 @query
 def correction_report(spark, folder):
     return corrections.correction_report(v.all_enterprises(spark, folder), v.event_corrections(spark, folder))
@@ -630,6 +662,34 @@ def vectorize_stream(spark, folder):
     return stored.select("source_id", "enterprise_name", "address", vectors.vector_text(F.col("vector")).alias("vector_text"))
 
 
+@query
+def vectorize_stream_lists(spark, folder):
+    """Indexes of both kinds over the users' turns, then all turns as an arriving file: every id is stored once, in the
+    list of its nearest centre."""
+    schema = v.table(spark, folder, "conversations").schema
+    encoder = CharPairEncoder(v.TEXT_DIM)
+    out = []
+    for kind, extra, name in (("enterprise", "enterprise_name", "name"), ("standard", "room_no", "room_no")):
+        target, state = v.work_folder(spark, "index"), v.work_folder(spark, "state")
+
+        def addresses(turns):
+            rows = tables.query_addresses(turns.withColumn("id", F.concat_ws("-", "conv_id", "turn")), "id", "role", "text")
+            return rows.withColumnRenamed("name", name)
+
+        first = addresses(v.table(spark, folder, "conversations").where("role = 'user'"))
+        stored = tables.vector_rows(vectorize.encode(first, kind, encoder), kind)
+        centres = v.given_centres(stored.withColumn("source_id", F.split("source_id", "-")[0]), 8)
+        vectorize.publish(stored, target, centres=centres)
+        turns = incremental.arriving(spark, f"{folder}/conversations.parquet*", schema)
+        incremental.vectorize_stream(addresses(turns), target, kind, encoder, state).awaitTermination()
+        found = knn.assign_cells(tables.read(spark, target), centres)
+        out.append(found.select(
+            F.lit(kind).alias("kind"), "source_id", F.col(extra).alias("said_by"), "address", F.size("vector").cast("long").alias("dim"),
+            (F.col("list_id") == F.col("cell")).alias("listed"),
+        ))
+    return out[0].unionByName(out[1])
+
+
 @query
 def tag_stream(spark, folder):
     """Document texts as an arriving file, tagged by the native tagger."""
