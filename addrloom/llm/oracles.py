@@ -62,7 +62,7 @@ ruled as (
     + case when n_dup_lines > 1 and 10 * n_dup_lines > 3 * n_lines then 64 else 0 end
     + case when 10 * n_alpha_words < 6 * n_words then 128 else 0 end)::bigint as failed
   from measured)
-select *, failed & 3 <> 0 as base_failed, failed = 0 as kept, 'v2' as policy from ruled
+select *, failed & 3 <> 0 as base_failed, failed & ~20 = 0 as kept, 'v3' as policy from ruled
 """
 
 ORACLES["op7_decontamination"] = r"""

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from addrloom.llm.arrowtext import pieces, word_bounds
 from addrloom.llm.components import components
+from addrloom.llm.keys import with_bit
 from addrloom.llm.shared import stored
 
 SHINGLE = 3
@@ -214,8 +215,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD, chunk:
 
 
 def group(rows: DataFrame, radius: int = RADIUS, **sizes: int) -> DataFrame:
-    """``fingerprint`` and ``component_id``, the smallest ``id`` over all rows that a chain of near
-    fingerprints reaches; from rows of ``id`` and ``fingerprint``.  Null ids are no smallest id."""
+    """``fingerprint``, ``root`` (which tells its group) and ``component_id``, the smallest ``id`` over all rows that a chain of
+    near fingerprints reaches; from rows of ``id`` and ``fingerprint``.  Null ids are no smallest id."""
     firsts = stored(rows.groupBy("fingerprint").agg(F.min("id").alias("id")), "simhash-distinct")
     found = components(links(firsts.select("fingerprint"), radius, **sizes))
     rooted = stored(
@@ -223,7 +224,7 @@ def group(rows: DataFrame, radius: int = RADIUS, **sizes: int) -> DataFrame:
         .select("fingerprint", "id", F.coalesce("root", "fingerprint").alias("root")), "simhash-roots",
     )
     smallest = stored(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "simhash-smallest")
-    return rooted.join(smallest, "root").select("fingerprint", "component_id")
+    return rooted.join(smallest, "root").select("fingerprint", "root", "component_id")
 
 
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, **sizes: int) -> DataFrame:
@@ -231,7 +232,8 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
 
     Null and empty texts have fingerprint zero and are linked like any other.  Repeated rows each give a
     row.  A null id keeps its row; a group of null ids only has a null component.  An empty table gives no
-    rows.  Only the two named columns are read.
+    rows.  Only the two named columns are read.  Chains of links that do not settle in the rounds of
+    ``components`` raise an error.
     """
     rows = stored(
         fingerprints(documents, (id_column,), text_column)
@@ -244,12 +246,30 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
 
 
 def deduplicate(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents, with their columns, that have the smallest id of their group.  Rows of one id
-    are one document and stay once; a row without an id cannot be named by a group and stays."""
-    found = near_duplicates(documents, id_column, text_column, radius)
-    best = stored(
-        found.where(F.col(f"`{id_column}`") == F.col("component_id")).select(F.col("component_id").alias("kept")).distinct(),
-        "simhash-kept",
+    """One document, with its columns, of every group: the one with the smallest id, and of several texts of that
+    id the one that hashes lowest.
+
+    So a group never goes as a whole, also where an id has texts in several groups.  Rows of one id and text are one document and
+    stay once.  A row without an id cannot be named by a group and stays.  An empty table gives no rows.  Texts are shuffled
+    only for documents that may go.
+    """
+    text = F.col(f"`{text_column}`").cast("string")
+    key = [F.col(f"`{id_column}`").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+    names = ("id", "t1", "t2")
+    rows = stored(
+        fingerprints(documents.select(*key, text.alias("text")).where("id is not null"), names).select("document.*", "fingerprint").drop("_"),
+        "simhash-fingerprints",
     )
-    kept = documents.join(best, documents[f"`{id_column}`"] == best["kept"], "left_semi").dropDuplicates([id_column])
-    return kept.unionByName(documents.where(F.col(f"`{id_column}`").isNull()))
+    found = group(rows, radius).select("fingerprint", "root")
+    # a row per document
+    said = rows.groupBy(*names).agg(F.first("fingerprint").alias("fingerprint"), F.count(F.lit(1)).alias("copies"))
+    said = stored(said.join(found, "fingerprint"), "simhash-documents")
+    best = said.groupBy("root").agg(F.min(F.struct(*names)).alias("best"))
+    judged = stored(said.join(best, "root").select(*names, "copies", (F.struct(*names) == F.col("best")).alias("stays")), "simhash-kept")
+    gone = judged.where("not stays")
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), *key)
+    named = whole.where("id is not null")
+    marked = with_bit(named, judged.where("not stays or copies > 1"), "met", *names)
+    settled = marked.where("met").drop("met").join(gone.select(*names), list(names), "left_anti").dropDuplicates(list(names))
+    kept = marked.where("not met").select("row").unionByName(settled.select("row")).unionByName(whole.where("id is null").select("row"))
+    return kept.select("row.*")

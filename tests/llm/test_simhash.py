@@ -110,3 +110,19 @@ def test_empty_and_bounds(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         simhash.links(df.selectExpr("doc_id as fingerprint"), 8)
+
+
+def test_deduplicate_loses_no_group(spark):
+    one, two, three = "alpha beta gamma delta epsilon", "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, one, "a"), (1, two, "b"), (2, two, "c"), (3, three, "d"), (3, three, "d"), (4, three, "e"), (None, one, "f"), (None, None, "g"), (5, None, "h"), (6, "", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t1 string").repartition(3)
+    out = sorted(map(tuple, simhash.deduplicate(df).collect()), key=str)
+    assert out == sorted([(1, one, "a"), (1, two, "b"), (3, three, "d"), (None, one, "f"), (None, None, "g"), (5, None, "h")], key=str)
+    assert simhash.deduplicate(df).columns == df.columns and simhash.deduplicate(df.limit(0)).collect() == []
+
+
+def test_deduplicate_keeps_one_of_each_group(spark):
+    rows = [(i, t) for i, t in enumerate(texts())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    groups = simhash.near_duplicates(df).collect()
+    assert {r["doc_id"] for r in simhash.deduplicate(df).collect()} == {r["component_id"] for r in groups}
