@@ -234,13 +234,13 @@ def disclosing_terms(
     # texts with a value that can be judged
     judged = within(held, values, "value").join(values.select("value"), "value").groupBy("said").agg(F.collect_list("value").alias("wanted"))
     outside = _replaced(F.col("text"), F.concat(*[_said(k, " ") for k in KINDS]))
-    each = within(texts, judged, "said").join(judged, "said").select(
-        "wanted", _min_hashes(F.col("text")).alias("marks"),
-        F.explode(F.array_intersect(_spoken(outside), _spoken(F.col("text")))).alias("term"),
-    )
+    # stored before it is taken apart, or Spark would make the marks once a term
+    each = stored(within(texts, judged, "said").join(judged, "said").select(
+        "wanted", _min_hashes(F.col("text")).alias("marks"), F.array_intersect(_spoken(outside), _spoken(F.col("text"))).alias("terms"),
+    ), "pii-judged")
     differ = [F.size(F.collect_set(F.get("marks", F.lit(k)))).cast("long") for k in range(MIN_HASHES)]
     # pre-counted: most pairs stand in too few texts for the sets to be worth making
-    rows = each.select("marks", "term", F.explode("wanted").alias("value"))
+    rows = each.select("marks", "wanted", F.explode("terms").alias("term")).select("marks", "term", F.explode("wanted").alias("value"))
     often = rows.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_texts)
     often = stored(often, "pii-often")
     pairs = within(rows, often, "value", "term").groupBy("value", "term").agg(F.least(*differ).alias("support"))
