@@ -2,8 +2,11 @@
 
 Every element's subtree is hashed: tag, name of its class and role, text and children.  Spark counts on how many
 different pages of a host each hash occurs (copies, pages of one text, count once); a subtree on many of them is the
-site's template and is deleted before the text is taken, beside what its tag or class says is no article.  The text of an
-``article`` or ``main`` is the author's: inside it only containers can be template, never its blocks of prose.
+site's template and is deleted before the text is taken.  Where counting cannot tell (a site of few pages, a block that is
+another on each page), tags and roles that are no article go too, and so do class names: whole ones like ``sidebar`` or ``site-footer``
+for themselves, others that only begin or end like one (``share-price``, ``related-posts``) with a second sign, which is that the
+subtree recurs or is mostly links.  The text of an ``article`` or ``main`` is the author's: inside it only containers can be
+template, never its blocks of prose, and one with prose in it is not judged by its name alone unless it holds readers' comments.
 
 A page is parsed where it lies; only hashes are shuffled: (host, content, page) once a page to find the copies, then
 (host, hash) pairs, partially counted first.
@@ -24,7 +27,10 @@ from pyspark.sql import types as T
 
 from addrloom.llm.shared import stored
 
-MIN_PAGES, SHARE = 4, 0.2
+# different pages that make a subtree template: so many on any host, or fewer where they are this share of a small host's pages
+MANY_PAGES, MIN_PAGES, SHARE = 10, 4, 0.2
+# text of an article's container, in characters, from which it counts as prose
+PROSE_LENGTH = 60
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -54,6 +60,12 @@ LAYOUT_WORDS = DROPPED_WORDS - frozenset(
     "comment comments commentlist disqus reply replies respond discussion related recommended recommendations".split()
 )
 HEAD_WORDS = frozenset("header masthead".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+# parts of a class name that say nothing about what it holds
+PLAIN_WORDS = frozenset(
+    "site page main top bottom left right box container wrapper wrap block bar section list area inner outer content primary secondary "
+    "global row col column group item items panel buttons button links link unit slot".split()
+)
 # inside an article these name its own sections as well, so there only counting tells
 SECTION_WORDS = HEAD_WORDS | frozenset("notice notices discussion search form menu banner cookie cookies consent".split())
 
@@ -75,6 +87,9 @@ class Node:
     around: bool = False  # an article is inside
     children: list = field(default_factory=list)  # nodes and texts
     hash: int = 0
+    text: int = 0  # characters below, and those of links among them
+    links: int = 0
+    prose: bool = False  # a block of prose with text is below
 
 
 def parse(source: str) -> Node:
@@ -152,28 +167,63 @@ def parse(source: str) -> Node:
     return root
 
 
-def is_boilerplate(node: Node, inside_article: bool) -> bool:
-    """By tag, role and words.  A form around an article is layout; inside an article blocks of prose and ids, which
-    are named by what they say, are not judged by words."""
+def _names(marks: str) -> tuple[set[str], set[str]]:
+    """Words that name no article: of class names made up of such words, and of names that only have one among others."""
+    whole, part = set(), set()
+    for token in marks.split():
+        words = set(_WORD.findall(token))
+        (whole if words <= DROPPED_WORDS | PLAIN_WORDS else part).update(words & DROPPED_WORDS)
+    return whole, part
+
+
+def is_boilerplate(node: Node, inside_article: bool, recurs: bool = False) -> bool:
+    """By tag, role and names.  A form around an article is layout; inside an article blocks of prose, figures and ids,
+    which are named by what they say, are not judged by names."""
     around_form = node.around and (node.tag == "form" or node.role == "form")
     if node.hidden or (node.tag in DROPPED or node.role in DROPPED_ROLES) and not around_form:
         return True
     if node.tag == "header" and not inside_article:
         return True
-    if node.tag in ("html", "body") or inside_article and node.tag in PROSE:
+    if node.tag in ("html", "body") or inside_article and (node.tag in PROSE or node.tag == "figure"):
         return False
     marks = node.classes if inside_article or is_article(node) else node.marks
-    words = DROPPED_WORDS.intersection(_WORD.findall(marks)) if marks else frozenset()
-    return bool(words - (LAYOUT_WORDS if node.around else SECTION_WORDS if inside_article else frozenset()))
-
-
-def hash_subtrees(root: Node) -> list[Node]:
-    """All elements in page order, children hashed before their parents."""
+    if not marks:
+        return False
+    whole, part = _names(marks)
+    spared = LAYOUT_WORDS if node.around else SECTION_WORDS if inside_article else frozenset()
+    whole, part = whole - spared, part - spared
+    second = recurs or node.links > 0 and 2 * node.links >= node.text
+    if inside_article:
+        alone = bool(whole & COMMENT_WORDS) or not node.prose and node.text < PROSE_LENGTH
+        return bool(whole) and (alone or second) or bool(part) and second
+    return bool(whole) or bool(part) and second
+
+
+def measure(root: Node) -> list[Node]:
+    """All elements in page order, with their characters of text, those of links, and whether they hold prose."""
     nodes, stack = [], [root]
     while stack:
         node = stack.pop()
         nodes.append(node)
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    for node in reversed(nodes):
+        if node.tag in RAW:
+            continue
+        for c in node.children:
+            if isinstance(c, Node):
+                node.text += c.text
+                node.links += c.links
+                node.prose = node.prose or c.prose or c.tag in PROSE and c.text > c.links
+            else:
+                node.text += len("".join(c.split()))
+        if node.tag == "a":
+            node.links = node.text
+    return nodes
+
+
+def hash_subtrees(root: Node) -> list[Node]:
+    """All elements in page order, measured and hashed, children before their parents."""
+    nodes = measure(root)
     for node in reversed(nodes):
         digest = xxhash.xxh64(f"{node.tag}\x00{node.marks}\x00{node.role}")
         for c in node.children:
@@ -207,27 +257,26 @@ def is_article(node: Node) -> bool:
     return node.tag in ("article", "main") or node.role == "main"
 
 
-def main_text(source: str, templates: frozenset[int] = frozenset()) -> str:
-    """The blocks of the page's article (of all its articles, of the body if there is none) without template."""
+def main_text(source: str, templates: frozenset[int] = frozenset(), rules: bool = True) -> str:
+    """The blocks of the page's article (of all its articles, of the body if there is none) without template.  Without
+    ``rules`` only what was counted is deleted, and what is never text: this is to measure what counting achieves."""
     root = parse(source)
-    if templates:
-        hash_subtrees(root)
-    return _blocks_of(root, templates)
+    hash_subtrees(root) if templates else measure(root)
+    return _blocks_of(root, templates, rules)
 
 
-def _blocks_of(root: Node, templates: frozenset[int]) -> str:
+def _blocks_of(root: Node, templates: frozenset[int], rules: bool = True) -> str:
     def removed(node: Node, inside: bool) -> bool:
-        if is_boilerplate(node, inside):
+        recurs = bool(templates) and signed(node.hash) in templates and node.tag not in ("#root", "html", "body")
+        if is_boilerplate(node, inside, recurs) if rules else node.tag in RAW or node.tag in ("head", "template"):
             return True
-        if not templates or signed(node.hash) not in templates or node.tag in ("#root", "html", "body"):
-            return False
-        return not (inside and (node.tag in PROSE or node.tag not in BLOCKS or is_article(node)))
+        return recurs and not (inside and (node.tag in PROSE or node.tag not in BLOCKS or is_article(node)))
 
     # the articles that stand, outermost first
     mains, stack = [], [root]
     while stack:
         node = stack.pop()
-        if is_article(node) and node is not root:
+        if rules and is_article(node) and node is not root:
             if not is_boilerplate(node, False):
                 mains.append(node)
             continue
@@ -269,9 +318,10 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, url_column: str = "url", html_column: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """``host`` and ``hashes``: the subtrees on at least ``min_pages`` different pages and a ``share`` of the different
-    pages of the host.  Pages of a host that say the same are one page.  Pages without a host have no common template."""
+def templates(pages: DataFrame, url_column: str = "url", html_column: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
+    """``host`` and ``hashes``: the subtrees on at least ``many_pages`` different pages of the host, or on ``min_pages`` where these are
+    a ``share`` of the host's different pages.  Pages of a host that say the same are one page.  Pages without a host have no
+    common template."""
     rows = pages.select(host(F.col(f"`{url_column}`")).alias("host"), F.col(f"`{html_column}`").cast("string").alias("html"))
     rows = rows.where("host <> ''")
     schema = T.StructType([
@@ -290,15 +340,15 @@ def templates(pages: DataFrame, url_column: str = "url", html_column: str = "htm
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     different = rows.mapInArrow(run, schema).select("host", "content", F.explode("hashes").alias("hash")).distinct()
-    counts = stored(different.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages), "html-subtrees")
+    counts = stored(different.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(min_pages, many_pages)), "html-subtrees")
     whole = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    common = counts.where("hash <> 0").join(whole, "host").where(F.col("n") >= share * F.col("pages"))
+    common = counts.where("hash <> 0").join(whole, "host").where((F.col("n") >= many_pages) | (F.col("n") >= share * F.col("pages")))
     return common.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
 def extract(
     pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), url_column: str = "url", html_column: str = "html",
-    min_pages: int = MIN_PAGES, share: float = SHARE,
+    min_pages: int = MIN_PAGES, share: float = SHARE, many_pages: int = MANY_PAGES, rules: bool = True,
 ) -> DataFrame:
     """``document`` (a struct of the carried columns) and ``text``: the main text, blocks joined by line feeds.
 
@@ -306,7 +356,7 @@ def extract(
     give a row, but count as one page when subtrees are counted.  Whole pages of any length are parsed; an empty table
     gives no rows; carried names cannot clash with results, as they stay inside the struct.
     """
-    found = templates(pages, url_column, html_column, min_pages, share)
+    found = templates(pages, url_column, html_column, min_pages, share, many_pages)
     rows = pages.select(
         F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("document"),
         host(F.col(f"`{url_column}`")).alias("host"), F.col(f"`{html_column}`").cast("string").alias("html"),
@@ -316,7 +366,7 @@ def extract(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                main_text(source or "", frozenset(hashes or ()))
+                main_text(source or "", frozenset(hashes or ()), rules)
                 for source, hashes in zip(batch.column("html").to_pylist(), batch.column("hashes").to_pylist())
             ]
             yield pa.RecordBatch.from_arrays([batch.column("document"), pa.array(texts, pa.string())], names=["document", "text"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import time
+from collections import Counter
 
 import pytest
 
@@ -78,3 +80,61 @@ def test_copies_prove_no_template(spark, page):
 ])
 def test_article_sections_and_forms_around(source, want):
     assert html.main_text(source) == want
+
+
+@pytest.mark.parametrize("source, want", [
+    ("<article><p>a</p><div class='share-price'>12.5</div><section class='ad-hoc-methods'><p>m</p></section></article>", "a\n12.5\nm"),
+    ("<article><div class='social-history'>s</div><section class='recommended-dosage'>d</section><figure class='widget'>f</figure></article>", "s\nd\nf"),
+    ("<body><p class='notice-period'>n</p><div class='site-footer'>f</div><div class='cookie_notice'>c</div></body>", "n"),
+    ("<article><div class='related-posts'><a href=x>one</a> <a href=y>two</a></div><p>a</p></article>", "a"),
+    ("<article><div class='widget'><p>A whole paragraph that the author wrote, about a widget.</p></div></article>", "A whole paragraph that the author wrote, about a widget."),
+    ("<article><p>a</p><div class='comments'><p>I liked this very much, and said so at some length.</p></div></article>", "a"),
+    ("<div class='comment-list'><p>c</p></div><p>a</p>", "a"),
+])
+def test_names_need_a_second_sign(source, want):
+    assert html.main_text(source) == want
+
+
+def plain_templates(rows):
+    """Counted in plain Python: subtrees of the different pages of each host."""
+    pages = {}
+    for url, source in rows:
+        content, hashes = html.candidates(source)
+        pages.setdefault((url.split("/")[2], content), set()).update(hashes)
+    out = {}
+    for host in {h for h, _ in pages}:
+        own = [s for (h, _), s in pages.items() if h == host]
+        counts = Counter(x for s in own for x in s)
+        out[host] = {x for x, n in counts.items() if n >= html.MANY_PAGES or n >= max(html.MIN_PAGES, html.SHARE * len(own))}
+    return {h: s for h, s in out.items() if s}
+
+
+def test_templates_against_counting(spark):
+    """Random sites: the same subtrees, and blocks that no rule knows go by being counted alone."""
+    rng, rows, told = random.Random(4), [], {}
+    for site in range(6):
+        blocks = [f"<div><b>block {site} {k}</b> of words</div>" for k in range(12)]
+        for page in range(rng.choice([3, 8, 30, 60])):
+            some = rng.sample(blocks, 3)
+            body = f"<body>{some[0]}<div><p>story {site} {page}</p></div>{some[1]}{some[2]}</body>"
+            rows += [(f"http://s{site}.example/{page}", body)] * (4 if page == 1 else 1)
+    df = spark.createDataFrame(rows, "url string, html string").repartition(5)
+    want = plain_templates(rows)
+    assert {r["host"]: set(r["hashes"]) for r in html.templates(df).collect()} == want
+    assert any(len(s) == 24 for s in want.values())  # a third or a tenth of a large site's pages is enough
+    for rules in (True, False):
+        for r in html.extract(df, ("url",), rules=rules).select("document.url", "text").collect():
+            host, page = r["url"].split("/")[2:]
+            hashes = frozenset(want.get(host, ()))
+            assert r["text"] == html.main_text(dict(rows)[r["url"]], hashes, rules)
+            if len(hashes) == 24:
+                assert r["text"] == f"story {host[1]} {page}"
+
+
+def test_counting_on_the_given_pages(spark):
+    """The given menus and footers differ from page to page of a host, so counting alone reaches some pages only."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    size = lambda **o: {r["page_id"]: r["n"] for r in html.extract(pages, rules=False, **o).selectExpr("document.page_id", "length(text) as n").collect()}
+    counted, nothing = size(), size(min_pages=10**6, many_pages=10**6)
+    assert len(counted) == 2500 and all(counted[i] <= nothing[i] for i in counted)
+    assert sum(counted[i] < nothing[i] for i in counted) >= 200
