@@ -264,7 +264,8 @@ def deduplicate(documents: DataFrame, id_column: str = "doc_id", text_column: st
     # a row per document
     said = rows.groupBy(*names).agg(F.first("fingerprint").alias("fingerprint"), F.count(F.lit(1)).alias("copies"))
     said = stored(said.join(found, "fingerprint"), "simhash-documents")
-    best = said.groupBy("root").agg(F.min(F.struct(*names)).alias("best"))
+    # stored, so that a large group's rows can be split in the join
+    best = stored(said.groupBy("root").agg(F.min(F.struct(*names)).alias("best")), "simhash-best")
     judged = stored(said.join(best, "root").select(*names, "copies", (F.struct(*names) == F.col("best")).alias("stays")), "simhash-kept")
     gone = judged.where("not stays")
     whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), *key)
