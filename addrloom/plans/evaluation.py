@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from addrloom.models.pair_scorer import fit_pair_scorer
 from addrloom.operators import checks, stats
+from addrloom.operators.numbering import first_by_number
+from addrloom.sources.tables import written
 
 # fixed values: ways to write one address twice, (query form, reference form).
 # {P} province {p} the same without its last character, {C} city {c} likewise,
@@ -238,9 +240,9 @@ def distractors(gazetteer: DataFrame, pairs: DataFrame, count: int = 9000, **pla
         gazetteer.withColumn("district_no", F.col("district_no").cast("long")), "district_no"
     )
     rows = rows.withColumn("road", _pick(F.col("roads"), at)).withColumn("number", at * 7 + 501)
-    made = distractor_rows(write_distractors(rows, at, **place), at, pairs)
-    # the house code, a number at a fixed width, gives the order they were tried in
-    return made.orderBy(F.length("house_code"), "house_code").limit(count)
+    made = written(distractor_rows(write_distractors(rows, at, **place), at, pairs), "distractors")
+    # the house code holds the number, which gives the order they were tried in
+    return first_by_number(made, F.expr("cast(substring(house_code, 3) as long) - 1"), count)
 
 
 def labelled_pairs(gazetteer: DataFrame, count: int = 1000, province: str = "广东省", city: str = "深圳市") -> DataFrame:
