@@ -40,6 +40,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from addrloom.functions.vectors import squared_l2
+from addrloom.operators.centre_tree import CentreTree
+from addrloom.operators.distances import matrix as _matrix
+from addrloom.operators.distances import squared_distances as _squared_distances
 from addrloom.sources.tables import written
 from addrloom.vocab import TOP_N
 
@@ -113,23 +116,6 @@ def _reference_side(references: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of an ``array<float>`` Arrow column as a matrix of floats."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
-
-
-def _squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    products = a @ b.T
-    products *= -2.0
-    products += np.einsum("ij,ij->i", a, a)[:, None]
-    products += np.einsum("ij,ij->i", b, b)[None, :]
-    return np.maximum(products, 0.0, out=products)
-
-
 # ---------------------------------------------------------------------------
 # cells
 # ---------------------------------------------------------------------------
@@ -145,23 +131,29 @@ class Cells:
     nearest: np.ndarray
 
 
-def _check_centres(centres: np.ndarray) -> np.ndarray:
-    if centres.size > MAX_CENTRE_NUMBERS:
+def _check_centres(centres: np.ndarray | CentreTree) -> np.ndarray | CentreTree:
+    """Flat centres of a bounded size; a tree checks its own."""
+    if isinstance(centres, np.ndarray) and centres.size > MAX_CENTRE_NUMBERS:
         raise ValueError(f"{centres.shape[0]} centres of {centres.shape[1]} numbers are too many to send to every task")
     return centres
 
 
-def assign_cells(references: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Add ``cell`` (nearest centre) and ``centre_distance`` to rows with ``vector``."""
+def assign_cells(references: DataFrame, centres: np.ndarray | CentreTree) -> DataFrame:
+    """Add ``cell`` (nearest centre, in a tree the list reached going down) and ``centre_distance`` to rows with ``vector``."""
     _check_centres(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            squared = _squared_distances(_matrix(batch.column("vector")).astype(np.float64), centres)
-            cell = squared.argmin(axis=1)
-            distance = np.sqrt(squared[np.arange(len(cell)), cell])
+            points = _matrix(batch.column("vector")).astype(np.float64)
+            if isinstance(centres, np.ndarray):
+                squared = _squared_distances(points, centres)
+                cell = squared.argmin(axis=1)
+                squared = squared[np.arange(len(cell)), cell]
+            else:
+                cell, squared = centres.nearest(points)
+            distance = np.sqrt(squared)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(distance)],
                 names=[*batch.schema.names, "cell", "centre_distance"],
@@ -257,13 +249,13 @@ def _cells_to_probe(points: np.ndarray, centres: np.ndarray, filled: np.ndarray,
 
 
 def _send_to_cells(queries: DataFrame, choose) -> DataFrame:
-    """One row per query and cell it searches (column ``cell``)."""
+    """One row per query and cell it searches (column ``cell``); ``choose`` gives (point, cell)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                row, cell = np.nonzero(choose(_matrix(part.column("vector")).astype(np.float64)))
+                row, cell = choose(_matrix(part.column("vector")).astype(np.float64))
                 for at in range(0, len(row), 8192):
                     taken = part.take(pa.array(row[at : at + 8192]))
                     yield pa.RecordBatch.from_arrays(
@@ -367,7 +359,7 @@ def keep_top_n(candidates: DataFrame, top_n: int) -> DataFrame:
 def _chunked(df: DataFrame, id_column: str, own: str, other: str, sizes: DataFrame | None) -> DataFrame:
     if sizes is None:
         return df.withColumns({own: F.lit(0), other: F.lit(0)})
-    df = df.join(F.broadcast(sizes), "cell")  # at most MAX_CELLS rows
+    df = df.join(F.broadcast(sizes), "cell")  # a row a cell
     mine = F.pmod(F.xxhash64(id_column), F.col(f"{own}_count")).cast("int")
     theirs = F.explode(F.sequence(F.lit(0), F.col(f"{other}_count") - 1))
     return df.withColumn(own, mine).withColumn(other, theirs).drop("q_chunk_count", "r_chunk_count")
@@ -462,7 +454,8 @@ def knn_join(
     region = np.empty(len(order), dtype=np.int64)
     region[order] = np.searchsorted(first, np.arange(len(order)), side="right") - 1
     sent = _send_to_cells(
-        q, lambda points: np.logical_or.reduceat(_cells_to_search(points, known, top_n, reach)[:, order], first, axis=1)
+        q,
+        lambda points: np.nonzero(np.logical_or.reduceat(_cells_to_search(points, known, top_n, reach)[:, order], first, axis=1)),
     )
     assigned = assigned.withColumn("cell", F.element_at(F.lit(region.tolist()), F.col("cell") + 1).cast("int"))
     query_rows = _rows_per_cell(sent) if query_count > chunk_rows else {}
@@ -487,7 +480,7 @@ def fit_centres(references: DataFrame, lists: int | None = None, seed: int = 42)
     return _check_centres(np.array(model.clusterCenters(), dtype=np.float64))
 
 
-def with_list_id(references: DataFrame, centres: np.ndarray) -> DataFrame:
+def with_list_id(references: DataFrame, centres: np.ndarray | CentreTree) -> DataFrame:
     """Reference rows with the ``list_id`` to write them under."""
     assigned = assign_cells(references.where("vector IS NOT NULL"), centres)
     return assigned.withColumnRenamed("cell", "list_id").drop("centre_distance")
@@ -496,7 +489,7 @@ def with_list_id(references: DataFrame, centres: np.ndarray) -> DataFrame:
 def ivf_join(
     queries: DataFrame,
     listed: DataFrame,
-    centres: np.ndarray,
+    centres: np.ndarray | CentreTree,
     top_n: int = TOP_N,
     threshold: float | None = None,
     probes: int | None = None,
@@ -513,7 +506,10 @@ def ivf_join(
         return q.sparkSession.createDataFrame([], _PAIR_SCHEMA).drop("query_row")
     filled = np.zeros(len(centres), dtype=bool)
     filled[list(reference_rows)] = True
-    sent = _send_to_cells(q, lambda points: _cells_to_probe(points, centres, filled, probes))
+    if isinstance(centres, CentreTree):
+        sent = _send_to_cells(q, centres.search(filled, probes))
+    else:
+        sent = _send_to_cells(q, lambda points: np.nonzero(_cells_to_probe(points, centres, filled, probes)))
     query_rows = _rows_per_cell(sent)
     if len(query_rows) < len(reference_rows):
         # of a table partitioned by list only the lists in use are read
@@ -522,15 +518,22 @@ def ivf_join(
     return _meet(sent, r, reference_rows, query_rows, top_n, threshold, chunk_rows)
 
 
-def save_centres(spark: SparkSession, centres: np.ndarray, path: str) -> None:
-    """The centres as a table beside the list-partitioned vectors."""
+def save_centres(spark: SparkSession, centres: np.ndarray | CentreTree, path: str) -> None:
+    """The centres as a table beside the list-partitioned vectors; a tree's nodes with their parents."""
+    if isinstance(centres, CentreTree):
+        centres.save(spark, path)
+        return
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
     spark.createDataFrame(rows, "list_id int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load_centres(spark: SparkSession, path: str) -> np.ndarray:
-    """The stored centres, at most ``MAX_CELLS`` rows."""
-    rows = spark.read.parquet(path).orderBy("list_id").collect()
+def load_centres(spark: SparkSession, path: str) -> np.ndarray | CentreTree:
+    """The stored centres, at most ``MAX_CELLS`` rows, or the nodes of a tree, at most ``MAX_TREE_NUMBERS`` numbers."""
+    stored = spark.read.parquet(path)
+    if "parent" in stored.columns:
+        nodes = stored.orderBy("node").collect()
+        return CentreTree(np.array([r["centre"] for r in nodes], dtype=np.float32), np.array([r["parent"] for r in nodes]))
+    rows = stored.orderBy("list_id").collect()
     return _check_centres(np.array([r["centre"] for r in rows], dtype=np.float64))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from addrloom.models.pair_scorer import LogitPairScorer
 from addrloom.operators import knn, rank
+from addrloom.operators.centre_tree import CentreTree
 from addrloom.operators.recall import ENTERPRISE, summary
 from addrloom.operators.stats import match_stats
 from addrloom.plans.vectorize import centres_path, encode
@@ -17,7 +18,7 @@ from addrloom.vocab import RANK_THRESHOLD, TOP_N
 
 def recall(
     queries: DataFrame, references: DataFrame, top_n: int = TOP_N, threshold: float | None = None,
-    centres: np.ndarray | None = None, probes: int | None = None,
+    centres: np.ndarray | CentreTree | None = None, probes: int | None = None,
 ) -> DataFrame:
     """Flat recall rows; approximate when the references are clustered (``centres``
     given and ``list_id`` present), exact otherwise."""
@@ -56,7 +57,7 @@ def enterprises(queries: DataFrame) -> DataFrame:
 def two_stage(
     queries: DataFrame, references: DataFrame, top_n: int = TOP_N, threshold: float | None = None,
     scorer=None, policy: str = "rounded", rank_threshold: float | None = 0.0, keep_unmatched: bool = False,
-    centres: np.ndarray | None = None, probes: int | None = None,
+    centres: np.ndarray | CentreTree | None = None, probes: int | None = None,
 ) -> DataFrame:
     """Vector tables to match rows.  A query without any recall row is missing
     from the result unless ``keep_unmatched``."""

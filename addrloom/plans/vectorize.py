@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from addrloom.models.encoder import CharPairEncoder
-from addrloom.operators import knn
+from addrloom.operators import centre_tree, knn
 from addrloom.operators.pending import unvectorized
 from addrloom.sources import snapshots, tables
 
@@ -32,23 +32,29 @@ def centres_path(path: str) -> str:
     return f"{path.rstrip('/')}_centres"
 
 
-def vectorize(addresses: DataFrame, path: str, kind: str, encoder=None, lists: int | None = None) -> None:
+def _fitted(vectors: DataFrame, lists: int | None, tree: bool):
+    return centre_tree.fit_tree(vectors, lists or None) if tree else knn.fit_centres(vectors, lists or None)
+
+
+def vectorize(
+    addresses: DataFrame, path: str, kind: str, encoder=None, lists: int | None = None, tree: bool = False,
+) -> None:
     """Full run: the vector table is replaced.
 
     With ``lists`` (0: by the number of rows) the table is also an index: its vectors are
     clustered, written under the ``list_id`` of their nearest centre, and the centres are
-    stored beside it.
+    stored beside it.  With ``tree`` the centres form a tree, for more lists than flat centres allow.
     """
     rows = tables.vector_rows(encode(addresses, kind, encoder), kind)
     if lists is None:
         tables.replace(rows, path)
     else:
-        index(tables.written(rows, "vectors"), path, lists)
+        index(tables.written(rows, "vectors"), path, lists, tree=tree)
 
 
-def index(vectors: DataFrame, path: str, lists: int = 0, centres=None) -> None:
+def index(vectors: DataFrame, path: str, lists: int = 0, centres=None, tree: bool = False) -> None:
     """A vector table as a list-partitioned one with its centres (fitted unless given)."""
-    centres = knn.fit_centres(vectors, lists or None) if centres is None else centres
+    centres = _fitted(vectors, lists, tree) if centres is None else centres
     tables.replace(knn.with_list_id(vectors, centres), path, "list_id")
     knn.save_centres(vectors.sparkSession, centres, centres_path(path))
 
@@ -70,7 +76,9 @@ def ids_path(path: str) -> str:
     return f"{path.rstrip('/')}_ids"
 
 
-def publish(vectors: DataFrame, path: str, lists: int | None = None, centres=None, cells: int = snapshots.CELLS) -> None:
+def publish(
+    vectors: DataFrame, path: str, lists: int | None = None, centres=None, cells: int = snapshots.CELLS, tree: bool = False,
+) -> None:
     """Vector rows, of either kind, as a table of published versions that can be extended.
 
     Plain, its cells are those of the ids.  With ``lists`` (0: by the number of rows) or ``centres`` it is an index: cells of lists,
@@ -80,7 +88,7 @@ def publish(vectors: DataFrame, path: str, lists: int | None = None, centres=Non
         snapshots.publish(vectors, path, "source_id", cells)
         return
     vectors = tables.written(vectors, "vectors")
-    centres = knn.fit_centres(vectors, lists or None) if centres is None else centres
+    centres = _fitted(vectors, lists, tree) if centres is None else centres
     spark = vectors.sparkSession
     knn.save_centres(spark, centres, centres_path(path))
     listed = knn.with_list_id(vectors, centres)

@@ -86,6 +86,32 @@ ORACLES["knn_ivf_recall"] = with_(EMBED_SIDES, IVF, knn("q", "r", 5)) + """
 SELECT count(*) AS true_pairs, count(i.standard_id) AS found_pairs, round(count(i.standard_id) / count(*), 6) AS recall
 FROM found f LEFT JOIN ivf i USING (enterprise_id, standard_id)"""
 
+# a tree: the 64 vectors after the first 8 lie under the nearest of these; a row goes down by the nearest
+# child, a query keeps the nearest tops until those before hold 4 x 6 lists with rows, then the 6 nearest lists
+TREE = """
+given AS (SELECT row_number() OVER (ORDER BY standard_id::BIGINT) - 1 AS g, v FROM r ORDER BY standard_id::BIGINT LIMIT 72),
+lists AS (
+  SELECT b.g, b.v, arg_min(t.g, (pow(array_distance(b.v, t.v), 2), t.g)) AS top
+  FROM given b, given t WHERE b.g >= 8 AND t.g < 8 GROUP BY ALL),
+tops AS (SELECT g AS top, v FROM given WHERE g IN (SELECT top FROM lists)),
+below_top AS (SELECT r.standard_id, arg_min(t.top, (pow(array_distance(r.v, t.v), 2), t.top)) AS top FROM r, tops t GROUP BY ALL),
+listed AS (
+  SELECT r.*, arg_min(c.g, (pow(array_distance(r.v, c.v), 2), c.g)) AS list_id
+  FROM r JOIN below_top USING (standard_id) JOIN lists c USING (top) GROUP BY ALL),
+filled AS (SELECT * FROM lists WHERE g IN (SELECT list_id FROM listed)),
+kept AS (
+  SELECT enterprise_id, top FROM (
+    SELECT q.enterprise_id, t.top, coalesce(sum(n) OVER (PARTITION BY enterprise_id ORDER BY array_distance(q.v, t.v), t.top
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM q, tops t JOIN (SELECT top, count(*) AS n FROM filled GROUP BY top) USING (top)) WHERE before < 24),
+probed AS (
+  SELECT enterprise_id, g AS list_id FROM (
+    SELECT enterprise_id, f.g, row_number() OVER (PARTITION BY enterprise_id ORDER BY array_distance(q.v, f.v), f.top, f.g) AS rn
+    FROM q JOIN kept USING (enterprise_id) JOIN filled f USING (top)) WHERE rn <= 6),
+""" + IVF[IVF.index("near AS ("):]
+ORACLES["knn_ivf_tree"] = with_(EMBED_SIDES, TREE) + "SELECT * REPLACE (round(similarity, 6) AS similarity) FROM ivf"
+ORACLES["knn_ivf_tree_all_lists"] = ORACLES["knn_topn"]
+
 # -- recall rows ----------------------------------------------------------------------
 
 RECALL = """

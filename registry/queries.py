@@ -15,7 +15,7 @@ from addrloom.models.encoder import CharPairEncoder
 from addrloom.models.pair_scorer import LogitPairScorer, SimilarityScorer
 from addrloom.models.plugged import PluggedPairScorer
 from addrloom.models.tagger import LevelWordTagger
-from addrloom.operators import checks, copies, corrections, filters, knn, pages, pending, rank, recall, stats
+from addrloom.operators import centre_tree, checks, copies, corrections, filters, knn, pages, pending, rank, recall, stats
 from addrloom.plans import corrections as stored_corrections
 from addrloom.plans import evaluation, match, pairs, tagging, vectorize
 from addrloom.sources import csv, logs, snapshots, tables, tags
@@ -89,6 +89,27 @@ def knn_ivf_recall(spark, folder):
     return knn.recall_share(knn_ivf(spark, folder), truth).withColumns(_r6("recall"))
 
 
+@query
+def knn_ivf_tree(spark, folder):
+    """Lists below a tree of centres: 64 under the nearest of 8."""
+    references = v.reference_vectors(spark, folder)
+    given = v.given_centres(references, 72)
+    tree = centre_tree.given_tree(given[:8], given[8:])
+    found = knn.ivf_join(v.query_vectors(spark, folder), knn.with_list_id(references, tree), tree, 5, probes=6)
+    return found.withColumns(_r6("similarity"))
+
+
+@query
+def knn_ivf_tree_all_lists(spark, folder):
+    """A fitted tree: searching every list finds the exact result."""
+    references = v.reference_vectors(spark, folder)
+    tree = centre_tree.fit_tree(references, lists=200, branching=16)
+    found = knn.ivf_join(
+        v.query_vectors(spark, folder), knn.with_list_id(references, tree), tree, 5, probes=len(tree)
+    )
+    return found.withColumns(_r6("similarity"))
+
+
 # -- recall rows ----------------------------------------------------------------------
 
 @query
