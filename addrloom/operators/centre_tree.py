@@ -35,7 +35,7 @@ ROUNDS = 10
 HOT = 2
 MAX_DEPTH = 16
 # A search keeps the nearest nodes of a level until they hold so many times the wanted lists.
-WIDEN = 4
+WIDEN = 8
 
 
 class CentreTree:

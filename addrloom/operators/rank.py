@@ -51,7 +51,7 @@ def pick_best(
 ) -> DataFrame:
     """The best candidate of each query, as match rows.
 
-    Equal scores go to the more similar, then to the smaller id.  A query whose
+    A query is its id, name and address, so rows that share an id keep their own verdicts.  Equal scores go to the more similar, then to the smaller id.  A query whose
     candidates all fail the threshold gets the no-candidate verdict; so do the
     rows of ``queries`` (enterprise columns) that have no candidate row at all.
     ``threshold`` None means the default, 0 means off.
@@ -61,7 +61,7 @@ def pick_best(
     """
     threshold = RANK_THRESHOLD if threshold is None else threshold
     usable = passes(threshold) & F.coalesce(F.col("standard_id") != "", F.lit(False))
-    order = Window.partitionBy("enterprise_id").orderBy(
+    order = Window.partitionBy(*ENTERPRISE).orderBy(
         F.desc("_usable"), *_preference(policy), F.desc("similarity"), F.asc("standard_id")
     )
     best = (
@@ -70,7 +70,10 @@ def pick_best(
         .where(F.col("_rank") == 1)
     )
     if queries is not None:
-        best = queries.select(*ENTERPRISE).join(best.drop(*ENTERPRISE[1:]), "enterprise_id", "left")
+        everyone = queries.select(*[F.col(c).cast("string").alias(c) for c in ENTERPRISE])
+        best = best.withColumnsRenamed({c: f"_{c}" for c in ENTERPRISE})
+        same = [everyone[c].eqNullSafe(best[f"_{c}"]) for c in ENTERPRISE]
+        best = everyone.join(best, same, "left")
     kept = F.coalesce(F.col("_usable"), F.lit(False))
     status = match_status(F.col("exact_match"), F.col("partial_match"), F.col("not_match"))
     return best.select(

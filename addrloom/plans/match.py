@@ -40,8 +40,7 @@ def rank_recall(
     usable = F.coalesce(F.col("standard_id") != "", F.lit(False))
     scored = rank.score(recalled.where(rank.passes(threshold) & usable), scorer)
     if queries is None:
-        rest = F.min(F.struct(*ENTERPRISE[1:])).alias("r")
-        queries = recalled.groupBy("enterprise_id").agg(rest).select("enterprise_id", "r.*")
+        queries = recalled.select(*ENTERPRISE).distinct()
     return rank.pick_best(scored, policy, threshold, queries)
 
 

@@ -87,7 +87,7 @@ SELECT count(*) AS true_pairs, count(i.standard_id) AS found_pairs, round(count(
 FROM found f LEFT JOIN ivf i USING (enterprise_id, standard_id)"""
 
 # a tree: the 64 vectors after the first 8 lie under the nearest of these; a row goes down by the nearest
-# child, a query keeps the nearest tops until those before hold 4 x 6 lists with rows, then the 6 nearest lists
+# child, a query keeps the nearest tops until those before hold 8 x 3 lists with rows, then the 3 nearest lists
 TREE = """
 given AS (SELECT row_number() OVER (ORDER BY standard_id::BIGINT) - 1 AS g, v FROM r ORDER BY standard_id::BIGINT LIMIT 72),
 lists AS (
@@ -107,7 +107,7 @@ kept AS (
 probed AS (
   SELECT enterprise_id, g AS list_id FROM (
     SELECT enterprise_id, f.g, row_number() OVER (PARTITION BY enterprise_id ORDER BY array_distance(q.v, f.v), f.top, f.g) AS rn
-    FROM q JOIN kept USING (enterprise_id) JOIN filled f USING (top)) WHERE rn <= 6),
+    FROM q JOIN kept USING (enterprise_id) JOIN filled f USING (top)) WHERE rn <= 3),
 """ + IVF[IVF.index("near AS ("):]
 ORACLES["knn_ivf_tree"] = with_(EMBED_SIDES, TREE) + "SELECT * REPLACE (round(similarity, 6) AS similarity) FROM ivf"
 ORACLES["knn_ivf_tree_all_lists"] = ORACLES["knn_topn"]
@@ -129,6 +129,11 @@ SELECT enterprise_id, min(enterprise_name) AS enterprise_name, min(enterprise_ad
        string_agg(standard_id || '|' || standard_address || '|' || room_no || '|' || round(similarity * 50)::INT, ','
                   ORDER BY similarity DESC, standard_id) AS candidates
 FROM recall GROUP BY enterprise_id"""
+ORACLES["recall_regroup_top"] = with_(RECALL) + """
+SELECT enterprise_id, min(enterprise_name) AS enterprise_name, min(enterprise_address) AS enterprise_address,
+       count(*) AS candidate_count, string_agg(standard_id, ',' ORDER BY similarity DESC, standard_id) AS candidates
+FROM (SELECT *, row_number() OVER (PARTITION BY enterprise_id ORDER BY similarity DESC, standard_id) AS rn FROM recall)
+WHERE rn <= 3 GROUP BY enterprise_id"""
 ORACLES["recall_flatten"] = with_(RECALL) + "SELECT * FROM recall"
 ORACLES["recall_summary"] = with_(RECALL) + """
 SELECT count(DISTINCT enterprise_id) AS enterprise_count, count(*) AS recall_count, count(standard_id) AS candidate_count FROM recall"""
@@ -719,6 +724,11 @@ ORACLES["list_rule"] = """
 SELECT c_custkey * 20011 AS n, greatest(100, least(4000, CASE WHEN c_custkey * 20011 <= 1000000 THEN c_custkey * 20011 // 1000
   ELSE floor(sqrt(c_custkey * 20011))::BIGINT END)) AS lists FROM customer"""
 ORACLES["stream_progress"] = "SELECT count(*) AS processed, count(*) AS total, 1.0::DOUBLE AS progress, true AS has_rate FROM documents"
+ORACLES["plugged_batches"] = """
+SELECT doc_id, coalesce(length(text), 0) AS n_chars,
+       coalesce(length(text) - length(replace(text, ' ', '')), 0) AS n_spaces, NULL::VARCHAR AS error FROM documents"""
+ORACLES["rank_repeated_ids"] = with_(*KEPT, """shared AS (
+  SELECT * REPLACE (((enterprise_id::BIGINT) // 3)::VARCHAR AS enterprise_id) FROM matches)""") + rounded("shared")
 ORACLES["plugged_failures"] = with_(TURNS, f"""
 judged AS (SELECT nullif(id, '') AS identifier, {strip("coalesce(text, '')")} = '' OR {strip("coalesce(next_text, '')")} = '' AS blank,
                   coalesce(text, '') LIKE 'T%' AS bad FROM turns)""") + f"""

@@ -13,7 +13,7 @@ from addrloom.functions import prefixes, scores, vectors
 from addrloom.functions import text as tx
 from addrloom.models.encoder import CharPairEncoder
 from addrloom.models.pair_scorer import LogitPairScorer, SimilarityScorer
-from addrloom.models.plugged import PluggedPairScorer
+from addrloom.models.plugged import PluggedEncoder, PluggedPairScorer
 from addrloom.models.tagger import LevelWordTagger
 from addrloom.operators import centre_tree, checks, copies, corrections, filters, knn, pages, pending, rank, recall, stats
 from addrloom.plans import corrections as stored_corrections
@@ -95,7 +95,7 @@ def knn_ivf_tree(spark, folder):
     references = v.reference_vectors(spark, folder)
     given = v.given_centres(references, 72)
     tree = centre_tree.given_tree(given[:8], given[8:])
-    found = knn.ivf_join(v.query_vectors(spark, folder), knn.with_list_id(references, tree), tree, 5, probes=6)
+    found = knn.ivf_join(v.query_vectors(spark, folder), knn.with_list_id(references, tree), tree, 5, probes=3)
     return found.withColumns(_r6("similarity"))
 
 
@@ -124,6 +124,14 @@ def recall_regroup(spark, folder):
     )
 
 
+@query
+def recall_regroup_top(spark, folder):
+    """The three best candidates of every order, nested."""
+    nested = recall.regroup(v.recall_rows(spark, folder), 3)
+    ids = F.array_join(F.transform("candidates", lambda c: c["source_id"]), ",").alias("candidates")
+    return nested.select(*recall.ENTERPRISE, F.size("candidates").cast("long").alias("candidate_count"), ids)
+
+
 @query
 def recall_flatten(spark, folder):
     return recall.flatten(recall.regroup(v.recall_rows(spark, folder)))
@@ -750,6 +758,27 @@ def plugged_failures(spark, folder):
     return scored.select("identifier", "exact_match", "partial_match", "not_match", "match_status", "error")
 
 
+@query
+def plugged_batches(spark, folder):
+    """A model that is shown every document in batches of like length; what it saw beside each."""
+
+    def load():
+        return lambda texts: [[float(len(t or "")), float((t or "").count(" "))] for t in texts]
+
+    rows = v.table(spark, folder, "documents").select("doc_id", "text")
+    seen = PluggedEncoder(load, "text", "seen", batch_rows=64).transform(rows)
+    return seen.select("doc_id", *[F.element_at("seen", i).cast("long").alias(n) for i, n in ((1, "n_chars"), (2, "n_spaces"))], "error")
+
+
+@query
+def rank_repeated_ids(spark, folder):
+    """Queries that share an id, three orders each, keep their own verdicts."""
+    shared = F.floor(F.col("enterprise_id").cast("long") / 3).cast("string")
+    recalled = v.recall_rows(spark, folder).withColumn("enterprise_id", shared)
+    queries = v.all_enterprises(spark, folder).withColumn("enterprise_id", shared)
+    return _rounded(match.rank_recall(recalled, SimilarityScorer(), "rounded", 0.5, queries))
+
+
 @query
 def vectorize_incremental(spark, folder):
     """A full run over the suppliers' names, then an incremental one over the
