@@ -12,6 +12,8 @@ from addrloom.operators import filters as flt
 
 
 def page(df: DataFrame, order: Sequence[Column | str], number: int = 1, size: int = 20) -> DataFrame:
+    """A page of rows in ``order``.  The rows before it go through one task: for deep pages store the
+    result (``page_store``) or go on from the last row (:func:`page_after`)."""
     return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
 
 
@@ -35,6 +37,10 @@ def _score_order(*keys: str) -> list[Column]:
     return [F.desc("exact_match"), F.desc("partial_match"), *[F.asc(k) for k in keys]]
 
 
+def match_order() -> list[Column]:
+    return _score_order("enterprise_id")
+
+
 def recall_page(recall: DataFrame, filters: flt.Filters = None, number: int = 1, size: int = 20) -> DataFrame:
     return page(recall.where(flt.recall_filter(filters)), _recall_order(), number, size)
 
@@ -44,11 +50,11 @@ def recall_of(recall: DataFrame, ids) -> DataFrame:
 
 
 def match_rows(matches: DataFrame, filters: flt.Filters = None) -> DataFrame:
-    return matches.where(flt.match_filter(filters)).orderBy(*_score_order("enterprise_id"))
+    return matches.where(flt.match_filter(filters)).orderBy(*match_order())
 
 
 def match_page(matches: DataFrame, filters: flt.Filters = None, number: int = 1, size: int = 20) -> DataFrame:
-    return page(matches.where(flt.match_filter(filters)), _score_order("enterprise_id"), number, size)
+    return page(matches.where(flt.match_filter(filters)), match_order(), number, size)
 
 
 def pair_page(pairs: DataFrame, filters: flt.Filters = None, number: int = 1, size: int = 20) -> DataFrame:

@@ -276,6 +276,10 @@ ORACLES["match_page"] = CORRECTED + rounded(
     "(SELECT * FROM picked WHERE exact_match >= 0.2 ORDER BY exact_match DESC, partial_match DESC, enterprise_id LIMIT 25 OFFSET 75)"
 )
 
+ORACLES["match_page_deep"] = CORRECTED + rounded(
+    "(SELECT * FROM picked ORDER BY exact_match DESC, partial_match DESC, enterprise_id LIMIT 25 OFFSET 4975)"
+)
+
 
 def class_stats(source: str) -> str:
     return f"""

@@ -15,7 +15,7 @@ from addrloom.models.encoder import CharPairEncoder
 from addrloom.models.pair_scorer import LogitPairScorer, SimilarityScorer
 from addrloom.models.plugged import PluggedEncoder, PluggedPairScorer
 from addrloom.models.tagger import LevelWordTagger
-from addrloom.operators import centre_tree, checks, copies, corrections, filters, knn, pages, pending, rank, recall, stats
+from addrloom.operators import centre_tree, checks, copies, corrections, filters, knn, page_store, pages, pending, rank, recall, stats
 from addrloom.plans import corrections as stored_corrections
 from addrloom.plans import evaluation, match, pairs, tagging, vectorize
 from addrloom.sources import csv, logs, snapshots, tables, tags
@@ -308,6 +308,14 @@ def match_page(spark, folder):
     return _rounded(pages.match_page(_corrected(spark, folder), {"min_exact_match": 0.2}, 4, 25))
 
 
+@query
+def match_page_deep(spark, folder):
+    """A page far down a stored result."""
+    path = v.work_folder(spark, "match-pages")
+    page_store.store(_corrected(spark, folder), pages.match_order(), path, 2_000)
+    return _rounded(page_store.page(spark, path, 200, 25))
+
+
 @query
 def match_stats(spark, folder):
     rows = stats.match_stats(_corrected(spark, folder))
