@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 
 from addrloom.functions.vectors import squared_l2
 from addrloom.operators.centre_tree import CentreTree
+from addrloom.operators.distances import Reduction, principal_axes
 from addrloom.operators.distances import matrix as _matrix
 from addrloom.operators.distances import squared_distances as _squared_distances
 from addrloom.sources.tables import written
@@ -60,6 +61,11 @@ CHUNK_BYTES = 96 * 1024 * 1024
 MIN_QUERY_CHUNK = 512
 GROUPS_PER_CORE = 8
 TILE_NUMBERS = 8 * 1024 * 1024
+# A first look at reduced vectors counts if no more than this share of the pairs remains: a pair by itself costs
+# many times what it costs in a product of matrices.
+REDUCED_SHARE = 1 / 16
+REST_SLACK = 1e-5
+AXES_SAMPLE = 2048
 
 _QUERY_COLUMNS = ("query_row", "enterprise_id", "enterprise_name", "enterprise_address")
 _REFERENCE_COLUMNS = ("standard_id", "standard_address", "room_no")
@@ -286,7 +292,43 @@ def _first_copies(vectors: np.ndarray, by_id: np.ndarray, top_n: int) -> np.ndar
     return np.sort(by_id[by_group[place < top_n]])
 
 
-def _best_of_chunk(top_n: int, threshold: float | None):
+def _exact(tile: np.ndarray, vectors: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Squared distances of the given pairs in double precision, difference by difference."""
+    exact = np.empty(len(row))
+    for at in range(0, len(row), 4096):
+        gap = tile[row[at : at + 4096]].astype(np.float64) - vectors[column[at : at + 4096]]
+        exact[at : at + 4096] = (gap * gap).sum(axis=1)
+    return exact
+
+
+def _may_be_best(
+    tile: np.ndarray, vectors: np.ndarray, top_n: int, limit: float, slack: float, reduced: tuple[np.ndarray, np.ndarray] | None = None,
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """(row, column) of the pairs that can be among the ``top_n`` of their row and within ``limit``, and how many
+    numbers were multiplied to tell.
+
+    With ``reduced`` forms of both sides their distances, which are lower bounds, are found first: the exact
+    distances to the ``top_n`` that look nearest bound the ``top_n``-th neighbour, and only pairs below that remain.  If
+    more than a REDUCED_SHARE of them remain, all distances are computed as without."""
+    rows, many = len(tile), len(vectors)
+    bound = np.full(rows, limit, dtype=np.float64)
+    multiplied = 0
+    if reduced is not None and many > top_n:
+        low = _squared_distances(*reduced)
+        seem = np.argpartition(low, top_n - 1, axis=1)[:, :top_n]
+        near = _exact(tile, vectors, np.repeat(np.arange(rows), top_n), seem.ravel()).reshape(rows, top_n)
+        row, column = np.nonzero(low <= (np.minimum(bound, near.max(axis=1)) + slack)[:, None])
+        multiplied = rows * many * reduced[0].shape[1] + rows * top_n * tile.shape[1]
+        if len(row) <= REDUCED_SHARE * rows * many:
+            return row, column, multiplied
+    squared = _squared_distances(tile, vectors)
+    if many > top_n:
+        bound = np.minimum(bound, np.partition(squared, top_n - 1, axis=1)[:, top_n - 1])
+    row, column = np.nonzero(squared <= (bound + slack)[:, None])
+    return row, column, multiplied + rows * many * tile.shape[1]
+
+
+def _best_of_chunk(top_n: int, threshold: float | None, reduction: Reduction | None = None):
     """Co-group function: the ``top_n`` best references of each query here.
 
     Distances are first computed in single precision, to find the rows that can
@@ -309,18 +351,17 @@ def _best_of_chunk(top_n: int, threshold: float | None):
             points = _matrix(queries.column("vector"))
             reach = float(np.sqrt((points.astype(np.float64) ** 2).sum(axis=1).max() * (vectors.astype(np.float64) ** 2).sum(axis=1).max()))
             slack = SLACK + 8.0 * vectors.shape[1] * float(np.finfo(np.float32).eps) * max(reach, 1.0)
+            few = None
+            if reduction is not None:
+                few = reduction(points), reduction(vectors)
+                # the mean moves the vectors, and the length of the rest is rounded by its own
+                slack += (8.0 * vectors.shape[1] * float(np.finfo(np.float32).eps) + REST_SLACK) * max(float((f.astype(np.float64) ** 2).sum(axis=1).max()) for f in few)
             rows_at_once = max(16, TILE_NUMBERS // len(vectors))
             for start in range(0, len(points), rows_at_once):
                 tile = points[start : start + rows_at_once]
-                squared = _squared_distances(tile, vectors)
-                bound = np.full(len(tile), limit, dtype=np.float64)
-                if squared.shape[1] > top_n:
-                    bound = np.minimum(bound, np.partition(squared, top_n - 1, axis=1)[:, top_n - 1])
-                row, column = np.nonzero(squared <= (bound + slack)[:, None])
-                exact = np.empty(len(row))
-                for at in range(0, len(row), 4096):
-                    gap = tile[row[at : at + 4096]].astype(np.float64) - vectors[column[at : at + 4096]]
-                    exact[at : at + 4096] = (gap * gap).sum(axis=1)
+                reduced = None if few is None else (few[0][start : start + rows_at_once], few[1])
+                row, column, _ = _may_be_best(tile, vectors, top_n, limit, slack, reduced)
+                exact = _exact(tile, vectors, row, column)
                 similarity = 1.0 - exact / 2.0
                 if threshold is not None:
                     passed = similarity >= threshold
@@ -367,7 +408,7 @@ def _chunked(df: DataFrame, id_column: str, own: str, other: str, sizes: DataFra
 
 def _meet(
     sent: DataFrame, assigned: DataFrame, reference_rows: dict[int, int], query_rows: dict[int, int],
-    top_n: int, threshold: float | None, chunk_rows: int,
+    top_n: int, threshold: float | None, chunk_rows: int, reduction: Reduction | None = None,
 ) -> DataFrame:
     dimension = _dimension(assigned)
     # enough query chunks to keep all cores busy, each worth a task of its own
@@ -393,7 +434,7 @@ def _meet(
     met = (
         left.repartition(groups, *keys).groupBy(*keys)
         .cogroup(right.repartition(groups, *keys).groupBy(*keys))
-        .applyInArrow(_best_of_chunk(top_n, threshold), _PAIR_SCHEMA)
+        .applyInArrow(_best_of_chunk(top_n, threshold, reduction), _PAIR_SCHEMA)
     )
     return keep_top_n(met, top_n)
 
@@ -423,6 +464,7 @@ def knn_join(
     threshold: float | None = None,
     cell_rows: int | None = None,
     chunk_rows: int | None = None,
+    axes: int | None = None,
 ) -> DataFrame:
     """For each query row its ``top_n`` nearest reference rows with
     ``similarity`` = 1 - d^2/2; rows below ``threshold`` are then dropped, and a
@@ -433,6 +475,10 @@ def knn_join(
 
     References that fit in one chunk are one cell; more are split into cells of
     about ``cell_rows`` rows (CELL_ROWS).
+
+    Inside a cell most pairs can be ruled out by the few ``axes`` along which the vectors spread most
+    (None: as many as the pivots of the cells call for, none if the spread is even; 0: never).  The
+    result is the same for any number.
     """
     q, r = _query_side(queries), _reference_side(references)
     reference_count, query_count = r.count(), q.count()
@@ -440,13 +486,19 @@ def knn_join(
     if cell_rows is None:
         cell_rows = chunk_rows if reference_count <= chunk_rows else CELL_ROWS
     cells = max(1, min(most_cells(_dimension(r)), -(-reference_count // cell_rows)))
+    reduction = None
+    if axes and reference_count:
+        # a few thousand vectors tell the axes
+        reduction = principal_axes(_pick_centres(r, AXES_SAMPLE, reference_count), axes)
     if cells == 1:
         whole = {0: reference_count}
         return _meet(
             q.withColumn("cell", F.lit(0)), r.withColumn("cell", F.lit(0)),
-            whole, {0: query_count}, top_n, threshold, chunk_rows,
+            whole, {0: query_count}, top_n, threshold, chunk_rows, reduction,
         )
     centres = _check_centres(_pick_centres(r, cells, reference_count))
+    if axes is None:
+        reduction = principal_axes(centres)
     assigned = written(assign_cells(r, centres), "assigned")
     known = _describe_cells(assigned, centres, top_n)
     reach = math.inf if threshold is None else math.sqrt(max(0.0, 2.0 * (1.0 - threshold)))
@@ -461,7 +513,7 @@ def knn_join(
     query_rows = _rows_per_cell(sent) if query_count > chunk_rows else {}
     rows = np.bincount(region, known.rows, len(first))
     reference_rows = {c: int(n) for c, n in enumerate(rows) if n}
-    return _meet(sent, assigned, reference_rows, query_rows, top_n, threshold, chunk_rows)
+    return _meet(sent, assigned, reference_rows, query_rows, top_n, threshold, chunk_rows, reduction)
 
 
 # ---------------------------------------------------------------------------

@@ -56,6 +56,7 @@ ROUND_SIMILARITY = "SELECT * REPLACE (round(similarity, 6) AS similarity) FROM f
 ORACLES["knn_topn"] = with_(EMBED_SIDES, knn("q", "r", 5)) + ROUND_SIMILARITY
 ORACLES["knn_threshold"] = with_(EMBED_SIDES, knn("q", "r", 5, 0.3)) + ROUND_SIMILARITY
 ORACLES["knn_cells"] = ORACLES["knn_threshold"]
+ORACLES["knn_axes"] = ORACLES["knn_topn"]
 ORACLES["knn_ivf_all_lists"] = ORACLES["knn_topn"]
 ORACLES["knn_single"] = with_(EMBED_SIDES) + """
 SELECT standard_id AS source_id, standard_address AS address, room_no,

@@ -58,6 +58,15 @@ def knn_cells(spark, folder):
     return found.withColumns(_r6("similarity"))
 
 
+@query
+def knn_axes(spark, folder):
+    """The same join with a first look along twelve axes."""
+    found = knn.knn_join(
+        v.query_vectors(spark, folder), v.reference_vectors(spark, folder), 5, cell_rows=512, axes=12
+    )
+    return found.withColumns(_r6("similarity"))
+
+
 @query
 def knn_single(spark, folder):
     first = v.query_vectors(spark, folder).orderBy(F.col("source_id").cast("long")).select("vector").first()
