@@ -97,20 +97,25 @@ def fingerprints(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",), tex
 # -- one shard ---------------------------------------------------------------------------------
 
 class Tree:
-    """Burkhard-Keller tree over distinct 64-bit values, as arrays.
+    """Burkhard-Keller trees over 64-bit values, as arrays: one tree, or one for every ``group`` (numbers 0, 1, ..), whose
+    values are distinct.
 
-    Nodes are numbered so that the children of a node are neighbours, ordered by their edge; ``first[n, e]``
-    is the first child of ``n`` with an edge of ``e`` or more."""
+    The root of group g is node g.  Nodes are numbered so that the children of a node are neighbours, ordered by their edge;
+    ``first[n, e]`` is the first child of ``n`` with an edge of ``e`` or more."""
 
-    def __init__(self, values: np.ndarray) -> None:
+    def __init__(self, values: np.ndarray, group: np.ndarray | None = None) -> None:
         n = len(values)
+        group = np.zeros(n, np.int64) if group is None else group
         self.values = np.zeros(n, np.uint64)
         self.member = np.zeros(n, np.int64)
         self.first = np.zeros((n, 66), np.int32)
-        self.member[:1] = 0
-        self.values[:1] = values[:1]
-        waiting, parent = np.arange(1, n), np.zeros(max(n - 1, 0), np.int64)
-        made = min(n, 1)
+        roots = np.unique(group, return_index=True)[1]
+        made = len(roots)
+        self.member[:made], self.values[:made] = roots, values[roots]
+        below = np.ones(n, bool)
+        below[roots] = False
+        waiting = np.flatnonzero(below)
+        parent = group[waiting]
         level = (0, made)
         while level[0] < level[1]:
             edge = np.bitwise_count(values[waiting] ^ self.values[parent]).astype(np.int64)
@@ -128,11 +133,11 @@ class Tree:
             level = (made, made + len(child_keys))
             made += len(child_keys)
 
-    def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Query numbers and member numbers of all pairs within the radius."""
+    def near(self, queries: np.ndarray, radius: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Query numbers and member numbers of all pairs within the radius; a query searches the tree of its group."""
         if not len(self.values) or not len(queries):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+        q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64) if group is None else group
         found_q, found_m = [], []
         while len(q):
             distance = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
@@ -263,7 +268,16 @@ def deduplicate(documents: DataFrame, id_column: str = "doc_id", text_column: st
     found = group(rows, radius).select("fingerprint", "root")
     # a row per document
     said = rows.groupBy(*names).agg(F.first("fingerprint").alias("fingerprint"), F.count(F.lit(1)).alias("copies"))
-    said = stored(said.join(found, "fingerprint"), "simhash-documents")
+    return one_of_each(documents, id_column, text_column, said.join(found, "fingerprint"))
+
+
+def one_of_each(documents: DataFrame, id_column: str, text_column: str, said: DataFrame) -> DataFrame:
+    """The smallest document of every ``root`` of ``said``, which has a row per id and text: ``id``, ``t1`` and ``t2`` (which tell
+    the text), ``copies`` and ``root``.  Rows of a null id stay."""
+    text = F.col(f"`{text_column}`").cast("string")
+    key = [F.col(f"`{id_column}`").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+    names = ("id", "t1", "t2")
+    said = stored(said.select(*names, "copies", "root"), "simhash-documents")
     # stored, so that a large group's rows can be split in the join
     best = stored(said.groupBy("root").agg(F.min(F.struct(*names)).alias("best")), "simhash-best")
     judged = stored(said.join(best, "root").select(*names, "copies", (F.struct(*names) == F.col("best")).alias("stays")), "simhash-kept")

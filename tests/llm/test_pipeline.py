@@ -16,9 +16,10 @@ import corpus_pipeline as pipeline  # noqa: E402
 from addrloom.llm import langid  # noqa: E402
 from test_decontamination import plain as plain_hits  # noqa: E402
 from test_langid import plain_document  # noqa: E402
+from test_nearcopies import alike  # noqa: E402
 from test_pii import plain_spans  # noqa: E402
 from test_sentencepieces import plain as plain_pieces  # noqa: E402
-from test_simhash import near_pairs, plain_fingerprint, roots  # noqa: E402
+from test_simhash import roots  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -76,7 +77,7 @@ def test_language(spark, docs, stages):
 def test_near_duplicates(stages):
     before, after, _ = stages["near_duplicates"]
     named = [r for r in dict.fromkeys(before) if r[0] is not None]
-    group = roots(near_pairs([plain_fingerprint(r[1]) for r in named], 3), range(len(named)))
+    group = roots(alike([r[1] for r in named]), range(len(named)))
     smallest = {}
     for k, r in enumerate(named):
         smallest[group[k]] = min(r[0], smallest.get(group[k], r[0]))
