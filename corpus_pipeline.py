@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrloom.llm import decontamination, langid, pii, sentencepieces, simhash
+from addrloom.llm import decontamination, langid, nearcopies, pii, sentencepieces
 from addrloom.llm.shared import stored, table
 
 # a text whose letters name no language with this mean probability is rejected
@@ -26,12 +26,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates."""
-    return simhash.deduplicate(docs)
+    """The document with the smallest id of every group that links of a five-word Jaccard similarity of 0.8 or more join, found by
+    fingerprints.  Null and empty texts are copies of one another; rows of one id and text are one; rows without an id stay;
+    an empty table gives no rows."""
+    return nearcopies.deduplicate(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.  Null and empty texts have none and stay, as do all rows of an id that repeats;
+    an empty table gives no rows."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), remove="documents")
 
 
@@ -42,7 +45,8 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """Token ids of every document, and whether they decode to its text.  A null or empty text has no ids; every row of an id that
+    repeats has its own; an empty table gives no rows."""
     rows = sentencepieces.encode(docs, sentencepieces.load(VOCABULARY), ("doc_id", "lang", "source"), check=True)
     return rows.select(
         "document.doc_id", "document.lang", "document.source", F.size("ids").cast("long").alias("n_tokens"),
