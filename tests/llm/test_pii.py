@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from addrloom.llm import pii
+from addrloom.llm.keys import marked
 from addrloom.llm.oracles import ORACLES
 
 PLAIN = {
@@ -240,3 +241,20 @@ def terms_of(spark, rows):
         for kind, a, b in (x.split(":") for x in r["spans"].split(",") if x):
             if kind == "term":
                 yield said[r["doc_id"]][int(a):int(b)]
+
+
+def test_terms_nobody_wants_meet_no_join(spark):
+    rows = spark.createDataFrame([(i, f"t{i % 40}-{i}") for i in range(40_000)] + [(-1, "shared"), (-2, "é"), (-3, None)], "i long, term string")
+    wanted = spark.createDataFrame([("shared",), ("é",), ("t7-7",), ("t7-7",), ("nowhere",)], "term string")
+    left = {r["term"] for r in rows.where(marked(wanted, "term")).collect()}
+    assert {"shared", "é", "t7-7"} <= left and len(left) < 5_000, "about one bit in sixteen is set"
+    assert rows.where(marked(wanted.limit(0), "term")).count() == 0
+    many = rows.where("i % 3 = 0")
+    assert many.exceptAll(rows.where(marked(many, "term"))).count() == 0
+    # a join on the marks, above the explode, would make a row of every term of every text
+    texts = spark.createDataFrame([("the shared words",), ("other words",)], "text string")
+    counted = pii.counted_terms(texts, F.col("text"), wanted, "n")
+    plan = counted._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda part: [len(x) - len(x.lstrip(" :+-")) for x in plan if part in x]
+    assert min(depth("Join LeftOuter"), default=1_000) > min(depth("Generate"))
+    assert {(r["term"], r["n"]) for r in counted.collect()} == {("shared", 1)}
