@@ -13,7 +13,7 @@ of each query only; a window keeps the best ``top_n`` over all cells.
 * :func:`ivf_join` (approximate) sends a query to its ``probes`` nearest cells.
 
 A cell may be hot on either side.  Both sides of a cell are therefore cut into
-chunks of about ``chunk_rows`` rows (by default as many vectors as fit in
+chunks (as many vectors as fit in
 ``CHUNK_BYTES``) by a hash of the id, and the unit
 of work is (cell, query chunk, reference chunk): memory per task is bounded
 whatever the skew.  What reaches the driver is one centre and a few numbers per
@@ -59,6 +59,9 @@ CELL_ROWS = 8192
 # Bytes of vectors in one chunk of one side, and numbers in one distance tile.
 CHUNK_BYTES = 96 * 1024 * 1024
 MIN_QUERY_CHUNK = 512
+# Pairs of one group of the meeting: what bounds a task's time and its Python memory.  Both sides are cut alike, as a
+# side is sent once for each chunk of the other.
+GROUP_PAIRS = 1 << 30
 GROUPS_PER_CORE = 8
 TILE_NUMBERS = 8 * 1024 * 1024
 # A first look at reduced vectors counts if no more than this share of the pairs remains: a pair by itself costs
@@ -328,8 +331,13 @@ def _may_be_best(
     return row, column, multiplied + rows * many * tile.shape[1]
 
 
-def _best_of_chunk(top_n: int, threshold: float | None, reduction: Reduction | None = None):
-    """Co-group function: the ``top_n`` best references of each query here.
+def _longest(vectors: np.ndarray) -> float:
+    """The largest squared length of a row, without a second copy of all rows."""
+    return max(float((vectors[at : at + 4096].astype(np.float64) ** 2).sum(axis=1).max()) for at in range(0, len(vectors), 4096))
+
+
+def _best_of_chunk(top_n: int, threshold: float | None, reduction: Reduction | None = None, tile_rows: int | None = None):
+    """Co-group function: the ``top_n`` best references of each query here, ``tile_rows`` (None: all) references at a time.
 
     Distances are first computed in single precision, to find the rows that can
     be among the best within the rounding bound of that product; these are then
@@ -338,41 +346,49 @@ def _best_of_chunk(top_n: int, threshold: float | None, reduction: Reduction | N
     limit = math.inf if threshold is None else 2.0 * (1.0 - threshold)
     columns = [*_QUERY_COLUMNS, *_REFERENCE_COLUMNS]
 
+    def best(queries: pa.Table, references: pa.Table) -> Iterator[pa.Table]:
+        vectors = _matrix(references.column("vector"))
+        ids = references.column("standard_id").to_pylist()
+        by_id = np.array(sorted(range(len(ids)), key=ids.__getitem__), dtype=np.int64)
+        id_place = np.empty_like(by_id)
+        id_place[by_id] = np.arange(len(by_id))
+        kept = _first_copies(vectors, by_id, top_n)
+        vectors = vectors[kept]
+        points = _matrix(queries.column("vector"))
+        reach = math.sqrt(_longest(points) * _longest(vectors))
+        slack = SLACK + 8.0 * vectors.shape[1] * float(np.finfo(np.float32).eps) * max(reach, 1.0)
+        few = None
+        if reduction is not None:
+            few = reduction(points), reduction(vectors)
+            # the mean moves the vectors, and the length of the rest is rounded by its own
+            slack += (8.0 * vectors.shape[1] * float(np.finfo(np.float32).eps) + REST_SLACK) * max(map(_longest, few))
+        rows_at_once, step = max(16, TILE_NUMBERS // len(vectors)), tile_rows or len(vectors)
+        for start in range(0, len(points), rows_at_once):
+            tile = points[start : start + rows_at_once]
+            reduced = None if few is None else (few[0][start : start + rows_at_once], few[1])
+            found = [
+                (row, column + at)
+                for at in range(0, len(vectors), step)
+                for row, column, _ in [_may_be_best(
+                    tile, vectors[at : at + step], top_n, limit, slack, reduced and (reduced[0], reduced[1][at : at + step])
+                )]
+            ]
+            row, column = (np.concatenate(c) for c in zip(*found))
+            exact = _exact(tile, vectors, row, column)
+            similarity = 1.0 - exact / 2.0
+            if threshold is not None:
+                passed = similarity >= threshold
+                row, column, similarity = row[passed], column[passed], similarity[passed]
+            order = np.lexsort((id_place[kept[column]], -np.round(similarity, TIE_DIGITS), row))
+            row, column, similarity = row[order], column[order], similarity[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row, side="left") < top_n
+            row, column, similarity = row[first], column[first], similarity[first]
+            q = queries.select(_QUERY_COLUMNS).take(pa.array(row + start))
+            r = references.select(_REFERENCE_COLUMNS).take(pa.array(kept[column]))
+            yield pa.table([*q.columns, *r.columns, pa.array(similarity)], names=[*columns, "similarity"])
+
     def run(queries: pa.Table, references: pa.Table) -> pa.Table:
-        out: list[pa.Table] = []
-        if queries.num_rows and references.num_rows:
-            vectors = _matrix(references.column("vector"))
-            ids = references.column("standard_id").to_pylist()
-            by_id = np.array(sorted(range(len(ids)), key=ids.__getitem__), dtype=np.int64)
-            id_place = np.empty_like(by_id)
-            id_place[by_id] = np.arange(len(by_id))
-            kept = _first_copies(vectors, by_id, top_n)
-            vectors = vectors[kept]
-            points = _matrix(queries.column("vector"))
-            reach = float(np.sqrt((points.astype(np.float64) ** 2).sum(axis=1).max() * (vectors.astype(np.float64) ** 2).sum(axis=1).max()))
-            slack = SLACK + 8.0 * vectors.shape[1] * float(np.finfo(np.float32).eps) * max(reach, 1.0)
-            few = None
-            if reduction is not None:
-                few = reduction(points), reduction(vectors)
-                # the mean moves the vectors, and the length of the rest is rounded by its own
-                slack += (8.0 * vectors.shape[1] * float(np.finfo(np.float32).eps) + REST_SLACK) * max(float((f.astype(np.float64) ** 2).sum(axis=1).max()) for f in few)
-            rows_at_once = max(16, TILE_NUMBERS // len(vectors))
-            for start in range(0, len(points), rows_at_once):
-                tile = points[start : start + rows_at_once]
-                reduced = None if few is None else (few[0][start : start + rows_at_once], few[1])
-                row, column, _ = _may_be_best(tile, vectors, top_n, limit, slack, reduced)
-                exact = _exact(tile, vectors, row, column)
-                similarity = 1.0 - exact / 2.0
-                if threshold is not None:
-                    passed = similarity >= threshold
-                    row, column, similarity = row[passed], column[passed], similarity[passed]
-                order = np.lexsort((id_place[kept[column]], -np.round(similarity, TIE_DIGITS), row))
-                row, column, similarity = row[order], column[order], similarity[order]
-                best = np.arange(len(row)) - np.searchsorted(row, row, side="left") < top_n
-                row, column, similarity = row[best], column[best], similarity[best]
-                q = queries.select(_QUERY_COLUMNS).take(pa.array(row + start))
-                r = references.select(_REFERENCE_COLUMNS).take(pa.array(kept[column]))
-                out.append(pa.table([*q.columns, *r.columns, pa.array(similarity)], names=[*columns, "similarity"]))
+        out = list(best(queries, references)) if queries.num_rows and references.num_rows else []
         if out:
             return pa.concat_tables(out)
         kinds = [pa.int64(), *[pa.string()] * (len(columns) - 1), pa.float64()]
@@ -408,7 +424,7 @@ def _chunked(df: DataFrame, id_column: str, own: str, other: str, sizes: DataFra
 
 def _meet(
     sent: DataFrame, assigned: DataFrame, reference_rows: dict[int, int], query_rows: dict[int, int],
-    top_n: int, threshold: float | None, chunk_rows: int, reduction: Reduction | None = None,
+    top_n: int, threshold: float | None, chunk_rows: int, reduction: Reduction | None = None, tile_rows: int | None = None,
 ) -> DataFrame:
     dimension = _dimension(assigned)
     # enough query chunks to keep all cores busy, each worth a task of its own
@@ -429,12 +445,13 @@ def _meet(
     # a group is much arithmetic on few bytes: a few per core, and more where the vectors
     # that meet need it, whatever number of cores is visible at the start
     sent_bytes = 4 * dimension * sum(query_rows.get(c, 0) * parts[c][1] + n * parts[c][0] for c, n in reference_rows.items())
-    wanted = max(GROUPS_PER_CORE * cores, -(-sent_bytes // CHUNK_BYTES))
+    pairs = sum(query_rows.get(c, 0) * n for c, n in reference_rows.items())
+    wanted = max(GROUPS_PER_CORE * cores, -(-sent_bytes // CHUNK_BYTES), -(-2 * pairs // GROUP_PAIRS))
     groups = min(wanted, sum(q * r for q, r in parts.values()))
     met = (
         left.repartition(groups, *keys).groupBy(*keys)
         .cogroup(right.repartition(groups, *keys).groupBy(*keys))
-        .applyInArrow(_best_of_chunk(top_n, threshold, reduction), _PAIR_SCHEMA)
+        .applyInArrow(_best_of_chunk(top_n, threshold, reduction, tile_rows), _PAIR_SCHEMA)
     )
     return keep_top_n(met, top_n)
 
@@ -444,9 +461,9 @@ def _dimension(vectors: DataFrame) -> int:
     return row["n"] if row else 1
 
 
-def _chunk_rows(references: DataFrame, chunk_rows: int | None) -> int:
-    """Rows of one chunk: as many vectors as fit in CHUNK_BYTES."""
-    return chunk_rows or max(1024, CHUNK_BYTES // (4 * max(_dimension(references), 1)))
+def _chunk_rows(references: DataFrame) -> int:
+    """Rows of one chunk: as many vectors as fit in CHUNK_BYTES, and as make GROUP_PAIRS with as many of the other side."""
+    return max(1024, min(CHUNK_BYTES // (4 * max(_dimension(references), 1)), math.isqrt(GROUP_PAIRS)))
 
 
 def _rows_per_cell(sent: DataFrame) -> dict[int, int]:
@@ -474,7 +491,8 @@ def knn_join(
     shrinks the search: cells out of its reach are skipped.
 
     References that fit in one chunk are one cell; more are split into cells of
-    about ``cell_rows`` rows (CELL_ROWS).
+    about ``cell_rows`` rows (CELL_ROWS).  ``chunk_rows`` of them are compared at once; what is shuffled together does not
+    follow it, as every query is sent to every chunk that may hold its neighbours.
 
     Inside a cell most pairs can be ruled out by the few ``axes`` along which the vectors spread most
     (None: as many as the pivots of the cells call for, none if the spread is even; 0: never).  The
@@ -482,7 +500,7 @@ def knn_join(
     """
     q, r = _query_side(queries), _reference_side(references)
     reference_count, query_count = r.count(), q.count()
-    chunk_rows = _chunk_rows(r, chunk_rows)
+    tile_rows, chunk_rows = chunk_rows, _chunk_rows(r)
     if cell_rows is None:
         cell_rows = chunk_rows if reference_count <= chunk_rows else CELL_ROWS
     cells = max(1, min(most_cells(_dimension(r)), -(-reference_count // cell_rows)))
@@ -494,7 +512,7 @@ def knn_join(
         whole = {0: reference_count}
         return _meet(
             q.withColumn("cell", F.lit(0)), r.withColumn("cell", F.lit(0)),
-            whole, {0: query_count}, top_n, threshold, chunk_rows, reduction,
+            whole, {0: query_count}, top_n, threshold, chunk_rows, reduction, tile_rows,
         )
     centres = _check_centres(_pick_centres(r, cells, reference_count))
     if axes is None:
@@ -513,7 +531,7 @@ def knn_join(
     query_rows = _rows_per_cell(sent) if query_count > chunk_rows else {}
     rows = np.bincount(region, known.rows, len(first))
     reference_rows = {c: int(n) for c, n in enumerate(rows) if n}
-    return _meet(sent, assigned, reference_rows, query_rows, top_n, threshold, chunk_rows, reduction)
+    return _meet(sent, assigned, reference_rows, query_rows, top_n, threshold, chunk_rows, reduction, tile_rows)
 
 
 # ---------------------------------------------------------------------------
@@ -553,7 +571,7 @@ def ivf_join(
     q = _query_side(queries)
     r = _reference_side(listed, "list_id").withColumnRenamed("list_id", "cell")
     reference_rows = _rows_per_cell(r)
-    chunk_rows = _chunk_rows(r, chunk_rows)
+    tile_rows, chunk_rows = chunk_rows, _chunk_rows(r)
     if not reference_rows:
         return q.sparkSession.createDataFrame([], _PAIR_SCHEMA).drop("query_row")
     filled = np.zeros(len(centres), dtype=bool)
@@ -567,7 +585,7 @@ def ivf_join(
         # of a table partitioned by list only the lists in use are read
         r = r.where(F.col("cell").isin(sorted(query_rows)))
         reference_rows = {c: n for c, n in reference_rows.items() if c in query_rows}
-    return _meet(sent, r, reference_rows, query_rows, top_n, threshold, chunk_rows)
+    return _meet(sent, r, reference_rows, query_rows, top_n, threshold, chunk_rows, tile_rows=tile_rows)
 
 
 def save_centres(spark: SparkSession, centres: np.ndarray | CentreTree, path: str) -> None:

@@ -128,3 +128,25 @@ def test_search(spark):
 def test_too_many_centres_are_refused():
     with pytest.raises(ValueError):
         knn._check_centres(np.zeros((knn.MAX_CELLS + 1, 1025), dtype=np.int8))
+
+
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 30, "chunk_rows": 7}, {"cell_rows": 30, "axes": 4}])
+def test_what_is_shuffled_does_not_follow_the_rows_compared_at_once(spark, clustered, monkeypatch, options):
+    q, r = clustered
+    a, b = frames(spark, q, r)
+    met = []
+    plain = knn._meet
+    monkeypatch.setattr(knn, "_meet", lambda *args, **kw: met.append(args) or plain(*args, **kw))
+    assert pairs(knn.knn_join(a, b, 7, **options)) == brute(q, r, 7)
+    sent, _, reference_rows = met[0][:3]
+    assert len(reference_rows) == 1 and sent.count() == len(q)
+    # chunks of both sides: no group is larger than a chunk on either
+    monkeypatch.setattr(knn, "_chunk_rows", lambda references: 20)
+    monkeypatch.setattr(knn, "GROUP_PAIRS", 400)
+    assert pairs(knn.knn_join(a, b, 7, **options)) == brute(q, r, 7)
+    assert met[1][6] == 20 and (len(met[1][2]) > 1 or not options)
+
+
+def test_a_chunk_is_bounded_in_pairs(spark, clustered):
+    _, b = frames(spark, *clustered)
+    assert 1024 <= knn._chunk_rows(b) <= knn.GROUP_PAIRS ** 0.5
