@@ -31,6 +31,11 @@ PLACES = T.StructType(
     ]
 )
 
+# Rows whose texts are Python objects at one time.
+PLACED_AT_ONCE = 64
+# what JSON spells otherwise
+JSON_ESCAPED = r'["\\\x00-\x1F]'
+
 # fixed values: wording patterns of the entity rules.  (?dU): digits and blanks
 # of any script, and only \n ends a line.
 SHORT_ORPHAN = r"(?dU)^[a-zA-Z]?\d{1,3}$"
@@ -63,11 +68,15 @@ def clean_tokens(df: DataFrame, tokens: str = "tokens", labels: str = "labels")
         lambda p: ~p["token"].isin(*vocab.SPECIAL_TOKENS),
     )
     df = df.withColumn("_kept", pair)
+
+    def unmarked(token: Column) -> Column:
+        # most tokens carry no mark, and a pattern costs many times a look at the first character
+        marked = token.startswith("#") | token.startswith("Ġ")
+        return F.when(marked, F.regexp_replace(F.regexp_replace(token, "^#+", ""), "^Ġ+", "")).otherwise(token)
+
     return df.withColumns(
         {
-            tokens: F.transform(
-                "_kept", lambda p: F.regexp_replace(F.regexp_replace(p["token"], "^#+", ""), "^Ġ+", "")
-            ),
+            tokens: F.transform("_kept", lambda p: unmarked(p["token"])),
             labels: F.transform("_kept", lambda p: p["label"]),
         }
     ).drop("_kept")
@@ -195,18 +204,22 @@ def _places(address: pa.Array, texts: pa.Array) -> pa.Array:
     """Where the texts stand in the address, each searched from the end of the one
     found before: that end, the start (or the end again, if absent), and the end
     of the last one found.  Linear in the address, however long."""
-    rows = []
-    for whole, parts in zip(address.to_pylist(), texts.to_pylist()):
-        at, before, start = 0, [], []
-        for part in parts:
-            found = whole.find(part, at)
-            before.append(at)
-            start.append(max(found, at))
-            if found >= 0:
-                at = found + len(part)
-        rows.append({"before": before, "start": start, "last": at})
-    fields = [("before", pa.list_(pa.int32())), ("start", pa.list_(pa.int32())), ("last", pa.int32())]
-    return pa.array(rows, pa.struct(fields))
+    kind = pa.struct([("before", pa.list_(pa.int32())), ("start", pa.list_(pa.int32())), ("last", pa.int32())])
+    pieces = [pa.array([], kind)]
+    # a batch may hold megabytes of texts, each of them many times as large as a Python object
+    for first in range(0, len(address), PLACED_AT_ONCE):
+        rows = []
+        for whole, parts in zip(address.slice(first, PLACED_AT_ONCE).to_pylist(), texts.slice(first, PLACED_AT_ONCE).to_pylist()):
+            at, before, start = 0, [], []
+            for part in parts:
+                found = whole.find(part, at)
+                before.append(at)
+                start.append(max(found, at))
+                if found >= 0:
+                    at = found + len(part)
+            rows.append({"before": before, "start": start, "last": at})
+        pieces.append(pa.array(rows, kind))
+    return pa.concat_arrays(pieces)
 
 
 def _placed(df: DataFrame, address: str, column: str) -> DataFrame:
@@ -364,7 +377,8 @@ FIELDS = {"12": fields_12, "17": fields_17, "17_2": fields_34}
 
 
 def _json_string(text: Column) -> Column:
-    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+    escaped = F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+    return F.when(text.isNull() | text.rlike(JSON_ESCAPED), escaped).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
 
 
 def dom_json(entities: Column) -> Column:

@@ -25,7 +25,11 @@ LEVEL_WORDS = (
     ("roadno", "号"),
 )
 _ENDINGS = "|".join(words for _, words in LEVEL_WORDS)
-_PIECE = f"(.+?(?:{_ENDINGS}|\\z))"
+# the words are tried only where one of their first characters stands
+_FIRST = "[0-9" + "".join(sorted({w[0] for w in _ENDINGS.split("|")} - {"["})) + "]"
+_PIECE = f"(.+?(?:(?={_FIRST})(?:{_ENDINGS})|\\z))"
+# a character before the longest level word, or before a digit and F
+_LONGEST = 1 + max(len(w) for w in _ENDINGS.split("|") if "[" not in w)
 
 
 class LevelWordTagger:
@@ -38,7 +42,7 @@ class LevelWordTagger:
     def _tag(self, piece: Column) -> Column:
         tag = None
         for name, words in LEVEL_WORDS:
-            test = piece.rlike(f".(?:{words})\\z")
+            test = F.right(piece, F.lit(_LONGEST)).rlike(f".(?:{words})\\z")
             tag = F.when(test, name) if tag is None else tag.when(test, name)
         return tag.when(piece.rlike(r"\A[a-zA-Z]?-?[0-9]{2,4}\z"), "houseno")
 

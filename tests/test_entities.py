@@ -184,3 +184,11 @@ def test_unknown_mode_or_column(spark):
         tagging.tag_addresses(df, "a", "18")
     with pytest.raises(ValueError, match="nope"):
         tagging.tag_addresses(df, "nope", "17")
+
+
+def test_json_texts_are_spelled_as_json_spells_them(spark):
+    texts = ["", "plain", "路 3号", 'say "x"', "a\\b", "tab\tline\nnul\x00", "\x1f\x7f\x85", "𝒳/é'", "[x]", "]", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    df = df.select("t", en._json_string(F.col("t")).alias("quick"), F.expr(r"regexp_replace(to_json(array(t)), '^\\[|\\]$', '')").alias("slow"))
+    for r in df.collect():
+        assert r["quick"] == r["slow"], r
