@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -13,8 +14,13 @@ from addrloom.vocab import AREA_SUFFIXES, BUILDING_SUFFIXES, ROOM_SUFFIXES
 BLANKS = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
+# the same, one by one
+BLANK_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{BLANKS}]", c))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    # a pattern would try every character of a long text
+    return F.btrim(text, F.lit(BLANK_CHARACTERS))
 
 
 def as_text(value: Column) -> Column:

@@ -25,9 +25,11 @@ LEVEL_WORDS = (
     ("roadno", "号"),
 )
 _ENDINGS = "|".join(words for _, words in LEVEL_WORDS)
-# the words are tried only where one of their first characters stands
-_FIRST = "[0-9" + "".join(sorted({w[0] for w in _ENDINGS.split("|")} - {"["})) + "]"
-_PIECE = f"(.+?(?:(?={_FIRST})(?:{_ENDINGS})|\\z))"
+# the words are tried only where one of their first characters stands; what lies outside the range of these
+# is skipped in runs, as a set of many characters costs many times a range
+_FIRSTS = "".join(sorted({w[0] for w in _ENDINGS.split("|")} - {"["}))
+_OTHERS = f"[^0-9{_FIRSTS[0]}-{_FIRSTS[-1]}]*+"
+_PIECE = f"(.{_OTHERS}(?:(?!(?=[0-9{_FIRSTS}])(?:{_ENDINGS})).{_OTHERS})*+(?:{_ENDINGS}|\\z))"
 # a character before the longest level word, or before a digit and F
 _LONGEST = 1 + max(len(w) for w in _ENDINGS.split("|") if "[" not in w)
 
@@ -39,10 +41,10 @@ class LevelWordTagger:
     def __init__(self, text: str = "address"):
         self.text = text
 
-    def _tag(self, piece: Column) -> Column:
+    def _tag(self, end: Column, piece: Column) -> Column:
         tag = None
         for name, words in LEVEL_WORDS:
-            test = F.right(piece, F.lit(_LONGEST)).rlike(f".(?:{words})\\z")
+            test = end.rlike(f".(?:{words})\\z")
             tag = F.when(test, name) if tag is None else tag.when(test, name)
         return tag.when(piece.rlike(r"\A[a-zA-Z]?-?[0-9]{2,4}\z"), "houseno")
 
@@ -50,7 +52,10 @@ class LevelWordTagger:
         address = tx.strip(tx.as_text(F.col(self.text)))
         df = df.withColumn("tokens", F.regexp_extract_all(address, F.lit("(?s)" + _PIECE), 1))
 
+        # the end of a long piece is looked for once
+        ends = F.transform("tokens", lambda p: F.struct(F.right(p, F.lit(_LONGEST)).alias("end"), p.alias("piece")))
+
         def label(piece: Column) -> Column:
-            return F.concat(F.lit("S-"), self._tag(piece))
+            return F.concat(F.lit("S-"), self._tag(piece["end"], piece["piece"]))
 
-        return df.withColumn("labels", F.transform("tokens", lambda p: F.coalesce(label(p), F.lit("O"))))
+        return df.withColumn("labels", F.transform(ends, lambda p: F.coalesce(label(p), F.lit("O"))))
