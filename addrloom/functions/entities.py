@@ -13,7 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,7 @@ from addrloom.functions import text as tx
 from addrloom.functions.once import computed_once
 
 ENTITIES = "array<struct<tag:string,text:string>>"
+ENTITY_LIST = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("text", T.StringType())]))
 PLACES = T.StructType(
     [
         T.StructField("before", T.ArrayType(T.IntegerType())),
@@ -33,6 +36,8 @@ PLACES = T.StructType(
 
 # Rows whose texts are Python objects at one time.
 PLACED_AT_ONCE = 64
+# Rows whose labels and tokens are numbers at one time.
+SPANNED_AT_ONCE = 256
 # what JSON spells otherwise
 JSON_ESCAPED = r'["\\\x00-\x1F]'
 
@@ -82,6 +87,58 @@ def clean_tokens(df: DataFrame, tokens: str = "tokens", labels: str = "labels")
     ).drop("_kept")
 
 
+def _spans_of(tokens: pa.Array, labels: pa.Array) -> pa.Array:
+    """Entities of a few rows, see ``spans_to_entities``."""
+    rows = len(labels)
+    missing, wordless = (a.is_null().to_numpy(zero_copy_only=False) for a in (labels, tokens))
+    n_labels, n_tokens = (a.value_lengths().fill_null(0).to_numpy().astype(np.int64) for a in (labels, tokens))
+    coded = labels.flatten().dictionary_encode()
+    names = [x or "" for x in coded.dictionary.to_pylist()] + [""]
+    code = coded.indices.fill_null(len(names) - 1).to_numpy()
+    # what every different label says: its type, whether it can continue one, which one it leaves open
+    said = [x[2:] if x[:2] in ("B-", "I-", "E-", "S-") else "" for x in names]
+    kinds = sorted({"", *said})
+    kind = np.array([kinds.index(k) for k in said])
+    continues = np.array([x[:2] in ("I-", "E-") for x in names])
+    opens = np.array([k if x[:2] in ("B-", "I-") else -1 for x, k in zip(names, kind)])
+    row = np.repeat(np.arange(rows), n_labels)
+    first_label = np.cumsum(n_labels) - n_labels
+    before = np.full(len(code), -1)
+    before[1:] = opens[code[:-1]]
+    before[first_label[n_labels > 0]] = -1
+    outside = kind[code] == 0
+    cut = np.flatnonzero(outside | ~(continues[code] & (before == kind[code])))
+    # a span ends where the next one or an outside token of its row stands, the last one with the tokens
+    cut_row, place = row[cut], cut - first_label[row[cut]]
+    last = np.append(cut_row[1:] != cut_row[:-1], True)[: len(cut)]
+    stop = np.where(last, n_tokens[cut_row], np.append(place[1:], 0)[: len(cut)])
+    span = np.flatnonzero(~outside[cut])
+    owner, start, stop = cut_row[span], place[span], stop[span]
+    if (~wordless[owner] & (stop < start)).any():
+        raise ValueError("more labels than tokens")
+    start, stop = np.minimum(start, n_tokens[owner]), np.minimum(stop, n_tokens[owner])
+    size = np.maximum(stop - start, 0)
+    ends = np.cumsum(size)
+    first_token = np.cumsum(n_tokens) - n_tokens
+    taken = np.repeat(first_token[owner] + start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+    parts = tokens.flatten().fill_null("").take(pa.array(taken))
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), parts), "")
+    if wordless.any():
+        texts = pc.if_else(pa.array(wordless[owner]), pa.scalar(None, texts.type), texts)
+    tags = pa.array(kinds, texts.type).take(pa.array(kind[code[cut[span]]]))
+    bounds = np.append(0, np.cumsum(np.bincount(owner, minlength=rows)))
+    return pa.ListArray.from_arrays(
+        pa.array(bounds, pa.int32(), mask=np.append(missing, False)), pa.StructArray.from_arrays([tags, texts], names=["tag", "text"])
+    )
+
+
+@F.arrow_udf(ENTITY_LIST)
+def _spans(tokens: pa.Array, labels: pa.Array) -> pa.Array:
+    """Entities of a batch, ``SPANNED_AT_ONCE`` rows at a time."""
+    made = [_spans_of(tokens.slice(i, SPANNED_AT_ONCE), labels.slice(i, SPANNED_AT_ONCE)) for i in range(0, len(labels), SPANNED_AT_ONCE)]
+    return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.struct([("tag", pa.string()), ("text", pa.string())])))
+
+
 def spans_to_entities(
     df: DataFrame, tokens: str = "tokens", labels: str = "labels", out: str = "entities"
 ) -> DataFrame:
@@ -90,50 +147,7 @@ def spans_to_entities(
     B and S open an entity.  I and E continue the open one of the same type and
     open a new one otherwise.  E and S close it, and so does any other label.
     """
-    prefix = lambda label: F.substring(label, 1, 2)
-    kind = lambda label: F.when(prefix(label).isin("B-", "I-", "E-", "S-"), F.substr(label, F.lit(3)))
-
-    previous = F.concat(F.array(F.lit("O")), F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))))
-    df = df.withColumn("_prev", F.when(F.size(labels) > 0, previous).otherwise(F.array().cast("array<string>")))
-
-    def role(label: Column, before: Column) -> Column:
-        """0 outside, 1 continues the open entity, 2 opens one."""
-        open_type = F.when(prefix(before).isin("B-", "I-"), F.substr(before, F.lit(3)))
-        continues = prefix(label).isin("I-", "E-") & F.coalesce(open_type == kind(label), F.lit(False))
-        return F.when(F.coalesce(kind(label), F.lit("")) == "", 0).when(continues, 1).otherwise(2)
-
-    df = df.withColumn("_role", F.zip_with(labels, "_prev", role))
-    # places where the running entity ends: an opening or an outside token
-    df = df.withColumn(
-        "_cut",
-        F.filter(
-            F.transform("_role", lambda r, i: F.struct(r.alias("role"), (i + 1).alias("at"))),
-            lambda p: p["role"] != 1,
-        ),
-    )
-    following = F.concat(
-        F.transform(F.slice("_cut", 2, F.greatest(F.size("_cut"), F.lit(1))), lambda p: p["at"]),
-        F.array(F.size(tokens) + 1),
-    )
-    df = df.withColumn("_next", following)
-    df = df.withColumn(
-        "_span",
-        F.filter(
-            F.zip_with(
-                "_cut", "_next",
-                lambda p, n: F.struct(p["role"].alias("role"), p["at"].alias("at"), (n - p["at"]).alias("len")),
-            ),
-            lambda s: s["role"] == 2,
-        ),
-    )
-    built = F.transform(
-        "_span",
-        lambda s: entity(
-            F.substr(F.element_at(F.col(labels), s["at"]), F.lit(3)),
-            F.array_join(F.slice(F.col(tokens), s["at"], s["len"]), ""),
-        ),
-    )
-    df = df.withColumn(out, built.cast(ENTITIES)).drop("_prev", "_role", "_cut", "_next", "_span")
+    df = df.withColumn(out, _spans(F.col(tokens), F.col(labels)).cast(ENTITIES))
     return computed_once(df, out)
 
 

@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from addrloom import vocab
 from addrloom.functions import entities as en
+from addrloom.functions import text as tx
 from addrloom.models.tagger import LevelWordTagger
 from addrloom.plans import tagging
 
@@ -192,3 +194,51 @@ def test_json_texts_are_spelled_as_json_spells_them(spark):
     df = df.select("t", en._json_string(F.col("t")).alias("quick"), F.expr(r"regexp_replace(to_json(array(t)), '^\\[|\\]$', '')").alias("slow"))
     for r in df.collect():
         assert r["quick"] == r["slow"], r
+
+
+def plain_spans(tokens, labels):
+    out, opened = [], None
+    for i, label in enumerate(labels):
+        label = label or ""
+        kind = label[2:] if label[:2] in ("B-", "I-", "E-", "S-") else ""
+        if not kind:
+            opened = None
+            continue
+        before = (labels[i - 1] or "") if i else ""
+        if label[:2] in ("I-", "E-") and opened is not None and before[:2] in ("B-", "I-") and before[2:] == kind:
+            opened[1] += tokens[i] or ""
+        else:
+            opened = [kind, tokens[i] or ""]
+            out.append(opened)
+    return [tuple(e) for e in out]
+
+
+def test_spans_are_one_function_and_follow_the_labels(spark):
+    rng = random.Random(3)
+    labels = ["B-a", "I-a", "E-a", "S-b", "O", None, "", "B-", "I-b", "E-b", "X-a"]
+    rows = []
+    for i in range(600):  # more than are placed at one time
+        n = rng.choice([0, 1, 2, 5, 9])
+        rows.append((i, [rng.choice(["p", "qq", None, "", "路"]) for _ in range(n)], [rng.choice(labels) for _ in range(n)]))
+    made = en.spans_to_entities(spark.createDataFrame([*rows, (600, ["p"], None), (601, None, ["B-a"])], "i int, tokens array<string>, labels array<string>"))
+    # a chain of lambdas took microseconds for a token
+    assert "lambda" not in made._jdf.queryExecution().executedPlan().toString().lower()
+    got = {r["i"]: r["entities"] for r in made.collect()}
+    for i, tokens, said in rows:
+        assert [tuple(e) for e in got[i]] == plain_spans(tokens, said), (tokens, said)
+    assert got[600] is None and [tuple(e) for e in got[601]] == [("a", None)]
+
+
+def test_long_texts_are_stripped_and_cut_quickly(spark):
+    text = " " + "word " * 800_000
+    rows = spark.createDataFrame([(text,)], "address string").coalesce(1)
+    seconds = []
+    for _ in range(2):  # the first run also compiles
+        began = time.time()
+        found = LevelWordTagger().transform(rows).select(F.size("tokens").alias("n"), F.char_length(F.get("tokens", F.lit(0))).alias("c")).first()
+        seconds.append(time.time() - began)
+        assert (found["n"], found["c"]) == (1, len(text.strip()))
+    assert min(seconds) < 3, seconds
+    plain = "".join(c for c in map(chr, range(1, 0xD800)) if c.isspace())
+    told = spark.createDataFrame([(plain + "a" + plain + "b" + plain,), (None,), (plain,)], "t string").select(tx.strip("t").alias("t")).collect()
+    assert sorted([r["t"] for r in told], key=str) == sorted(["a" + plain + "b", None, ""], key=str)
