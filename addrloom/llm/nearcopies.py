@@ -37,7 +37,7 @@ FAR = 38
 TREE = 1024
 MOST_EXTRA = 4
 PIECE_BYTES = 1 << 19
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 CHUNK_SHINGLES, CHUNK_DOCUMENTS = 1 << 18, 1024
 _SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -131,21 +131,21 @@ def near_stars(key: np.ndarray, f: np.ndarray, v1: np.ndarray, v2: np.ndarray, t
     forest = Tree(t_value.view(np.uint64), t_group)
     for i in range(0, len(known), QUERY_SLICE):
         some = known[i : i + QUERY_SLICE]
-        q, m = forest.near(q_value[some].view(np.uint64), radius, place[some])
-        q = some[q]
-        # a line for every asking row and class of held rows, then pairs of rows, a bounded number at a time
-        n_rows = q_at[q + 1] - q_at[q]
-        row, cls = asked[q_order[_spans(q_at[q], n_rows)]], np.repeat(m, n_rows)
-        n_held = t_at[cls + 1] - t_at[cls]
-        sofar = np.cumsum(n_held)
-        cuts = np.searchsorted(sofar, np.arange(0, int(sofar[-1]) if len(sofar) else 0, PAIRS), side="right")
-        for a, b in zip(cuts, np.append(cuts[1:], len(cls))):
-            one = np.repeat(row[a:b], n_held[a:b])
-            two = held[t_order[_spans(t_at[cls[a:b]], n_held[a:b])]]
-            new = np.flatnonzero(label[one] != label[two])
-            one, two = one[new], two[new]
-            apart = np.bitwise_count(v1[one] ^ v1[two]).astype(np.int64) + np.bitwise_count(v2[one] ^ v2[two])
-            label = _settle(label, one[apart <= far], two[apart <= far])
+        for q, m in forest.near_parts(q_value[some].view(np.uint64), radius, place[some]):
+            q = some[q]
+            # a line for every asking row and class of held rows, then pairs of rows, a bounded number at a time
+            n_rows = q_at[q + 1] - q_at[q]
+            row, cls = asked[q_order[_spans(q_at[q], n_rows)]], np.repeat(m, n_rows)
+            n_held = t_at[cls + 1] - t_at[cls]
+            sofar = np.cumsum(n_held)
+            cuts = np.searchsorted(sofar, np.arange(0, int(sofar[-1]) if len(sofar) else 0, PAIRS), side="right")
+            for a, b in zip(cuts, np.append(cuts[1:], len(cls))):
+                one = np.repeat(row[a:b], n_held[a:b])
+                two = held[t_order[_spans(t_at[cls[a:b]], n_held[a:b])]]
+                new = np.flatnonzero(label[one] != label[two])
+                one, two = one[new], two[new]
+                apart = np.bitwise_count(v1[one] ^ v1[two]).astype(np.int64) + np.bitwise_count(v2[one] ^ v2[two])
+                label = _settle(label, one[apart <= far], two[apart <= far])
     joined = np.flatnonzero(label != np.arange(len(label)))
     return joined, label[joined]
 

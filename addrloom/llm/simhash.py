@@ -34,6 +34,8 @@ RADIUS = 3
 SHARD = 4096
 CHUNK = 16384
 QUERY_SLICE = 1024
+# nodes that a search looks at, and pairs that it gives, at one time
+VISITED = 1 << 16
 
 _SMALL = np.arange(256, dtype=np.uint8)
 _SMALL[ord("A") : ord("Z") + 1] += 32
@@ -133,23 +135,42 @@ class Tree:
             level = (made, made + len(child_keys))
             made += len(child_keys)
 
-    def near(self, queries: np.ndarray, radius: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Query numbers and member numbers of all pairs within the radius; a query searches the tree of its group."""
+    def near_parts(self, queries: np.ndarray, radius: int, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Query numbers and member numbers of all pairs within the radius, a bounded number at a time; a query searches the tree of its
+        group.  Nodes wait as ranges of neighbours, of which ``VISITED`` are looked at together, so a tree of near values costs no more memory."""
         if not len(self.values) or not len(queries):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64) if group is None else group
-        found_q, found_m = [], []
-        while len(q):
+            return
+        roots = np.zeros(len(queries), np.int64) if group is None else group
+        waiting = [(np.arange(len(queries)), roots, np.ones(len(queries), np.int64))]
+        found_q, found_m, n_found = [], [], 0
+        while waiting:
+            q, begin, count = waiting.pop()
+            now = max(1, int(np.searchsorted(np.cumsum(count), VISITED, "right")))
+            if now < len(q):
+                waiting.append((q[now:], begin[now:], count[now:]))
+                q, begin, count = q[:now], begin[:now], count[:now]
+            node = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            q = np.repeat(q, count)
             distance = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
             hit = distance <= radius
             found_q.append(q[hit])
             found_m.append(self.member[node[hit]])
+            n_found += len(found_q[-1])
+            if n_found >= VISITED:
+                yield np.concatenate(found_q), np.concatenate(found_m)
+                found_q, found_m, n_found = [], [], 0
             begin = self.first[node, np.maximum(distance - radius, 0)].astype(np.int64)
             count = self.first[node, np.minimum(distance + radius, 64) + 1] - begin
-            total = int(count.sum())
-            q = np.repeat(q, count)
-            node = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(total)
-        return np.concatenate(found_q), np.concatenate(found_m)
+            more = count > 0
+            if more.any():
+                waiting.append((q[more], begin[more], count[more]))
+        if n_found:
+            yield np.concatenate(found_q), np.concatenate(found_m)
+
+    def near(self, queries: np.ndarray, radius: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All of ``near_parts`` at once."""
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *self.near_parts(queries, radius, group)]
+        return np.concatenate([q for q, _ in parts]), np.concatenate([m for _, m in parts])
 
 
 def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -173,8 +194,8 @@ def shard_links(tree_values: np.ndarray, query_values: np.ndarray, radius: int)
     tree_at, query_at = np.searchsorted(values, tree_values), np.searchsorted(values, query_values)
     tree, label = Tree(tree_values), np.arange(len(values))
     for i in range(0, len(query_values), QUERY_SLICE):
-        q, m = tree.near(query_values[i : i + QUERY_SLICE], radius)
-        label = _settle(label, query_at[i + q], tree_at[m])
+        for q, m in tree.near_parts(query_values[i : i + QUERY_SLICE], radius):
+            label = _settle(label, query_at[i + q], tree_at[m])
     joined = np.flatnonzero(label != np.arange(len(values)))
     return values[joined], values[label[joined]]
 

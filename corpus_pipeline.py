@@ -14,11 +14,19 @@ from addrloom.llm.shared import stored, table
 # a text whose letters name no language with this mean probability is rejected
 MIN_LANGUAGE_SCORE = 0.3
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+# bytes of the batches that an executor and its Python workers each hold a few of; a longer text is a batch of its own
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold ``BATCH_BYTES``, not Spark's 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from the labelled ones; texts without a letter, and
     texts in none of them, go."""
+    small_batches(spark)
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     found = langid.predict(docs, model, tuple(c for c in docs.columns if c != "text"), with_text=True, reject=True)
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
@@ -29,12 +37,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document with the smallest id of every group that links of a five-word Jaccard similarity of 0.8 or more join, found by
     fingerprints.  Null and empty texts are copies of one another; rows of one id and text are one; rows without an id stay;
     an empty table gives no rows."""
+    small_batches(spark)
     return nearcopies.deduplicate(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark.  Null and empty texts have none and stay, as do all rows of an id that repeats;
     an empty table gives no rows."""
+    small_batches(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), remove="documents")
 
 
@@ -47,6 +57,7 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text.  A null or empty text has no ids; every row of an id that
     repeats has its own; an empty table gives no rows."""
+    small_batches(spark)
     rows = sentencepieces.encode(docs, sentencepieces.load(VOCABULARY), ("doc_id", "lang", "source"), check=True)
     return rows.select(
         "document.doc_id", "document.lang", "document.source", F.size("ids").cast("long").alias("n_tokens"),

@@ -6,6 +6,7 @@ import re
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,15 @@ def test_run_and_empty(spark, docs, tmp_path):
     for name, stage in pipeline.STAGES:
         here = stage(spark, here, folder)
         assert here.count() == 0, name
+
+
+def test_stages_send_their_texts_in_small_batches(spark):
+    """64 MB a batch, several of them at once, was a large part of an executor's memory."""
+    docs = spark.createDataFrame([("x" * 1_000_000,) for _ in range(24)], "text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        pipeline.small_batches(spark)
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    assert sum(r["n"] for r in sizes) == 24 and max(r["n"] for r in sizes) <= 10

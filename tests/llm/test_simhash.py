@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -126,3 +127,17 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     groups = simhash.near_duplicates(df).collect()
     assert {r["doc_id"] for r in simhash.deduplicate(df).collect()} == {r["component_id"] for r in groups}
+
+
+def test_a_search_among_near_values_holds_a_bounded_number_of_pairs():
+    # 8,192 values within 7 bits of one another: all of them are near every query
+    base = np.uint64(0x0123456789ABCDEF)
+    values = base ^ (np.arange(128, dtype=np.uint64)[:, None] << np.uint64(20) | np.arange(64, dtype=np.uint64)).reshape(-1)
+    tree = simhash.Tree(values)
+    asked = values[:512]
+    tracemalloc.start()
+    sizes = [len(q) for q, _ in tree.near_parts(asked, 13)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == len(values) * len(asked) and max(sizes) < 1 << 18
+    assert peak < 40 << 20, peak
