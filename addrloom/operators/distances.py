@@ -23,6 +23,13 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(products, 0.0, out=products)
 
 
+def rough_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As :func:`squared_distances` by one product of matrices; rounding may leave a value a little below 0."""
+    return np.column_stack([a, np.einsum("ij,ij->i", a, a), np.ones(len(a), a.dtype)]) @ np.column_stack(
+        [-2.0 * b, np.ones(len(b), b.dtype), np.einsum("ij,ij->i", b, b)]
+    ).astype(b.dtype, copy=False).T
+
+
 class Reduction:
     """Vectors as a few numbers whose distances never exceed the true ones: the part along ``axes`` (orthonormal
     columns) of the centred vector, and the length of the rest."""

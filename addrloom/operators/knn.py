@@ -19,6 +19,11 @@ of work is (cell, query chunk, reference chunk): memory per task is bounded
 whatever the skew.  What reaches the driver is one centre and a few numbers per
 cell, with the number of cells limited by ``MAX_CELLS``.
 
+A query is sent once for each reference chunk, so all that is sent grows with the product of both
+sides.  The units are therefore done in rounds that send no more than both sides hold once, and what a
+round has shuffled is dropped when its results, the best so far, are stored.  Only vectors, ids and hashes
+of the other columns travel; names and addresses are joined to the result by these hashes.
+
 Vector tables have the columns of ``schemas.QUERY_VECTORS`` and
 ``schemas.REFERENCE_VECTORS`` (``created_at`` is not needed).  Every row counts for
 itself, also where a ``source_id`` occurs more than once.  Rows without a vector
@@ -43,8 +48,9 @@ from addrloom.functions.vectors import squared_l2
 from addrloom.operators.centre_tree import CentreTree
 from addrloom.operators.distances import Reduction, principal_axes
 from addrloom.operators.distances import matrix as _matrix
+from addrloom.operators.distances import rough_distances as _rough_distances
 from addrloom.operators.distances import squared_distances as _squared_distances
-from addrloom.sources.tables import written
+from addrloom.sources.tables import discard, shuffles_dropped, work_folder, written
 from addrloom.vocab import TOP_N
 
 # Centres are held by the driver and by every task of the probing stage.
@@ -63,15 +69,26 @@ MIN_QUERY_CHUNK = 512
 # side is sent once for each chunk of the other.
 GROUP_PAIRS = 1 << 30
 GROUPS_PER_CORE = 8
-TILE_NUMBERS = 8 * 1024 * 1024
+TILE_NUMBERS = 2 * 1024 * 1024
+# References of a tile, where the caller does not say.
+BLOCK_ROWS = 4096
+# Bytes that a round may send even if both sides hold less.
+ROUND_BYTES = 256 * 1024 * 1024
+# Pairs left for each of the wanted ones, beyond which a block looks for a closer bound of its own.
+LOOSE = 4
 # A first look at reduced vectors counts if no more than this share of the pairs remains: a pair by itself costs
 # many times what it costs in a product of matrices.
 REDUCED_SHARE = 1 / 16
 REST_SLACK = 1e-5
 AXES_SAMPLE = 2048
 
-_QUERY_COLUMNS = ("query_row", "enterprise_id", "enterprise_name", "enterprise_address")
-_REFERENCE_COLUMNS = ("standard_id", "standard_address", "room_no")
+_QUERY_TEXTS = ("enterprise_id", "enterprise_name", "enterprise_address")
+# two hashes of the other columns stand for them until the pairs are chosen
+QUERY_HASHES = ("query_hash", "query_check")
+REFERENCE_HASHES = ("reference_hash", "reference_check")
+_QUERY_COLUMNS = ("query_row", *QUERY_HASHES)
+_REFERENCE_COLUMNS = ("standard_id", "room_no", *REFERENCE_HASHES)
+_STRINGS = ("standard_id", "room_no")
 
 
 # ---------------------------------------------------------------------------
@@ -104,25 +121,78 @@ def auto_probes(lists: int) -> int:
 # shaping
 # ---------------------------------------------------------------------------
 
-def _query_side(queries: DataFrame) -> DataFrame:
-    return queries.where("vector IS NOT NULL").select(
+def _hashes(names: tuple[str, ...], columns: tuple[str, ...]) -> list[Column]:
+    """Two hashes of a row's contents; a null is told from a value."""
+    contents = [c for name in columns for c in (F.col(name), F.col(name).isNull())]
+    return [F.xxhash64(F.lit(i), *contents).alias(name) for i, name in enumerate(names)]
+
+
+def _query_texts(queries: DataFrame) -> DataFrame:
+    texts = queries.where("vector IS NOT NULL").select(
         F.col("source_id").cast("string").alias("enterprise_id"),
         F.col("enterprise_name").cast("string").alias("enterprise_name"),
         F.col("address").cast("string").alias("enterprise_address"),
         F.col("vector").cast("array<float>").alias("vector"),
-        # tells rows of one id apart
-        F.monotonically_increasing_id().alias("query_row"),
     )
+    return texts.select("*", *_hashes(QUERY_HASHES, _QUERY_TEXTS))
 
 
-def _reference_side(references: DataFrame, *extra: str) -> DataFrame:
-    return references.where("vector IS NOT NULL").select(
+def _query_side(queries: DataFrame) -> DataFrame:
+    # the number tells rows of one id apart
+    return _query_texts(queries).select(F.monotonically_increasing_id().alias("query_row"), *QUERY_HASHES, "vector")
+
+
+def _reference_texts(references: DataFrame, *extra: str) -> DataFrame:
+    texts = references.where("vector IS NOT NULL").select(
         F.col("source_id").cast("string").alias("standard_id"),
         F.col("address").cast("string").alias("standard_address"),
         F.coalesce(F.col("room_no").cast("string"), F.lit("")).alias("room_no"),
         F.col("vector").cast("array<float>").alias("vector"),
         *extra,
     )
+    return texts.select("*", *_hashes(REFERENCE_HASHES, ("standard_id", "room_no", "standard_address")))
+
+
+def _reference_side(references: DataFrame, *extra: str) -> DataFrame:
+    return _reference_texts(references, *extra).select(*_REFERENCE_COLUMNS, "vector", *extra)
+
+
+@dataclass(frozen=True)
+class Found:
+    """The chosen ``pairs`` with hashes in place of names and addresses, and the two sides that hold these.  ``some_twice``: references
+    of equal contents occur."""
+
+    pairs: DataFrame
+    queries: DataFrame
+    references: DataFrame
+    some_twice: bool
+
+    def asked(self) -> DataFrame:
+        """Id, name and address of the queries by their hashes, equal ones once."""
+        return _query_texts(self.queries).groupBy(*QUERY_HASHES).agg(*[F.first(c).alias(c) for c in _QUERY_TEXTS])
+
+    def told(self) -> DataFrame:
+        """The address of the references by their hashes.  Equal ones are made one only if there are any, as a join
+        right above its shuffles can be split where one reference is chosen often."""
+        rows = _reference_texts(self.references).select(*REFERENCE_HASHES, "standard_address")
+        return rows.groupBy(*REFERENCE_HASHES).agg(F.first("standard_address").alias("standard_address")) if self.some_twice else rows
+
+    def with_texts(self, pairs: DataFrame | None = None) -> DataFrame:
+        """``pairs`` (all) with names and addresses.  The longer texts, the references', join last."""
+        return (self.pairs if pairs is None else pairs).join(self.asked(), list(QUERY_HASHES)).join(self.told(), list(REFERENCE_HASHES))
+
+    def rows(self) -> DataFrame:
+        return self.with_texts().select(*_QUERY_TEXTS, "standard_id", "standard_address", "room_no", "similarity")
+
+
+def with_query_hashes(rows: DataFrame) -> DataFrame:
+    """Rows with the columns of a query (id, name, address) and the hashes of these."""
+    return rows.select("*", *_hashes(QUERY_HASHES, _QUERY_TEXTS))
+
+
+def _some_twice(references: DataFrame) -> bool:
+    counts = references.select(*REFERENCE_HASHES).groupBy(*REFERENCE_HASHES).count()
+    return bool(counts.where("count > 1").take(1))
 
 
 # ---------------------------------------------------------------------------
@@ -231,15 +301,17 @@ def _cells_to_search(points: np.ndarray, cells: Cells, top_n: int, reach: float)
     return (lower <= bound[:, None] + SLACK) & (cells.rows > 0)[None, :]
 
 
-def _regions(cells: Cells, most_rows: int) -> tuple[np.ndarray, np.ndarray]:
+def _regions(centres: np.ndarray | CentreTree, rows: np.ndarray, most_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Cells in an order that keeps near ones together (along the direction in which the centres
-    spread most), and the first place of each region: neighbours of ``most_rows`` rows at most, or
+    spread most; the lists of a tree in their own), and the first place of each region: neighbours of ``most_rows`` rows at most, or
     one larger cell.  A query is sent once to a region, whichever of its cells it searches."""
-    spread = cells.centres - cells.centres.mean(axis=0)
-    axis = np.linalg.svd(spread, full_matrices=False)[2][0]
-    order = np.argsort(spread @ axis, kind="stable")
+    order = np.arange(len(rows))
+    if isinstance(centres, np.ndarray):
+        spread = centres - centres.mean(axis=0)
+        axis = np.linalg.svd(spread, full_matrices=False)[2][0]
+        order = np.argsort(spread @ axis, kind="stable")
     first, filled = [0], 0
-    for place, n in enumerate(cells.rows[order].tolist()):
+    for place, n in enumerate(rows[order].tolist()):
         if filled and filled + n > most_rows:
             first.append(place)
             filled = 0
@@ -247,6 +319,13 @@ def _regions(cells: Cells, most_rows: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.array(first)
 
 
+def _region_of(order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The region of each cell."""
+    region = np.empty(len(order), dtype=np.int64)
+    region[order] = np.searchsorted(first, np.arange(len(order)), side="right") - 1
+    return region
+
+
 def _cells_to_probe(points: np.ndarray, centres: np.ndarray, filled: np.ndarray, probes: int) -> np.ndarray:
     """Rows x cells: the ``probes`` nearest cells that have members."""
     squared = _squared_distances(points, centres)
@@ -257,23 +336,46 @@ def _cells_to_probe(points: np.ndarray, centres: np.ndarray, filled: np.ndarray,
     return chosen
 
 
-def _send_to_cells(queries: DataFrame, choose) -> DataFrame:
-    """One row per query and cell it searches (column ``cell``); ``choose`` gives (point, cell)."""
+def _by_region(row: np.ndarray, cell: np.ndarray, region: np.ndarray, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(point, region, lists to search there) of (point, list); null: all ``filled`` ones of the region."""
+    order = np.lexsort((cell, region[cell], row))
+    row, cell = row[order], cell[order]
+    where = region[cell]
+    start = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(where) != 0))[: len(row)])
+    size = np.diff(np.append(start, len(row)))
+    whole = size == filled[where[start]]
+    offsets = np.append(0, np.cumsum(np.where(whole, 0, size)))
+    lists = pa.ListArray.from_arrays(
+        pa.array(offsets, pa.int32(), mask=np.append(whole, False)), pa.array(cell[np.repeat(~whole, size)], pa.int32())
+    )
+    return row[start], where[start], lists
+
+
+def _aimed(queries: DataFrame, choose) -> DataFrame:
+    """The queries, stored, with the cells or regions they search (``targets``); ``choose`` gives (point, cell, lists of it),
+    ordered by point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                row, cell = choose(_matrix(part.column("vector")).astype(np.float64))
-                for at in range(0, len(row), 8192):
-                    taken = part.take(pa.array(row[at : at + 8192]))
-                    yield pa.RecordBatch.from_arrays(
-                        [*taken.columns, pa.array(cell[at : at + 8192].astype(np.int32))],
-                        names=[*part.schema.names, "cell"],
-                    )
+                row, cell, lists = choose(_matrix(part.column("vector")).astype(np.float64))
+                ends = np.searchsorted(row, np.arange(part.num_rows + 1))
+                aims = pa.StructArray.from_arrays([pa.array(cell, pa.int32()), lists], names=["cell", "lists"])
+                targets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), aims)
+                yield pa.RecordBatch.from_arrays([*part.columns, targets], names=[*part.schema.names, "targets"])
+
+    aim = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("lists", T.ArrayType(T.IntegerType()))])
+    return queries.mapInArrow(run, T.StructType([*queries.schema, T.StructField("targets", T.ArrayType(aim))]))
 
-    schema = T.StructType(list(queries.schema) + [T.StructField("cell", T.IntegerType())])
-    return queries.mapInArrow(run, schema)
+
+def _send_to_cells(aimed: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """One row per query and cell it searches (column ``cell``), of all cells or the numbers from ``first`` to ``last``."""
+    targets = F.col("targets")
+    if first is not None:
+        targets = F.filter(targets, lambda t: t["cell"].between(first, last))
+    rows = aimed.select(*_QUERY_COLUMNS, "vector", F.explode(targets).alias("_t"))
+    return rows.select(*_QUERY_COLUMNS, "vector", "_t.cell", "_t.lists")
 
 
 # ---------------------------------------------------------------------------
@@ -287,7 +389,7 @@ def _first_copies(vectors: np.ndarray, by_id: np.ndarray, top_n: int) -> np.ndar
     rows = packed.view(np.dtype((np.void, packed.dtype.itemsize * packed.shape[1]))).ravel()
     _, group = np.unique(rows, return_inverse=True)
     if np.bincount(group).max() <= top_n:
-        return np.arange(len(by_id))
+        return np.sort(by_id)
     by_group = np.argsort(group, kind="stable")
     place = np.arange(len(group))
     first = np.concatenate([[True], np.diff(group[by_group]) != 0])
@@ -304,31 +406,50 @@ def _exact(tile: np.ndarray, vectors: np.ndarray, row: np.ndarray, column: np.nd
     return exact
 
 
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the few true entries, eight at a time."""
+    if mask.size % 8 or not mask.flags.c_contiguous:
+        return np.nonzero(mask)
+    flat = mask.reshape(-1)
+    words = np.flatnonzero(flat.view(np.uint64))
+    word, byte = np.nonzero(flat.reshape(-1, 8)[words])
+    return np.divmod(words[word] * 8 + byte, mask.shape[1])
+
+
 def _may_be_best(
-    tile: np.ndarray, vectors: np.ndarray, top_n: int, limit: float, slack: float, reduced: tuple[np.ndarray, np.ndarray] | None = None,
+    tile: np.ndarray, vectors: np.ndarray, top_n: int, limit: float | np.ndarray, slack: float,
+    reduced: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray, int]:
-    """(row, column) of the pairs that can be among the ``top_n`` of their row and within ``limit``, and how many
+    """(row, column) of the pairs that can be among the ``top_n`` of their row and within ``limit`` (one, or one a row), and how many
     numbers were multiplied to tell.
 
     With ``reduced`` forms of both sides their distances, which are lower bounds, are found first: the exact
     distances to the ``top_n`` that look nearest bound the ``top_n``-th neighbour, and only pairs below that remain.  If
-    more than a REDUCED_SHARE of them remain, all distances are computed as without."""
+    more than a REDUCED_SHARE of them remain, all distances are computed as without.  A limit that leaves LOOSE times the wanted
+    pairs or fewer is close enough, and no other is looked for."""
     rows, many = len(tile), len(vectors)
-    bound = np.full(rows, limit, dtype=np.float64)
+    bound = np.broadcast_to(np.asarray(limit, dtype=np.float64), (rows,))
+    below = lambda distances: distances <= (bound + slack).astype(np.float32)[:, None]
+    loose = lambda mask: many > top_n and np.count_nonzero(mask) > LOOSE * top_n * rows
     multiplied = 0
     if reduced is not None and many > top_n:
-        low = _squared_distances(*reduced)
-        seem = np.argpartition(low, top_n - 1, axis=1)[:, :top_n]
-        near = _exact(tile, vectors, np.repeat(np.arange(rows), top_n), seem.ravel()).reshape(rows, top_n)
-        row, column = np.nonzero(low <= (np.minimum(bound, near.max(axis=1)) + slack)[:, None])
-        multiplied = rows * many * reduced[0].shape[1] + rows * top_n * tile.shape[1]
-        if len(row) <= REDUCED_SHARE * rows * many:
-            return row, column, multiplied
-    squared = _squared_distances(tile, vectors)
-    if many > top_n:
+        low = _rough_distances(*reduced)
+        multiplied = rows * many * reduced[0].shape[1]
+        mask = below(low)
+        if loose(mask):
+            seem = np.argpartition(low, top_n - 1, axis=1)[:, :top_n]
+            near = _exact(tile, vectors, np.repeat(np.arange(rows), top_n), seem.ravel()).reshape(rows, top_n)
+            multiplied += rows * top_n * tile.shape[1]
+            bound = np.minimum(bound, near.max(axis=1))
+            mask = below(low)
+        if np.count_nonzero(mask) <= REDUCED_SHARE * rows * many:
+            return *_places(mask), multiplied
+    squared = _rough_distances(tile, vectors)
+    mask = below(squared)
+    if loose(mask):
         bound = np.minimum(bound, np.partition(squared, top_n - 1, axis=1)[:, top_n - 1])
-    row, column = np.nonzero(squared <= (bound + slack)[:, None])
-    return row, column, multiplied + rows * many * tile.shape[1]
+        mask = below(squared)
+    return *_places(mask), multiplied + rows * many * tile.shape[1]
 
 
 def _longest(vectors: np.ndarray) -> float:
@@ -336,6 +457,33 @@ def _longest(vectors: np.ndarray) -> float:
     return max(float((vectors[at : at + 4096].astype(np.float64) ** 2).sum(axis=1).max()) for at in range(0, len(vectors), 4096))
 
 
+def _blocks(searched: pa.Array, spans: dict[int, tuple[int, int]] | None, count: int, step: int):
+    """(places of the queries in a tile or None for all, first and last reference) of what is compared at once."""
+    if spans is None:
+        yield from ((None, at, min(at + step, count)) for at in range(0, count, step))
+        return
+    whole = np.flatnonzero(searched.is_null().to_numpy(zero_copy_only=False))
+    asker = np.repeat(np.arange(len(searched)), searched.value_lengths().fill_null(0).to_numpy())
+    wanted = searched.flatten().to_numpy()
+    for n, (first, last) in spans.items():
+        asks = np.sort(np.concatenate([whole, asker[wanted == n]]))
+        if len(asks):
+            yield from ((asks, at, min(at + step, last)) for at in range(first, last, step))
+
+
+def _closer(nearest: np.ndarray, bound: np.ndarray, row: np.ndarray, exact: np.ndarray) -> np.ndarray:
+    """The bounds after these pairs; ``nearest`` holds the smallest distances of each row so far and is brought up to date."""
+    top_n = nearest.shape[1]
+    order = np.lexsort((exact, row))
+    row, exact = row[order], exact[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+    few = place < top_n
+    fresh = np.full(nearest.shape, np.inf)
+    fresh[row[few], place[few]] = exact[few]
+    nearest[:] = np.partition(np.concatenate([nearest, fresh], axis=1), top_n - 1, axis=1)[:, :top_n]
+    return np.minimum(bound, nearest.max(axis=1))
+
+
 def _best_of_chunk(top_n: int, threshold: float | None, reduction: Reduction | None = None, tile_rows: int | None = None):
     """Co-group function: the ``top_n`` best references of each query here, ``tile_rows`` (None: all) references at a time.
 
@@ -352,30 +500,50 @@ def _best_of_chunk(top_n: int, threshold: float | None, reduction: Reduction | N
         by_id = np.array(sorted(range(len(ids)), key=ids.__getitem__), dtype=np.int64)
         id_place = np.empty_like(by_id)
         id_place[by_id] = np.arange(len(by_id))
-        kept = _first_copies(vectors, by_id, top_n)
+        searched, lists = queries.column("lists").combine_chunks(), references.column("list").to_numpy()
+        if searched.null_count == len(searched):
+            kept, spans = _first_copies(vectors, by_id, top_n), None
+        else:
+            # some queries search a part of the lists here: those of a list side by side
+            names = np.unique(lists)
+            parts = [_first_copies(vectors, by_id[lists[by_id] == n], top_n) for n in names]
+            kept, ends = np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts]).tolist()
+            spans = {int(n): span for n, span in zip(names, zip(ends, ends[1:]))}
         vectors = vectors[kept]
         points = _matrix(queries.column("vector"))
-        reach = math.sqrt(_longest(points) * _longest(vectors))
+        reach = max(_longest(points), _longest(vectors))
         slack = SLACK + 8.0 * vectors.shape[1] * float(np.finfo(np.float32).eps) * max(reach, 1.0)
         few = None
         if reduction is not None:
             few = reduction(points), reduction(vectors)
             # the mean moves the vectors, and the length of the rest is rounded by its own
             slack += (8.0 * vectors.shape[1] * float(np.finfo(np.float32).eps) + REST_SLACK) * max(map(_longest, few))
-        rows_at_once, step = max(16, TILE_NUMBERS // len(vectors)), tile_rows or len(vectors)
+        step = min(tile_rows or BLOCK_ROWS, len(vectors))
+        rows_at_once = max(16, TILE_NUMBERS // step)
         for start in range(0, len(points), rows_at_once):
             tile = points[start : start + rows_at_once]
-            reduced = None if few is None else (few[0][start : start + rows_at_once], few[1])
-            found = [
-                (row, column + at)
-                for at in range(0, len(vectors), step)
-                for row, column, _ in [_may_be_best(
-                    tile, vectors[at : at + step], top_n, limit, slack, reduced and (reduced[0], reduced[1][at : at + step])
-                )]
-            ]
-            row, column = (np.concatenate(c) for c in zip(*found))
-            exact = _exact(tile, vectors, row, column)
-            similarity = 1.0 - exact / 2.0
+            nearest = np.full((len(tile), top_n), np.inf)
+            bound = np.full(len(tile), limit)
+            found = []
+            for asks, first, last in _blocks(searched.slice(start, rows_at_once), spans, len(vectors), step):
+                part = tile if asks is None else tile[asks]
+                reduced = None
+                if few is not None:
+                    reduced = few[0][start : start + rows_at_once], few[1][first:last]
+                    reduced = reduced if asks is None else (reduced[0][asks], reduced[1])
+                row, column, _ = _may_be_best(part, vectors[first:last], top_n, bound if asks is None else bound[asks], slack, reduced)
+                if not len(row):
+                    continue
+                row, column = row if asks is None else asks[row], column + first
+                exact = _exact(tile, vectors, row, column)
+                close = exact <= bound[row] + SLACK
+                found.append((row[close], column[close], exact[close]))
+                bound = _closer(nearest, bound, *found[-1][::2])
+            if not found:
+                continue
+            row, column, exact = (np.concatenate(c) for c in zip(*found))
+            close = exact <= bound[row] + SLACK
+            row, column, similarity = row[close], column[close], 1.0 - exact[close] / 2.0
             if threshold is not None:
                 passed = similarity >= threshold
                 row, column, similarity = row[passed], column[passed], similarity[passed]
@@ -391,15 +559,14 @@ def _best_of_chunk(top_n: int, threshold: float | None, reduction: Reduction | N
         out = list(best(queries, references)) if queries.num_rows and references.num_rows else []
         if out:
             return pa.concat_tables(out)
-        kinds = [pa.int64(), *[pa.string()] * (len(columns) - 1), pa.float64()]
+        kinds = [*[pa.string() if c in _STRINGS else pa.int64() for c in columns], pa.float64()]
         return pa.table([pa.array([], k) for k in kinds], names=[*columns, "similarity"])
 
     return run
 
 
 _PAIR_SCHEMA = T.StructType(
-    [T.StructField(_QUERY_COLUMNS[0], T.LongType())]
-    + [T.StructField(n, T.StringType()) for n in (*_QUERY_COLUMNS[1:], *_REFERENCE_COLUMNS)]
+    [T.StructField(n, T.StringType() if n in _STRINGS else T.LongType()) for n in (*_QUERY_COLUMNS, *_REFERENCE_COLUMNS)]
     + [T.StructField("similarity", T.DoubleType())]
 )
 
@@ -408,52 +575,125 @@ def keep_top_n(candidates: DataFrame, top_n: int) -> DataFrame:
     """The ``top_n`` most similar candidates of each query, ties by id.  Spark
     cuts every input partition to ``top_n`` per query before the shuffle."""
     closeness = F.round("similarity", TIE_DIGITS)
-    order = Window.partitionBy("enterprise_id", "query_row").orderBy(closeness.desc(), F.asc("standard_id"))
-    ranked = candidates.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top_n)
-    return ranked.drop("_rank", "query_row")
+    order = Window.partitionBy("query_row").orderBy(closeness.desc(), F.asc("standard_id"))
+    return candidates.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top_n).drop("_rank")
 
 
-def _chunked(df: DataFrame, id_column: str, own: str, other: str, sizes: DataFrame | None) -> DataFrame:
-    if sizes is None:
-        return df.withColumns({own: F.lit(0), other: F.lit(0)})
-    df = df.join(F.broadcast(sizes), "cell")  # a row a cell
-    mine = F.pmod(F.xxhash64(id_column), F.col(f"{own}_count")).cast("int")
-    theirs = F.explode(F.sequence(F.lit(0), F.col(f"{other}_count") - 1))
-    return df.withColumn(own, mine).withColumn(other, theirs).drop("q_chunk_count", "r_chunk_count")
+@dataclass(frozen=True)
+class Part:
+    """Reference chunks ``first`` to ``last`` (exclusive) of a cell with all its query chunks, numbered from ``place``."""
+
+    cell: int
+    q_chunks: int
+    r_chunks: int
+    first: int
+    last: int
+    place: int
+
+    @property
+    def places(self) -> int:
+        return self.q_chunks * (self.last - self.first)
+
+
+def _rounds(
+    chunks: dict[int, tuple[int, int]], reference_rows: dict[int, int], query_rows: dict[int, int], most_rows: int,
+) -> list[list[Part]]:
+    """The work in order of the cells, cut where a round would send more than ``most_rows`` rows."""
+    rounds: list[list[Part]] = [[]]
+    sent = place = 0
+    for cell, (q, r) in sorted(chunks.items()):
+        each = query_rows[cell] + -(-reference_rows[cell] // r) * q
+        first = 0
+        while first < r:
+            taken = min(r - first, max((most_rows - sent) // each, 0 if sent else 1))
+            if taken:
+                rounds[-1].append(Part(cell, q, r, first, first + taken, place))
+                first, sent, place = first + taken, sent + each * taken, place + q * taken
+            else:
+                rounds.append([])
+                sent = place = 0
+    return rounds
+
+
+def _chunked(df: DataFrame, parts: DataFrame | None, row_column: str, mine: str) -> DataFrame:
+    """Rows of one side, once for every ``place`` they are needed at."""
+    if parts is None:
+        return df.withColumn("place", F.lit(0))
+    df = df.join(F.broadcast(parts), "cell")  # a row a cell
+    chunk = F.pmod(F.xxhash64(row_column), F.col(f"{mine}_chunks"))
+    if mine == "q":
+        at = F.explode(F.sequence(F.lit(0), F.col("last") - F.col("first") - 1))
+        df = df.withColumn("_mine", chunk).withColumn("_other", at)
+        place = F.col("_other") * F.col("q_chunks") + F.col("_mine")
+    else:
+        df = df.withColumn("_mine", chunk).where("_mine >= first AND _mine < last")
+        df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("q_chunks") - 1)))
+        place = (F.col("_mine") - F.col("first")) * F.col("q_chunks") + F.col("_other")
+    place = (F.col("place") + place).cast("int")
+    return df.withColumn("place", place).drop("_mine", "_other", "q_chunks", "r_chunks", "first", "last")
 
 
 def _meet(
     sent: DataFrame, assigned: DataFrame, reference_rows: dict[int, int], query_rows: dict[int, int],
     top_n: int, threshold: float | None, chunk_rows: int, reduction: Reduction | None = None, tile_rows: int | None = None,
+    aimed: DataFrame | None = None, spent: tuple[str, ...] = (),
 ) -> DataFrame:
+    """The best ``top_n`` pairs of every query.  More than one round of them is done here and now; that needs
+    the stored queries ``aimed``, as the numbers of their rows must not change, and ends the use of the folders ``spent``."""
+    spark = assigned.sparkSession
     dimension = _dimension(assigned)
     # enough query chunks to keep all cores busy, each worth a task of its own
-    cores = sent.sparkSession.sparkContext.defaultParallelism
+    cores = spark.sparkContext.defaultParallelism
+    reference_rows = {c: n for c, n in reference_rows.items() if n and query_rows.get(c)}
     query_chunk = min(chunk_rows, max(MIN_QUERY_CHUNK, -(-sum(query_rows.values()) // (2 * cores))))
-    parts = {
-        cell: (-(-query_rows.get(cell, 0) // query_chunk) or 1, -(-n // chunk_rows) or 1)
-        for cell, n in reference_rows.items()
-    }
-    sizes = None
-    if any(p != (1, 1) for p in parts.values()):
-        sizes = sent.sparkSession.createDataFrame(
-            [(c, q, r) for c, (q, r) in parts.items()], "cell int, q_chunk_count int, r_chunk_count int"
+    chunks = {}
+    for cell, n in reference_rows.items():
+        q = -(-query_rows[cell] // query_chunk)
+        level = -(-q // cores) * cores  # no core waits for the last chunks
+        chunks[cell] = (level if level <= 2 * q and query_rows[cell] >= level * MIN_QUERY_CHUNK else q, -(-n // chunk_rows) or 1)
+    row_bytes = 4 * dimension + 32
+    linear = sum(reference_rows.values()) + max(query_rows.values(), default=0)
+    most = max(ROUND_BYTES // row_bytes, linear)
+    rounds = [[]] if not chunks else _rounds(chunks, reference_rows, query_rows, most if aimed is not None else 1 << 62)
+
+    def one(parts: list[Part]) -> DataFrame:
+        sizes, left = None, sent
+        count = sum(p.places for p in parts)
+        if count != 1 or len(rounds) > 1:
+            sizes = spark.createDataFrame(
+                [(p.cell, p.q_chunks, p.r_chunks, p.first, p.last, p.place) for p in parts],
+                "cell int, q_chunks int, r_chunks int, first int, last int, place int",
+            )
+        if len(rounds) > 1:
+            left = _send_to_cells(aimed, parts[0].cell, parts[-1].cell)
+        # a group is much arithmetic on few bytes: a few per core, and more where the vectors
+        # that meet need it, whatever number of cores is visible at the start
+        rows = sum(p.places * (-(-query_rows[p.cell] // p.q_chunks) + -(-reference_rows[p.cell] // p.r_chunks)) for p in parts)
+        pairs = sum(query_rows[p.cell] * reference_rows[p.cell] * (p.last - p.first) // p.r_chunks for p in parts)
+        wanted = max(GROUPS_PER_CORE * cores, -(-rows * row_bytes // CHUNK_BYTES), -(-2 * pairs // GROUP_PAIRS))
+        groups = max(1, min(wanted, count))
+        left = _chunked(left, sizes, "query_row", "q").select(*_QUERY_COLUMNS, "vector", "lists", "place")
+        right = _chunked(assigned, sizes, "standard_id", "r").select(*_REFERENCE_COLUMNS, "vector", "list", "place")
+        return (
+            left.repartitionById(groups, F.col("place")).groupBy("place")
+            .cogroup(right.repartitionById(groups, F.col("place")).groupBy("place"))
+            .applyInArrow(_best_of_chunk(top_n, threshold, reduction, tile_rows), _PAIR_SCHEMA)
         )
-    keys = ["cell", "q_chunk", "r_chunk"]
-    left = _chunked(sent, "enterprise_id", "q_chunk", "r_chunk", sizes)
-    right = _chunked(assigned, "standard_id", "r_chunk", "q_chunk", sizes).select(*_REFERENCE_COLUMNS, "vector", *keys)
-    # a group is much arithmetic on few bytes: a few per core, and more where the vectors
-    # that meet need it, whatever number of cores is visible at the start
-    sent_bytes = 4 * dimension * sum(query_rows.get(c, 0) * parts[c][1] + n * parts[c][0] for c, n in reference_rows.items())
-    pairs = sum(query_rows.get(c, 0) * n for c, n in reference_rows.items())
-    wanted = max(GROUPS_PER_CORE * cores, -(-sent_bytes // CHUNK_BYTES), -(-2 * pairs // GROUP_PAIRS))
-    groups = min(wanted, sum(q * r for q, r in parts.values()))
-    met = (
-        left.repartition(groups, *keys).groupBy(*keys)
-        .cogroup(right.repartition(groups, *keys).groupBy(*keys))
-        .applyInArrow(_best_of_chunk(top_n, threshold, reduction, tile_rows), _PAIR_SCHEMA)
-    )
-    return keep_top_n(met, top_n)
+
+    if len(rounds) == 1:
+        return keep_top_n(one(rounds[0]), top_n)
+    best = path = None
+    for parts in rounds:
+        met = one(parts) if best is None else one(parts).unionByName(best)
+        before, path = path, work_folder(spark, "best")
+        with shuffles_dropped(spark):
+            keep_top_n(met, top_n).write.parquet(path)
+        best = spark.read.schema(_PAIR_SCHEMA).parquet(path)
+        if before:
+            discard(spark, before)
+    for path in spent:
+        discard(spark, path)
+    return best
 
 
 def _dimension(vectors: DataFrame) -> int:
@@ -498,6 +738,14 @@ def knn_join(
     (None: as many as the pivots of the cells call for, none if the spread is even; 0: never).  The
     result is the same for any number.
     """
+    return knn_found(queries, references, top_n, threshold, cell_rows, chunk_rows, axes).rows()
+
+
+def knn_found(
+    queries: DataFrame, references: DataFrame, top_n: int = TOP_N, threshold: float | None = None,
+    cell_rows: int | None = None, chunk_rows: int | None = None, axes: int | None = None,
+) -> Found:
+    """:func:`knn_join` before names and addresses are joined."""
     q, r = _query_side(queries), _reference_side(references)
     reference_count, query_count = r.count(), q.count()
     tile_rows, chunk_rows = chunk_rows, _chunk_rows(r)
@@ -508,30 +756,39 @@ def knn_join(
     if axes and reference_count:
         # a few thousand vectors tell the axes
         reduction = principal_axes(_pick_centres(r, AXES_SAMPLE, reference_count), axes)
+    no_lists = F.lit(None).cast("array<int>").alias("lists")
     if cells == 1:
-        whole = {0: reference_count}
-        return _meet(
-            q.withColumn("cell", F.lit(0)), r.withColumn("cell", F.lit(0)),
-            whole, {0: query_count}, top_n, threshold, chunk_rows, reduction, tile_rows,
+        found = _meet(
+            q.select("*", F.lit(0).alias("cell"), no_lists), r.withColumns({"cell": F.lit(0), "list": F.lit(0)}),
+            {0: reference_count}, {0: query_count}, top_n, threshold, chunk_rows, reduction, tile_rows,
         )
+        return Found(found, queries, references, _some_twice(r))
     centres = _check_centres(_pick_centres(r, cells, reference_count))
     if axes is None:
         reduction = principal_axes(centres)
-    assigned = written(assign_cells(r, centres), "assigned")
+    spark = queries.sparkSession
+    spent = work_folder(spark, "assigned"), work_folder(spark, "aimed")
+    assigned = written(assign_cells(r, centres), spent[0])
     known = _describe_cells(assigned, centres, top_n)
     reach = math.inf if threshold is None else math.sqrt(max(0.0, 2.0 * (1.0 - threshold)))
-    order, first = _regions(known, chunk_rows)
-    region = np.empty(len(order), dtype=np.int64)
-    region[order] = np.searchsorted(first, np.arange(len(order)), side="right") - 1
-    sent = _send_to_cells(
-        q,
-        lambda points: np.nonzero(np.logical_or.reduceat(_cells_to_search(points, known, top_n, reach)[:, order], first, axis=1)),
-    )
+    order, first = _regions(centres, known.rows, chunk_rows)
+    region = _region_of(order, first)
+
+    def choose(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        row, cell = np.nonzero(np.logical_or.reduceat(_cells_to_search(points, known, top_n, reach)[:, order], first, axis=1))
+        return row, cell, pa.nulls(len(row), pa.list_(pa.int32()))
+
+    aimed = written(_aimed(q, choose), spent[1])
+    sent = _send_to_cells(aimed)
     assigned = assigned.withColumn("cell", F.element_at(F.lit(region.tolist()), F.col("cell") + 1).cast("int"))
-    query_rows = _rows_per_cell(sent) if query_count > chunk_rows else {}
+    query_rows = _rows_per_cell(sent)
     rows = np.bincount(region, known.rows, len(first))
     reference_rows = {c: int(n) for c, n in enumerate(rows) if n}
-    return _meet(sent, assigned, reference_rows, query_rows, top_n, threshold, chunk_rows, reduction, tile_rows)
+    twice = _some_twice(assigned)
+    found = _meet(
+        sent, assigned.withColumn("list", F.lit(0)), reference_rows, query_rows, top_n, threshold, chunk_rows, reduction, tile_rows, aimed, spent,
+    )
+    return Found(found, queries, references, twice)
 
 
 # ---------------------------------------------------------------------------
@@ -567,25 +824,52 @@ def ivf_join(
 ) -> DataFrame:
     """As :func:`knn_join`, but each query searches its ``probes`` nearest lists
     only.  ``listed`` carries ``list_id`` (see :func:`with_list_id`)."""
+    return ivf_found(queries, listed, centres, top_n, threshold, probes, chunk_rows).rows()
+
+
+def ivf_found(
+    queries: DataFrame, listed: DataFrame, centres: np.ndarray | CentreTree, top_n: int = TOP_N,
+    threshold: float | None = None, probes: int | None = None, chunk_rows: int | None = None,
+) -> Found:
+    """:func:`ivf_join` before names and addresses are joined."""
     probes = auto_probes(len(centres)) if probes is None else probes
-    q = _query_side(queries)
-    r = _reference_side(listed, "list_id").withColumnRenamed("list_id", "cell")
-    reference_rows = _rows_per_cell(r)
+    spark = queries.sparkSession
+    r = _reference_side(listed, "list_id")
+    list_rows = _rows_per_cell(r.select(F.col("list_id").alias("cell")))
     tile_rows, chunk_rows = chunk_rows, _chunk_rows(r)
-    if not reference_rows:
-        return q.sparkSession.createDataFrame([], _PAIR_SCHEMA).drop("query_row")
-    filled = np.zeros(len(centres), dtype=bool)
-    filled[list(reference_rows)] = True
+    if not list_rows:
+        return Found(spark.createDataFrame([], _PAIR_SCHEMA), queries, listed, False)
+    rows = np.zeros(len(centres), dtype=np.int64)
+    rows[list(list_rows)] = list(list_rows.values())
+    filled = rows > 0
+    order, first = _regions(centres, rows, chunk_rows)
+    region = _region_of(order, first)
+    in_region = np.bincount(region, filled, len(first)).astype(np.int64)
     if isinstance(centres, CentreTree):
-        sent = _send_to_cells(q, centres.search(filled, probes))
+        nearest = centres.search(filled, probes)
     else:
-        sent = _send_to_cells(q, lambda points: np.nonzero(_cells_to_probe(points, centres, filled, probes)))
+        nearest = lambda points: np.nonzero(_cells_to_probe(points, centres, filled, probes))
+    spent = work_folder(spark, "listed"), work_folder(spark, "aimed")
+    aimed = written(_aimed(_query_side(queries), lambda points: _by_region(*nearest(points), region, in_region)), spent[1])
+    sent = _send_to_cells(aimed)
     query_rows = _rows_per_cell(sent)
-    if len(query_rows) < len(reference_rows):
-        # of a table partitioned by list only the lists in use are read
-        r = r.where(F.col("cell").isin(sorted(query_rows)))
-        reference_rows = {c: n for c, n in reference_rows.items() if c in query_rows}
-    return _meet(sent, r, reference_rows, query_rows, top_n, threshold, chunk_rows, tile_rows=tile_rows)
+    # of a table partitioned by list only the lists in use are read
+    asked = sent.select(F.when(F.col("lists").isNull(), F.col("cell")).alias("cell"), F.explode_outer("lists").alias("list")).distinct().collect()
+    used = {x["list"] for x in asked if x["list"] is not None} | {
+        n for x in asked if x["cell"] is not None for n in np.flatnonzero(filled & (region == x["cell"])).tolist()
+    }
+    if len(used) < len(list_rows):
+        r = r.where(F.col("list_id").isin(sorted(used)))
+        rows[[n for n in list_rows if n not in used]] = 0
+    at = F.element_at(F.lit(region.tolist()), F.col("list_id") + 1).cast("int")
+    # read again in every round, and by a caller perhaps not stored
+    assigned = written(r.select(*_REFERENCE_COLUMNS, "vector", F.col("list_id").cast("int").alias("list"), at.alias("cell")), spent[0])
+    reference_rows = {c: int(n) for c, n in enumerate(np.bincount(region, rows, len(first))) if n}
+    twice = _some_twice(assigned)
+    found = _meet(
+        sent, assigned, reference_rows, query_rows, top_n, threshold, chunk_rows, tile_rows=tile_rows, aimed=aimed, spent=spent,
+    )
+    return Found(found, queries, listed, twice)
 
 
 def save_centres(spark: SparkSession, centres: np.ndarray | CentreTree, path: str) -> None:

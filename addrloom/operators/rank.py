@@ -59,21 +59,30 @@ def pick_best(
     The threshold is the first sort key rather than a filter, so one shuffle
     (cut to one row per query and input partition beforehand) does it all.
     """
-    threshold = RANK_THRESHOLD if threshold is None else threshold
-    usable = passes(threshold) & F.coalesce(F.col("standard_id") != "", F.lit(False))
-    order = Window.partitionBy(*ENTERPRISE).orderBy(
-        F.desc("_usable"), *_preference(policy), F.desc("similarity"), F.asc("standard_id")
-    )
-    best = (
-        scored.withColumn("_usable", usable)
-        .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") == 1)
-    )
+    best = best_of(scored, policy, threshold)
     if queries is not None:
         everyone = queries.select(*[F.col(c).cast("string").alias(c) for c in ENTERPRISE])
         best = best.withColumnsRenamed({c: f"_{c}" for c in ENTERPRISE})
         same = [everyone[c].eqNullSafe(best[f"_{c}"]) for c in ENTERPRISE]
         best = everyone.join(best, same, "left")
+    return verdicts(best)
+
+
+def best_of(
+    scored: DataFrame, policy: str = "rounded", threshold: float | None = None, query: tuple[str, ...] = ENTERPRISE,
+) -> DataFrame:
+    """The best scored row of each query, which the columns ``query`` tell apart, with ``_usable``: it passes."""
+    threshold = RANK_THRESHOLD if threshold is None else threshold
+    usable = passes(threshold) & F.coalesce(F.col("standard_id") != "", F.lit(False))
+    order = Window.partitionBy(*query).orderBy(
+        F.desc("_usable"), *_preference(policy), F.desc("similarity"), F.asc("standard_id")
+    )
+    ranked = scored.withColumn("_usable", usable).withColumn("_rank", F.row_number().over(order))
+    return ranked.where(F.col("_rank") == 1)
+
+
+def verdicts(best: DataFrame) -> DataFrame:
+    """Match rows from the best row of each query; where it is not usable, or none, the no-candidate verdict."""
     kept = F.coalesce(F.col("_usable"), F.lit(False))
     status = match_status(F.col("exact_match"), F.col("partial_match"), F.col("not_match"))
     return best.select(
@@ -87,5 +96,5 @@ def pick_best(
         F.when(kept, status).otherwise(NOT_MATCHED).alias("match_status"),
         F.lit(SOURCE_AUTO).alias("correction_source"),
         # why a plugged-in model could not score the chosen candidate
-        *[F.when(kept, F.col(c)).alias(c) for c in scored.columns if c == "error"],
+        *[F.when(kept, F.col(c)).alias(c) for c in best.columns if c == "error"],
     )

@@ -22,9 +22,16 @@ def recall(
 ) -> DataFrame:
     """Flat recall rows; approximate when the references are clustered (``centres``
     given and ``list_id`` present), exact otherwise."""
+    return _found(queries, references, top_n, threshold, centres, probes).rows()
+
+
+def _found(
+    queries: DataFrame, references: DataFrame, top_n: int, threshold: float | None = None,
+    centres: np.ndarray | CentreTree | None = None, probes: int | None = None,
+) -> knn.Found:
     if centres is None:
-        return knn.knn_join(queries, references, top_n, threshold)
-    return knn.ivf_join(queries, references, centres, top_n, threshold, probes)
+        return knn.knn_found(queries, references, top_n, threshold)
+    return knn.ivf_found(queries, references, centres, top_n, threshold, probes)
 
 
 def rank_recall(
@@ -44,6 +51,30 @@ def rank_recall(
     return rank.pick_best(scored, policy, threshold, queries)
 
 
+def _rank_found(
+    found: knn.Found, scorer=None, policy: str = "rounded", threshold: float | None = None, queries: DataFrame | None = None,
+) -> DataFrame:
+    """As :func:`rank_recall`, from pairs whose texts are not joined yet.  They are for the scorer alone; hashes stand for them in
+    the ranking, and only the chosen pairs get them again."""
+    threshold = RANK_THRESHOLD if threshold is None else threshold
+    pairs = found.pairs
+    if threshold > 0:
+        pairs = pairs.where(rank.passes(threshold) & F.coalesce(F.col("standard_id") != "", F.lit(False)))
+    scored = rank.score(found.with_texts(pairs), scorer or LogitPairScorer()).drop(*ENTERPRISE, "standard_address")
+    best = rank.best_of(scored, policy, threshold, knn.QUERY_HASHES)
+    hashes = list(knn.QUERY_HASHES)
+    if queries is not None:
+        everyone = knn.with_query_hashes(queries.select(*[F.col(c).cast("string").alias(c) for c in ENTERPRISE]))
+        best = everyone.join(best, hashes, "left")
+    elif threshold > 0:
+        best = found.pairs.select(*hashes).distinct().join(found.asked(), hashes).join(best, hashes, "left")
+    else:
+        best = found.asked().join(best, hashes)
+    # a query without a candidate meets no reference, and by its own hashes such queries stay dealt out
+    best = best.withColumns({r: F.coalesce(r, q) for r, q in zip(knn.REFERENCE_HASHES, knn.QUERY_HASHES)})
+    return rank.verdicts(best.join(found.told(), list(knn.REFERENCE_HASHES), "left"))
+
+
 def enterprises(queries: DataFrame) -> DataFrame:
     """The enterprise columns of a query vector table."""
     return queries.select(
@@ -60,9 +91,9 @@ def two_stage(
 ) -> DataFrame:
     """Vector tables to match rows.  A query without any recall row is missing
     from the result unless ``keep_unmatched``."""
-    recalled = recall(queries, references, top_n, threshold, centres, probes)
+    found = _found(queries, references, top_n, threshold, centres, probes)
     everyone = enterprises(queries) if keep_unmatched else None
-    return rank_recall(recalled, scorer, policy, rank_threshold, everyone)
+    return _rank_found(found, scorer, policy, rank_threshold, everyone)
 
 
 def run_recall(
@@ -116,4 +147,4 @@ def single_stage(
         F.col("id").alias("enterprise_id"), F.col("name").alias("enterprise_name"),
         F.col("address").alias("enterprise_address"),
     )
-    return rank_recall(recall(queries, references, top_n), scorer, "rounded", rank_threshold, everyone)
+    return _rank_found(_found(queries, references, top_n), scorer, "rounded", rank_threshold, everyone)

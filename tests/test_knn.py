@@ -150,3 +150,57 @@ def test_what_is_shuffled_does_not_follow_the_rows_compared_at_once(spark, clust
 def test_a_chunk_is_bounded_in_pairs(spark, clustered):
     _, b = frames(spark, *clustered)
     assert 1024 <= knn._chunk_rows(b) <= knn.GROUP_PAIRS ** 0.5
+
+
+@pytest.mark.parametrize("options", [{"cell_rows": 30}, {"cell_rows": 30, "chunk_rows": 7}])
+def test_rounds_send_no_more_than_both_sides_hold(spark, clustered, monkeypatch, options):
+    q, r = clustered
+    a, b = frames(spark, q, r)
+    made, kept, left = [], knn._rounds, []
+    monkeypatch.setattr(knn, "_chunk_rows", lambda references: 20)
+    monkeypatch.setattr(knn, "ROUND_BYTES", 1)
+    monkeypatch.setattr(knn, "_rounds", lambda *args: made.append((args, kept(*args))) or made[-1][1])
+    monkeypatch.setattr(knn, "discard", lambda spark, path: left.append(path))
+    assert pairs(knn.knn_join(a, b, 7, **options)) == brute(q, r, 7)
+    (chunks, references, queries, most), rounds = made[0]
+    assert len(rounds) > 2 and most <= len(q) + len(r)
+    each = {c: queries[c] + -(-references[c] // n) * m for c, (m, n) in chunks.items()}
+    assert all(sum(each[p.cell] * (p.last - p.first) for p in x) <= max(most, max(each.values())) for x in rounds)
+    assert sum(p.places for x in rounds for p in x) == sum(m * n for m, n in chunks.values())
+    # what a round leaves goes, but for the last one's result
+    assert sum("/best-" in x for x in left) == len(rounds) - 1 and len(left) == len(rounds) + 1
+
+
+def test_names_and_addresses_do_not_travel_with_the_vectors(spark, monkeypatch):
+    met, plain = [], knn._meet
+    monkeypatch.setattr(knn, "_meet", lambda *args, **kw: met.append(args) or plain(*args, **kw))
+    v = [[1.0, 0.0], [0.0, 1.0]]
+    q = spark.createDataFrame([("1", None, "x", v[0]), ("1", "x", None, v[1]), ("2", "n", "y", v[0]), ("2", "n", "y", v[0]), (None, "n", "z", v[1])], QUERY)
+    r = spark.createDataFrame([("s", "c", None, v[0]), ("s", "c", None, v[0]), ("s", None, "c", v[1]), ("t", "d", "", [-1.0, 0.0])], REFERENCE)
+    rows = knn.knn_join(q, r, 2, 0.9).collect()
+    said = sorted((tuple(x[:6]) for x in rows), key=str)
+    assert said == sorted([
+        *[("1", None, "x", "s", "c", "")] * 2, ("1", "x", None, "s", None, "c"), *[("2", "n", "y", "s", "c", "")] * 4, (None, "n", "z", "s", None, "c"),
+    ], key=str)
+    assert not any("address" in c or "name" in c for side in met[0][:2] for c in side.columns)
+
+
+@pytest.mark.parametrize("probes", [2, 5, 12])
+def test_a_query_is_sent_once_to_neighbouring_lists(spark, clustered, monkeypatch, probes):
+    q, r = clustered
+    a, b = frames(spark, q, r)
+    centres = r[[3, 40, 77, 101, 130, 155, 170, 200, 210, 220, 240, 395]].astype(float)
+    met, plain = [], knn._meet
+    monkeypatch.setattr(knn, "_meet", lambda *args, **kw: met.append(args) or plain(*args, **kw))
+    monkeypatch.setattr(knn, "_chunk_rows", lambda references: 150)
+    near = knn._squared_distances(r.astype(float), centres).argmin(axis=1)
+    filled = np.bincount(near, minlength=12) > 0
+    found = pairs(knn.ivf_join(a, knn.with_list_id(b, centres), centres, 4, probes=probes))
+    chosen = knn._cells_to_probe(q.astype(float), centres, filled, probes)
+    truth = set()
+    for i, v in enumerate(q):
+        few = np.flatnonzero(chosen[i][near])
+        gap = 1 - ((r[few].astype(float) - v) ** 2).sum(axis=1) / 2
+        truth |= {(f"q{i}", f"r{few[j]}") for j in sorted(range(len(few)), key=lambda j: (-round(gap[j], 12), f"r{few[j]}"))[:4]}
+    assert found == truth
+    assert met[0][0].count() < chosen.sum()

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from addrloom import schemas, vocab
+from addrloom.models.pair_scorer import LogitPairScorer
 from addrloom.operators import checks, copies, corrections, filters, pages, pending, stats
+from addrloom.plans import match
 
 MATCH = (
     "enterprise_id string, enterprise_name string, enterprise_address string, address_id string, standard_address string, "
@@ -176,3 +179,25 @@ def test_prefix_delete(spark):
     df = spark.createDataFrame([("EVAL_E1",), ("EVALX1",), ("other",), (None,)], "source_id string")
     assert {r[0] for r in filters.without_like(df, "source_id", "EVAL_%").collect()} == {"other", None}
     assert filters.count_like(df, "source_id", {"n": "EVAL_%"}).first()["n"] == 2
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.6])
+@pytest.mark.parametrize("keep_unmatched", [False, True])
+def test_ranking_by_hashes_is_ranking_by_texts(spark, threshold, keep_unmatched):
+    """Ids that repeat with other texts or the same, nulls, and queries out of reach."""
+    v = lambda t: [float(np.cos(t)), float(np.sin(t))]
+    queries = spark.createDataFrame(
+        [("1", "n", "福田路1号", v(0.0)), ("1", None, "福田路2号", v(0.1)), ("2", "n", "福田路1号", v(1.5)), ("2", "n", "福田路1号", v(1.5)),
+         (None, "n", "x", v(0.2)), ("4", "n", "far", v(3.0)), ("5", "n", "none", None)],
+        "source_id string, enterprise_name string, address string, vector array<float>",
+    )
+    references = spark.createDataFrame(
+        [("a", "福田路1号", "1", v(0.0)), ("a", "福田路1号", "1", v(0.0)), ("b", "福田路2号", None, v(0.1)), ("c", None, "3", v(1.5)), ("", "y", "4", v(1.4))],
+        "source_id string, address string, room_no string, vector array<float>",
+    )
+    options = dict(policy="rounded", threshold=threshold, queries=match.enterprises(queries) if keep_unmatched else None)
+    by_texts = match.rank_recall(match.recall(queries, references, 3, 0.0), LogitPairScorer(), **options)
+    by_hashes = match.two_stage(queries, references, 3, 0.0, LogitPairScorer(), "rounded", threshold, keep_unmatched)
+    assert by_hashes.columns == by_texts.columns
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(by_hashes) == rows(by_texts)
