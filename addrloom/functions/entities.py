@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from addrloom import vocab
 from addrloom.functions import text as tx
+from addrloom.functions.batches import small_batches
 from addrloom.functions.once import computed_once
 
 ENTITIES = "array<struct<tag:string,text:string>>"
@@ -147,6 +148,7 @@ def spans_to_entities(
     B and S open an entity.  I and E continue the open one of the same type and
     open a new one otherwise.  E and S close it, and so does any other label.
     """
+    small_batches(df.sparkSession)
     df = df.withColumn(out, _spans(F.col(tokens), F.col(labels)).cast(ENTITIES))
     return computed_once(df, out)
 
@@ -237,6 +239,7 @@ def _places(address: pa.Array, texts: pa.Array) -> pa.Array:
 
 
 def _placed(df: DataFrame, address: str, column: str) -> DataFrame:
+    small_batches(df.sparkSession)
     texts = F.transform(column, lambda e: e["text"])
     return computed_once(df.withColumn("_placed", _places(F.coalesce(address, F.lit("")), texts)), "_placed")
 

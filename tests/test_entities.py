@@ -242,3 +242,16 @@ def test_long_texts_are_stripped_and_cut_quickly(spark):
     plain = "".join(c for c in map(chr, range(1, 0xD800)) if c.isspace())
     told = spark.createDataFrame([(plain + "a" + plain + "b" + plain,), (None,), (plain,)], "t string").select(tx.strip("t").alias("t")).collect()
     assert sorted([r["t"] for r in told], key=str) == sorted(["a" + plain + "b", None, ""], key=str)
+
+
+def test_batches_of_the_rule_passes_are_bounded_in_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(64 << 20))
+        df = spark.createDataFrame([(["a", "1"], ["B-poi", "S-houseno"], "a1")], "tokens array<string>, labels array<string>, address string")
+        made = en.apply_rules(en.spans_to_entities(df))
+        assert int(spark.conf.get(name)) <= 8 << 20
+        assert [tuple(e) for e in made.first()["entities"]] == [("poi", "a"), ("houseno", "1")]
+    finally:
+        spark.conf.set(name, before)
